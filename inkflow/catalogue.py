@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from inkflow.plans import documents, pages
 
-def oracle_sql():
-    return {}
+
+def _all() -> dict:
+    return {**pages.CATALOGUE, **documents.CATALOGUE}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in _all().items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: sql for k, (_, sql) in _all().items() if sql}
