@@ -257,7 +257,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) AS
 SELECT doc_id, line_no, line, nxt AS next FROM k WHERE rk % 2 = 1"""),
     "indent_ratio": (indent_ratio, f"SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[ \\t]{{2,}}')) AS indented, count(*) AS eligible, round(count(*) FILTER (regexp_matches(line, '^[ \\t]{{2,}}')) / count(*), 6) AS ratio FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length({S.strip('line')}) > 0 GROUP BY doc_id"),
     "sparse_pages": (sparse_pages, f"SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length({S.strip('line')}) > 0 GROUP BY doc_id HAVING count(*) < 5"),
-    "compile_manuscript": (compile_manuscript, f"SELECT source, md5(string_agg(md5(t), chr(10) || chr(10) ORDER BY doc_id)) AS digest, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM (SELECT source, doc_id, {S.strip('CASE WHEN doc_id % 2 = 0 THEN 'Final. ' || text ELSE text END')} AS t FROM documents) WHERE t <> '' GROUP BY source"),
+    "compile_manuscript": (compile_manuscript, f"SELECT source, md5(string_agg(md5(t), chr(10) || chr(10) ORDER BY doc_id)) AS digest, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM (SELECT source, doc_id, {S.strip("CASE WHEN doc_id % 2 = 0 THEN 'Final. ' || text ELSE text END")} AS t FROM documents) WHERE t <> '' GROUP BY source"),
     "size_bucket_avg": (size_bucket_avg, f"SELECT CASE WHEN n < 200 THEN 'small' WHEN n < 1000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n_docs, round(avg(n), 6) AS avg_words FROM (SELECT {S.count('text')} AS n FROM documents) GROUP BY 1"),
     "cost_rollup": (cost_rollup, f"SELECT CASE lang WHEN 'en' THEN 'large' WHEN 'de' THEN 'small' ELSE 'other' END AS model, count(*) AS n_calls, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n / 1000 * CASE lang WHEN 'de' THEN 0.0015::DOUBLE ELSE 0.01::DOUBLE END + n / 4 / 1000 * CASE lang WHEN 'de' THEN 0.002::DOUBLE ELSE 0.03::DOUBLE END), 6) AS cost FROM (SELECT lang, {S.count('text')}::DOUBLE AS n FROM documents) GROUP BY 1"),
     "draft_cap_gate": (draft_cap_gate, f"SELECT doc_id, b AS before, b < 5000 AS admitted FROM (SELECT doc_id, CAST(coalesce(sum(n) OVER (PARTITION BY lang, doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM (SELECT doc_id, lang, {S.count('text')} AS n FROM documents))"),
