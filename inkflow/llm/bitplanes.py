@@ -192,7 +192,7 @@ def document_ids(files: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     base = files.select(F.col("part").alias("of"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     docs = read_token_ids(files)
-    return docs.join(base, docs["part"] == base["of"]).select(
+    return docs.join(F.broadcast(base), docs["part"] == base["of"]).select(  # at most one row a shuffle partition
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )
 
