@@ -272,7 +272,7 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     if not ids:
         return Model()
     keys = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    sample = key.join(F.broadcast(keys), "doc_id").coalesce(1)  # bounded: `most` long integers are sent
+    sample = key.join(F.broadcast(keys), "doc_id").repartition(1)  # bounded: `most` long integers are sent, and as many rows shuffled
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted((i, t) for pdf in batches for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))

@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> bytes:
     sent = docs.sparkSession.sparkContext.broadcast(chosen)
     keys = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sample = rows.join(F.broadcast(keys), "doc_id").coalesce(1)  # bounded: `most` long integers are sent
+    sample = rows.join(F.broadcast(keys), "doc_id").repartition(1)  # bounded: `most` long integers are sent, and as many rows shuffled
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = sorted((i, t) for pdf in batches for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))
