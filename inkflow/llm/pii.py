@@ -286,6 +286,8 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
         yield pd.DataFrame({"names": [list(m.unary)], "unary": [[x for v in m.unary.values() for x in v.tolist()]], "chain": [m.chain.ravel().tolist()], "skip": [m.skip.ravel().tolist()]})
 
     r = sample.mapInPandas(learn, "names array<string>, unary array<double>, chain array<double>, skip array<double>").first()
+    if r is None:
+        return Model()
     n = len(LABELS)
     return Model({k: r.unary[n * i : n * i + n] for i, k in enumerate(r.names)}, np.reshape(r.chain, (n, n)), np.reshape(r.skip, (n, n)))
 

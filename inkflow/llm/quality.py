@@ -77,6 +77,13 @@ def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE,
     return vectors, output
 
 
+def packed(vectors: np.ndarray, output: np.ndarray) -> bytes:
+    """What scoring needs: each bucket's weight for label 1 over label 0, and the bias."""
+    out = io.BytesIO()
+    np.savez(out, weight=(vectors @ (output[:DIM, 1] - output[:DIM, 0])).astype(np.float32), bias=np.float32(output[DIM, 1] - output[DIM, 0]))
+    return out.getvalue()
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> bytes:
     """The model, learned in one task on at most `most` labelled rows that are not held out."""
     by_id = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
@@ -90,14 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> bytes:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found = sorted((i, t) for pdf in batches for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))
-        rows = [(t, sent.value[i]) for i, t in found]
-        out = io.BytesIO()
-        vectors, output = train(rows) if rows else (np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM + 1, 2), np.float32))
-        np.savez(out, weight=(vectors @ (output[:DIM, 1] - output[:DIM, 0])).astype(np.float32), bias=np.float32(output[DIM, 1] - output[DIM, 0]))
-        yield pd.DataFrame({"model": [out.getvalue()]})
+        if found:
+            yield pd.DataFrame({"model": [packed(*train([(t, sent.value[i]) for i, t in found]))]})
 
     got = sample.mapInPandas(learn, "model binary").first()
-    return bytes(got.model)
+    return bytes(got.model) if got else packed(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM + 1, 2), np.float32))
 
 
 class Scorer:
