@@ -20,7 +20,8 @@ def v(fn, name, columns, data, sql, schema):
 
 
 def _fields(**kw):
-    return lambda d: d.select("id", *[c.alias(k) for k, c in kw.items()])
+    """Columns of functions of t; they are made when the query runs, as columns need a session."""
+    return lambda d: d.select("id", *[fn(F.col("t")).alias(k) for k, fn in kw.items()])
 
 
 def topic_silo_grid(spark, sf_dir):
@@ -90,13 +91,16 @@ def questions(d):
     return d.select("id", F.when(F.size(a) == 5, F.array_join(a, "|")).otherwise(F.lit("canned")).alias("questions"))
 
 
-_SCORE = F.col("likes") + 2 * F.col("reposts") + F.col("replies") + F.col("quotes")
+def _score():
+    return F.col("likes") + 2 * F.col("reposts") + F.col("replies") + F.col("quotes")
+
+
 _POSTS = "id int, author string, likes int, reposts int, replies int, quotes int, url string"
 
 
 def trend_top_authors(d):
     """The best post of each author, first wins; authors in order of score, then first appearance."""
-    s = d.withColumn("author", F.coalesce("author", F.lit("unknown"))).withColumn("score", _SCORE)
+    s = d.withColumn("author", F.coalesce("author", F.lit("unknown"))).withColumn("score", _score())
     best = s.groupBy("author").agg(F.max(F.struct("score", (-F.col("id")).alias("back"))).alias("b"), F.min("id").alias("first"))
     best = best.select("author", F.col("b.score").alias("score"), (-F.col("b.back")).alias("post"), "first")
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first"))).where("rank <= 10")
@@ -113,22 +117,21 @@ def accuracy_tolerance(d):
     return d.select("id", F.when(off == 0, 100).when(ok, 75).otherwise(F.greatest(F.lit(0), 100 - 10 * off)).alias("score"), ok.alias("within"))
 
 
-_t = F.col("t")
 _JSON_SCORE = "CASE WHEN json_valid(t) THEN coalesce(CAST(json_extract_string(t, '$.score') AS INT), 0) ELSE 0 END"
 CATALOGUE = {
-    "dehyphenate": v(_fields(t=T.dehyphenate(_t)), "r", "id, t", X.WRAPPED, f"SELECT id, replace(replace(array_to_string(list_transform(t, lambda x, i: CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^{S.WS}+', '') END), chr(10)), '-' || chr(10), ''), chr(10), ' ') AS t FROM r", "id int, t array<string>"),
+    "dehyphenate": v(_fields(t=T.dehyphenate), "r", "id, t", X.WRAPPED, f"SELECT id, replace(replace(array_to_string(list_transform(t, lambda x, i: CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^{S.WS}+', '') END), chr(10)), '-' || chr(10), ''), chr(10), ' ') AS t FROM r", "id int, t array<string>"),
     "normalize_symbols": v(
-        _fields(pdf=T.normalize_pdf(_t), latin1=T.normalize_latin1(_t), html=T.normalize_html(_t), epub=T.normalize_epub(_t), xml=T.escape_xml(_t), esc=T.escape_html(_t)), "r", "id, t", X.SYMBOLS,
+        _fields(pdf=T.normalize_pdf, latin1=T.normalize_latin1, html=T.normalize_html, epub=T.normalize_epub, xml=T.escape_xml, esc=T.escape_html), "r", "id, t", X.SYMBOLS,
         "SELECT id, " + f"regexp_replace({S.replaced('t', T.SPACES)}, '{T.code_points(T.SYMBOL_RANGES)}+', '', 'g') AS pdf, regexp_replace({S.replaced('t', T.LATIN1)}, '[^\\x{{0}}-\\x{{ff}}]', '', 'g') AS latin1, regexp_replace({S.replaced('t', T.HTML)}, '{T.code_points(T.SYMBOL_RANGES + T.DRAWING_RANGES)}+', '', 'g') AS html, {S.replaced('t', T.SPACES)} AS epub, {S.replaced('t', [('&', '&amp;'), ('<', '&lt;'), ('>', '&gt;')])} AS xml, "
         + S.replaced(S.replaced("t", T.SPACES), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]) + " AS esc FROM r", "id int, t string"),
-    "slugify_compat": v(_fields(slug=T.slugify_compat(_t)), "r", "id, t", X.SLUGS, r"SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(t)), '[^a-z0-9\\s-]', '', 'g'), '-+', '-', 'g'), ''), 'topic') AS slug FROM r", "id int, t string"),
-    "parse_lists": v(_fields(items=F.array_join(T.parse_list(_t), "|"), urls=F.array_join(T.parse_url_list(_t), "|")), "r", "id, t", X.LISTS,
+    "slugify_compat": v(_fields(slug=T.slugify_compat), "r", "id, t", X.SLUGS, r"SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(t)), '[^a-z0-9\\s-]', '', 'g'), '-+', '-', 'g'), ''), 'topic') AS slug FROM r", "id int, t string"),
+    "parse_lists": v(_fields(items=lambda t: F.array_join(T.parse_list(t), "|"), urls=lambda t: F.array_join(T.parse_url_list(t), "|")), "r", "id, t", X.LISTS,
         f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '[,\\n]'), lambda x, i: CASE WHEN list_position(list_transform(regexp_split_to_array(t, '[,\\n]'), lambda y: {S.strip('y')}), {S.strip('x')}) = i THEN {S.strip('x')} ELSE '' END), lambda x: x <> ''), '|') AS items, array_to_string(list_filter(list_transform(string_split(t, CASE WHEN contains(t, chr(10)) THEN chr(10) ELSE ',' END), lambda x: {S.strip('x')}), lambda x: x <> ''), '|') AS urls FROM r", "id int, t string"),
-    "or_query": v(_fields(q=T.or_query(F.col("name"), F.col("kw"))), "r", "id, name, kw", [(i, n, k) for i, n, k in X.TERMS],
+    "or_query": v(lambda d: d.select("id", T.or_query(F.col("name"), F.col("kw")).alias("q")), "r", "id, name, kw", [(i, n, k) for i, n, k in X.TERMS],
         "SELECT id, CASE len(q) WHEN 0 THEN '' WHEN 1 THEN q[1] ELSE '(' || array_to_string(q, ' OR ') || ')' END AS q FROM (SELECT id, list_transform(list_filter(ts, lambda x, i: x <> '' AND list_position(ts, x) = i), lambda x: '\"' || trim(replace(x, '\"', '')) || '\"') AS q FROM (SELECT id, list_transform(list_concat([name], CAST(kw AS VARCHAR[])), lambda x: trim(x)) AS ts FROM r))", "id int, name string, kw array<string>"),
-    "parse_silo_number": v(_fields(silo=T.silo_number(_t)), "r", "id, t", X.NUMBERS, r"SELECT id, coalesce(TRY_CAST(regexp_extract(t, '\b(10|[0-9])\b', 1) AS INT), 0) AS silo FROM r", "id int, t string"),
-    "parse_silo_token": v(_fields(silo=T.silo_token(_t)), "r", "id, t", X.NUMBERS, r"SELECT id, coalesce(TRY_CAST(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '^[0-9]+$'))[1] AS INT), 0) AS silo FROM r", "id int, t string"),
-    "forced_silo": v(_fields(silo=T.forced_silo(_t)), "r", "id, t", X.LABELS, "SELECT id, TRY_CAST(regexp_extract(t, '^cse:silo_(.*)$', 1) AS INT) AS silo FROM r", "id int, t string"),
+    "parse_silo_number": v(_fields(silo=T.silo_number), "r", "id, t", X.NUMBERS, r"SELECT id, coalesce(TRY_CAST(regexp_extract(t, '\b(10|[0-9])\b', 1) AS INT), 0) AS silo FROM r", "id int, t string"),
+    "parse_silo_token": v(_fields(silo=T.silo_token), "r", "id, t", X.NUMBERS, r"SELECT id, coalesce(TRY_CAST(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '^[0-9]+$'))[1] AS INT), 0) AS silo FROM r", "id int, t string"),
+    "forced_silo": v(_fields(silo=T.forced_silo), "r", "id, t", X.LABELS, "SELECT id, TRY_CAST(regexp_extract(t, '^cse:silo_(.*)$', 1) AS INT) AS silo FROM r", "id int, t string"),
     "image_manifest": v(image_manifest, "r", "id, t", X.PLACEHOLDERS, r"SELECT id, printf('img-%03d', pos) AS image, upper(ks[pos]) AS kind, trim(ws[pos]) AS description FROM (SELECT id, ks, ws, unnest(range(1, len(ks) + 1)) AS pos FROM (SELECT id, regexp_extract_all(t, '(?i)\[\[(IMAGE|COVER|BACK_COVER):(.+?)\]\]', 1) AS ks, regexp_extract_all(t, '(?i)\[\[(IMAGE|COVER|BACK_COVER):(.+?)\]\]', 2) AS ws FROM r))", "id int, t string"),
     "apply_images": v(apply_images, "r", "id, t", X.PLACEHOLDERS, "SELECT id, replace(replace(replace(t, '[[image: a]]', '(a.png)'), '[[IMAGE:a]]', '(a.png)'), '[[Cover:b]]', '(b.png)') AS t FROM r", "id int, t string"),
     "topic_silo_grid": (topic_silo_grid, "WITH " + S.values("t", "topic_id, name", X.TOPICS) + ", " + S.values("s", "silo, title", X.SILO_TITLES) + " SELECT * FROM t, s"),
@@ -144,7 +147,7 @@ CATALOGUE = {
     "checker_output_parse": v(checker_output_parse, "r", "id, ord, line", X.OUTPUT, "SELECT id, ord, status, message FROM (SELECT id, ord, CASE WHEN contains(line, 'No errors or warnings detected') THEN 'pass' WHEN starts_with(line, 'ERROR') THEN 'fail' WHEN starts_with(line, 'WARNING') THEN 'warning' END AS status, CASE WHEN starts_with(line, 'ERROR') THEN substring(line, 7) WHEN starts_with(line, 'WARNING') THEN substring(line, 9) ELSE line END AS message FROM r) WHERE status IS NOT NULL UNION ALL SELECT DISTINCT id, 0, 'fail', 'no result' FROM r WHERE id NOT IN (SELECT id FROM r WHERE contains(line, 'No errors or warnings detected') OR starts_with(line, 'ERROR') OR starts_with(line, 'WARNING'))", "id int, ord int, line string"),
     "json_fallback": v(json_fallback, "r", "id, t", X.REVIEWS, f"SELECT id, coalesce({_JSON_SCORE}, 0) AS score, coalesce(CASE WHEN json_valid(t) THEN json_extract_string(t, '$.notes') END, '') AS notes FROM r", "id int, t string"),
     "json_questions": v(questions, "r", "id, t", X.QUESTIONS, "SELECT id, CASE WHEN json_valid(t) AND json_array_length(CASE WHEN json_valid(t) THEN t ELSE '[]' END) = 5 THEN array_to_string(CAST(json(CASE WHEN json_valid(t) THEN t ELSE '[]' END) AS VARCHAR[]), '|') ELSE 'canned' END AS questions FROM r", "id int, t string"),
-    "post_scores": v(lambda d: d.select("id", _SCORE.alias("score")), "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT id, likes + 2 * reposts + replies + quotes AS score FROM d", _POSTS),
+    "post_scores": v(lambda d: d.select("id", _score().alias("score")), "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT id, likes + 2 * reposts + replies + quotes AS score FROM d", _POSTS),
     "trend_top_authors": v(trend_top_authors, "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT *, CAST(row_number() OVER (ORDER BY score DESC, first) AS INT) AS rank FROM (SELECT coalesce(author, 'unknown') AS author, max(likes + 2 * reposts + replies + quotes) AS score, CAST(arg_max(id, (likes + 2 * reposts + replies + quotes) * 1000 - id) AS INT) AS post, min(id) AS first FROM d GROUP BY 1) QUALIFY rank <= 10", _POSTS),
     "trend_top_urls": v(trend_top_urls, "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT *, CAST(row_number() OVER (ORDER BY n DESC, first) AS INT) AS rank FROM (SELECT url, count(*) AS n, min(id) AS first FROM d WHERE url IS NOT NULL GROUP BY url) QUALIFY rank <= 10", _POSTS),
     "accuracy_tolerance": v(accuracy_tolerance, "d", "id, found, expected, low, high", X.ACCURACY, "SELECT id, CASE WHEN found = expected THEN 100 WHEN found BETWEEN low AND high THEN 75 ELSE greatest(0, 100 - 10 * abs(found - expected)) END AS score, found BETWEEN low AND high AS within FROM d", "id int, found int, expected int, low int, high int"),
