@@ -75,10 +75,22 @@ def escape_html(c: Column) -> Column:
     return replaced(normalize_epub(c), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")])
 
 
+def rstrip(c: Column) -> Column:
+    """str.rstrip()"""
+    return F.regexp_replace(c, rf"{SPACE}+$", "")
+
+
 def dehyphenate(lines: Column) -> Column:
-    """Join wrapped lines: a hyphen at a line's end takes the break with it; later lines lose their indentation."""
+    """Join wrapped lines: a hyphen at a line's end takes the break with it; later lines lose their indentation.  Only
+    blank lines, which let one line's hyphens meet several breaks, need the fold."""
     body = F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.regexp_replace(x, rf"^{SPACE}+", "")))
-    return replaced(F.array_join(body, "\n"), [("-\n", ""), ("\n", " ")])
+    whole = replaced(F.array_join(body, "\n"), [("-\n", ""), ("\n", " ")])
+
+    def join(held: Column, line: Column) -> Column:
+        return F.when(held.endswith("-"), F.concat(F.left(held, F.length(held) - 1), line)).otherwise(F.concat(held, F.lit(" "), line))
+
+    fold = F.aggregate(F.slice(body, F.lit(2), F.greatest(F.size(body) - 1, F.lit(0))), F.get(body, F.lit(0)), join)
+    return F.when(F.exists(body, lambda x: x == ""), fold).otherwise(whole)
 
 
 def slugify_compat(c: Column) -> Column:

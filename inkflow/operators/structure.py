@@ -43,7 +43,7 @@ def paragraphs(lines: DataFrame) -> DataFrame:
     ).withColumn("title", F.last(F.when(F.col("header"), F.col("s")), True).over(so_far))
     body = marked.where(~F.col("header") & (F.col("s") != ""))
     grouped = body.groupBy("doc_id", "section_no", "break_no").agg(
-        F.max("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("lines")
+        F.max("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", T.rstrip(F.col("line")).alias("line")))), lambda x: x["line"]).alias("lines")
     )
     rank = Window.partitionBy("doc_id", "section_no").orderBy("break_no")
     return grouped.select("doc_id", "section_no", "title", F.row_number().over(rank).cast("long").alias("paragraph_no"), T.dehyphenate(F.col("lines")).alias("text"))

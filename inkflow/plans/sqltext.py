@@ -67,7 +67,7 @@ marked AS (
   FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 paragraphs AS (
   SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, max(title) AS title, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY break_no) AS paragraph_no,
-         replace(replace(array_to_string(list_transform(list(line ORDER BY line_no), lambda x, i: CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^{WS}+', '') END), chr(10)), '-' || chr(10), ''), chr(10), ' ') AS text
+         replace(replace(array_to_string(list_transform(list(line ORDER BY line_no), lambda x, i: regexp_replace(CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^{WS}+', '') END, '{WS}+$', '')), chr(10)), '-' || chr(10), ''), chr(10), ' ') AS text
   FROM marked WHERE NOT header AND s <> '' GROUP BY doc_id, section_no, break_no),
 kept AS (SELECT doc_id, section_no, max(title) AS title, count(*) AS n_paragraphs, CAST(sum({count('text')}) AS BIGINT) AS n_words FROM paragraphs WHERE section_no > 0 GROUP BY doc_id, section_no),
 sections AS (SELECT *, CASE WHEN lower(title) LIKE 'chapter%' THEN row_number() OVER (PARTITION BY doc_id ORDER BY section_no) END AS number FROM kept),

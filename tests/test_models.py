@@ -21,7 +21,6 @@ def test_dehyphenate(spark):
         return out
 
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "id int, t array<string>").select("id", T.dehyphenate(F.col("t")).alias("t"))
-    # A line that is only a hyphen takes both breaks; the model does the same.
     assert {r.id: r.t for r in df.collect()} == {i: model(c) for i, c in enumerate(cases)}
 
 
