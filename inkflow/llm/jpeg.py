@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -24,6 +25,7 @@ RESTART = 4
 COMMENT = b"inkflow payload "
 #: Widest row of units; more payload goes into further rows.
 MOST_ACROSS = 4095
+MOST_KEPT = 64
 
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
 #: (components, first coefficient, last coefficient, high bit, low bit) of the encoder's scans.
@@ -78,6 +80,13 @@ def shape_of(n_bytes: int) -> tuple[int, int]:
     return across, -(-units // across)
 
 
+def _kept_if_small(make):
+    """Keeps what make gives for shapes (its last two arguments) of at most MOST_KEPT units, which most texts share."""
+    kept = lru_cache(maxsize=1024)(make)
+    return lambda *a: (kept if a[-2] * a[-1] <= MOST_KEPT else make)(*a)
+
+
+@_kept_if_small
 def block_order(across: int, down: int) -> np.ndarray:
     """Component << 40 | block, in the order of an interleaved scan."""
     my, mx = np.divmod(np.arange(across * down), across)
@@ -104,7 +113,7 @@ class Bits:
         at = np.concatenate([at, base + used])
         shifted = codes << (64 - sizes - (at & 7)).clip(0, 63).astype(np.uint64)
         total, out = int(ends[-1]) if n else 0, None
-        for k in range(5):
+        for k in range((int(sizes.max(initial=0)) + 14) // 8):  # a code begins at bit 7 of its first byte at most
             part = (shifted >> np.uint64(56 - 8 * k)) & np.uint64(255)
             got = np.bincount((at >> 3) + k, part, total + 5)
             out = got if out is None else out + got
@@ -252,6 +261,25 @@ _NEXT = re.compile(rb"\xff[\x01-\xcf\xd8-\xfe]")
 _RESTARTS = re.compile(rb"\xff[\xd0-\xd7]")
 
 
+@_kept_if_small
+def interleaved(sampling: tuple, which: tuple[int, ...], across: int, down: int) -> tuple[np.ndarray, np.ndarray]:
+    my, mx = np.divmod(np.arange(across * down), across)
+    cs, bs = [], []
+    for c in which:
+        h, v = sampling[c]
+        for y in range(v):
+            for x in range(h):
+                bs.append((my * v + y) * (across * h) + mx * h + x)
+                cs.append(np.full(len(mx), c))
+    return np.stack(cs, 1).ravel(), np.stack(bs, 1).ravel()
+
+
+@_kept_if_small
+def alone(component: int, row: int, wide: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    y, x = np.divmod(np.arange(wide * high), wide)
+    return np.full(len(x), component), y * row + x
+
+
 class Image:
     """The segments of a file: sizes, tables, scans with their intervals."""
 
@@ -313,19 +341,10 @@ class Image:
     def blocks(self, which: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
         """(component, block in its padded array), in the order of a scan of these components, a unit's blocks together."""
         if len(which) > 1:
-            my, mx = np.divmod(np.arange(self.across * self.down), self.across)
-            cs, bs = [], []
-            for c in which:
-                _, h, v, _ = self.comps[c]
-                for y in range(v):
-                    for x in range(h):
-                        bs.append((my * v + y) * (self.across * h) + mx * h + x)
-                        cs.append(np.full(len(mx), c))
-            return np.stack(cs, 1).ravel(), np.stack(bs, 1).ravel()
+            return interleaved(self.key[0], which, self.across, self.down)
         _, h, v, _ = self.comps[which[0]]
         wide, high = -(-(-(-self.width * h // self.hmax)) // 8), -(-(-(-self.height * v // self.vmax)) // 8)
-        y, x = np.divmod(np.arange(wide * high), wide)
-        return np.full(len(x), which[0]), y * (self.across * h) + x
+        return alone(which[0], self.across * h, wide, high)
 
     def per_unit(self, which: tuple[int, ...]) -> int:
         return sum(self.comps[c][1] * self.comps[c][2] for c in which) if len(which) > 1 else 1
