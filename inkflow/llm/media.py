@@ -20,7 +20,8 @@ from inkflow.llm import jpeg
 from inkflow.llm.common import text_or_empty
 
 UNIT = 192
-BATCH_BYTES = 1 << 20
+#: Bytes that are encoded or decoded side by side; decoding holds less for each byte.
+BATCH_BYTES, DECODED_BYTES = 1 << 20, 2 << 20
 STORED = "doc_id long, n_bytes long, media binary"
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -70,7 +71,7 @@ def decode_media(stored: DataFrame, with_tensor: bool = False) -> DataFrame:
         for pdf in batches:
             pdf = pdf[pdf["media"].notna()].astype({"doc_id": "Int64"})
             files = pdf["media"].tolist()
-            for a, b in ranges([len(f) for f in files]):
+            for a, b in ranges([len(f) for f in files], DECODED_BYTES):
                 rows = []
                 for f, (image, coefs) in zip(files[a:b], jpeg.decode(files[a:b]), strict=True):
                     raw, tensor = jpeg.payload(image, coefs), jpeg.rgb(image, coefs)
