@@ -11,10 +11,15 @@ with their edit distance, moves included.  SKETCHES sketches are drawn.
    large a run is.  The ends of neighbouring partitions are joined afterwards.
 3. Candidates are verified by banded alignment: the word edit distance is at most (1 - similarity) of the longer text.
 4. Links become classes by alternating star contraction; each round is written to the shared folder.
+5. What steps 2 and 3 miss is found exactly.  An edit of a word changes one word and two pairs of neighbouring words,
+   so linked texts share at least (longer length - edits) words and (longer length - 1 - 2 edits) pairs, and in one
+   fixed order of all words or pairs the first few of one text hold one of the first few of the other (prefix
+   filter).  The order puts frequent ones last.  Texts of different classes that share such a pair and such a word
+   are verified, and the classes are made again with their links.  Values with one class give no candidates; those
+   of many texts are split into blocks, and every two blocks are a group of their own.
 
-Within a run that many different texts share, sorting by the next sketches puts near copies, which share most
-sketches, next to each other; all SKETCHES rotations are tried, so a link is lost only if it fails in each.
-Texts of fewer than five words have one k-mer, the whole text.
+So the classes are those of all links; n_links counts the links verified on the way, as texts already in one class
+are not compared again.  Texts of fewer than five words have one k-mer, the whole text.
 
 Nulls: a null text is empty; all empty texts are equal.  A null doc_id joins its text's class; a class of null ids
 only has the class null.  Repeated rows stay, in one class.  An empty table gives no rows.
@@ -35,6 +40,8 @@ from inkflow.llm.common import shared_dir, store, text_or_empty
 
 SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 12, 2, 0.8
 KEPT_WORDS = 400_000
+#: Texts whose words and pairs are counted for the order of step 5, slots of the counts, and texts in a block.
+COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) for i in range(64)], np.uint64)
 _kept: dict[str, int] = {}
@@ -221,8 +228,7 @@ def neighbours(nodes: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The pairs whose texts are similar.  Texts are shuffled once by digest, one copy of each, and used for both ends."""
-    text = text_or_empty()
-    texts = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+    texts = texts_by_key(docs)
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -264,6 +270,93 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
+def texts_by_key(docs: DataFrame) -> DataFrame:
+    text = text_or_empty()
+    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+
+
+def prefix_length(n: int, q: int, least: float) -> int:
+    """How many of the first q-grams of a text of n words must be looked at, whatever the length of its partner."""
+    longer = np.arange(n, int(n / least) + 2)
+    edits = np.floor((1 - least) * longer + 1e-9).astype(int)
+    fits = longer - n <= edits
+    return int((n - longer + q * edits + 1)[fits].max())
+
+
+def prefix(words: list[str], q: int, least: float, counts: np.ndarray) -> np.ndarray:
+    """The first q-grams in the common order: by count, then by value."""
+    x = labelled(shingle_hashes(words, q))
+    k = min(prefix_length(len(words), q, least), len(x))
+    return x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[:k]]
+
+
+def common_counts(texts: DataFrame, n: int, q: int) -> np.ndarray:
+    """Counts, at most 255, by slot of the q-grams and words of about COUNTED of n texts.  Any order is right."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [labelled(shingle_hashes(w, k)) for w in map(str.split, pdf["text"]) if w for k in {1, q}]
+            slot, many = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]) & np.uint64(SLOTS - 1), return_counts=True)
+            yield pd.DataFrame({"slot": slot.astype(np.int32), "many": many})
+
+    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, COUNTED / max(1, n)))
+    rows = texts.where(share).mapInPandas(run, "slot int, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1")
+    out = np.zeros(SLOTS, np.uint8)
+    got = rows.toArrow()
+    out[got["slot"].to_numpy()] = np.minimum(got["many"].to_numpy(), 255)
+    return out
+
+
+def missed(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts of different classes that may be linked; none that is linked is left out."""
+    spark = texts.sparkSession
+    q = 2 if least >= 0.8 else 1  # fewer words in common leave no pair for sure
+    counts = spark.sparkContext.broadcast(common_counts(texts, texts.count(), q))
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for start in range(0, len(pdf), 500):
+                part = pdf.iloc[start : start + 500]
+                words = [t.split() for t in part["text"]]
+                found = [prefix(w, q, least, counts.value) if w else np.empty(0, np.uint64) for w in words]
+                sizes = [len(f) for f in found]
+                yield pd.DataFrame({
+                    "gram": np.concatenate(found).view(np.int64), "id": np.repeat(part["id"].to_numpy(), sizes), "root": np.repeat(part["root"].to_numpy(), sizes),
+                    "n": np.repeat([len(w) for w in words], sizes), "at": np.concatenate([np.arange(k) for k in sizes]),
+                })
+
+    def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [prefix(t.split(), 1, least, counts.value).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "words": got})
+
+    # Short ids stand for the digests; two digests of one id only give more candidates.
+    short = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
+    named = texts.where("text rlike '\\\\S'").join(roots, "key", "left").select("key", "text", short(F.col("key")).alias("id"), short(F.coalesce("root", "key")).alias("root"))
+    rows = named.select("id", "root", "text").mapInPandas(grams, "gram long, id long, root long, n int, at int")
+    rows = store(rows, shared_dir(spark, "grams"))
+    several = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many")).where("r1 <> r2")
+    live = rows.join(several.select("gram", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "gram")
+    live = live.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    live = live.select("gram", "id", "root", "n", "at", "block", other).select(
+        "gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "root", "n", "at"
+    )
+    live = store(live, shared_dir(spark, "live"))
+    right = live.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in ("id", "root", "n", "at")))
+    longer = F.greatest("n", "n2")
+    edits = F.floor((1 - least) * longer + 1e-9)
+    # Of the first q-gram that two texts share, both sides have enough left.
+    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - q * edits
+    pairs = live.join(right, ["gram", "lo", "hi"]).where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= edits) & ((longer < q) | enough))
+    pairs = store(pairs.select("id", "id2").distinct(), shared_dir(spark, "pairs"))
+    needed = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
+    words = store(named.select("key", "id", "text").join(needed, "id", "left_semi").mapInPandas(first_words, "key binary, id long, words array<long>"), shared_dir(spark, "words"))
+    both = pairs.join(words.select("id", F.col("key").alias("a"), F.col("words").alias("x")), "id")
+    both = both.join(words.select(F.col("id").alias("id2"), F.col("key").alias("b"), F.col("words").alias("y")), "id2")
+    return both.where(F.arrays_overlap("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), n_links (verified links of its text), keeps (it is that document;
     of repeated rows of one doc_id, all)."""
@@ -272,6 +365,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     nodes = store(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketches").alias("sketches")), shared_dir(spark, "nodes"))
     edges = store(verified(docs, neighbours(nodes.select("key", "sketches")), least), shared_dir(spark, "links"))
     roots = store(components(edges), shared_dir(spark, "roots"))
+    more = store(verified(docs, missed(store(texts_by_key(docs), shared_dir(spark, "texts")), roots, least), least), shared_dir(spark, "more"))
+    if not more.isEmpty():
+        edges = edges.unionByName(more)
+        roots = store(components(edges), shared_dir(spark, "roots"))
     ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key")))
     degree = ends.groupBy("key").agg(F.count("*").alias("n_links"))
     linked = store(nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared_dir(spark, "linked"))

@@ -252,6 +252,43 @@ def test_op9(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def classes_by_brute_force(texts):
+    """Single linkage over all pairs."""
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for j, y in enumerate(texts):
+        for i in range(j):
+            if find(i) != find(j) and neardup.similar(texts[i], y):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("block", [1000, 20])
+def test_op9_family(spark, monkeypatch, block):
+    """Different texts around one passage, with copies that differ in a tenth to a fifth of the words."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(20000)]
+    shared = [rng.choice(vocab) for _ in range(75)]
+    texts = []
+    for c in range(150):
+        base = shared + [rng.choice(vocab) for _ in range(26)]
+        texts.append(" ".join(base))
+        if c % 2:
+            for p in rng.sample(range(len(base)), 10 + c % 11):
+                base[p] = rng.choice(vocab)
+            texts.append(" ".join(base))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = classes_by_brute_force(texts)
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want)) and len(set(want)) < len(texts) - 50
+
+
 def test_op10(spark):
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies on this site, please accept.</div><main><h1>Head &amp line</h1><p>One <b>bo</b>ld.<p>Two&nbsp;words<br>x</p><div class="ad">Buy this now</div><script>var a="</p>"</script><p>Y</p></main><aside><p>Related things to read today.</p></aside><!-- c --><footer>&copy; me</footer></body></html>'
     data = [(1, "u", page), (2, None, None), (3, "v", "<article><p>cut"), (None, "w", "<p"), (1, "u", page), (4, "x", "<article>" + "<p>word" * 20000)]
