@@ -289,6 +289,22 @@ def test_op9_family(spark, monkeypatch, block):
     assert {r.doc_id: r.class_id for r in got} == dict(enumerate(want)) and len(set(want)) < len(texts) - 50
 
 
+def test_op9_recall(spark):
+    """Texts of 1 to 300 words with up to a fifth of their words changed, dropped or added, at any place."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(3000)]
+    texts = []
+    for c in range(160):
+        n = (1, 2, 4, 5, 9, 10, 25, 60, 150, 300)[c % 10]
+        base = [rng.choice(vocab) for _ in range(n)]
+        texts.append(" ".join(base))
+        for p in sorted(rng.sample(range(n), rng.randrange(n // 5 + 1) if c % 3 else n // 5), reverse=True):
+            base[p : p + 1] = rng.choice(([rng.choice(vocab)], [], [base[p], rng.choice(vocab)]))
+        texts.append("  ".join(base))
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(classes_by_brute_force(texts)))
+
+
 def test_op10(spark):
     page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies on this site, please accept.</div><main><h1>Head &amp line</h1><p>One <b>bo</b>ld.<p>Two&nbsp;words<br>x</p><div class="ad">Buy this now</div><script>var a="</p>"</script><p>Y</p></main><aside><p>Related things to read today.</p></aside><!-- c --><footer>&copy; me</footer></body></html>'
     data = [(1, "u", page), (2, None, None), (3, "v", "<article><p>cut"), (None, "w", "<p"), (1, "u", page), (4, "x", "<article>" + "<p>word" * 20000)]
