@@ -2,8 +2,9 @@
 
 A line's quote level is the number of '>' marks it begins with.  Consecutive lines of one level are a passage.
 Passages are normalised (lower case, runs of white space and punctuation to one space) and hashed; a quoted passage is
-joined to the earliest message of its conversation that holds the passage as its own words, so a hash has one
-candidate and no pairs are emitted.  A message replies to the latest message that it quotes at the lowest level
+joined to the earliest message of its conversation that holds it as its own words: as its whole text, a passage, a
+paragraph or a line, or with all of the passage's lines among its own.  A hash has one candidate; a passage of several
+lines is compared with the messages that hold the rarest of them, once for all messages that quote it.  A message replies to the latest message that it quotes at the lowest level
 found, and messages without links reply to nothing.  Following replies gives each message its thread; conversations
 come out in reply order, without quoted lines.
 
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 
 from inkflow.llm.common import shared_dir, store
 
-#: Quoted passages shorter than this, when normalised, are too common to be evidence.
-LEAST_CHARS = 12
 _MARKS = r"^[ \t]*(?:>[ \t]?)+"
 
 
@@ -51,7 +50,18 @@ def passages(text: Column) -> Column:
 
 
 def normalised(words: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(words), r"[\s\p{Punct}]+", " "))
+    """Words of punctuation alone keep it."""
+    plain = F.trim(F.regexp_replace(F.lower(words), r"[\s\p{Punct}]+", " "))
+    return F.when(plain == "", F.trim(F.regexp_replace(words, r"\s+", " "))).otherwise(plain)
+
+
+def hashed(words: Column) -> Column:
+    return F.md5(words.cast("binary"))
+
+
+def line_hashes(words: Column) -> Column:
+    """The different lines that are not blank."""
+    return F.array_distinct(F.transform(F.filter(F.transform(F.split(words, "\n"), normalised), lambda x: x != ""), hashed))
 
 
 def link_quotes(messages: DataFrame) -> DataFrame:
@@ -67,23 +77,27 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quoted = (
         keyed.where(F.col("raw").contains(">")).where(has_quote)
         .select("conv_id", "turn", F.explode("parts").alias("p")).where("p.level > 0")
-        .select("conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.words")).alias("words"))
-        .where(F.length("words") >= LEAST_CHARS)
-        .select("conv_id", "turn", "level", F.md5(F.col("words").cast("binary")).alias("hash")).distinct()
+        .select("conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.words")).alias("words"), line_hashes(F.col("p.words")).alias("lines"))
+        .where(F.col("words") != "")
+        .select("conv_id", "turn", "level", hashed(F.col("words")).alias("hash"), "lines", hashed(F.array_join("lines", " ")).alias("of_lines")).distinct()
     )
     quoted = store(quoted, shared_dir(spark, "quotes"))
-    # Own words as a whole, and each of their lines: a quote may take one line of a message.
+    # Own words as a whole, their passages, paragraphs and lines: a quote may take any of them.
     own = F.filter("parts", lambda p: p["level"] == 0)
     own_text = F.array_join(F.transform(own, lambda p: p["words"]), "\n")
-    units = F.array_distinct(F.transform(F.concat(F.transform(own, lambda p: p["words"]), F.split(own_text, "\n")), normalised))
-    needed = quoted.select("conv_id").distinct()
+    pieces = F.concat(F.transform(own, lambda p: p["words"]), F.array(own_text), F.split(own_text, r"\n\s*\n"), F.split(own_text, "\n"))
+    units = F.array_distinct(F.transform(pieces, normalised))
+    asked = keyed.join(quoted.select("conv_id").distinct(), "conv_id", "left_semi")
     originals = (
-        keyed.join(needed, "conv_id", "left_semi").select("conv_id", "turn", F.explode(units).alias("words"))
-        .where(F.length("words") >= LEAST_CHARS)
-        .groupBy("conv_id", F.md5(F.col("words").cast("binary")).alias("hash")).agg(F.min("turn").alias("of"))
+        asked.select("conv_id", "turn", F.explode(units).alias("words")).where(F.col("words") != "")
+        .groupBy("conv_id", hashed(F.col("words")).alias("hash")).agg(F.min("turn").alias("whole"))
     )
     originals = store(originals, shared_dir(spark, "originals"))
-    links = quoted.join(originals, ["conv_id", "hash"]).where("of < turn")
+    held = asked.join(quoted.where(F.size("lines") > 1).select("conv_id").distinct(), "conv_id", "left_semi")
+    held = store(held.select("conv_id", "turn", line_hashes(own_text).alias("held")), shared_dir(spark, "lines"))
+    by_lines = store(lines_found(quoted, held), shared_dir(spark, "by-lines"))
+    links = quoted.join(originals, ["conv_id", "hash"], "left").join(by_lines, ["conv_id", "of_lines"], "left")
+    links = links.withColumn("of", F.least("whole", "together")).where("of < turn").groupBy("conv_id", "turn", "level", "hash").agg(F.min("of").alias("of"))
     replies = links.groupBy("conv_id", "turn").agg(
         F.max(F.struct((-F.col("level")).alias("level"), "of"))["of"].alias("reply_to"), F.count("*").alias("n_linked")
     )
@@ -98,6 +112,20 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     )
 
 
+def lines_found(quoted: DataFrame, held: DataFrame) -> DataFrame:
+    """conv_id, of_lines, together: the earliest message that holds all lines of a passage of several."""
+    lines = held.select("conv_id", "turn", F.explode("held").alias("line")).distinct()
+    counts = lines.groupBy("conv_id", "line").agg(F.count("*").alias("n"))
+    several = quoted.where(F.size("lines") > 1).select("conv_id", "of_lines", "lines").distinct()
+    rarest = (
+        several.select("conv_id", "of_lines", "lines", F.explode("lines").alias("line")).join(counts, ["conv_id", "line"])
+        .groupBy("conv_id", "of_lines").agg(F.min(F.struct("n", "line"))["line"].alias("line"), F.count("*").alias("found"), F.first("lines").alias("lines"))
+        .where(F.col("found") == F.size("lines"))
+    )
+    both = rarest.join(lines, ["conv_id", "line"]).join(held, ["conv_id", "turn"])
+    return both.where(F.size(F.array_except("lines", "held")) == 0).groupBy("conv_id", "of_lines").agg(F.min("turn").alias("together"))
+
+
 def thread_roots(replies: DataFrame) -> DataFrame:
     """Each reply's first message and its distance, by pointer doubling: the number of rounds is the logarithm of the
     longest chain.  Only linked messages take part; every round is written to the shared folder."""

@@ -199,6 +199,20 @@ def test_op8(spark):
     assert by[2, 0].reply_to is None and by[3, None].text == "" and by[None, 1].reply_to is None
 
 
+def test_op8_parts(spark):
+    """Quotes of some lines, of a paragraph, of own words around a quote, and of few words."""
+    rows = [
+        (1, 0, "Line one of it.\nLine two of it.\nLine three of it."), (1, 1, "> Line one of it.\n> Line two of it.\nWhy not?"), (1, 2, "> Why not?\nok"),
+        (1, 3, "First half here.\n> Line three of it.\nSecond half here."), (1, 4, "> First half here.\n> Second half here.\nyes"),
+        (1, 5, "A paragraph of\ntwo lines.\n\nAnother one."), (1, 6, "> A paragraph\n> of two lines.\nfine"), (1, 7, "> Line two of it.\n> Another one.\nnot of one message"),
+        (2, 0, "\u597d\u7684\u3002\n\u518d\u89c1"), (2, 1, "> \u597d\u7684\u3002\n\u662f"), (2, 2, "?!"), (2, 3, "> ?!\nWhat?"), (2, 4, ">\nblank"), (2, 5, ">>> \u662f\n> What?\nso"),
+    ]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("user"))).collect()
+    by = {(r.conv_id, r.turn): r.reply_to for r in got}
+    assert len(got) == len(rows) and [by[1, k] for k in range(8)] == [None, 0, 1, 0, 3, None, 5, None]
+    assert [by[2, k] for k in range(6)] == [None, 0, None, 2, None, 3]
+
+
 def test_op8_native():
     import inspect
 
