@@ -1,8 +1,10 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 A page becomes a flat list of text blocks, cut at block-level tags.  A block's features are its word count and link
-density, those of the blocks before and after it, and whether its open elements are page furniture by name, by a
-word of their class or id, or the article.  A decision tree (binary splits by Gini impurity) is trained on the
+density, those of the blocks before and after it, and whether its open elements are page furniture by name, by their
+class, id or role (a hint), or the article.  A class is a hint as a whole: all its parts must be hints or say nothing
+(comment-list, not article-header or has-sidebar).  The page, the article and headings give no hints, and sections
+none by their id.  A decision tree (binary splits by Gini impurity) is trained on the
 labelled table below (SHAPES by MARKS) at the start of a job and sent to the tasks with the code.
 
 Nulls: a null html is empty and gives an empty text; null page_id and url come back null.  Malformed markup never
@@ -36,61 +38,84 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("script style noscript template title textarea svg math object iframe head".split())
 FURNITURE = frozenset("nav footer aside form button select dialog menu label fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNHINTED = HEADINGS | {"html", "body", "article", "main"}
 #: Words of a class, id or role that mark what is no article.
 HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal "
     "newsletter subscribe signup login comment comments reply replies discussion disqus sidebar widget related recommended share sharing social breadcrumb breadcrumbs "
     "menu nav navigation navbar footer masthead topbar header pagination pager skip toolbar contentinfo complementary search form".split()
 )
+#: Parts of a class that say nothing on their own.
+NEUTRAL = frozenset("site page global top bottom left right inner outer wrap wrapper container box block area bar list item items links link group row col column primary secondary".split())
 ARTICLES = frozenset("article content post entry story main".split())
 
 #: The labelled table's shapes of blocks: words and link density of the block, of the one before and of the one after,
-#: heading, and the label where no open element says more: 1 for main text.
+#: heading, and four labels, 1 for main text: where no open element says more, inside an article, under a hint, and
+#: under a hint inside an article.
 SHAPES = """
-  1 0.0    0 0.0    0 0.0  0  0
-  1 0.0    1 1.0   60 0.0  0  0
-  1 1.0    1 1.0    1 1.0  0  0
-  1 0.0   60 0.0   70 0.0  0  0
-  2 0.0   45 0.0    0 0.0  0  0
-  3 1.0    6 1.0   12 0.0  0  0
-  4 1.0   40 0.0   50 0.0  0  0
-  5 0.0    3 1.0    4 1.0  0  0
-  6 0.4   60 0.0    2 1.0  0  0
-  8 0.0   12 0.0   60 0.0  0  0
-  9 0.0   60 0.0    0 0.0  0  0
- 12 0.9    3 1.0    9 1.0  0  0
- 11 0.0    2 1.0   80 0.0  0  0
- 25 0.8   10 0.9    5 1.0  0  0
- 30 0.7   60 0.0   50 0.0  0  0
-  5 0.0    2 1.0   80 0.0  1  1
- 10 0.0   12 0.0   60 0.0  1  1
- 14 0.0    4 1.0   15 0.0  1  1
-  2 0.0    3 1.0    1 1.0  1  0
-  6 1.0    2 1.0    4 1.0  1  0
- 20 0.0    8 0.0    0 0.0  0  1
- 24 0.1    1 1.0   30 0.0  0  1
- 35 0.1   60 0.1   40 0.0  0  1
- 60 0.0   70 0.0   60 0.0  0  1
- 70 0.0    6 0.0    3 1.0  0  1
-150 0.2    0 0.0    0 0.0  0  1
-250 0.0    9 0.0    9 0.0  0  1
+  1 0.0    0 0.0    0 0.0  0  0 1 0 0
+  1 0.0    1 1.0   60 0.0  0  0 1 0 0
+  1 1.0    1 1.0    1 1.0  0  0 0 0 0
+  2 0.0   45 0.0    0 0.0  0  0 1 0 0
+  3 1.0    6 1.0   12 0.0  0  0 0 0 0
+  4 1.0   40 0.0   50 0.0  0  0 1 0 0
+  5 0.0    3 1.0    4 1.0  0  0 1 0 0
+  6 0.4   60 0.0    2 1.0  0  0 1 0 0
+  8 0.0   12 0.0   60 0.0  0  0 1 0 0
+  9 0.0   60 0.0    0 0.0  0  0 1 0 0
+ 12 0.9    3 1.0    9 1.0  0  0 0 0 0
+ 11 0.0    2 1.0   80 0.0  0  0 1 0 0
+ 25 0.8   10 0.9    5 1.0  0  0 0 0 0
+ 30 0.7   60 0.0   50 0.0  0  0 1 0 0
+  5 0.0    2 1.0   80 0.0  1  1 1 0 1
+ 10 0.0   12 0.0   60 0.0  1  1 1 0 1
+ 14 0.0    4 1.0   15 0.0  1  1 1 0 1
+  2 0.0    3 1.0    1 1.0  1  0 1 0 1
+  6 1.0    2 1.0    4 1.0  1  0 1 0 1
+ 20 0.0    8 0.0    0 0.0  0  1 1 0 1
+ 24 0.1    1 1.0   30 0.0  0  1 1 0 1
+ 35 0.1   60 0.1   40 0.0  0  1 1 0 1
+ 60 0.0   70 0.0   60 0.0  0  1 1 1 1
+ 70 0.0    6 0.0    3 1.0  0  1 1 1 1
+150 0.2    0 0.0    0 0.0  0  1 1 1 1
+250 0.0    9 0.0    9 0.0  0  1 1 1 1
+  1 0.0   60 0.0   70 0.0  0  1 1 0 0
+  4 0.0   40 0.0   50 0.0  0  1 1 0 0
+  8 0.0   60 0.0   60 0.0  0  1 1 0 0
+ 10 0.0   25 0.0   30 0.1  0  1 1 0 0
+  6 0.2   30 0.1   45 0.0  0  1 1 0 0
+  2 1.0    2 1.0    2 1.0  0  0 0 0 0
+  5 1.0    6 1.0    5 0.9  0  0 0 0 0
+  3 1.0   40 0.0    3 1.0  0  0 0 0 0
+  4 1.0    3 1.0   60 0.0  0  0 0 0 0
+ 30 0.9   28 0.9   30 0.9  0  0 0 0 0
+ 14 0.0   60 0.0   60 0.0  0  1 1 0 0
+ 90 0.0   90 0.0   90 0.0  0  1 1 1 1
 """
-#: What the open elements say, (furniture, hint, article), and the label: -1 takes the shape's.
+#: What the open elements say, (furniture, hint, article), and which of the shape's labels holds: -1 for none, not main text.
 MARKS = """
-0 0 0  -1
+0 0 0   0
 0 0 1   1
-0 1 0   0
-0 1 1   0
-1 0 0   0
-1 0 1   0
-1 1 0   0
+0 1 0   2
+0 1 1   3
+1 0 0  -1
+1 0 1  -1
+1 1 0  -1
+1 1 1  -1
 """
 
 _TAG = re.compile(r"""<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z))""", re.DOTALL)
-_CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
+_CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 
 
+@lru_cache(maxsize=50_000)
+def is_hint(name: str) -> bool:
+    """Whether a whole class, id or role, in lower case, marks what is no article."""
+    parts = set(_PARTS.findall(name))
+    return not HINTS.isdisjoint(parts) and parts <= HINTS | NEUTRAL
+
+
 def block_features(page: str) -> tuple[list[str], np.ndarray]:
     """The texts of the non-empty blocks and a matrix of FEATURES."""
     texts: list[str] = []
@@ -158,12 +183,15 @@ def block_features(page: str) -> tuple[list[str], np.ndarray]:
                 if name in ("p", "li", "option") and stack and stack[-1][0] == name:
                     pop(len(stack) - 1)
                 inside = depth[2] > 0
-                names = set()
+                names, hint = set(), False
                 if m[4]:
-                    for value in _CLASS.findall(m[4]):
-                        names.update(_PARTS.findall(value.lower()))
+                    for kind, value in _CLASS.findall(m[4]):
+                        value = value.lower().strip("\"'")
+                        names.update(_PARTS.findall(value))
+                        if not (name == "section" and kind.lower() == "id"):
+                            hint = hint or any(map(is_hint, value.split()))
                 item = (
-                    name, int(name in FURNITURE or (name == "header" and not inside) or name == "head"), int(not HINTS.isdisjoint(names)),
+                    name, int(name in FURNITURE or (name == "header" and not inside) or name == "head"), int(hint and name not in UNHINTED),
                     int(name in ("article", "main") or (not ARTICLES.isdisjoint(names) and name not in ("body", "html"))), int(name in HEADINGS),
                 )
                 stack.append(item)
@@ -184,7 +212,7 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
     shapes = [[float(v) for v in line.split()] for line in SHAPES.strip().splitlines()]
     marks = [[int(v) for v in line.split()] for line in MARKS.strip().splitlines()]
     x = [[*s[:6], *m[:3], s[6]] for m in marks for s in shapes]
-    y = [int(s[7]) if m[3] < 0 else m[3] for m in marks for s in shapes]
+    y = [int(s[7 + m[3]]) if m[3] >= 0 else 0 for m in marks for s in shapes]
     return np.array(x, float), np.array(y)
 
 
@@ -193,7 +221,7 @@ def gini(y: np.ndarray) -> float:
     return 2 * p * (1 - p)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12):
     """A tree: a class, or (feature, threshold, tree at or below it, tree above)."""
     if depth == 0 or len(set(y.tolist())) < 2:
         return int(round(float(y.mean())))

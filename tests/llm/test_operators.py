@@ -328,6 +328,23 @@ def test_op10(spark):
     assert by[2].text == "" and by[3].text == "cut" and by[None].text == "" and by[4].text.count("word") == 20000
 
 
+def test_op10_hints():
+    tree = html.default_tree()
+    x, y = html.labelled_table()
+    assert (html.classify(tree, x) == y).all()
+    long = " ".join(f"w{i}" for i in range(70))
+    text = lambda body, attrs="": html.main_text(f"<html><body{attrs}>{body}</body></html>", tree)[0]
+    assert text(f"<p>{long}</p>", ' class="has-sidebar"') == text(f"<p>{long}</p>", ' class="search"') == long
+    assert text('<article class="post with-sidebar"><p>Few words.</p></article>') == "Few words."
+    article = '<h2 id="search-algorithms">Search</h2><section id="related-work"><p>Earlier work.</p></section><section id="related"><p>More.</p></section>'
+    assert text(f'<article><div class="article-header"><h1>Title here</h1></div>{article}</article>') == "Title here Search Earlier work. More."
+    assert text(f'<article><div class="notice"><p>{long}</p></div></article>') == long
+    assert text(f"<p>{long}</p><p>Why so?</p><p>{long}</p>") == f"{long} Why so? {long}"
+    links = "".join(f'<li><a href="/{i}">Other page</a></li>' for i in range(5))
+    assert text(f"<article><p>{long}</p><ul>{links}</ul></article>") == long
+    assert text(f'<p>{long}</p><div class="site-sidebar"><p>Buy it now</p></div><div class="comment-list"><p>First!</p></div>') == long
+
+
 def test_queries(spark, sf_dir):
     """The whole small tables, with the rows that the contracts name."""
     from inkflow.llm import queries
