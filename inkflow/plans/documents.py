@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -142,11 +144,24 @@ def cost_rollup(spark, sf_dir):
     return calls.groupBy(F.coalesce("model", F.lit("other")).alias("model")).agg(F.count("*").alias("n_calls"), F.sum("n").alias("tokens"), F.round(F.sum(cost), 6).alias("cost"))
 
 
+def words_before(rows, group, size=10_000):
+    """rows (group, doc_id, n) with `before`, the sum of n over the rows of the group before it: sums per range of doc_id,
+    their running totals, and a window inside each range, so that no group is one task."""
+    key = [*group, "_range"]
+    rows = rows.withColumn("_range", F.floor(F.col("doc_id") / size))
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*key).agg(F.sum("n").alias("_sum")).select(*(F.col(c).alias(f"_of_{c}") for c in key), F.sum("_sum").over(earlier).alias("_base"))
+    inside = Window.partitionBy(*key).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_inside", F.sum("n").over(inside))
+    joined = rows.join(ranges, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]))
+    return joined.withColumn("before", F.coalesce("_base", F.lit(0)) + F.coalesce("_inside", F.lit(0))).drop("_base", "_inside", "_range", *(f"_of_{c}" for c in key))
+
+
 def draft_cap_gate(spark, sf_dir):
-    """Per language, documents in order are admitted while the words before them stay under the cap."""
-    w = Window.partitionBy("lang", "shard").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Per language and hundred of doc_id, as the query's SQL has it, documents in order are admitted while the words before
+    them stay under the cap; words_before does the same for a whole language."""
     d = docs(spark, sf_dir).select("doc_id", "lang", (F.floor(F.col("doc_id") / 100)).alias("shard"), T.word_count(F.col("text")).alias("n"))
-    return d.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0))).select("doc_id", "before", (F.col("before") < 5000).alias("admitted"))
+    return words_before(d, ["lang", "shard"]).select("doc_id", "before", (F.col("before") < 5000).alias("admitted"))
 
 
 def rule_engine_docs(spark, sf_dir):
