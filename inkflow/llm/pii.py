@@ -242,8 +242,8 @@ def marginals(g: Graph, model: Model, rounds: int = ROUNDS) -> np.ndarray:
 
 def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
     others = other_nodes(text, base)
-    if not others or not base:
-        return []  # without a base node, no label has evidence
+    if not others:
+        return []
     g = Graph(text, base, others)
     p = marginals(g, model)
     best = p.argmax(1)
@@ -301,7 +301,7 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
             rows = []
             for text in pdf["text"]:
                 base = base_spans(text)
-                more = added_spans(text, base, model) if base else []
+                more = added_spans(text, base, model)
                 counts = [sum(k == kind for k, *_ in base) for kind in range(4)]
                 rows.append([*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)])
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in FOUND.split(", ")][1:], index=pdf.index)
@@ -321,7 +321,7 @@ def redacted(docs: DataFrame, model: Model | None = None) -> Column:
             if t is None:
                 return None
             base = base_spans(t)
-            return redact(t, base + added_spans(t, base, model)) if base else t
+            return redact(t, base + added_spans(t, base, model))
 
         return pd.Series([one(t) for t in texts], dtype=object)
 

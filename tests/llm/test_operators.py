@@ -156,6 +156,17 @@ def test_op6(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_op6_without_base(spark):
+    """The field runs on a text without base spans: its forms alone can be certain."""
+    weight = [9.0 if k and pii.KINDS[k - 1] == "phone" else 0.0 for k in range(len(pii.KINDS) + 1)]
+    model = pii.Model({"digits11": weight})
+    docs = spark.createDataFrame([(1, "ring 49301234567 today. Again: 49301234567 please."), (2, "nothing here, 12345 apart"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_pii(docs, model).collect()}
+    assert got[1].n_phone == 0 and got[1].n_added == 2 and got[2].n_added == got[3].n_added == 0
+    clean = {r.doc_id: r.t for r in docs.select("doc_id", pii.redacted(docs, model).alias("t")).collect()}
+    assert clean[1] == "ring <PHONE> today. Again: <PHONE> please." and clean[2].endswith("12345 apart") and clean[3] is None
+
+
 @pytest.mark.parametrize("block", [200_000, 3])
 def test_op7(spark, block):
     rng = random.Random(4)
