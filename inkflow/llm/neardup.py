@@ -1,28 +1,32 @@
 """Near-duplicates by order MinHash and banded alignment.
 
-A text's k-mers are its shingles of five words, each labelled with its occurrence number.  A sketch takes the ELL
-labelled k-mers of least hash and keeps them in text order, so two texts share it with a probability that falls
-with their edit distance, moves included.  SKETCHES sketches are drawn.
-
-1. Equal texts are one node: the digest's group, aggregated before the shuffle.
-2. Every node gives a row per sketch, sorted by (sketch number, its value, the next two sketches).  Neighbours of
-   equal value, and each row with the first of its run, are candidates.  Rows are range-partitioned by the whole key, so a value
-   that a third of the corpus shares is spread over many tasks, and candidates are at most two a row, however
-   large a run is.  The ends of neighbouring partitions are joined afterwards.
-3. Candidates are verified by banded alignment: the word edit distance is at most (1 - similarity) of the longer text.
-4. Links become classes by alternating star contraction; each round is written to the shared folder.
-5. What steps 2 and 3 miss is found exactly.  An edit of a word changes one word and two pairs of neighbouring words,
-   so linked texts share at least (longer length - edits) words and (longer length - 1 - 2 edits) pairs, and in one
-   fixed order of all words or pairs the first few of one text hold one of the first few of the other (prefix
-   filter).  The order puts frequent ones last.  Texts of different classes that share such a pair and such a word
-   are verified, and the classes are made again with their links.  Values with one class give no candidates; those
-   of many texts are split into blocks, and every two blocks are a group of their own.
-
-So the classes are those of all links; n_links counts the links verified on the way, as texts already in one class
-are not compared again.  Texts of fewer than five words have one k-mer, the whole text.
+A link: the word edit distance of two texts is at most (1 - similarity) of the longer one's words.  A text's k-mers are
+its shingles of five words, each labelled with its occurrence number.  A sketch takes the ELL labelled k-mers of least
+hash and keeps them in text order, so two texts share it with a probability that falls with their edit distance, moves
+included.  SKETCHES sketches are drawn; texts that share one make up its run.
+
+1. Equal texts are one node, named by a digest.
+2. Sketches are range-sorted by (value, node), so that a value that a third of the corpus shares is spread over many
+   tasks.  Each node of a run is compared with the node before it and with the run's first: two candidates a row.
+3. Candidates are verified by banded alignment, and links become classes by alternating star contraction; each round is
+   written to the shared folder.
+4. What the second step left out is found exactly.  Runs of one class need no more.  In a run of several classes every
+   two nodes of different classes are candidates, while it has at most RUN nodes.  The nodes of longer runs, and all
+   texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes one word and two
+   pairs of neighbouring words, so linked texts share at least (longer length - edits) words and (longer length - 1 -
+   2 edits) pairs, and in one fixed order of all words or pairs the first few of one text hold one of the first few of
+   the other.  The order puts frequent ones last.  Values of one class give no candidates; those of many nodes are split
+   into blocks, and every two blocks are a group of their own.
+5. These candidates are verified as well, and the classes are made again with their links.
+
+So a link between classes is lost only if its texts are longer than SHORT words and share none of the sketches; the
+README gives the measured recall.  n_links counts the links verified on the way, as texts already in one class are not
+compared again.  Texts of fewer than five words have one k-mer, the whole text.
 
 Nulls: a null text is empty; all empty texts are equal.  A null doc_id joins its text's class; a class of null ids
-only has the class null.  Repeated rows stay, in one class.  An empty table gives no rows.
+only has the class null.  Repeated rows stay, in one class.  Very long texts are sketched in strips of k-mers, and their
+alignment holds a band only.  Other columns, of whatever name, pass through keep_one and are ignored elsewhere.  An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,17 +37,19 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkflow.llm.common import shared_dir, store, text_or_empty
 
-SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 12, 2, 0.8
-KEPT_WORDS = 400_000
-#: Texts whose words and pairs are counted for the order of step 5, slots of the counts, and texts in a block.
+SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 96, 2, 0.8
+KEPT_WORDS, KEPT_NODES = 400_000, 200_000
+#: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
+RUN, SHORT = 40, 100
+#: Texts whose words and pairs are counted for the filter's order, slots of the counts, and nodes in a block.
 COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) for i in range(64)], np.uint64)
+_SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) | 1 for i in range(256)], np.uint64)
 _kept: dict[str, int] = {}
 
 
@@ -90,25 +96,39 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return h + occurrence * _GOLD
 
 
+def least_places(x: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
+    """The places of the ell least values of x under each seed's order, one row a seed; at most a million values at once."""
+    if len(x) <= ell:
+        return np.broadcast_to(np.arange(len(x)), (len(seeds), len(x)))
+    best: np.ndarray | None = None
+    for a in range(0, len(x), 1 << 14):
+        v = x[None, a : a + (1 << 14)] * seeds[:, None]
+        rows, found = np.arange(len(seeds)), []
+        for _ in range(min(ell, v.shape[1])):
+            at = v.argmin(1)
+            found.append(at + a)
+            v[rows, at] = ~np.uint64(0)
+        found = np.stack(found, 1)
+        if best is not None:
+            found = np.concatenate([best, found], 1)
+            keep = np.argsort(x[found] * seeds[:, None], axis=1, kind="stable")[:, :ell]
+            found = np.take_along_axis(found, keep, 1)
+        best = found
+    return best
+
+
 def sketches(text: str, m: int = SKETCHES, ell: int = ELL, k: int = SHINGLE) -> np.ndarray:
     """m order MinHash values; none for a text without words."""
     words = text.split()
     if not words:
         return np.empty(0, np.int64)
     h = shingle_hashes(words, k)
-    x = labelled(h)
-    out = np.empty(m, np.uint64)
-    step = max(1, (1 << 20) // len(x))
-    for a in range(0, m, step):
-        seeds = _SEEDS[a : min(a + step, m)]
-        v = mix(x[None, :] ^ seeds[:, None])
-        at = np.argpartition(v, ell - 1, axis=1)[:, :ell] if len(x) > ell else np.broadcast_to(np.arange(len(x)), (len(seeds), len(x)))
-        at = np.sort(at, axis=1)  # text order
-        value = seeds.copy()
-        for j in range(at.shape[1]):
-            value = mix(value * _GOLD + h[at[:, j]])
-        out[a : a + len(seeds)] = value
-    return out.view(np.int64)
+    seeds = _SEEDS[:m]
+    at = np.sort(least_places(mix(labelled(h)), seeds, ell), axis=1)  # text order
+    value = seeds.copy()
+    for j in range(at.shape[1]):
+        value = mix(value * _GOLD + h[at[:, j]])
+    return value.view(np.int64)
 
 
 def edit_distance(a: list, b: list, most: int) -> int:
@@ -170,73 +190,109 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most
 
 
-def sketch_table(docs: DataFrame) -> DataFrame:
-    """doc_id, key (digest of the text), sketches."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "sketches": [sketches(t) for t in pdf["text"]]})
-
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, key (digest of the text), id (a long of it), text."""
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
-    return rows.mapInPandas(run, "doc_id long, key binary, sketches array<long>")
+    return rows.select("doc_id", "key", node("key"), "text")
 
 
-def neighbours(nodes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), a < b, from nodes (key, sketches)."""
-    spark = nodes.sparkSession
+def node(key: str) -> Column:
+    """Nodes travel as longs; two digests of one long only give more candidates."""
+    return F.xxhash64(key).alias("id")
+
+
+def sketch_rows(texts: DataFrame) -> DataFrame:
+    """(s, id) for every sketch of every text; a task sketches equal texts once, so their copies add few rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            ids, values = [], []
+            for i, t in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+                if i not in seen:
+                    if len(seen) < KEPT_NODES:
+                        seen.add(i)
+                    ids.append(i)
+                    values.append(sketches(t))
+            sizes = [len(v) for v in values]
+            yield pd.DataFrame({"s": np.concatenate(values or [np.empty(0, np.int64)]), "id": np.repeat(np.array(ids, np.int64), sizes)})
+
+    return texts.select("id", "text").mapInPandas(run, "s long, id long")
+
+
+def runs(rows: DataFrame) -> DataFrame:
+    """From (s, id): kind 0, the candidates (a, b) of each run, its first node or the one before, and b; kind 1, (s, a) of
+    every row whose run has other nodes or may go on in a neighbouring partition."""
+    spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    s = F.col("sketches")
-    at = lambda k: F.element_at(s, ((F.col("i") + k) % F.size(s)) + 1)
-    rows = (
-        nodes.where(F.size(s) > 0).select("key", "sketches", F.explode(F.sequence(F.lit(0), F.size(s) - 1)).alias("i"))
-        .select("i", at(0).alias("s"), at(1).alias("t"), at(2).alias("u"), "key")
-    )
-    order = ["i", "s", "t", "u", "key"]
-    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    sorted_rows = rows.repartitionByRange(n, "s", "id").sortWithinPartitions("s", "id")
+    names = ["kind", "part", "s", "a", "b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, last, head, any_row = TaskContext.get().partitionId(), None, None, False
+        alone = False  # the last row is the only one of its run so far, and not written
         for pdf in batches:
-            i, v, keys = pdf["i"].to_numpy(), pdf["s"].to_numpy(), pdf["key"].tolist()
-            out = []
-            for k in range(len(keys)):
-                now = (int(i[k]), int(v[k]), keys[k])
-                if last is None or last[0] != now[0] or last[1] != now[1]:
-                    if not any_row:
-                        out.append((1, part, *now[:2], now[2], None))
-                        any_row = True
-                    head = now[2]
-                else:
-                    out.append((0, part, *now[:2], last[2], now[2]))
-                    if head != last[2]:
-                        out.append((0, part, *now[:2], head, now[2]))
-                last = now
-            yield pd.DataFrame(out, columns=["kind", "part", "i", "s", "a", "b"])
+            if not len(pdf):
+                continue
+            s, ids = pdf["s"].to_numpy(), pdf["id"].to_numpy()
+            if last is not None:
+                s, ids = np.concatenate([[last[0]], s]), np.concatenate([[last[1]], ids])
+            new = np.concatenate([[True], s[1:] != s[:-1]])
+            again = np.concatenate([[False], ~new[1:] & (ids[1:] == ids[:-1])])  # one node twice
+            first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
+            heads = ids[first]
+            if last is not None:
+                heads[first == 0] = head
+            shared = np.concatenate([~new[1:], [False]]) | ~new  # a row before or after it in this batch
+            begin = 0 if last is None or alone else 1
+            live = np.flatnonzero(shared & ~again)
+            live = live[live >= begin]
+            pairs = np.flatnonzero(~new & ~again)
+            far = pairs[(heads[pairs] != ids[pairs - 1]) & (heads[pairs] != ids[pairs])]
+            a, b = np.concatenate([ids[pairs - 1], heads[far]]), np.concatenate([ids[pairs], ids[far]])
+            out = [pd.DataFrame({"kind": 0, "part": part, "s": 0, "a": np.minimum(a, b), "b": np.maximum(a, b)})]
+            out.append(pd.DataFrame({"kind": 1, "part": part, "s": s[live], "a": ids[live], "b": 0}))
+            if not any_row:
+                out.append(pd.DataFrame([(2, part, int(s[0]), int(ids[0]), 0)], columns=names))
+                any_row = True
+            alone = not shared[-1]
+            last, head = (int(s[-1]), int(ids[-1])), int(heads[-1])
+            yield pd.concat(out, ignore_index=True)
         if last is not None:
-            yield pd.DataFrame([(2, part, last[0], last[1], last[2], None)], columns=["kind", "part", "i", "s", "a", "b"])
+            yield pd.DataFrame([(3, part, last[0], last[1], 0)], columns=names)
 
-    found = store(rows.mapInPandas(run, "kind int, part int, i int, s long, a binary, b binary"), shared_dir(spark, "neighbours"))
-    # Two rows a partition: the last of one and the first of the next that has rows.
-    ends = found.where("kind > 0")
+    return sorted_rows.mapInPandas(run, "kind int, part int, s long, a long, b long")
+
+
+def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (s, id): candidate pairs (a, b), and (s, id) of the runs of several nodes."""
+    found = store(runs(rows), shared_dir(rows.sparkSession, "runs"))
+    # Two rows a partition: the first, and the last of the one before that has rows.
     w = Window.orderBy("part", "kind")
-    ends = ends.select("kind", "i", "s", "a", F.lag("i").over(w).alias("i2"), F.lag("s").over(w).alias("s2"), F.lag("a").over(w).alias("a2"))
-    across = ends.where("kind = 1 and i = i2 and s = s2").select(F.col("a2").alias("a"), F.col("a").alias("b"))
-    pairs = found.where("kind = 0").select("a", "b").unionByName(across).where("a <> b")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = found.where("kind > 1").select("kind", "s", "a", F.lag("s").over(w).alias("s2"), F.lag("a").over(w).alias("a2"))
+    across = ends.where("kind = 2 and s = s2")
+    pairs = found.where("kind = 0").select("a", "b").unionByName(across.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))).where("a <> b")
+    cut = across.select("s", F.col("a").alias("id")).unionByName(across.select("s", F.col("a2").alias("id")))
+    live = found.where("kind = 1").select("s", F.col("a").alias("id")).unionByName(cut)
+    return pairs.distinct(), live
 
 
 def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The pairs whose texts are similar.  Texts are shuffled once by digest, one copy of each, and used for both ends."""
-    texts = texts_by_key(docs)
+    """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Only texts that occur
+    in a pair are shuffled, once, one copy of each, and used for both ends."""
+    spark = docs.sparkSession
+    pairs = store(pairs, shared_dir(spark, "candidates"))
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = keyed(docs).join(needed, "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(a, b, least) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    one = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("x")), "a")
-    both = one.join(texts.select(F.col("key").alias("b"), F.col("text").alias("y")), "b")
-    return both.where(close("x", "y")).select("a", "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("key").alias("k"), F.col("text").alias("x")), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("key").alias("l"), F.col("text").alias("y")), "b")
+    return both.where(close("x", "y")).select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -270,9 +326,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
-def texts_by_key(docs: DataFrame) -> DataFrame:
-    text = text_or_empty()
-    return docs.select(F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text")).groupBy("key").agg(F.first("text").alias("text"))
+def left_out(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From the runs' rows (s, id) and (id, root) of what is linked: the pairs of nodes of different classes in runs of at
+    most RUN nodes, and the ids of longer runs of several classes."""
+    spark = live.sparkSession
+    rows = store(live.join(roots, "id", "left").select("s", "id", F.coalesce("root", "id").alias("root")), shared_dir(spark, "rooted"))
+    mixed = rows.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("s", "n")
+    mixed = store(rows.join(mixed, "s"), shared_dir(spark, "mixed"))
+    few = mixed.where(F.col("n") <= RUN)
+    other = few.select("s", F.col("id").alias("id2"), F.col("root").alias("root2"))
+    pairs = few.join(other, "s").where("id < id2 and root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    return pairs, mixed.where(F.col("n") > RUN).select("id").distinct()
 
 
 def prefix_length(n: int, q: int, least: float) -> int:
@@ -299,7 +363,7 @@ def common_counts(texts: DataFrame, n: int, q: int) -> np.ndarray:
             slot, many = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]) & np.uint64(SLOTS - 1), return_counts=True)
             yield pd.DataFrame({"slot": slot.astype(np.int32), "many": many})
 
-    share = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, COUNTED / max(1, n)))
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, COUNTED / max(1, n)))
     rows = texts.where(share).mapInPandas(run, "slot int, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1")
     out = np.zeros(SLOTS, np.uint8)
     got = rows.toArrow()
@@ -307,11 +371,12 @@ def common_counts(texts: DataFrame, n: int, q: int) -> np.ndarray:
     return out
 
 
-def missed(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of texts of different classes that may be linked; none that is linked is left out."""
+def filtered(texts: DataFrame, least: float) -> DataFrame:
+    """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
+    left out."""
     spark = texts.sparkSession
     q = 2 if least >= 0.8 else 1  # fewer words in common leave no pair for sure
-    counts = spark.sparkContext.broadcast(common_counts(texts, texts.count(), q))
+    counts = spark.sparkContext.broadcast(common_counts(texts, texts.count(), q))  # SLOTS bytes
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -327,14 +392,10 @@ def missed(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
 
     def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            got = [prefix(t.split(), 1, least, counts.value).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"key": pdf["key"], "id": pdf["id"], "words": got})
-
-    # Short ids stand for the digests; two digests of one id only give more candidates.
-    short = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
-    named = texts.where("text rlike '\\\\S'").join(roots, "key", "left").select("key", "text", short(F.col("key")).alias("id"), short(F.coalesce("root", "key")).alias("root"))
-    rows = named.select("id", "root", "text").mapInPandas(grams, "gram long, id long, root long, n int, at int")
-    rows = store(rows, shared_dir(spark, "grams"))
+            yield pd.DataFrame({"id": pdf["id"], "words": [prefix(t.split(), 1, least, counts.value).view(np.int64) for t in pdf["text"]]})
+
+    texts = texts.where("text rlike '\\\\S'")
+    rows = store(texts.select("id", "root", "text").mapInPandas(grams, "gram long, id long, root long, n int, at int"), shared_dir(spark, "grams"))
     several = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many")).where("r1 <> r2")
     live = rows.join(several.select("gram", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "gram")
     live = live.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -350,39 +411,56 @@ def missed(texts: DataFrame, roots: DataFrame, least: float) -> DataFrame:
     enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - q * edits
     pairs = live.join(right, ["gram", "lo", "hi"]).where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= edits) & ((longer < q) | enough))
     pairs = store(pairs.select("id", "id2").distinct(), shared_dir(spark, "pairs"))
-    needed = pairs.select("id").unionByName(pairs.select(F.col("id2").alias("id"))).distinct()
-    words = store(named.select("key", "id", "text").join(needed, "id", "left_semi").mapInPandas(first_words, "key binary, id long, words array<long>"), shared_dir(spark, "words"))
-    both = pairs.join(words.select("id", F.col("key").alias("a"), F.col("words").alias("x")), "id")
-    both = both.join(words.select(F.col("id").alias("id2"), F.col("key").alias("b"), F.col("words").alias("y")), "id2")
-    return both.where(F.arrays_overlap("x", "y")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    needed = pairs.select(F.explode(F.array("id", "id2")).alias("id")).distinct()
+    words = store(texts.select("id", "text").join(needed, "id", "left_semi").mapInPandas(first_words, "id long, words array<long>"), shared_dir(spark, "words"))
+    both = pairs.join(words.select("id", F.col("words").alias("x")), "id").join(words.select(F.col("id").alias("id2"), F.col("words").alias("y")), "id2")
+    return both.where(F.arrays_overlap("x", "y")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (the least doc_id of its class), n_links (verified links of its text), keeps (it is that document;
-    of repeated rows of one doc_id, all)."""
+def by_id(roots: DataFrame) -> DataFrame:
+    """(id, root) in longs of (key, root) in digests."""
+    return roots.select(node("key"), F.xxhash64("root").alias("root")).distinct()
+
+
+def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """key, class_id (the least doc_id of its class), n_links of every different text."""
     spark = docs.sparkSession
-    rows = store(sketch_table(docs), shared_dir(spark, "sketches"))
-    nodes = store(rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("sketches").alias("sketches")), shared_dir(spark, "nodes"))
-    edges = store(verified(docs, neighbours(nodes.select("key", "sketches")), least), shared_dir(spark, "links"))
+    rows = store(sketch_rows(keyed(docs)), shared_dir(spark, "sketches"))
+    pairs, live = neighbours(rows)
+    edges = store(verified(docs, pairs, least), shared_dir(spark, "links"))
     roots = store(components(edges), shared_dir(spark, "roots"))
-    more = store(verified(docs, missed(store(texts_by_key(docs), shared_dir(spark, "texts")), roots, least), least), shared_dir(spark, "more"))
+    pairs, hot = left_out(live, by_id(roots))
+    text = keyed(docs)
+    # Runs of white space are no words, so a text of at most SHORT words has at most so many runs of anything else.
+    short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", SHORT + 2)) <= int(SHORT / least) + 1)
+    looked = short.unionByName(text.join(hot, "id", "left_semi")).groupBy("id", "key").agg(F.first("text").alias("text"))
+    looked = store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), shared_dir(spark, "looked-at"))
+    more = store(verified(docs, pairs.unionByName(filtered(looked, least)).distinct(), least), shared_dir(spark, "more"))
     if not more.isEmpty():
         edges = edges.unionByName(more)
         roots = store(components(edges), shared_dir(spark, "roots"))
-    ends = edges.select(F.col("a").alias("key")).unionByName(edges.select(F.col("b").alias("key")))
-    degree = ends.groupBy("key").agg(F.count("*").alias("n_links"))
-    linked = store(nodes.select("key", "least").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared_dir(spark, "linked"))
+    degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
+    nodes = text.groupBy("key").agg(F.min("doc_id").alias("least"))
+    linked = store(nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared_dir(spark, "linked"))
     # Written, so that Spark can split a large class in the join below.
-    classes = store(linked.groupBy("root").agg(F.min("least").alias("class_id")), shared_dir(spark, "least-of-class"))
-    named = linked.join(classes, "root").join(degree, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    named = store(named, shared_dir(spark, "classes"))
-    return rows.select("doc_id", "key").join(named, "key").select(
+    heads = store(linked.groupBy("root").agg(F.min("least").alias("class_id")), shared_dir(spark, "least-of-class"))
+    named = linked.join(heads, "root").join(degree, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return store(named, shared_dir(spark, "classes"))
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, n_links (verified links of its text), keeps (it is the document of class_id; of repeated rows of
+    one doc_id, all)."""
+    return keyed(docs).select("doc_id", "key").join(classes(docs, least), "key").select(
         "doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("keeps")
     )
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class: the one of the least doc_id.  Rows with a null doc_id stay if their class is null,
-    and repeated rows of a kept doc_id stay if their text is the same class."""
-    keep = near_duplicates(docs, least).where("keeps or class_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    and repeated rows of a kept doc_id stay if their text is of the same class."""
+    named = keyed(docs).select("doc_id", "key").join(classes(docs, least), "key")
+    keep = named.where("doc_id = class_id or class_id is null").select(F.col("doc_id").alias("i"), F.col("key").alias("k")).distinct()
+    own = F.unhex(F.md5(text_or_empty().cast("binary")))
+    inside = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), own.alias("key"))  # no name of docs can clash
+    return inside.join(keep, inside["id"].eqNullSafe(keep["i"]) & (inside["key"] == keep["k"]), "left_semi").select("row.*")
