@@ -431,8 +431,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     roots = store(components(edges), shared_dir(spark, "roots"))
     pairs, hot = left_out(live, by_id(roots))
     text = keyed(docs)
-    # Runs of white space are no words, so a text of at most SHORT words has at most so many runs of anything else.
-    short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", SHORT + 2)) <= int(SHORT / least) + 1)
+    most = int(SHORT / least) + 1  # words of the longest partner
+    short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
     looked = short.unionByName(text.join(hot, "id", "left_semi")).groupBy("id", "key").agg(F.first("text").alias("text"))
     looked = store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), shared_dir(spark, "looked-at"))
     more = store(verified(docs, pairs.unionByName(filtered(looked, least)).distinct(), least), shared_dir(spark, "more"))
