@@ -8,8 +8,9 @@ none by their id.  A decision tree (binary splits by Gini impurity) is trained o
 labelled table below (SHAPES by MARKS) at the start of a job and sent to the tasks with the code.
 
 Nulls: a null html is empty and gives an empty text; null page_id and url come back null.  Malformed markup never
-fails: an unclosed comment, script or tag runs to the end of the page, stray end tags are ignored.  Repeated rows stay;
-an empty table gives no rows.
+fails: an unclosed comment, script or tag runs to the end of the page, stray end tags are ignored,
+and a quote that is never closed ends with its tag.  Very long and deeply nested pages take time in proportion to their
+length.  Repeated rows stay; other columns, of whatever name, are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,23 +54,50 @@ ARTICLES = frozenset("article content post entry story main".split())
 #: heading, and four labels, 1 for main text: where no open element says more, inside an article, under a hint, and
 #: under a hint inside an article.
 SHAPES = """
-  1 0.0    0 0.0    0 0.0  0  0 1 0 0
+  1 0.0    0 0.0    0 0.0  0  1 1 0 0
+  3 0.0    0 0.0    0 0.0  0  1 1 0 0
+ 12 0.0    0 0.0    0 0.0  0  1 1 0 0
   1 0.0    1 1.0   60 0.0  0  0 1 0 0
+  1 0.0    2 1.0    1 1.0  0  0 1 0 0
+  3 0.0    5 1.0    0 0.0  0  0 1 0 0
+  2 0.0    0 0.0    2 1.0  0  0 1 0 0
+  5 0.0    3 1.0    4 1.0  0  0 1 0 0
+  9 0.0    2 1.0    2 1.0  0  0 1 0 0
+  2 0.0   45 0.0    0 0.0  0  1 1 0 0
+  3 0.0    0 0.0   50 0.0  0  1 1 0 0
+  4 0.0    3 0.0    5 0.0  0  1 1 0 0
+  6 0.0    0 0.0    4 0.0  0  1 1 0 0
+  6 0.4   60 0.0    2 1.0  0  0 1 0 0
+  8 0.0   12 0.0   60 0.0  0  1 1 0 0
+  9 0.0   60 0.0    0 0.0  0  1 1 0 0
+ 11 0.0    2 1.0   80 0.0  0  1 1 0 0
+ 14 0.0    3 1.0    0 0.0  0  1 1 0 0
+  7 0.0    9 0.0    3 1.0  0  1 1 0 0
   1 1.0    1 1.0    1 1.0  0  0 0 0 0
-  2 0.0   45 0.0    0 0.0  0  0 1 0 0
+  1 1.0    0 0.0    2 1.0  0  0 0 0 0
+  2 1.0    2 1.0    2 1.0  0  0 0 0 0
+  2 1.0    1 1.0    9 0.0  0  0 0 0 0
   3 1.0    6 1.0   12 0.0  0  0 0 0 0
+  3 1.0   40 0.0    3 1.0  0  0 0 0 0
+  4 1.0    3 1.0   60 0.0  0  0 0 0 0
   4 1.0   40 0.0   50 0.0  0  0 1 0 0
-  5 0.0    3 1.0    4 1.0  0  0 1 0 0
-  6 0.4   60 0.0    2 1.0  0  0 1 0 0
-  8 0.0   12 0.0   60 0.0  0  0 1 0 0
-  9 0.0   60 0.0    0 0.0  0  0 1 0 0
+  2 1.0    0 0.0    5 0.0  0  0 1 0 0
+  5 1.0    6 1.0    5 0.9  0  0 0 0 0
+  6 1.0    5 1.0    0 0.0  0  0 0 0 0
  12 0.9    3 1.0    9 1.0  0  0 0 0 0
- 11 0.0    2 1.0   80 0.0  0  0 1 0 0
  25 0.8   10 0.9    5 1.0  0  0 0 0 0
+ 30 0.9   28 0.9   30 0.9  0  0 0 0 0
  30 0.7   60 0.0   50 0.0  0  0 1 0 0
+  3 0.3    0 0.0    0 0.0  0  1 1 0 0
+  5 0.4    0 0.0   12 0.0  0  1 1 0 0
+  4 0.5    8 0.0    7 0.0  0  1 1 0 0
+  2 0.5   30 0.0    9 0.0  0  1 1 0 0
+ 12 0.6   20 0.0   14 0.0  0  1 1 0 0
+  3 0.7    2 1.0    2 1.0  0  0 0 0 0
   5 0.0    2 1.0   80 0.0  1  1 1 0 1
  10 0.0   12 0.0   60 0.0  1  1 1 0 1
  14 0.0    4 1.0   15 0.0  1  1 1 0 1
+  3 0.0    0 0.0   20 0.0  1  1 1 0 1
   2 0.0    3 1.0    1 1.0  1  0 1 0 1
   6 1.0    2 1.0    4 1.0  1  0 1 0 1
  20 0.0    8 0.0    0 0.0  0  1 1 0 1
@@ -79,32 +107,28 @@ SHAPES = """
  70 0.0    6 0.0    3 1.0  0  1 1 1 1
 150 0.2    0 0.0    0 0.0  0  1 1 1 1
 250 0.0    9 0.0    9 0.0  0  1 1 1 1
+ 90 0.0   90 0.0   90 0.0  0  1 1 1 1
   1 0.0   60 0.0   70 0.0  0  1 1 0 0
   4 0.0   40 0.0   50 0.0  0  1 1 0 0
   8 0.0   60 0.0   60 0.0  0  1 1 0 0
  10 0.0   25 0.0   30 0.1  0  1 1 0 0
   6 0.2   30 0.1   45 0.0  0  1 1 0 0
-  2 1.0    2 1.0    2 1.0  0  0 0 0 0
-  5 1.0    6 1.0    5 0.9  0  0 0 0 0
-  3 1.0   40 0.0    3 1.0  0  0 0 0 0
-  4 1.0    3 1.0   60 0.0  0  0 0 0 0
- 30 0.9   28 0.9   30 0.9  0  0 0 0 0
  14 0.0   60 0.0   60 0.0  0  1 1 0 0
- 90 0.0   90 0.0   90 0.0  0  1 1 1 1
 """
-#: What the open elements say, (furniture, hint, article), and which of the shape's labels holds: -1 for none, not main text.
+#: What the open elements say, (furniture, hint, article), which of the shape's labels holds (-1: none, not main text),
+#: and how often such blocks count.
 MARKS = """
-0 0 0   0
-0 0 1   1
-0 1 0   2
-0 1 1   3
-1 0 0  -1
-1 0 1  -1
-1 1 0  -1
-1 1 1  -1
+0 0 0   0  4
+0 0 1   1  4
+0 1 0   2  1
+0 1 1   3  1
+1 0 0  -1  1
+1 0 1  -1  1
+1 1 0  -1  1
+1 1 1  -1  1
 """
 
-_TAG = re.compile(r"""<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z))""", re.DOTALL)
+_TAG = re.compile(r"""<(?:!--(.*?)(?:--!?>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>])*+)(?:>|\Z)|[!?][^>]*+(?:>|\Z))""", re.DOTALL)
 _CLASS = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -123,8 +147,9 @@ def block_features(page: str) -> tuple[list[str], np.ndarray]:
     parts: list[str] = []
     linked = 0  # words in links
     stack: list[tuple[str, int, int, int, int]] = []  # name, furniture, hint, article, heading
+    where: dict[str, list[int]] = {}  # places in the stack by name, so that an end tag needs no search
     depth = [0, 0, 0, 0]
-    in_link = 0
+    in_link, link_depth = False, 0  # a link ends with the element it was opened in
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
@@ -148,10 +173,14 @@ def block_features(page: str) -> tuple[list[str], np.ndarray]:
         linked = 0
 
     def pop(k: int) -> None:
+        nonlocal in_link, link_depth
         for item in stack[k:]:
+            where[item[0]].pop()
             for j in range(4):
                 depth[j] -= item[j + 1]
         del stack[k:]
+        if link_depth > k:
+            in_link, link_depth = False, 0
 
     while at < end:
         m = _TAG.search(page, at)
@@ -164,41 +193,45 @@ def block_features(page: str) -> tuple[list[str], np.ndarray]:
         if not name:
             continue
         if m[2]:
-            if name in BLOCKS:
+            if name in BLOCKS or name in where and where[name]:
                 close_block()
             if name == "a":
-                in_link = max(0, in_link - 1)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+                in_link, link_depth = False, 0
+            if where.get(name):
+                pop(where[name][-1])
             continue
         if name in SKIPPED and name != "head":
             stop = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else end
             continue
-        if name in BLOCKS:
+        names, hint = set(), False
+        if m[4]:
+            for kind, value in _CLASS.findall(m[4]):
+                value = value.lower().strip("\"'")
+                names.update(_PARTS.findall(value))
+                if not (name == "section" and kind.lower() == "id"):
+                    hint = hint or any(map(is_hint, value.split()))
+        if name == "a":
+            in_link, link_depth = True, len(stack)
+        if name in BLOCKS or hint and name not in VOID:  # a hint makes a block of an inline element too
             close_block()
-            if name not in VOID:
-                if name in ("p", "li", "option") and stack and stack[-1][0] == name:
-                    pop(len(stack) - 1)
-                inside = depth[2] > 0
-                names, hint = set(), False
-                if m[4]:
-                    for kind, value in _CLASS.findall(m[4]):
-                        value = value.lower().strip("\"'")
-                        names.update(_PARTS.findall(value))
-                        if not (name == "section" and kind.lower() == "id"):
-                            hint = hint or any(map(is_hint, value.split()))
-                item = (
-                    name, int(name in FURNITURE or (name == "header" and not inside) or name == "head"), int(hint and name not in UNHINTED),
-                    int(name in ("article", "main") or (not ARTICLES.isdisjoint(names) and name not in ("body", "html"))), int(name in HEADINGS),
-                )
-                stack.append(item)
-                for j in range(4):
-                    depth[j] += item[j + 1]
-        elif name == "a":
-            in_link += 1
+            if stack and stack[-1][0] == "head" and name != "head":
+                pop(len(stack) - 1)  # its end tag may be left out
+            if name in VOID:
+                continue
+            if name in ("p", "li", "option") and stack and stack[-1][0] == name:
+                pop(len(stack) - 1)
+            inside = depth[2] > 0
+            item = (
+                name, int(name in FURNITURE or (name == "header" and not inside) or name == "head"), int(hint and name not in UNHINTED),
+                int(name in ("article", "main") or (name in BLOCKS and not ARTICLES.isdisjoint(names) and name not in ("body", "html"))), int(name in HEADINGS),
+            )
+            where.setdefault(name, []).append(len(stack))
+            stack.append(item)
+            for j in range(4):
+                depth[j] += item[j + 1]
+            if name == "a":
+                link_depth = len(stack)
     close_block()
     x = np.array(rows, float).reshape(-1, 6)
     out = np.zeros((len(x), len(FEATURES)))
@@ -207,36 +240,39 @@ def block_features(page: str) -> tuple[list[str], np.ndarray]:
     return texts, out
 
 
-def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Every shape with every mark: features and labels."""
+def labelled_table() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every shape with every mark: features, labels and weights."""
     shapes = [[float(v) for v in line.split()] for line in SHAPES.strip().splitlines()]
     marks = [[int(v) for v in line.split()] for line in MARKS.strip().splitlines()]
     x = [[*s[:6], *m[:3], s[6]] for m in marks for s in shapes]
     y = [int(s[7 + m[3]]) if m[3] >= 0 else 0 for m in marks for s in shapes]
-    return np.array(x, float), np.array(y)
+    return np.array(x, float), np.array(y), np.repeat([float(m[4]) for m in marks], len(shapes))
 
 
-def gini(y: np.ndarray) -> float:
-    p = y.mean() if len(y) else 0.0
-    return 2 * p * (1 - p)
+def impurity(y: np.ndarray, weight: np.ndarray) -> float:
+    """Gini impurity by the weight of the rows."""
+    total = weight.sum()
+    p = (y * weight).sum() / total if total else 0.0
+    return 2 * p * (1 - p) * total
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 12):
+def grow(x: np.ndarray, y: np.ndarray, weight: np.ndarray, depth: int = 14):
     """A tree: a class, or (feature, threshold, tree at or below it, tree above)."""
+    most = int((y * weight).sum() * 2 > weight.sum())
     if depth == 0 or len(set(y.tolist())) < 2:
-        return int(round(float(y.mean())))
+        return most
     best = None
     for f in range(x.shape[1]):
         values = np.unique(x[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= t
-            cost = low.mean() * gini(y[low]) + (1 - low.mean()) * gini(y[~low])
+            cost = impurity(y[low], weight[low]) + impurity(y[~low], weight[~low])
             if best is None or cost < best[0] - 1e-12:
                 best = (cost, f, float(t), low)
-    if best is None or best[0] >= gini(y) - 1e-12:
-        return int(round(float(y.mean())))
+    if best is None or best[0] >= impurity(y, weight) - 1e-12:
+        return most
     _, f, t, low = best
-    return (f, t, grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return (f, t, grow(x[low], y[low], weight[low], depth - 1), grow(x[~low], y[~low], weight[~low], depth - 1))
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:

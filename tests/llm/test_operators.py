@@ -341,7 +341,7 @@ def test_op10(spark):
 
 def test_op10_hints():
     tree = html.default_tree()
-    x, y = html.labelled_table()
+    x, y, _ = html.labelled_table()
     assert (html.classify(tree, x) == y).all()
     long = " ".join(f"w{i}" for i in range(70))
     text = lambda body, attrs="": html.main_text(f"<html><body{attrs}>{body}</body></html>", tree)[0]
