@@ -1,34 +1,40 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-An item's windows of `size` consecutive words are its shingles (an item of fewer words is one window).  Every window
-must lie in a document whole, so its necessary prefix is one word: the rarest by document frequency, which is counted
-over all documents.  A document word joins the windows whose prefix word it is; the positional bound gives the one
-place where the window could start, the length bound drops places that do not fit, and the window's words are then
-compared there.  Words that no window needs as prefix are never looked up further.
-
-The items are the query set and all documents are searched.  Windows go to the executors in blocks of at most
-BLOCK_WINDOWS, each block one pass, so no broadcast grows beyond that size; results of several blocks are united
-by document row.
-
-Nulls: a null text has no words, and an item with a null id or no words has no windows.  Repeated doc_ids stay
-separate rows.  Empty tables: without items every document is clean; without documents there are no rows.
+An item's windows of `size` consecutive words are its shingles (an item of fewer words is one window).  Every window must
+lie in a document whole, so its necessary prefix is one word: the rarest by document frequency, which is counted over all
+documents; windows with a word that no document has are dropped.  Document words are joined with the windows whose prefix
+word they are, each with the words around it; the positional bound gives the one place where the window could start, the
+length bound drops places that do not fit, and the window's words are then compared there.
+
+Windows, frequencies and prefixes are Spark tables.  The tasks that read documents get a bitmap of SLOTS bits of the words
+that can matter, whatever the size of the benchmark; words that only share a bit are dropped by the joins.  A word that
+stands in many documents gives a row for each place, and Spark splits such a word in the join.
+
+Nulls: a null text has no words, and an item without words has no windows.  Windows of an item with a null id are hits
+without an item.  Repeated doc_ids and item_ids: document rows stay separate, items of one id count once.  Very long texts
+give rows by prefix word, never a row of their size.  Other columns, of whatever name, are ignored, or pass through
+drop_contaminated.  Empty tables: without items every document is clean; without documents there are no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkflow.llm.common import shared_dir, store, text_or_empty
 
 WINDOW = 10
-BLOCK_WINDOWS = 200_000
+#: Bits of the bitmaps, words that a task counts or remembers at once, rows that it holds, and the bit above a row's number.
+SLOTS, KEPT_WORDS, MOST_PLACES, ROW_BITS = 1 << 22, 400_000, 20_000, 40
 HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_words array<int>, items array<long>"
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -39,125 +45,155 @@ def words(text: str | None) -> list[bytes]:
     return _WORDS.findall((text or "").encode().lower())
 
 
-def item_windows(items: list[tuple[int, str]], size: int = WINDOW) -> dict[tuple[bytes, ...], list[int]]:
-    """Each distinct window and the items that have it."""
-    out: dict[tuple[bytes, ...], list[int]] = {}
-    for item_id, text in items:
-        ws = words(text)
-        for i in range(max(1, len(ws) - size + 1) if ws else 0):
-            out.setdefault(tuple(ws[i : i + size]), []).append(item_id)
-    return {w: sorted(set(ids)) for w, ids in out.items()}
+def windows_of(ws: list[bytes], size: int = WINDOW) -> list[list[bytes]]:
+    return [ws[i : i + size] for i in range(max(1, len(ws) - size + 1) if ws else 0)]
 
 
-def word_frequencies(docs: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
-    """In how many documents each wanted word occurs: counted in the tasks, then summed; one row a word comes back."""
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def window_table(benchmark: DataFrame, size: int) -> DataFrame:
+    """(item_id, window, words) of every window of every item; window is its words with blanks between."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter[bytes] = Counter()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for text in pdf["text"]:
-                total.update(sent.value.intersection(words(text)))
-        yield pd.DataFrame({"word": list(total.keys()), "n": list(total.values())})
+            for item_id, text in zip(pdf["item_id"].astype("Int64"), pdf["text"], strict=True):
+                found = windows_of(words(text), size)
+                yield pd.DataFrame({"item_id": pd.array([item_id] * len(found), "Int64"), "window": pd.Series([b" ".join(w) for w in found], dtype=object), "words": pd.Series(found, dtype=object)})
 
-    rows = docs.select(text_or_empty().alias("text")).mapInPandas(count, "word binary, n long")
-    return {bytes(r.word): r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
+    return rows.mapInPandas(run, "item_id long, window binary, words array<binary>")
 
 
-def prefix_index(windows: list[tuple[bytes, ...]], frequency: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
-    """word -> (window, offset) of the windows whose rarest word it is; ties go to the first in byte order."""
-    index: dict[bytes, list[tuple[int, int]]] = {}
-    for k, w in enumerate(windows):
-        at = min(range(len(w)), key=lambda i: (frequency.get(w[i], 0), w[i], i))
-        index.setdefault(w[at], []).append((k, at))
-    return index
+def bitmap(rows: DataFrame) -> np.ndarray:
+    """SLOTS bits, those of the column `word` set: at most SLOTS integers come to the driver."""
+    slots = rows.select((F.crc32("word") % SLOTS).cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(SLOTS, np.uint8)
+    bits[slots] = 1
+    return np.packbits(bits)
 
 
-def occurrences(ws: list[bytes], windows: list[tuple[bytes, ...]], index: dict[bytes, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
-    """(window, start) of every occurrence in a document."""
-    for p, w in enumerate(ws):
-        if w in index:
-            for k, at in index[w]:
-                window, start = windows[k], p - at
-                if start >= 0 and start + len(window) <= len(ws) and tuple(ws[start : start + len(window)]) == window:
-                    yield k, start
+class Filter:
+    """Whether a word's bit is set, remembered for the words seen so far."""
 
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.seen = bits, {}
 
-def items_digest(ids) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+    def __call__(self, word: bytes) -> bool:
+        got = self.seen.get(word)
+        if got is None:
+            k = zlib.crc32(word) % SLOTS
+            got = bool(self.bits[k >> 3] >> (7 - (k & 7)) & 1)
+            if len(self.seen) < KEPT_WORDS:
+                self.seen[word] = got
+        return got
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def word_frequencies(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(word, n): in how many texts each word whose bit is set occurs; counted in the tasks, then summed."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matters, total = Filter(sent.value), Counter()
+        for pdf in batches:
+            for text in pdf["text"]:
+                total.update(filter(matters, set(words(text))))
+            if len(total) > KEPT_WORDS:
+                yield pd.DataFrame({"word": pd.Series(list(total.keys()), dtype=object), "n": list(total.values())})
+                total.clear()
+        yield pd.DataFrame({"word": pd.Series(list(total.keys()), dtype=object), "n": list(total.values())})
+
+    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def prefix_table(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """(word, at, window, words) of the windows (window, words) that can occur: the rarest word, the first in byte order
+    of equally rare ones, and its place in the window."""
+    each = windows.select("window", F.posexplode("words").alias("at", "word")).join(frequencies, "word", "left")
+    rarest = each.groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at")).alias("p")).where("p.n > 0")
+    return rarest.join(windows, "window").select("p.word", "p.at", "window", "words")
+
+
+def marked(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
+    """A row for each text (row, n_words, and the columns of texts but text), and one for each of its words whose bit is
+    set: row, word, its place p, and the words from place c on around it.  Write the table before it is used twice, as
+    rows are numbered by the task that reads them."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+    others = [f for f in texts.schema if f.name != "text"]
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matters, row = Filter(sent.value), TaskContext.get().partitionId() << ROW_BITS
+        types = {"row": pa.int64(), "n_words": pa.int64(), "word": pa.binary(), "p": pa.int32(), "c": pa.int32(), "around": pa.list_(pa.binary())}
+
+        def out(batch: pa.RecordBatch, n: int, **given) -> pa.RecordBatch:
+            """n rows: the columns of texts, if all are given, and of the given values; nulls for the others."""
+            own = {f.name: batch[f.name] if len(batch) == n else pa.nulls(n, batch[f.name].type) for f in others}
+            return pa.RecordBatch.from_pydict(own | {k: pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in types.items()})
+
+        def flush(batch: pa.RecordBatch, places: list[tuple]) -> pa.RecordBatch:
+            return out(batch[:0], len(places), **dict(zip(("row", "word", "p", "c", "around"), map(list, zip(*places, strict=True)), strict=True)))
+
+        for batch in batches:
+            counts, places = [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
+                ws = words(text)
+                counts.append(len(ws))
+                for p, w in enumerate(ws):
+                    if matters(w):
+                        c = max(0, p - size + 1)
+                        places.append((row + k, w, p, c, ws[c : p + size]))
+                        if len(places) >= MOST_PLACES:
+                            yield flush(batch, places)
+                            places = []
+            if places:
+                yield flush(batch, places)
+            yield out(batch, len(counts), row=np.arange(row, row + len(counts)), n_words=counts)
+            row += len(counts)
+
+    return texts.mapInArrow(run, kept + "row long, n_words long, word binary, p int, c int, around array<binary>")
+
+
+def occurrences(found: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(row, start, n, window) of every window at its place in a document."""
+    places = found.where("word is not null").select("row", "word", "p", "c", "around")
+    start = F.col("p") - F.col("at") - F.col("c")
+    fits = (start >= 0) & (start + F.size("words") <= F.size("around"))
+    same = F.when(fits, F.slice("around", start + 1, F.size("words")) == F.col("words")).otherwise(False)
+    return places.join(prefixes, "word").where(same).select("row", (F.col("p") - F.col("at")).alias("start"), F.size("words").alias("n"), "window")
+
+
+def search(texts: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The texts with row and n_words, the occurrences of windows in them, and the windows' items."""
+    spark = texts.sparkSession
+    owners = store(window_table(benchmark, size), shared_dir(spark, "windows"))
+    windows = owners.groupBy("window").agg(F.first("words").alias("words"))
+    frequencies = word_frequencies(texts, bitmap(owners.select(F.explode("words").alias("word"))))
+    prefixes = store(prefix_table(windows, frequencies), shared_dir(spark, "prefixes"))
+    found = store(marked(texts, bitmap(prefixes), size), shared_dir(spark, "marked"))
+    return found.where("word is null").drop("word", "p", "c", "around"), store(occurrences(found, prefixes), shared_dir(spark, "occurrences")), owners.select("window", "item_id").distinct()
+
+
+def find_overlap(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row (HITS) per document."""
-    spark = docs.sparkSession
-    items = [(r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null").toLocalIterator()]
-    found = item_windows(items, size)
-    ordered = sorted(found)
-    blocks = [ordered[i : i + block_windows] for i in range(0, len(ordered), block_windows)] or [[]]
-    vocabulary = {x for w in ordered for x in w}
-    frequency = word_frequencies(docs, vocabulary) if ordered else {}
-
-    def search(block: list[tuple[bytes, ...]]):
-        sent = spark.sparkContext.broadcast((block, prefix_index(block, frequency), [found[w] for w in block]))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            windows, index, owners = sent.value
-            for pdf in batches:
-                rows = []
-                for row, doc_id, text in zip(pdf["_row"], pdf["doc_id"], pdf["text"], strict=True):
-                    ws = words(text)
-                    hit: set[int] = set()
-                    ids: set[int] = set()
-                    for k, start in occurrences(ws, windows, index):
-                        hit.update(range(start, start + len(windows[k])))
-                        ids.update(owners[k])
-                    rows.append((row, None if pd.isna(doc_id) else int(doc_id), len(ws), len(hit), len(ids), items_digest(ids), bool(hit), sorted(hit), sorted(ids)))
-                out = pd.DataFrame(rows, columns=["_row", *[x.split()[0] for x in HITS.split(", ")]])
-                yield out.astype({"doc_id": "Int64"})
-
-        return run
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    if len(blocks) == 1:
-        one = source.select(F.lit(0).cast("long").alias("_row"), "doc_id", "text")
-        return one.mapInPandas(search(blocks[0]), "_row long, " + HITS).drop("_row")
-    # Several blocks: rows get a number that is written down, so that each pass sees the same.
-    numbered = store(source.withColumn("_row", F.monotonically_increasing_id()), shared_dir(spark, "overlap"))
-    passes = [store(numbered.select("_row", "doc_id", "text").mapInPandas(search(b), "_row long, " + HITS), shared_dir(spark, "block")) for b in blocks]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    hits = every.groupBy("_row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    found, hits, owners = search(texts, benchmark, size)
+    place = F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")
+    hit = hits.select("row", place).distinct().groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("hit_words"))
+    items = hits.join(owners, "window").where("item_id is not null").select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    every = found.join(hit, "row", "left").join(items, "row", "left").select(
+        "doc_id", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
+    )
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return hits.select(
+    return every.select(
         "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(joined, 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"), "hit_words", "items",
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents none of whose words lie in a benchmark window, with all their columns."""
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
-    found = sorted(item_windows([(r.item_id, r.text) for r in items.toLocalIterator()], size))
-    if not found:
-        return docs
-    frequency = word_frequencies(docs, {x for w in found for x in w})
-    for i in range(0, len(found), BLOCK_WINDOWS):
-        block = found[i : i + BLOCK_WINDOWS]
-        sent = spark.sparkContext.broadcast((block, prefix_index(block, frequency)))
-
-        docs = docs.where(_clean(sent)(F.col("text").cast("string")))
-    return docs
-
-
-def _clean(sent):
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([next(occurrences(words(t), *sent.value), None) is None for t in texts], dtype=bool)
-
-    return clean
+    """The documents none of whose words lie in a benchmark window, with all their columns.  Texts are told apart by
+    digest, and Spark splits the copies of a frequent text in the join."""
+    digest = F.unhex(F.md5(text_or_empty().cast("binary")))
+    texts = docs.select(digest.alias("digest"), text_or_empty().alias("text"))
+    found, hits, _ = search(texts, benchmark, size)
+    bad = found.join(hits.select("row").distinct(), "row", "left_semi").select("digest").distinct()
+    inside = docs.select(F.struct("*").alias("row"), digest.alias("digest"))  # no name of docs can clash
+    return inside.join(bad, "digest", "left_anti").select("row.*")

@@ -167,26 +167,25 @@ def test_op6_without_base(spark):
     assert clean[1] == "ring <PHONE> today. Again: <PHONE> please." and clean[2].endswith("12345 apart") and clean[3] is None
 
 
-@pytest.mark.parametrize("block", [200_000, 3])
-def test_op7(spark, block):
+def test_op7(spark):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(30)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([1, 4, 10, 14])))) for i in range(12)] + [(50, None), (None, "w1 w2"), (51, "...")]
     docs = [(i, " ".join(rng.choice(vocab) for _ in range(60)) + (" " + items[i % 12][1].upper() + "!" if i % 2 else "")) for i in range(40)] + [(None, None), (77, "")]
-    got = decontaminate.find_overlap(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_windows=block).collect()
+    got = decontaminate.find_overlap(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(docs)
     for i, t in docs:
         ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c < "\x80" else c for c in t or ""))
         hit, ids = set(), set()
         for k, x in items:
-            iw = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x or "") if k is not None else []
+            iw = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x or "")
             for a in range(max(1, len(iw) - 9) if iw else 0):
                 w = iw[a : a + 10]
                 for s in range(len(ws) - len(w) + 1):
                     if ws[s : s + len(w)] == w:
                         hit |= set(range(s, s + len(w)))
-                        ids.add(k)
+                        ids |= {k} - {None}
         r = by[i]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(ws), len(hit), len(ids), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
@@ -194,6 +193,20 @@ def test_op7(spark, block):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in got if not r.contaminated)
 
 
+def test_op7_edges(spark):
+    """Long texts, repeated rows and items, windows at both ends, a word that stands everywhere, empty tables, clashing names."""
+    item = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, item), (1, item), (2, LONG + item), (3, "ten eleven " + LONG), (4, item[4:-7]), (5, "Word " + item.upper()), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("digest", F.lit(1)).withColumn("n_hit", F.lit(2))
+    items = spark.createDataFrame([(7, item), (7, item), (8, item), (None, "ten eleven word"), (9, "word " * 10)], "item_id long, text string")
+    got = {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.find_overlap(docs, items).collect()}
+    assert got == {(1, 11, 2), (2, 30011, 3), (3, 30002, 1), (4, 0, 0), (5, 11, 2), (6, 0, 0)}
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 6]
+    assert decontaminate.find_overlap(docs.limit(0), items).count() == 0 and not decontaminate.find_overlap(docs, items.limit(0)).where("contaminated").count()
+    assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(rows)
+
+
 def test_op8(spark):
     rows = [
         (1, 0, "user", "The first long message here.\nSecond line of it."), (1, 1, "assistant", "> The first LONG message, here.\nI agree with that one."),
@@ -386,7 +399,7 @@ def test_pipeline(spark, sf_dir):
                 a, b = sorted((classes[i], classes[j]))
                 classes = {k: a if v == b else v for k, v in classes.items()}
     left = sorted(set(classes.values()))
-    windows = decontaminate.item_windows([(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()])
+    windows = {tuple(w) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() for w in decontaminate.windows_of(decontaminate.words(r.text))}
 
     def has(t):
         ws = decontaminate.words(t)
