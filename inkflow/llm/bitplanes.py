@@ -7,8 +7,12 @@ chunk index at the file's end says where the planes of every block lie.
 File layout: MAGIC, planes of block 0, planes of block 1, ..., footer (zstandard: JSON header, doc ids, doc-id
 validity, id counts), 8 bytes footer length, MAGIC.  A plane that is all zero takes no bytes.
 
+A file ends after ROLL_IDS ids, and ranges are cut by doc_id and a hash of the text, so neither the files nor the rows of
+one id grow into one task.
+
 Nulls: a null text is empty and still gets the end id; a null doc_id sorts first and comes back null.  Repeated
-doc_ids stay separate rows, ordered by text.  An empty table gives no files and no rows.  Other columns are ignored.
+doc_ids stay separate rows, ordered by a hash of their text, then by text.  Very long texts are encoded alone, and their
+ids flow through the blocks.  An empty table gives no files and no rows.  Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +34,10 @@ from inkflow.llm.common import chunks, shared_dir, store, text_or_empty
 
 MAGIC = b"IDPLANE1"
 BLOCK_IDS = 1 << 16
-FILES = "part int, path string, n_docs long, n_ids long, n_bytes long"
-DOCS = "part int, row long, doc_id long, local_start long, n_tokens long, ids_crc32 long"
+ROLL_IDS = 1 << 26
+READ_ROWS = 50_000
+FILES = "part int, seq int, path string, n_docs long, n_ids long, n_bytes long"
+DOCS = "part int, seq int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
 def to_planes(ids: np.ndarray, kind: str = "bit") -> list[bytes]:
@@ -141,58 +147,68 @@ def read_documents(uri: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
             held, have, start = [ids[count:]], have - count, start + count
 
 
-def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int, out_dir: str, kind: str = "bit", level: int = 3) -> DataFrame:
-    """Write id files in ascending doc_id order; returns FILES, the manifest, with part numbers in that order.
+def write_token_ids(docs: DataFrame, vocabulary: str, end_id: int, out_dir: str, kind: str = "bit", level: int = 3, roll_ids: int = ROLL_IDS) -> DataFrame:
+    """Write id files in ascending doc_id order; returns FILES, the manifest, with (part, seq) in that order.
 
-    Each task writes under a name of its own, so a repeated task never shares a file with a lost one; only files
+    Each task writes under names of its own, so a repeated task never shares a file with a lost one; only files
     that the manifest names belong to the result.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from inkflow.llm.tokens import encoder
 
-        enc, end, out, uri = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), None, ""
+        enc, end, out, uri, seq = encoder(vocabulary), np.array([end_id], "<u4").tobytes(), None, "", 0
         part = TaskContext.get().partitionId()
+
+        def closed() -> pd.DataFrame:
+            n_bytes = out.close()
+            return pd.DataFrame({"part": [part], "seq": [seq], "path": [uri], "n_docs": [len(out.counts)], "n_ids": [out.n_ids], "n_bytes": [n_bytes]})
+
         for pdf in batches:
             texts, doc_ids, null = pdf["text"].tolist(), pdf["doc_id"].tolist(), pdf["doc_id"].isna().tolist()
             for a, b in chunks(texts):
-                if out is None:
-                    uri = f"{out_dir}/part-{part:06d}-{uuid.uuid4().hex}.idp"
-                    out = PlaneWriter(uri, kind, level)
                 for i, ids in enumerate(enc.encode(texts[a:b]), a):
+                    if out is not None and out.n_ids + out.n_waiting >= roll_ids:
+                        yield closed()
+                        out, seq = None, seq + 1
+                    if out is None:
+                        uri = f"{out_dir}/part-{part:06d}-{seq:05d}-{uuid.uuid4().hex}.idp"
+                        out = PlaneWriter(uri, kind, level)
                     out.add(None if null[i] else int(doc_ids[i]), ids + end)
         if out is not None:
-            n_bytes = out.close()
-            yield pd.DataFrame({"part": [part], "path": [uri], "n_docs": [len(out.counts)], "n_ids": [out.n_ids], "n_bytes": [n_bytes]})
+            yield closed()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return store(rows.mapInPandas(write, FILES), f"{out_dir}/_manifest")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    return store(rows.drop("h").mapInPandas(write, FILES), f"{out_dir}/_manifest")
 
 
 def read_token_ids(files: DataFrame) -> DataFrame:
     """Read id files back: per document its place, count and crc32.  One task reads whole files, block by block."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in DOCS.split(", ")]
         for pdf in batches:
-            for part, path in zip(pdf["part"].tolist(), pdf["path"].tolist(), strict=True):
+            for part, seq, path in zip(pdf["part"].tolist(), pdf["seq"].tolist(), pdf["path"].tolist(), strict=True):
                 rows = []
                 for doc_id, start, ids in read_documents(path):
-                    rows.append((part, len(rows), doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
-                found = pd.DataFrame(rows, columns=["part", "row", "doc_id", "local_start", "n_tokens", "ids_crc32"])
-                yield found.astype({"doc_id": "Int64"})
+                    rows.append((part, seq, doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+                    if len(rows) == READ_ROWS:
+                        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return files.select("part", "path").repartition(n, "part").mapInPandas(read, DOCS)
+    return files.select("part", "seq", "path").repartition(n, "part", "seq").mapInPandas(read, DOCS)
 
 
 def document_ids(files: DataFrame) -> DataFrame:
     """doc_id, start among all ids, n_tokens, ids_crc32: what the files hold."""
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    base = files.select(F.col("part").alias("of"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # one row a file of ROLL_IDS ids
+    base = files.select(F.col("part").alias("p"), F.col("seq").alias("q"), F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     docs = read_token_ids(files)
-    return docs.join(F.broadcast(base), docs["part"] == base["of"]).select(  # at most one row a shuffle partition
+    return docs.join(base, (docs["part"] == base["p"]) & (docs["seq"] == base["q"])).select(
         "doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"
     )
 

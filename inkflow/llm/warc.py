@@ -1,15 +1,17 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by page_id, one sorted range a task.  A task rolls to a new file when the compressed size
+Records are range-sorted by page_id and payload digest, one sorted range a task.  A task rolls to a new file when the compressed size
 passes roll_bytes; every record is a gzip member of its own.  Headers, record ids, lengths and digests are made
 anew from the payload, so equal input gives equal bytes.  Files are written under temporary names; the manifest is
 a Parquet table that Spark commits; then the named files get their final names, and a second run of that step
 finds them done.  Files of lost attempts are in no manifest.
 
 Of records with equal payloads of at least revisit_bytes, the one with the largest page_id is the response and the
-others revisit it without storing the payload.  Nulls: a null html is an empty payload; a null url is an empty
-target; rows with a null page_id are response records and come back null.  Repeated page_ids stay separate rows.
-An empty table gives no files and no rows.  Other columns are ignored.
+others revisit it without storing the payload.  Record ids are made of page_id and digest, and of a count for further
+rows of the same ones, so no two records share one.  Nulls: a null html is an empty payload; a null url is an empty
+target; rows with a null page_id are response records, spread over the tasks, and come back null.  Repeated page_ids stay
+separate rows.  A very long page is one record, held by one task.  An empty table gives no files and no rows.  Other
+columns, of whatever name, are ignored; the manifest has columns of its own only.
 """
 
 from __future__ import annotations
@@ -37,23 +39,23 @@ MANIFEST = "part int, seq int, temp string, path string, n_records long, n_bytes
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def record_id(page_id: int | None, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def record_id(page_id: int | None, digest: str, further: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}{further}')}>"
 
 
 def base32(digest: bytes) -> str:
     return "sha1:" + base64.b32encode(digest).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """A response or revisit record as bytes."""
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, further: str = "", date: str = DATE) -> bytes:
+    """A response or revisit record as bytes.  The first record of a page_id and payload has no further mark."""
     sha = hashlib.sha1(payload)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to is not None else head + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: {record_id(page_id, sha.hexdigest())}",
+        f"WARC-Record-ID: {record_id(page_id, sha.hexdigest(), further)}",
         f"WARC-Date: {date}",
         "WARC-Target-URI: " + "".join(url.splitlines()),
         "Content-Type: application/http; msgtype=response",
@@ -98,8 +100,8 @@ def write_warc(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, rev
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, attempt, seq, out, done = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], 0, None, []
         fs, folder = pafs.FileSystem.from_uri(out_dir)
-        refer: dict[tuple[int, str], int] = {}
         name, n, size = "", 0, 0
+        last, again, to = None, 0, None  # (page_id, digest) of the row before, its rows so far, and what they refer to
 
         def close():
             out.close()
@@ -109,10 +111,10 @@ def write_warc(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, rev
             null = pdf["page_id"].isna().tolist()
             for i, row in enumerate(pdf.itertuples(index=False)):
                 page_id = None if null[i] else int(row.page_id)
-                if row.kind == 0:
-                    if not any(k[0] == page_id for k in refer):
-                        refer = {}
-                    refer[page_id, row.url] = int(row.refers_to)  # such rows come just before their page
+                if last != (page_id, row.sha):
+                    last, again, to = (page_id, row.sha), 0, None
+                if row.kind == 0:  # such a row comes just before its pages
+                    to = int(row.refers_to)
                     continue
                 if out is None or size >= roll_bytes:
                     if out is not None:
@@ -124,13 +126,10 @@ def write_warc(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, rev
                     head = member(warcinfo(name))
                     out.write(head)
                     size = len(head)
-                payload = row.html.encode()
-                to = None
-                if page_id is not None and len(payload) >= revisit_bytes and any(k[0] == page_id for k in refer):
-                    to = refer.get((page_id, hashlib.sha256(payload).hexdigest()))
-                data = member(record(page_id, row.url, payload, to))
+                further = f":{part}:{again}" if page_id is None else f":{again}" if again else ""
+                data = member(record(page_id, row.url, row.html.encode(), to, further))
                 out.write(data)
-                n, size = n + 1, size + len(data)
+                n, size, again = n + 1, size + len(data), again + 1
         if out is not None:
             close()
         yield pd.DataFrame(done, columns=["part", "seq", "temp", "path", "n_records", "n_bytes"])
@@ -147,13 +146,15 @@ def write_warc(pages: DataFrame, out_dir: str, roll_bytes: int = ROLL_BYTES, rev
 
     spark = pages.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.col("page_id").cast("long").alias("page_id")
     none = F.lit(None).cast("string")
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     both = pages.select(
-        key, F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"),
-        F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
-    ).unionByName(revisits(pages, revisit_bytes).select("page_id", F.lit(0).alias("kind"), "refers_to", F.col("sha").alias("url"), none.alias("html")))
-    rows = both.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+        F.col("page_id").cast("long").alias("page_id"), F.sha2(F.encode(html, "UTF-8"), 256).alias("sha"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"),
+        F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), html.alias("html"),
+    ).unionByName(revisits(pages, revisit_bytes).select("page_id", "sha", F.lit(0).alias("kind"), "refers_to", F.lit("").alias("url"), none.alias("html")))
+    # Rows without an id refer to nothing and nothing to them, so they may be spread.
+    both = both.withColumn("spread", F.when(F.col("page_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(0)))
+    rows = both.repartitionByRange(n, "page_id", "sha", "spread").sortWithinPartitions("page_id", "sha", "kind", "url", "spread").drop("spread")
     written = store(rows.mapInPandas(write, MANIFEST), f"{out_dir}/_manifest-temporary")
     return store(written.repartition(max(1, min(n, 64)), "part", "seq").mapInPandas(rename, MANIFEST), f"{out_dir}/_manifest")
 

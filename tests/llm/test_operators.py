@@ -408,3 +408,40 @@ def test_pipeline(spark, sf_dir):
     left = [i for i in left if not has(texts[i])]
     assert sorted({r.doc_id for r in out}) == left
     assert all(len(r.ids) == r.length for r in out)
+
+
+def test_op1_rolls(spark):
+    """Small files in order, a hot id over several of them, repeated rows, and starts without a gap."""
+    rows = [(7, f"alpha beta {i % 30}") for i in range(300)] + [(i, f"gamma {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit(1))
+    files = bitplanes.write_token_ids(docs, vocabulary(WORD_BPE), 2, shared_dir(spark, "t1"), roll_ids=100)
+    found = bitplanes.document_ids(files).orderBy("start").collect()
+    assert files.count() > 5 and max(r.n_ids for r in files.collect()) < 120
+    ends = np.cumsum([r.n_tokens for r in found])
+    assert [r.start for r in found] == [0, *ends[:-1].tolist()] and [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    want = sorted((i, zlib.crc32(x.tobytes())) for (i, _), x in zip(rows, expected_ids(WORD_BPE, [t for _, t in rows], 2), strict=True))
+    assert sorted((r.doc_id, r.ids_crc32) for r in found) == want
+
+
+def test_op3_record_ids(spark):
+    """No two records share an id, with null and repeated page_ids; every reference leads to a response of that payload."""
+    import pyarrow.fs as pafs
+
+    big, long = "<p>same</p>" * 200, "x" * 3_000_000
+    data = [(None, "a", big), (None, "a", big), (None, "b", "y"), (1, "u", big), (1, "u", big), (2, "u", big), (3, "u", big), (3, "v", big), (3, "u", "other"), (4, "u", long), (5, "u", long)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("part", F.lit("clash")).withColumn("kind", F.lit(7))
+    out = shared_dir(spark, "t3")
+    manifest = warc.write_warc(pages, out, roll_bytes=1000)
+    heads = []
+    for r in manifest.collect():
+        fs, _ = pafs.FileSystem.from_uri(out)
+        heads += [h for h, _ in warc.parse_records(fs, r.path) if h["WARC-Type"] != "warcinfo"]
+    ids = {h["WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == len(data)
+    for h in heads:
+        if h["WARC-Type"] == "revisit":
+            to = ids[h["WARC-Refers-To"]]
+            assert to["WARC-Type"] == "response" and to["X-Page-Id"] == h["X-Refers-To-Page-Id"] and to["WARC-Payload-Digest"] == h["WARC-Payload-Digest"]
+    kinds = sorted((str(r.page_id), r.record_type, r.refers_to) for r in warc.read_warc(manifest, out).collect())
+    want = [(None, None), (None, None), (None, None), (1, 3), (1, 3), (2, 3), (3, None), (3, None), (3, None), (4, 5), (5, None)]
+    assert kinds == sorted((str(i), "response" if to is None else "revisit", to) for i, to in want)
