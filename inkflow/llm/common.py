@@ -22,9 +22,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends here."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,9 +5,9 @@ end-of-band runs and restart intervals) into coefficient arrays, inverse-transfo
 full-resolution RGB tensors.  Restart intervals are independent, so the intervals of a whole batch of images are
 decoded side by side, one symbol of each a step: the arrays are as wide as the batch has intervals.
 
-The encoder stores bytes losslessly as quantised coefficients of a 4:2:0 image with a quantiser of ones: byte b is
-coefficient b - ZERO at the same place of the zigzag order; luma blocks come first, then Cb, then Cr, and what the
-last blocks lack stays 0.  A comment segment holds the number of bytes.
+The encoder stores bytes losslessly as quantised coefficients of a 4:2:0 image with a quantiser of ones: a byte's
+coefficient (VALUES) lies at the byte's place of the zigzag order, and frequent bytes have small ones; luma blocks come
+first, then Cb, then Cr, and what the last blocks lack stays 0.  A comment segment holds the number of bytes.
 
 Supported: 8-bit, three components or one, sampling factors 1 and 2, Huffman coding.  Others raise ValueError.
 """
@@ -20,7 +20,14 @@ from functools import lru_cache
 
 import numpy as np
 
-ZERO = 112
+#: Bytes of texts, frequent ones first; the others follow in order.  Ranks 0, 1, 2, 3, 4 ... are coefficients 0, 1, -1, 2, -2 ...
+FREQUENT = b" etaonirshdlucmgfpwybv,.k\nxjqzETAONIRSHDLUCMGFPWYBVKXJQZ-'0123456789\xc3\xa9"
+RANKED = FREQUENT + bytes(b for b in range(256) if b not in FREQUENT)
+VALUES = np.zeros(256, np.int64)
+VALUES[np.frombuffer(RANKED, np.uint8)] = [-(r // 2) if r % 2 == 0 else (r + 1) // 2 for r in range(256)]
+#: The byte of a coefficient, from -127 on.
+BYTES = np.zeros(256, np.uint8)
+BYTES[VALUES + 127] = np.arange(256)
 RESTART = 4
 COMMENT = b"inkflow payload "
 #: Widest row of units; more payload goes into further rows.
@@ -63,10 +70,11 @@ def lookup(dht: bytes) -> np.ndarray:
 
 
 DC_DHT, DC_CODE, DC_SIZE = canonical(dict.fromkeys(range(12), 4))
-#: Short codes for a value without zeros before it, by its number of bits: text bytes have 3, 4 or 7 mostly.
-AC_DHT, AC_CODE, AC_SIZE = canonical(
-    {r << 4 | s: 10 for r in range(16) for s in range(11) if r or s} | {0: 10} | {4: 2, 3: 3, 7: 3, 2: 4, 1: 4, 5: 5, 6: 5, 8: 5}
-)
+#: Short codes for small values with few zeros before them, as texts give; run << 4 | number of bits.
+SHORT_CODES = {
+    0x02: 2, 0x03: 2, 0x01: 3, 0x04: 4, 0x05: 5, 0x12: 5, 0x13: 5, 0x11: 5, 0x06: 6, 0x14: 6, 0x00: 7, 0x07: 7, 0x15: 7, 0x22: 8, 0x23: 8, 0x21: 8, 0x08: 9, 0x16: 9,
+}
+AC_DHT, AC_CODE, AC_SIZE = canonical({r << 4 | s: 12 for r in range(16) for s in range(11) if r or s} | SHORT_CODES)
 
 
 def bit_length(x: np.ndarray) -> np.ndarray:
@@ -219,7 +227,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     starts = np.cumsum(units) - units
     for p, u, s in zip(payloads, units.tolist(), starts.tolist(), strict=True):
         flat = np.zeros(u * 384, np.int64)
-        flat[: len(p)] = np.frombuffer(p, np.uint8).astype(np.int64) - ZERO
+        flat[: len(p)] = VALUES[np.frombuffer(p, np.uint8)]
         flat = flat.reshape(-1, 64)
         coefs[0][4 * s : 4 * (s + u)], coefs[1][s : s + u], coefs[2][s : s + u] = flat[: 4 * u], flat[4 * u : 5 * u], flat[5 * u :]
     order = np.concatenate([block_order(a, d) for a, d in shapes]) if payloads else np.empty(0, np.int64)
@@ -551,4 +559,4 @@ def decode(files: list[bytes]) -> list[tuple[Image, np.ndarray]]:
 
 def payload(image: Image, coefs: np.ndarray) -> bytes:
     """The bytes that encode() stored."""
-    return (coefs.ravel()[: image.payload_bytes] + ZERO).astype(np.uint8).tobytes()
+    return BYTES[coefs.ravel()[: image.payload_bytes] + 127].tobytes()

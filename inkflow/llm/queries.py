@@ -33,7 +33,7 @@ def op3_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.decode_media(media.store_as_jpeg(table(spark, sf_dir, "documents")))
+    return media.decode_media(media.store_media(table(spark, sf_dir, "documents")))
 
 
 def op5_quality_subword(spark: SparkSession, sf_dir: str) -> DataFrame:

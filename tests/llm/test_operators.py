@@ -107,12 +107,25 @@ def test_op4_codec():
 
 
 def test_op4(spark):
-    docs = odd_documents(spark).where("doc_id is null or doc_id <> 4")
-    rows = media.decode_media(media.store_as_jpeg(docs), with_tensor=True).collect()
-    assert len(rows) == 6 and all(len(r.rgb) == r.height * r.width * 3 for r in rows)
-    by = {r.n_bytes: r for r in rows}
-    assert by[0].payload_sha256 == hashlib.sha256(b" " * 192).hexdigest()
+    """Stored media against their texts, with long texts in strips; tensors against the codec's own; nulls and empty tables."""
+    docs = odd_documents(spark)
+    stored = media.store_media(docs, 384 * 100)
+    rows = media.decode_media(stored).collect()
+    texts = {i: t or "" for i, t in docs.select("doc_id", "text").collect()}
+    assert len(rows) == 7
+    for r in rows:
+        n, payload = media.padded(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    files = {r.doc_id: [bytes(f) for f in r.media] for r in stored.collect()}
+    assert len(files[4]) == 4 and all((r.media_bytes, r.media_sha256) == (sum(map(len, files[r.doc_id])), hashlib.sha256(b"".join(files[r.doc_id])).hexdigest()) for r in rows)
     assert len({(r.feature, r.media_sha256) for r in rows if r.doc_id == 3}) == 1
+    tensors = media.store_tensors(stored).collect()
+    assert len(tensors) == 10 and all(len(r.rgb) == r.height * r.width * 3 for r in tensors)
+    assert all(bytes(r.rgb) == jpeg.rgb(*jpeg.decode([files[r.doc_id][r.strip]])[0]).tobytes() for r in tensors)
+    none = spark.createDataFrame([(1, None, None), (2, 1, files[2])], media.STORED)
+    got = {r.doc_id: r for r in media.decode_media(none).collect()}
+    assert len(got) == 2 and got[1].payload_sha256 is None and got[1].feature is None and got[2].payload_bytes == 192
+    assert media.decode_media(media.store_media(docs.limit(0))).count() == 0
 
 
 def test_op5(spark):
