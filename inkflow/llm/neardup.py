@@ -6,12 +6,13 @@ hash and keeps them in text order, so two texts share it with a probability that
 included.  SKETCHES sketches are drawn; texts that share one make up its run.
 
 1. Equal texts are one node, named by a digest.
-2. Sketches are range-sorted by (value, node), so that a value that a third of the corpus shares is spread over many
-   tasks.  Each node of a run is compared with the node before it and with the run's first: two candidates a row.
+2. Sketches are range-sorted by (value, length, node), so that a value that a third of the corpus shares is spread over
+   many tasks.  Each node of a run is compared with the node before it and with the run's first: two
+   candidates a row.  Texts whose lengths differ by more than a fifth of the longer one are no candidates.
 3. Candidates are verified by banded alignment, and links become classes by alternating star contraction; each round is
    written to the shared folder.
 4. What the second step left out is found exactly.  Runs of one class need no more.  In a run of several classes every
-   two nodes of different classes are candidates, while it has at most RUN nodes.  The nodes of longer runs, and all
+   two nodes of different classes and of about one length are candidates, while it has at most RUN nodes.  The nodes of longer runs, and all
    texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes one word and two
    pairs of neighbouring words, so linked texts share at least (longer length - edits) words and (longer length - 1 -
    2 edits) pairs, and in one fixed order of all words or pairs the first few of one text hold one of the first few of
@@ -32,6 +33,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,12 +44,15 @@ from pyspark.sql import functions as F
 
 from inkflow.llm.common import shared_dir, store, text_or_empty
 
-SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 96, 2, 0.8
+SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
 KEPT_WORDS, KEPT_NODES = 400_000, 200_000
 #: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
 RUN, SHORT = 40, 100
 #: Texts whose words and pairs are counted for the filter's order, slots of the counts, and nodes in a block.
 COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
+#: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
+BITS, BAG = 8, 1024
+LENGTHS = 100
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) | 1 for i in range(256)], np.uint64)
 _kept: dict[str, int] = {}
@@ -117,9 +122,8 @@ def least_places(x: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
     return best
 
 
-def sketches(text: str, m: int = SKETCHES, ell: int = ELL, k: int = SHINGLE) -> np.ndarray:
+def sketches(words: list[str], m: int = SKETCHES, ell: int = ELL, k: int = SHINGLE) -> np.ndarray:
     """m order MinHash values; none for a text without words."""
-    words = text.split()
     if not words:
         return np.empty(0, np.int64)
     h = shingle_hashes(words, k)
@@ -183,11 +187,33 @@ def edit_distance(a: list, b: list, most: int) -> int:
     return score if score <= most else most + 1
 
 
+def bag_distance(x: list[str], y: list[str]) -> int:
+    """At most the edit distance: how many words, counted by slot, one text has more than the other."""
+    d = np.bincount(word_hashes(x) % np.uint64(BAG), minlength=BAG) - np.bincount(word_hashes(y) % np.uint64(BAG), minlength=BAG)
+    return int(max(d[d > 0].sum(), -d[d < 0].sum()))
+
+
+def length_class(n: int) -> int:
+    """A logarithm of a number of words; those of linked texts are at most far_classes apart."""
+    return int(LENGTHS * np.log1p(n))
+
+
+def far_classes(least: float) -> int:
+    return int(-LENGTHS * np.log(least)) + 1
+
+
+def word_bits(words: list[str]) -> np.ndarray:
+    """Bits of the words that a text has, in BITS numbers."""
+    bits = np.zeros(BITS * 64, np.uint8)
+    bits[word_hashes(words) % np.uint64(BITS * 64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the word edit distance is at most (1 - least) of the longer text's words."""
     x, y = a.split(), b.split()
     most = int((1 - least) * max(len(x), len(y)) + 1e-9)
-    return abs(len(x) - len(y)) <= most and edit_distance(x, y, most) <= most
+    return abs(len(x) - len(y)) <= most and bag_distance(x, y) <= most and edit_distance(x, y, most) <= most
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -203,31 +229,34 @@ def node(key: str) -> Column:
 
 
 def sketch_rows(texts: DataFrame) -> DataFrame:
-    """(s, id) for every sketch of every text; a task sketches equal texts once, so their copies add few rows."""
+    """(s, q, id) for every sketch of every text, q the class of its length; a task sketches equal texts once, so their
+    copies add few rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            ids, values = [], []
+            ids, lengths, values = [], [], []
             for i, t in zip(pdf["id"].tolist(), pdf["text"], strict=True):
                 if i not in seen:
                     if len(seen) < KEPT_NODES:
                         seen.add(i)
+                    words = t.split()
                     ids.append(i)
-                    values.append(sketches(t))
+                    lengths.append(length_class(len(words)))
+                    values.append(sketches(words))
             sizes = [len(v) for v in values]
-            yield pd.DataFrame({"s": np.concatenate(values or [np.empty(0, np.int64)]), "id": np.repeat(np.array(ids, np.int64), sizes)})
+            every = np.concatenate(values or [np.empty(0, np.int64)])
+            yield pd.DataFrame({"s": every, "q": np.repeat(np.array(lengths, np.int32), sizes), "id": np.repeat(np.array(ids, np.int64), sizes)})
 
-    return texts.select("id", "text").mapInPandas(run, "s long, id long")
+    return texts.select("id", "text").mapInPandas(run, "s long, q int, id long")
 
 
-def runs(rows: DataFrame) -> DataFrame:
-    """From (s, id): kind 0, the candidates (a, b) of each run, its first node or the one before, and b; kind 1, (s, a) of
-    every row whose run has other nodes or may go on in a neighbouring partition."""
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.repartitionByRange(n, "s", "id").sortWithinPartitions("s", "id")
-    names = ["kind", "part", "s", "a", "b"]
+def runs(rows: DataFrame, far: int) -> DataFrame:
+    """From (s, q, id): kind 0, the candidates (a, b) of each run; kind 1, (s, q, a) of every row whose run has other nodes or
+    may go on in a neighbouring partition; kinds 2 and 3, a partition's first and last row."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = rows.repartitionByRange(n, "s", "q", "id").sortWithinPartitions("s", "q", "id")
+    names = ["kind", "part", "s", "q", "a", "b"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, last, head, any_row = TaskContext.get().partitionId(), None, None, False
@@ -235,46 +264,48 @@ def runs(rows: DataFrame) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            s, ids = pdf["s"].to_numpy(), pdf["id"].to_numpy()
+            s, q, ids = (pdf[c].to_numpy() for c in ("s", "q", "id"))
             if last is not None:
-                s, ids = np.concatenate([[last[0]], s]), np.concatenate([[last[1]], ids])
+                s, q, ids = (np.concatenate([[x], y]) for x, y in zip(last, (s, q, ids), strict=True))
             new = np.concatenate([[True], s[1:] != s[:-1]])
             again = np.concatenate([[False], ~new[1:] & (ids[1:] == ids[:-1])])  # one node twice
             first = np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))
-            heads = ids[first]
+            heads, head_q = ids[first], q[first]
             if last is not None:
-                heads[first == 0] = head
+                heads[first == 0], head_q[first == 0] = head[1], head[0]
             shared = np.concatenate([~new[1:], [False]]) | ~new  # a row before or after it in this batch
-            begin = 0 if last is None or alone else 1
             live = np.flatnonzero(shared & ~again)
-            live = live[live >= begin]
+            live = live[live >= (0 if last is None or alone else 1)]
             pairs = np.flatnonzero(~new & ~again)
-            far = pairs[(heads[pairs] != ids[pairs - 1]) & (heads[pairs] != ids[pairs])]
-            a, b = np.concatenate([ids[pairs - 1], heads[far]]), np.concatenate([ids[pairs], ids[far]])
-            out = [pd.DataFrame({"kind": 0, "part": part, "s": 0, "a": np.minimum(a, b), "b": np.maximum(a, b)})]
-            out.append(pd.DataFrame({"kind": 1, "part": part, "s": s[live], "a": ids[live], "b": 0}))
+            near = pairs[q[pairs] - q[pairs - 1] <= far]
+            back = pairs[(heads[pairs] != ids[pairs - 1]) & (heads[pairs] != ids[pairs]) & (q[pairs] - head_q[pairs] <= far)]
+            a, b = np.concatenate([ids[near - 1], heads[back]]), np.concatenate([ids[near], ids[back]])
+            out = [pd.DataFrame({"kind": 0, "part": part, "s": 0, "q": 0, "a": np.minimum(a, b), "b": np.maximum(a, b)})]
+            out.append(pd.DataFrame({"kind": 1, "part": part, "s": s[live], "q": q[live], "a": ids[live], "b": 0}))
             if not any_row:
-                out.append(pd.DataFrame([(2, part, int(s[0]), int(ids[0]), 0)], columns=names))
+                out.append(pd.DataFrame([(2, part, int(s[0]), int(q[0]), int(ids[0]), 0)], columns=names))
                 any_row = True
             alone = not shared[-1]
-            last, head = (int(s[-1]), int(ids[-1])), int(heads[-1])
+            last = (int(s[-1]), int(q[-1]), int(ids[-1]))
+            head = (int(head_q[-1]), int(heads[-1]))
             yield pd.concat(out, ignore_index=True)
         if last is not None:
-            yield pd.DataFrame([(3, part, last[0], last[1], 0)], columns=names)
+            yield pd.DataFrame([(3, part, *last, 0)], columns=names)
 
-    return sorted_rows.mapInPandas(run, "kind int, part int, s long, a long, b long")
+    return sorted_rows.mapInPandas(run, "kind int, part int, s long, q int, a long, b long")
 
 
-def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (s, id): candidate pairs (a, b), and (s, id) of the runs of several nodes."""
-    found = store(runs(rows), shared_dir(rows.sparkSession, "runs"))
+def neighbours(rows: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
+    """From (s, q, id): candidate pairs (a, b), and (s, q, id) of the runs of several nodes."""
+    found = store(runs(rows, far), shared_dir(rows.sparkSession, "runs"))
     # Two rows a partition: the first, and the last of the one before that has rows.
     w = Window.orderBy("part", "kind")
-    ends = found.where("kind > 1").select("kind", "s", "a", F.lag("s").over(w).alias("s2"), F.lag("a").over(w).alias("a2"))
+    ends = found.where("kind > 1").select("kind", "s", "q", "a", *(F.lag(c).over(w).alias(c + "2") for c in ("s", "q", "a")))
     across = ends.where("kind = 2 and s = s2")
-    pairs = found.where("kind = 0").select("a", "b").unionByName(across.select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))).where("a <> b")
-    cut = across.select("s", F.col("a").alias("id")).unionByName(across.select("s", F.col("a2").alias("id")))
-    live = found.where("kind = 1").select("s", F.col("a").alias("id")).unionByName(cut)
+    near = across.where(F.col("q") - F.col("q2") <= far).select(F.least("a", "a2").alias("a"), F.greatest("a", "a2").alias("b"))
+    pairs = found.where("kind = 0").select("a", "b").unionByName(near).where("a <> b")
+    cut = across.select("s", "q", F.col("a").alias("id")).unionByName(across.select("s", F.col("q2").alias("q"), F.col("a2").alias("id")))
+    live = found.where("kind = 1").select("s", "q", F.col("a").alias("id")).unionByName(cut)
     return pairs.distinct(), live
 
 
@@ -283,7 +314,8 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Da
     in a pair are shuffled, once, one copy of each, and used for both ends."""
     spark = docs.sparkSession
     pairs = store(pairs, shared_dir(spark, "candidates"))
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    # Written, so that Spark knows its size before it plans the join.
+    needed = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shared_dir(spark, "needed"))
     texts = keyed(docs).join(needed, "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("boolean")
@@ -326,16 +358,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
-def left_out(live: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the runs' rows (s, id) and (id, root) of what is linked: the pairs of nodes of different classes in runs of at
-    most RUN nodes, and the ids of longer runs of several classes."""
+def left_out(live: DataFrame, roots: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
+    """From the runs' rows (s, q, id) and (id, root) of what is linked: the pairs of nodes of different classes and about one
+    length in runs of at most RUN nodes, and the ids of longer runs of several classes."""
     spark = live.sparkSession
-    rows = store(live.join(roots, "id", "left").select("s", "id", F.coalesce("root", "id").alias("root")), shared_dir(spark, "rooted"))
+    rows = store(live.join(roots, "id", "left").select("s", "q", "id", F.coalesce("root", "id").alias("root")), shared_dir(spark, "rooted"))
     mixed = rows.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("s", "n")
     mixed = store(rows.join(mixed, "s"), shared_dir(spark, "mixed"))
     few = mixed.where(F.col("n") <= RUN)
-    other = few.select("s", F.col("id").alias("id2"), F.col("root").alias("root2"))
-    pairs = few.join(other, "s").where("id < id2 and root <> root2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    other = few.select("s", F.col("q").alias("q2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
+    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("q") - F.col("q2")) <= far)
+    pairs = few.join(other, "s").where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     return pairs, mixed.where(F.col("n") > RUN).select("id").distinct()
 
 
@@ -394,22 +427,30 @@ def filtered(texts: DataFrame, least: float) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"id": pdf["id"], "words": [prefix(t.split(), 1, least, counts.value).view(np.int64) for t in pdf["text"]]})
 
+    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "bits": [word_bits(t.split()) for t in pdf["text"]]})
+
     texts = texts.where("text rlike '\\\\S'")
     rows = store(texts.select("id", "root", "text").mapInPandas(grams, "gram long, id long, root long, n int, at int"), shared_dir(spark, "grams"))
     several = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many")).where("r1 <> r2")
     live = rows.join(several.select("gram", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "gram")
+    live = live.join(store(texts.select("id", "text").mapInPandas(bits, "id long, bits array<long>"), shared_dir(spark, "bits")), "id")
     live = live.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    live = live.select("gram", "id", "root", "n", "at", "block", other).select(
-        "gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "root", "n", "at"
+    live = live.select("gram", "id", "root", "n", "at", "bits", "block", other).select(
+        "gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "root", "n", "at", "bits"
     )
     live = store(live, shared_dir(spark, "live"))
-    right = live.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in ("id", "root", "n", "at")))
+    right = live.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in ("id", "root", "n", "at", "bits")))
     longer = F.greatest("n", "n2")
     edits = F.floor((1 - least) * longer + 1e-9)
     # Of the first q-gram that two texts share, both sides have enough left.
     enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - q * edits
-    pairs = live.join(right, ["gram", "lo", "hi"]).where((F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= edits) & ((longer < q) | enough))
+    only = lambda x, y: reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
+    alike = (only("bits", "bits2") <= edits) & (only("bits2", "bits") <= edits)
+    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= edits) & ((longer < q) | enough) & alike
+    pairs = live.join(right, ["gram", "lo", "hi"]).where(close)
     pairs = store(pairs.select("id", "id2").distinct(), shared_dir(spark, "pairs"))
     needed = pairs.select(F.explode(F.array("id", "id2")).alias("id")).distinct()
     words = store(texts.select("id", "text").join(needed, "id", "left_semi").mapInPandas(first_words, "id long, words array<long>"), shared_dir(spark, "words"))
@@ -426,10 +467,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """key, class_id (the least doc_id of its class), n_links of every different text."""
     spark = docs.sparkSession
     rows = store(sketch_rows(keyed(docs)), shared_dir(spark, "sketches"))
-    pairs, live = neighbours(rows)
+    far = far_classes(least)
+    pairs, live = neighbours(rows, far)
     edges = store(verified(docs, pairs, least), shared_dir(spark, "links"))
     roots = store(components(edges), shared_dir(spark, "roots"))
-    pairs, hot = left_out(live, by_id(roots))
+    pairs, hot = left_out(live, by_id(roots), far)
     text = keyed(docs)
     most = int(SHORT / least) + 1  # words of the longest partner
     short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
