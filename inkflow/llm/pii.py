@@ -6,16 +6,20 @@ neighbours; skip edges join a node to the last and the first node with the same
 seven digits, equal local part), so their number is linear.  Loopy sum-product message passing gives each node's
 label; base nodes keep theirs, and other nodes whose label is certain enough are added spans of that kind.
 Weights are learned by pseudo-likelihood in numpy on at most TRAIN_ROWS documents (those with the least hash of
-doc_id), labelled by the base patterns: other nodes are no personal data unless a skip edge leads to a base node;
-those stay unlabelled.  The plus sign is masked for half of the phones, so that the rest of the form is learned.
-
-Nulls: a null text is empty and has no spans.  Null and repeated doc_ids stay separate rows.  Documents without
-such nodes, and empty tables, need no model.  Very long texts: patterns are linear, and edges are linear in nodes.
+doc_id) and TRAIN_NODES nodes of each, labelled by the base patterns: other nodes are no personal data, but those of the
+same form as a base node have its label, and those of a similar form stay unlabelled.  The plus sign is masked for half of
+the nodes, and these also count as mentioned once more, which is what a repeated form without its sign looks like.  All
+skip edges share one matrix of potentials: what label the other end's label makes likely.
+
+Nulls: a null text is empty and has no spans.  Null and repeated doc_ids stay separate rows; of repeated doc_ids, the
+text of the least hash is learned from.  Documents without such nodes, and empty tables, need no model.  Very long texts:
+patterns are linear, and edges are linear in nodes.  Other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
@@ -28,7 +32,7 @@ from inkflow.llm.common import text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-TRAIN_ROWS, EPOCHS, RATE = 2000, 8, 0.2
+TRAIN_ROWS, TRAIN_NODES, EPOCHS, RATE = 2000, 200, 8, 0.2
 CERTAIN, ROUNDS, DAMPING = 0.9, 20, 0.5
 FOUND = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -164,30 +168,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(-1, keepdims=True)
 
 
-def train(graphs: list[Graph], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
-    """Pseudo-likelihood: each labelled node given its labelled neighbours."""
-    rng, model, cases = np.random.default_rng(seed), Model(), []
-    for g in graphs:
-        linked = {i for a, b in g.skips for i, j in ((a, b), (b, a)) if g.base[j] and not g.base[i]}
-        known = [-1 if i in linked else y for i, y in enumerate(g.base)]
-        beside: list[list[int]] = [[] for _ in known]
-        for a, b in g.skips:
-            beside[a].append(b)
-            beside[b].append(a)
-        for i, y in enumerate(known):
-            if y >= 0:
-                cases.append((features(g.pieces[i], g.before[i]), y, known[i - 1] if i else -1, known[i + 1] if i + 1 < len(known) else -1, [known[j] for j in beside[i] if known[j] >= 0]))
+Case = tuple[list[str], int, int, int, list[int]]  # features, label, labels of the neighbours (-1: none known) and of the skip edges' other ends
+
+
+def cases(g: Graph, most: int = TRAIN_NODES) -> list[Case]:
+    """What can be learned from each labelled node given its labelled neighbours."""
+    by_form = {forms(p)[0]: y for p, y in zip(g.pieces, g.base, strict=True) if y}
+    similar = {i for a, b in g.skips for i, j in ((a, b), (b, a)) if g.base[j] and not g.base[i]}
+    known = [y or by_form.get(forms(p)[0], -1 if i in similar else 0) for i, (p, y) in enumerate(zip(g.pieces, g.base, strict=True))]
+    beside: list[list[int]] = [[] for _ in known]
+    for a, b in g.skips:
+        beside[a].append(b)
+        beside[b].append(a)
+    return [
+        (features(g.pieces[i], g.before[i]), y, known[i - 1] if i else -1, known[i + 1] if i + 1 < len(known) else -1, [known[j] for j in beside[i] if known[j] >= 0])
+        for i, y in enumerate(known[:most]) if y >= 0
+    ]
+
+
+def train(every: list[Case], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
+    """Pseudo-likelihood by stochastic gradient ascent."""
+    rng, model, agree = np.random.default_rng(seed), Model(), 0.0
+    same = np.eye(len(LABELS))
     for _ in range(epochs):
-        for k in rng.permutation(len(cases)):
-            fs, y, left, right, skips = cases[k]
+        for k in rng.permutation(len(every)):
+            fs, y, left, right, skips = every[k]
             if rng.random() < 0.5:
-                fs = [f for f in fs if not f.startswith("plus")]
+                fs, skips = [f for f in fs if not f.startswith("plus")], [*skips, y]
             for f in fs:
                 model.unary.setdefault(f, np.zeros(len(LABELS)))
             z = model.scores(fs)
             z = z + (model.chain[left] if left >= 0 else 0) + (model.chain[:, right] if right >= 0 else 0)
             for s in skips:
-                z = z + model.skip[s]
+                z = z + model.skip[s] + agree * same[s]
             d = -softmax(z)
             d[y] += 1
             d *= rate
@@ -198,12 +211,11 @@ def train(graphs: list[Graph], epochs: int = EPOCHS, rate: float = RATE, seed: i
             if right >= 0:
                 model.chain[:, right] += d
             for s in skips:
-                model.skip[s] += d
-                model.skip[:, s] += d
-    # Equal forms agree: a skip edge never speaks against equal labels.
-    skip = np.maximum(model.skip, 0) * np.eye(len(LABELS))
-    mean = skip.diagonal().max() or 1.0
-    model.skip = np.diag([0.0, *np.maximum(skip.diagonal()[1:], mean)])
+                agree += d[s]
+                model.skip[s] += d / 2
+                model.skip[:, s] += d / 2
+    # One weight for agreement, which labels without repeated forms have too, and what each pair of labels adds to it.
+    model.skip = model.skip + agree * same
     return model
 
 
@@ -265,26 +277,30 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
-    """Learn in one task from at most `most` documents."""
+    """Learn in one task from the cases of at most `most` documents."""
     key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     has = key.where(F.col("doc_id").isNotNull() & (F.col("text").contains("@") | F.col("text").rlike("[0-9]{4}")))
     ids = [r.doc_id for r in has.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not ids:
         return Model()
     keys = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    sample = key.join(F.broadcast(keys), "doc_id").repartition(1)  # bounded: `most` long integers are sent, and as many rows shuffled
+    rows = key.join(F.broadcast(keys), "doc_id").withColumn("h", F.xxhash64("text"))  # bounded: `most` long integers are sent
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = []
+            for t in pdf["text"]:
+                base = base_spans(t)
+                got.append(json.dumps(cases(Graph(t, base, other_nodes(t, base)))))
+            yield pdf[["doc_id", "h"]].assign(cases=got)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = sorted((i, t) for pdf in batches for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))
-        graphs = []
-        for _, t in rows:
-            base = base_spans(t)
-            others = other_nodes(t, base)
-            if base or others:
-                graphs.append(Graph(t, base, others))
-        m = train(graphs)
+        got = sorted((i, c) for pdf in batches for i, c in zip(pdf["doc_id"].tolist(), pdf["cases"], strict=True))
+        m = train([tuple(c) for _, cs in got for c in json.loads(cs)])
         yield pd.DataFrame({"names": [list(m.unary)], "unary": [[x for v in m.unary.values() for x in v.tolist()]], "chain": [m.chain.ravel().tolist()], "skip": [m.skip.ravel().tolist()]})
 
+    each = rows.mapInPandas(found, "doc_id long, h long, cases string").groupBy("doc_id").agg(F.min_by("cases", "h").alias("cases"))
+    sample = each.repartition(1)  # at most `most` rows of TRAIN_NODES cases
     r = sample.mapInPandas(learn, "names array<string>, unary array<double>, chain array<double>, skip array<double>").first()
     if r is None:
         return Model()

@@ -3,12 +3,15 @@
 A word is itself and its character n-grams, each hashed to one of BUCKETS learned vectors of DIM numbers; a document
 is the average of all vectors of all its words, and a softmax over two classes gives the score of label 1.  numpy
 stochastic gradient descent learns vectors and output on at most TRAIN_ROWS labelled documents (those with the
-least hash of doc_id), whole texts, in one task; the model is a few megabytes.  Scoring reads every whole text: with
+least hash of doc_id), whole texts: the tasks that read them turn each into its buckets and shares, at most BUCKETS
+numbers, and one task learns from these; the model is a few megabytes.  Scoring reads every whole text: with
 the model fixed, a word adds a constant, so it is hashed once per worker and kept in a bounded dictionary.
 
 Nulls: a null text is empty, and a text without words gets the score of the output's bias.  Rows with a null doc_id
 are scored and count as not held out, but are never used to learn.  Without labelled rows every score is 0.5.
-Repeated rows are scored alike.  Labels that disagree on one doc_id: the smallest is used.
+Repeated rows are scored alike; of repeated doc_ids, the text of the least hash is learned from, and of labels that
+disagree on one doc_id the smallest.  Very long texts are scored word by word.  Columns named score and predicted are
+replaced.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,12 +56,11 @@ def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return ids, (n / max(1, len(every))).astype(np.float32)
 
 
-def train(rows: list[tuple[str, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """(vectors, output) after stochastic gradient descent in a fixed order of documents."""
+def train(seen: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors, output) after stochastic gradient descent over (buckets, shares, label), in a fixed order of documents."""
     rng = np.random.default_rng(seed)
     vectors = ((rng.random((BUCKETS, DIM), np.float32) - 0.5) * (2 / DIM)).astype(np.float32)
     output = np.zeros((DIM + 1, 2), np.float32)  # the last row is the bias
-    seen = [(*document_features(t), y) for t, y in rows]
     steps, done = max(1, epochs * len(seen)), 0
     for _ in range(epochs):
         for k in rng.permutation(len(seen)):
@@ -89,18 +91,29 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> bytes:
     by_id = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     usable = by_id.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"))
     ids = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most `most` pairs of integers
-    chosen = {r.doc_id: r.y for r in ids.collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(chosen)
-    keys = docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id long")
+    keys = docs.sparkSession.createDataFrame([(r.doc_id, r.y) for r in ids.collect()], "doc_id long, y int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    sample = rows.join(F.broadcast(keys), "doc_id").repartition(1)  # bounded: `most` long integers are sent, and as many rows shuffled
+    sample = rows.join(F.broadcast(keys), "doc_id").withColumn("h", F.xxhash64("text"))  # bounded: `most` pairs of integers are sent
+
+    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [document_features(t) for t in pdf["text"]]
+            yield pdf[["doc_id", "y", "h"]].assign(
+                buckets=pd.Series([f[0].astype(np.int32) for f in found], dtype=object, index=pdf.index), share=pd.Series([f[1] for f in found], dtype=object, index=pdf.index)
+            )
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = sorted((i, t) for pdf in batches for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True))
+        found: list[tuple] = []
+        for pdf in batches:
+            found += zip(pdf["doc_id"].tolist(), pdf["buckets"], pdf["share"], pdf["y"].tolist(), strict=True)
+        found.sort(key=lambda f: f[0])
         if found:
-            yield pd.DataFrame({"model": [packed(*train([(t, sent.value[i]) for i, t in found]))]})
+            seen = [(np.asarray(b, np.int64), np.asarray(s, np.float32), y) for _, b, s, y in found]
+            yield pd.DataFrame({"model": [packed(*train(seen))]})
 
-    got = sample.mapInPandas(learn, "model binary").first()
+    each = sample.mapInPandas(featured, "doc_id long, y int, h long, buckets array<int>, share array<float>")
+    one = each.groupBy("doc_id", "y").agg(F.min_by(F.struct("buckets", "share"), "h").alias("f")).select("doc_id", "y", "f.*")  # a row an id
+    got = one.repartition(1).mapInPandas(learn, "model binary").first()
     return bytes(got.model) if got else packed(np.zeros((BUCKETS, DIM), np.float32), np.zeros((DIM + 1, 2), np.float32))
 
 

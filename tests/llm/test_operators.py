@@ -169,6 +169,70 @@ def test_op6(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_op6_marginals():
+    """Message passing against enumeration: exact on a tree, close on a loop; and what training learns is kept."""
+    import itertools
+
+    def enumerated(g, model):
+        n, m = len(g.spans), len(pii.LABELS)
+        unary = [model.scores(pii.features(p, b)) for p, b in zip(g.pieces, g.before, strict=True)]
+        out = np.zeros((n, m))
+        for ys in itertools.product(range(m), repeat=n):
+            if all(not o or o == y for o, y in zip(g.base, ys, strict=True)):
+                z = sum(unary[i][y] for i, y in enumerate(ys) if not g.base[i]) + sum(model.chain[ys[i], ys[i + 1]] for i in range(n - 1)) + sum(model.skip[ys[a], ys[b]] for a, b in g.skips)
+                for i, y in enumerate(ys):
+                    out[i, y] += np.exp(z)
+        return out / out.sum(1, keepdims=True)
+
+    rng = np.random.default_rng(3)
+    model = pii.Model({"bias": rng.normal(size=5), "digits11": rng.normal(size=5)}, rng.normal(size=(5, 5)) / 2, np.eye(5) * 1.5)
+    for text, most in (("call 49301234567 or 44209876543 or a@b.co today", 1e-4), ("+49301234567 x 44201234567 y 49301234567 z a (at) b.co", 0.08)):
+        base = pii.base_spans(text)
+        g = pii.Graph(text, base, pii.other_nodes(text, base))
+        assert np.abs(pii.marginals(g, model, 200) - enumerated(g, model)).max() < most
+    texts = [f"+49301234{i:03d} then 49301234{i:03d} and 88{i:03d}77665544" for i in range(100)]
+    learned = pii.train([c for t in texts for c in pii.cases(pii.Graph(t, pii.base_spans(t), pii.other_nodes(t, pii.base_spans(t))))])
+    assert learned.skip[4, 4] > learned.skip[4, 0] + 1 and learned.skip[0, 0] > learned.skip[0, 4]
+    assert len({round(x, 6) for x in learned.skip.diagonal()}) > 1
+
+
+def test_fits_are_bounded(spark):
+    """Five hundred rows of two labelled ids give two rows to learn from, and scores and spans for all of them."""
+    rows = [(i % 2, f"word{i} +4930123456{i % 10} mail{i}@host.org") for i in range(500)] + [(None, "x"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("predicted", F.lit("clash")).withColumn("h", F.lit("clash")).withColumn("y", F.lit("clash"))
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score_documents(docs, labels, 2).count() == 502 and pii.find_pii(docs, pii.fit(docs, 2)).count() == 502
+    assert quality.score_documents(docs.limit(0), labels).count() == 0
+    got = {str(r.doc_id): r for r in quality.score_documents(docs, labels).where("doc_id is null or doc_id = 7").collect()}
+    assert len(got) == 2 and all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_op6_brute_force(spark):
+    """Spans and digests of odd texts against the contract's patterns; a text of many nodes; repeated rows."""
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+
+    def wanted(text):
+        out = []
+        for kind, pattern in enumerate(patterns):
+            for m in re.finditer(pattern, text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if kind == 1 and any(int(x) > 255 for x in m[0].split(".")) or kind == 2 and not (16 <= len(digits) <= 19 and pii.luhn(digits)) or kind == 3 and not 8 <= len(digits) <= 15:
+                    continue
+                out.append((kind, *m.span()))
+        return out
+
+    rng = random.Random(6)
+    alphabet = ["a", "b.", "@", "1", "23", "+4", ".", "-", " ", "(", ")", "é", "4111 1111 1111 1111", "1.2.3.4", "x@y.zz", "+49 301234567"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(400)] + [" ".join(f"+4930{i:07d} u{i}@h.org 4930{i:07d}" for i in range(3000))]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("spans", F.lit(1))
+    got = pii.find_pii(docs, pii.fit(docs)).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        base = wanted(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in base) for kind in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.joined(base).encode()).hexdigest() and set(pii.joined(base).split(",")) - {""} <= set(r.spans.split(","))
+
+
 def test_op6_without_base(spark):
     """The field runs on a text without base spans: its forms alone can be certain."""
     weight = [9.0 if k and pii.KINDS[k - 1] == "phone" else 0.0 for k in range(len(pii.KINDS) + 1)]
