@@ -11,8 +11,10 @@ come out in reply order, without quoted lines.
 Hot conversations and passages: originals are aggregated before the shuffle, and Spark splits the hot side of the
 join.  Passages are found inside a row, so no conversation is gathered in one task.
 
+Ties: of messages that hold a passage the earliest counts, and of passages of one level the latest such message.
 Nulls: a null text is empty; rows with a null conv_id or turn keep their own words and are linked to nothing.
-Repeated (conv_id, turn) rows stay separate rows with equal links.  Empty tables give no rows.
+Repeated (conv_id, turn) rows stay separate rows with equal links.  Very long messages take time in proportion to their
+lines.  Other columns, of whatever name, are ignored.  Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,24 +31,22 @@ def line_level(line: Column) -> Column:
     return F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 0), "[^>]", ""))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def passages(text: Column) -> Column:
-    """ARRAY<STRUCT<level, words>>: consecutive lines of one level, joined by a line feed."""
-    lines = F.transform(
-        F.split(text, "\r\n|\n", -1),
-        lambda x: F.struct(line_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("words")),
-    )
-    empty = F.array().cast("array<struct<level:int,words:string>>")
-    start = F.struct(empty.alias("done"), F.lit(-1).alias("level"), F.lit("").alias("words"))
-    closed = lambda acc: F.when(acc["level"] < 0, acc["done"]).otherwise(
-        F.concat(acc["done"], F.array(F.struct(acc["level"].alias("level"), acc["words"].alias("words"))))
-    )
-    step = lambda acc, x: F.when(
-        acc["level"] == x["level"],
-        F.struct(acc["done"].alias("done"), acc["level"].alias("level"), F.concat(acc["words"], F.lit("\n"), x["words"]).alias("words")),
-    ).otherwise(F.struct(closed(acc).alias("done"), x["level"].alias("level"), x["words"].alias("words")))
-    folded = F.aggregate(lines, start, step, closed)
+    """ARRAY<STRUCT<level, words>>: consecutive lines of one level, joined by a line feed.  A passage begins where the level
+    changes and is cut out as a slice, so a message takes time in proportion to its lines."""
+    line = lambda x: F.struct(line_level(x).alias("level"), F.regexp_replace(x, _MARKS, "").alias("words"))
+    level = lambda ls, i: F.get(ls, i)["level"]
+    begins = lambda ls: F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: (i == 0) | (level(ls, i) != level(ls, i - 1)))
+    words = lambda ls, i, n: F.array_join(F.transform(F.slice(ls, i + 1, n), lambda x: x["words"]), "\n")
+    cut = lambda ls, bs: F.transform(bs, lambda i, k: F.struct(level(ls, i).alias("level"), words(ls, i, F.coalesce(F.get(bs, k + 1), F.size(ls)) - i).alias("words")))
+    folded = bound(F.transform(F.split(text, "\r\n|\n", -1), line), lambda ls: bound(begins(ls), lambda bs: cut(ls, bs)))
     plain = F.array(F.struct(F.lit(0).alias("level"), text.alias("words")))
-    return F.when(text.contains(">"), folded).otherwise(plain)  # most messages quote nothing: no fold
+    return F.when(text.contains(">"), folded).otherwise(plain)  # most messages quote nothing
 
 
 def normalised(words: Column) -> Column:
