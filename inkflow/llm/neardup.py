@@ -11,14 +11,16 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
    candidates a row.  Texts whose lengths differ by more than a fifth of the longer one are no candidates.
 3. Candidates are verified by banded alignment, and links become classes by alternating star contraction; each round is
    written to the shared folder.
-4. What the second step left out is found exactly.  Runs of one class need no more.  In a run of several classes every
-   two nodes of different classes and of about one length are candidates, while it has at most RUN nodes.  The nodes of longer runs, and all
-   texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes one word and two
-   pairs of neighbouring words, so linked texts share at least (longer length - edits) words and (longer length - 1 -
-   2 edits) pairs, and in one fixed order of all words or pairs the first few of one text hold one of the first few of
-   the other.  The order puts frequent ones last.  Values of one class give no candidates; those of many nodes are split
-   into blocks, and every two blocks are a group of their own.
-5. These candidates are verified as well, and the classes are made again with their links.
+4. In runs of several classes each node is compared with one node of the largest class, ROUNDS times, which joins most of
+   what belongs together.
+5. What these steps left out is found exactly.  Runs of one class need no more.  In a run of several classes every two nodes
+   of different classes and of about one length are candidates, while it has at most RUN nodes.  The nodes of longer runs,
+   and all texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes one word, so
+   linked texts share at least (longer length - edits) words, and in one fixed order of all words the first few of one text
+   hold one of the first few of the other.  The order puts frequent ones last.  Words of one class give no candidates; those
+   of many nodes are split into blocks, and every two blocks are a group of their own.  Bits of the texts' words, of which no
+   more than the edits can be set on one side only, drop most pairs before their texts are read.
+6. These candidates are verified as well, and the classes are made again with their links.
 
 So a link between classes is lost only if its texts are longer than SHORT words and share none of the sketches; the
 README gives the measured recall.  n_links counts the links verified on the way, as texts already in one class are not
@@ -48,6 +50,8 @@ SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
 KEPT_WORDS, KEPT_NODES = 400_000, 200_000
 #: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
 RUN, SHORT = 40, 100
+#: How often nodes are compared with their runs' largest classes before all pairs of classes are looked at.
+ROUNDS = 2
 #: Texts whose words and pairs are counted for the filter's order, slots of the counts, and nodes in a block.
 COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
 #: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
@@ -322,8 +326,8 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Da
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([similar(a, b, least) for a, b in zip(x, y, strict=True)], dtype=bool)
 
-    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("key").alias("k"), F.col("text").alias("x")), "a")
-    both = one.join(texts.select(F.col("id").alias("b"), F.col("key").alias("l"), F.col("text").alias("y")), "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("key").alias("k"), F.col("text").alias("x")).hint("merge"), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("key").alias("l"), F.col("text").alias("y")).hint("merge"), "b")
     return both.where(close("x", "y")).select(F.least("k", "l").alias("a"), F.greatest("k", "l").alias("b"))
 
 
@@ -358,41 +362,53 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
-def left_out(live: DataFrame, roots: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
-    """From the runs' rows (s, q, id) and (id, root) of what is linked: the pairs of nodes of different classes and about one
-    length in runs of at most RUN nodes, and the ids of longer runs of several classes."""
+def mixed_runs(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """(s, q, id, root, n): the rows (s, q, id) of the runs with nodes of several classes, and the run's number of rows."""
     spark = live.sparkSession
-    rows = store(live.join(roots, "id", "left").select("s", "q", "id", F.coalesce("root", "id").alias("root")), shared_dir(spark, "rooted"))
+    rows = live.join(roots.hint("merge"), "id", "left").select("s", "q", "id", F.coalesce("root", "id").alias("root"))
+    rows = store(rows, shared_dir(spark, "rooted"))
     mixed = rows.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("s", "n")
-    mixed = store(rows.join(mixed, "s"), shared_dir(spark, "mixed"))
+    return store(rows.join(mixed.hint("merge"), "s"), shared_dir(spark, "mixed"))
+
+
+def to_main_class(mixed: DataFrame, far: int) -> DataFrame:
+    """Pairs of each node with a node of its run's largest class, another one in each run: a candidate a row."""
+    each = mixed.groupBy("s", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "q"), F.xxhash64("s", "id")).alias("of"))
+    main = each.groupBy("s").agg(F.max_by(F.struct("root", "of"), F.struct("m", "root")).alias("main")).select("s", "main.root", "main.of.id", "main.of.q")
+    main = main.toDF("s", "root2", "id2", "q2")
+    close = (F.col("root") != F.col("root2")) & (F.abs(F.col("q") - F.col("q2")) <= far)
+    return mixed.join(main.hint("merge"), "s").where(close).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+
+
+def left_out(mixed: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of nodes of different classes and about one length in runs of at most RUN nodes, and the ids of longer ones."""
     few = mixed.where(F.col("n") <= RUN)
     other = few.select("s", F.col("q").alias("q2"), F.col("id").alias("id2"), F.col("root").alias("root2"))
     close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (F.abs(F.col("q") - F.col("q2")) <= far)
-    pairs = few.join(other, "s").where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    pairs = few.join(other.hint("merge"), "s").where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
     return pairs, mixed.where(F.col("n") > RUN).select("id").distinct()
 
 
-def prefix_length(n: int, q: int, least: float) -> int:
-    """How many of the first q-grams of a text of n words must be looked at, whatever the length of its partner."""
+def prefix_length(n: int, least: float) -> int:
+    """How many of the first words of a text of n words must be looked at, whatever the length of its partner."""
     longer = np.arange(n, int(n / least) + 2)
     edits = np.floor((1 - least) * longer + 1e-9).astype(int)
     fits = longer - n <= edits
-    return int((n - longer + q * edits + 1)[fits].max())
+    return int((n - longer + edits + 1)[fits].max())
 
 
-def prefix(words: list[str], q: int, least: float, counts: np.ndarray) -> np.ndarray:
-    """The first q-grams in the common order: by count, then by value."""
-    x = labelled(shingle_hashes(words, q))
-    k = min(prefix_length(len(words), q, least), len(x))
-    return x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[:k]]
+def prefix(words: list[str], least: float, counts: np.ndarray) -> np.ndarray:
+    """The first words, labelled with their occurrence numbers, in the common order: by count, then by value."""
+    x = labelled(word_hashes(words))
+    return x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[: prefix_length(len(words), least)]]
 
 
-def common_counts(texts: DataFrame, n: int, q: int) -> np.ndarray:
-    """Counts, at most 255, by slot of the q-grams and words of about COUNTED of n texts.  Any order is right."""
+def common_counts(texts: DataFrame, n: int) -> np.ndarray:
+    """Counts, at most 255, by slot of the words of about COUNTED of n texts.  Any order is right."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [labelled(shingle_hashes(w, k)) for w in map(str.split, pdf["text"]) if w for k in {1, q}]
+            parts = [labelled(word_hashes(w)) for w in map(str.split, pdf["text"]) if w]
             slot, many = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]) & np.uint64(SLOTS - 1), return_counts=True)
             yield pd.DataFrame({"slot": slot.astype(np.int32), "many": many})
 
@@ -408,54 +424,34 @@ def filtered(texts: DataFrame, least: float) -> DataFrame:
     """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
     left out."""
     spark = texts.sparkSession
-    q = 2 if least >= 0.8 else 1  # fewer words in common leave no pair for sure
-    counts = spark.sparkContext.broadcast(common_counts(texts, texts.count(), q))  # SLOTS bytes
-
-    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), 500):
-                part = pdf.iloc[start : start + 500]
-                words = [t.split() for t in part["text"]]
-                found = [prefix(w, q, least, counts.value) if w else np.empty(0, np.uint64) for w in words]
-                sizes = [len(f) for f in found]
-                yield pd.DataFrame({
-                    "gram": np.concatenate(found).view(np.int64), "id": np.repeat(part["id"].to_numpy(), sizes), "root": np.repeat(part["root"].to_numpy(), sizes),
-                    "n": np.repeat([len(w) for w in words], sizes), "at": np.concatenate([np.arange(k) for k in sizes]),
-                })
+    counts = spark.sparkContext.broadcast(common_counts(texts, texts.count()))  # SLOTS bytes
 
     def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "words": [prefix(t.split(), 1, least, counts.value).view(np.int64) for t in pdf["text"]]})
-
-    def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "bits": [word_bits(t.split()) for t in pdf["text"]]})
-
-    texts = texts.where("text rlike '\\\\S'")
-    rows = store(texts.select("id", "root", "text").mapInPandas(grams, "gram long, id long, root long, n int, at int"), shared_dir(spark, "grams"))
-    several = rows.groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many")).where("r1 <> r2")
-    live = rows.join(several.select("gram", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "gram")
-    live = live.join(store(texts.select("id", "text").mapInPandas(bits, "id long, bits array<long>"), shared_dir(spark, "bits")), "id")
-    live = live.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+            words = [t.split() for t in pdf["text"]]
+            found = pd.Series([prefix(w, least, counts.value).view(np.int64) if w else [] for w in words], dtype=object, index=pdf.index)
+            bits = pd.Series([word_bits(w) for w in words], dtype=object, index=pdf.index)
+            yield pdf[["id", "root"]].assign(n=np.array([len(w) for w in words], np.int32), bits=bits, words=found)
+
+    rows = store(texts.mapInPandas(first_words, "id long, root long, n int, bits array<long>, words array<long>"), shared_dir(spark, "words"))
+    places = rows.select("id", "root", "n", "bits", F.posexplode("words").alias("at", "word"))
+    # Counted with its classes before any row moves.
+    several = rows.select("root", F.explode("words").alias("word")).groupBy("word").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
+    several = store(several.where("r1 <> r2").select("word", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), shared_dir(spark, "common"))
+    live = places.join(several, "word").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    live = live.select("gram", "id", "root", "n", "at", "bits", "block", other).select(
-        "gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "id", "root", "n", "at", "bits"
-    )
+    kept = ("id", "root", "n", "at", "bits")
+    live = live.select("word", *kept, "block", other).select("word", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *kept)
     live = store(live, shared_dir(spark, "live"))
-    right = live.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in ("id", "root", "n", "at", "bits")))
+    right = live.select("word", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
     longer = F.greatest("n", "n2")
     edits = F.floor((1 - least) * longer + 1e-9)
-    # Of the first q-gram that two texts share, both sides have enough left.
-    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - q * edits
+    # Of the first word that two texts share, both sides have enough left.
+    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - edits
     only = lambda x, y: reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
     alike = (only("bits", "bits2") <= edits) & (only("bits2", "bits") <= edits)
-    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= edits) & ((longer < q) | enough) & alike
-    pairs = live.join(right, ["gram", "lo", "hi"]).where(close)
-    pairs = store(pairs.select("id", "id2").distinct(), shared_dir(spark, "pairs"))
-    needed = pairs.select(F.explode(F.array("id", "id2")).alias("id")).distinct()
-    words = store(texts.select("id", "text").join(needed, "id", "left_semi").mapInPandas(first_words, "id long, words array<long>"), shared_dir(spark, "words"))
-    both = pairs.join(words.select("id", F.col("words").alias("x")), "id").join(words.select(F.col("id").alias("id2"), F.col("words").alias("y")), "id2")
-    return both.where(F.arrays_overlap("x", "y")).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & enough & alike
+    return live.join(right.hint("merge"), ["word", "lo", "hi"]).where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def by_id(roots: DataFrame) -> DataFrame:
@@ -471,7 +467,15 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs, live = neighbours(rows, far)
     edges = store(verified(docs, pairs, least), shared_dir(spark, "links"))
     roots = store(components(edges), shared_dir(spark, "roots"))
-    pairs, hot = left_out(live, by_id(roots), far)
+    mixed = mixed_runs(live, by_id(roots))
+    for _ in range(ROUNDS):
+        more = store(verified(docs, to_main_class(mixed, far), least), shared_dir(spark, "merged"))
+        if more.isEmpty():
+            break
+        edges = store(edges.unionByName(more).distinct(), shared_dir(spark, "links"))
+        roots = store(components(edges), shared_dir(spark, "roots"))
+        mixed = mixed_runs(mixed.select("s", "q", "id"), by_id(roots))
+    pairs, hot = left_out(mixed, far)
     text = keyed(docs)
     most = int(SHORT / least) + 1  # words of the longest partner
     short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
@@ -479,7 +483,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     looked = store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), shared_dir(spark, "looked-at"))
     more = store(verified(docs, pairs.unionByName(filtered(looked, least)).distinct(), least), shared_dir(spark, "more"))
     if not more.isEmpty():
-        edges = edges.unionByName(more)
+        edges = edges.unionByName(more).distinct()
         roots = store(components(edges), shared_dir(spark, "roots"))
     degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     nodes = text.groupBy("key").agg(F.min("doc_id").alias("least"))
