@@ -106,13 +106,14 @@ def parse_list(c: Column) -> Column:
 
 def parse_url_list(c: Column) -> Column:
     parts = F.when(c.contains("\n"), F.split(c, "\n")).otherwise(F.split(c, ","))
-    return F.filter(F.transform(parts, strip), lambda x: x != "")
+    return F.array_distinct(F.filter(F.transform(parts, strip), lambda x: x != ""))
 
 
 def or_query(name: Column, keywords: Column) -> Column:
     terms = F.array_distinct(F.filter(F.transform(F.concat(F.array(name), keywords), strip), lambda x: x != ""))
-    quoted = F.transform(terms, lambda x: F.concat(F.lit('"'), strip(F.replace(x, F.lit('"'), F.lit(""))), F.lit('"')))
-    return F.when(F.size(terms) == 0, "").when(F.size(terms) == 1, F.element_at(quoted, 1)).otherwise(F.concat(F.lit("("), F.array_join(quoted, " OR "), F.lit(")")))
+    safe = F.filter(F.transform(terms, lambda x: strip(F.replace(x, F.lit('"'), F.lit("")))), lambda x: x != "")
+    quoted = F.transform(safe, lambda x: F.concat(F.lit('"'), x, F.lit('"')))
+    return F.when(F.size(quoted) == 0, "").when(F.size(quoted) == 1, F.get(quoted, F.lit(0))).otherwise(F.concat(F.lit("("), F.array_join(quoted, " OR "), F.lit(")")))
 
 
 def silo_number(c: Column) -> Column:
@@ -152,6 +153,11 @@ def occurrences(c: Column, needle: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(needle), F.lit("")))) / F.lit(len(needle))).cast("long")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def html_clean(c: Column) -> Column:
     """Text nodes on lines of their own, without script, style, noscript and comments; entities of the common kind."""
     bare = F.regexp_replace(c, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", "")

@@ -32,27 +32,34 @@ def with_chapters(docs: DataFrame, every: int = 8) -> DataFrame:
     return docs.where("text is not null").select("doc_id", F.posexplode(F.flatten(lines)).alias("line_no", "line"))
 
 
-def paragraphs(lines: DataFrame) -> DataFrame:
+def paragraphs(lines: DataFrame, main_content: bool = False) -> DataFrame:
     """doc_id, section_no (0: before the first header), title, paragraph_no, text.  One exchange by document serves
-    the windows and the grouping."""
+    the windows and the grouping.  With main_content, a document none of whose headers has a paragraph is one section, 0,
+    of that title, in which headers are text like any other."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    flagged = lines.withColumn("s", T.strip(F.col("line"))).withColumn("header", (F.col("s") != "") & is_header(F.col("s")))
-    marked = flagged.withColumn("section_no", F.sum(F.col("header").cast("long")).over(so_far)).withColumn(
-        "break_no", F.sum((F.col("header") | (F.col("s") == "")).cast("long")).over(so_far)
-    ).withColumn("title", F.last(F.when(F.col("header"), F.col("s")), True).over(so_far))
-    body = marked.where(~F.col("header") & (F.col("s") != ""))
+    c = F.col
+    flagged = lines.withColumn("s", T.strip(c("line"))).withColumn("header", (c("s") != "") & is_header(c("s")))
+    if main_content:
+        flagged = flagged.withColumn("after", F.sum(c("header").cast("long")).over(so_far))
+        flagged = flagged.withColumn("kept", F.max(~c("header") & (c("s") != "") & (c("after") > 0)).over(Window.partitionBy("doc_id"))).withColumn("header", c("header") & c("kept"))
+    marked = flagged.withColumn("section_no", F.sum(c("header").cast("long")).over(so_far)).withColumn(
+        "break_no", F.sum((c("header") | (c("s") == "")).cast("long")).over(so_far)
+    ).withColumn("title", F.last(F.when(c("header"), c("s")), True).over(so_far))
+    if main_content:
+        marked = marked.withColumn("title", F.when(c("kept"), c("title")).otherwise("Main Content"))
+    body = marked.where(~c("header") & (c("s") != ""))
     grouped = body.groupBy("doc_id", "section_no", "break_no").agg(
-        F.max("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", T.rstrip(F.col("line")).alias("line")))), lambda x: x["line"]).alias("lines")
+        F.max("title").alias("title"), F.transform(F.array_sort(F.collect_list(F.struct("line_no", T.rstrip(c("line")).alias("line")))), lambda x: x["line"]).alias("lines")
     )
     rank = Window.partitionBy("doc_id", "section_no").orderBy("break_no")
-    return grouped.select("doc_id", "section_no", "title", F.row_number().over(rank).cast("long").alias("paragraph_no"), T.dehyphenate(F.col("lines")).alias("text"))
+    return grouped.select("doc_id", "section_no", "title", F.row_number().over(rank).cast("long").alias("paragraph_no"), T.dehyphenate(c("lines")).alias("text"))
 
 
 def sections(paras: DataFrame) -> DataFrame:
-    """Sections that keep a paragraph, without the preamble; number is the count of kept ones so far plus one for
-    titles that begin with chapter."""
-    kept = paras.where("section_no > 0").groupBy("doc_id", "section_no").agg(
+    """Sections that keep a paragraph, without the preamble, which has no title; number is the count of kept ones so far plus
+    one for titles that begin with chapter."""
+    kept = paras.where("title is not null").groupBy("doc_id", "section_no").agg(
         F.max("title").alias("title"), F.count("*").alias("n_paragraphs"), F.sum(T.word_count(F.col("text"))).alias("n_words")
     )
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no")).cast("long")
@@ -60,14 +67,8 @@ def sections(paras: DataFrame) -> DataFrame:
 
 
 def text_sections(lines: DataFrame) -> DataFrame:
-    """sections(), and one Main Content section over all lines for documents that keep none."""
-    found = sections(paragraphs(lines)).select("doc_id", "section_no", "title", "number", "n_paragraphs", "n_words")
-    bare = lines.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-    flagged = bare.withColumn("s", T.strip(F.col("line")))
-    so_far = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    parts = flagged.withColumn("break_no", F.sum((F.col("s") == "").cast("long")).over(so_far)).where("s <> ''")
-    main = parts.groupBy("doc_id").agg(F.countDistinct("break_no").alias("n_paragraphs"), F.sum(T.word_count(F.col("line"))).alias("n_words"))
-    return found.unionByName(main.select("doc_id", F.lit(0).cast("long").alias("section_no"), F.lit("Main Content").alias("title"), F.lit(None).cast("long").alias("number"), "n_paragraphs", "n_words"))
+    """sections(), and one Main Content section over all lines for documents that keep none: one scan and one exchange."""
+    return sections(paragraphs(lines, True)).select("doc_id", "section_no", "title", "number", "n_paragraphs", "n_words")
 
 
 def first_flags(blocks: DataFrame) -> DataFrame:
@@ -86,13 +87,22 @@ def strip_gaps(lines: DataFrame) -> DataFrame:
     return lines.withColumn("mark", mark).withColumn("state", F.coalesce(F.last("mark", True).over(so_far), F.lit(0))).where("state = 0").select("doc_id", "line_no", "line")
 
 
-def heading_pairs(lines: DataFrame, most: int = 60) -> DataFrame:
-    """Non-overlapping pairs of a short line and one more than twice as long: odd ranks of each run of candidates."""
+def heading_pairs(lines: DataFrame, most: int = 50) -> DataFrame:
+    """Non-overlapping pairs of a short line and one more than twice as long, white space at the ends apart: odd ranks of
+    each run of candidates.  indented: the second begins with two blanks or tabs."""
     order = Window.partitionBy("doc_id").orderBy("line_no")
-    n = F.length("line")
-    pairs = lines.withColumn("next", F.lead("line").over(order)).withColumn(
-        "hit", F.coalesce((n > 0) & (n < most) & (F.length("next") > 2 * n), F.lit(False))
-    )
+    n, after = F.length(T.strip(F.col("line"))), F.length(T.strip(F.col("next")))
+    pairs = lines.withColumn("next", F.lead("line").over(order)).withColumn("hit", F.coalesce((n > 0) & (n < most) & (after > 2 * n), F.lit(False)))
     runs = pairs.withColumn("run", F.sum((~F.col("hit")).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = runs.where("hit").withColumn("rank", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no")))
-    return ranked.where("rank % 2 = 1").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "next")
+    return ranked.where("rank % 2 = 1").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line", "next", F.col("next").rlike("^[ \t]{2}").alias("indented"))
+
+
+def indentation(lines: DataFrame) -> DataFrame:
+    """doc_id, indented, eligible, ratio: lines that begin with two blanks or tabs, of these and of those lines of more than
+    ten characters that begin with neither a digit nor a capital."""
+    s = T.strip(F.col("line"))
+    inside = F.col("line").rlike("^[ \t]{2}")
+    other = ~inside & (F.length(s) > 10) & ~s.rlike(r"^[\p{Lu}\p{Nd}\x{b2}\x{b3}\x{b9}]")
+    n_in, n = F.count_if(inside), F.count_if(inside | other)
+    return lines.where(F.length(s) > 0).groupBy("doc_id").agg(n_in.alias("indented"), n.alias("eligible"), F.round(F.try_divide(n_in.cast("double"), n), 6).alias("ratio"))

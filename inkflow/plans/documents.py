@@ -26,8 +26,14 @@ def silo_word_totals(spark, sf_dir):
     return docs(spark, sf_dir).groupBy((F.col("doc_id") % 11).alias("silo")).agg(F.sum(T.word_count(F.col("text"))).alias("n_words"), F.count("*").alias("n_docs"))
 
 
+DRAFT_CAP = 25_000
+#: Fixed value: how a draft cites a source.
+CITATION = "[^src-"
+
+
 def citation_counts(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.occurrences(F.col("text"), "the").alias("n_hits"))
+    """Citations of composed drafts, one in place of each "of"."""
+    return docs(spark, sf_dir).select("doc_id", T.occurrences(F.replace("text", F.lit(" of "), F.lit(f" {CITATION}1] ")), CITATION).alias("n_hits"))
 
 
 def web_snippets(spark, sf_dir):
@@ -50,7 +56,7 @@ def chunk_paragraphs(spark, sf_dir):
 
 
 def chunk_words(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunk_by(T.words(F.col("text")), 2000, " ", 1, False)).alias("chunk_no", "chunk"))
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(T.chunk_by(T.words(F.col("text")), 2000, " ", 2, False)).alias("chunk_no", "chunk"))
     return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk_no"), F.md5(F.col("chunk").cast("binary")).alias("digest"), F.length("chunk").cast("long").alias("n_chars"))
 
 
@@ -70,9 +76,10 @@ def structure_counts(spark, sf_dir):
 def _blocks(spark, sf_dir):
     """Each kept section as a heading block 0 and its paragraphs; every fifth paragraph is a quote."""
     p = structure.paragraphs(structure.with_chapters(docs(spark, sf_dir))).where("section_no > 0")
-    body = p.select("doc_id", "section_no", F.col("paragraph_no").alias("block_no"), F.when(F.col("paragraph_no") % 5 == 0, "quote").otherwise("paragraph").alias("type"), "text")
-    heads = p.groupBy("doc_id", "section_no").agg(F.max("title").alias("text")).select("doc_id", "section_no", F.lit(0).cast("long").alias("block_no"), F.lit("heading").alias("type"), "text")
-    return body.unionByName(heads)
+    no = F.col("paragraph_no")
+    own = F.struct(no.alias("block_no"), F.when(no % 5 == 0, "quote").otherwise("paragraph").alias("type"), F.col("text"))
+    head = F.struct(F.lit(0).cast("long").alias("block_no"), F.lit("heading").alias("type"), F.col("title").alias("text"))
+    return p.select("doc_id", "section_no", F.inline(F.when(no == 1, F.array(head, own)).otherwise(F.array(own))))
 
 
 def first_para_flags(spark, sf_dir):
@@ -111,9 +118,7 @@ def heading_pairs(spark, sf_dir):
 
 
 def indent_ratio(spark, sf_dir):
-    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.length(T.strip(F.col("line"))) > 0)
-    n_in = F.count_if(F.col("line").rlike("^[ \t]{2,}"))
-    return lines.groupBy("doc_id").agg(n_in.alias("indented"), F.count("*").alias("eligible"), F.round(F.try_divide(n_in.cast("double"), F.count("*")), 6).alias("ratio"))
+    return structure.indentation(docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")))
 
 
 def sparse_pages(spark, sf_dir):
@@ -121,18 +126,32 @@ def sparse_pages(spark, sf_dir):
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines")).where("n_lines < 5")
 
 
-def compile_manuscript(spark, sf_dir):
-    """Per source: final text where there is one (even documents), else the draft, stripped and in order."""
+def manuscript_parts(spark, sf_dir):
+    """source, doc_id, t: final text where there is one (even documents), else the draft, stripped; empty ones drop."""
     d = docs(spark, sf_dir)
     final = d.where("doc_id % 2 = 0").select("doc_id", F.concat(F.lit("Final. "), "text").alias("final"))
-    part = d.join(final, "doc_id", "left").select("source", "doc_id", T.strip(F.coalesce("final", "text", F.lit(""))).alias("t")).where("t <> ''")
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", F.md5(F.col("t").cast("binary")).alias("d"))))
-    return part.groupBy("source").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["d"]), "\n\n").cast("binary")).alias("digest"), F.sum(F.length("t")).alias("n_chars"))
+    return d.join(final, "doc_id", "left").select("source", "doc_id", T.strip(F.coalesce("final", "text", F.lit(""))).alias("t")).where("t <> ''")
+
+
+def compile_manuscript(spark, sf_dir):
+    """Each source's manuscript as its parts in order: where a part begins when they are joined by an empty line, its length
+    and digest.  No source is gathered: offsets come from sums per range of doc_id."""
+    parts = manuscript_parts(spark, sf_dir).select("source", "doc_id", (F.length("t") + 2).cast("long").alias("n"), F.md5(F.col("t").cast("binary")).alias("digest"))
+    return words_before(parts, ["source"]).select("source", "doc_id", F.col("before").alias("offset"), (F.col("n") - 2).alias("n_chars"), "digest")
+
+
+def write_manuscripts(parts, path):
+    """Text files by source, whose lines in the order of file names are the manuscript: parts with an empty line between
+    them and a line feed at the end."""
+    n = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = words_before(parts.select("source", "doc_id", "t", F.lit(1).cast("long").alias("n")), ["source"])
+    lines = first.select("source", "doc_id", F.when(F.col("before") == 0, F.col("t")).otherwise(F.concat(F.lit("\n"), "t")).alias("value"))
+    lines.repartitionByRange(n, "source", "doc_id").sortWithinPartitions("source", "doc_id").select("source", "value").write.partitionBy("source").text(path)
 
 
 def size_bucket_avg(spark, sf_dir):
     n = T.word_count(F.col("text"))
-    b = docs(spark, sf_dir).select(F.when(n < 200, "small").when(n < 1000, "medium").otherwise("large").alias("bucket"), n.alias("n"))
+    b = docs(spark, sf_dir).select(F.when(n < 5000, "small").when(n < 20000, "medium").otherwise("large").alias("bucket"), n.alias("n"))
     return b.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.round(F.avg("n"), 6).alias("avg_words"))
 
 
@@ -158,10 +177,10 @@ def words_before(rows, group, size=10_000):
 
 
 def draft_cap_gate(spark, sf_dir):
-    """Per language and hundred of doc_id, as the query's SQL has it, documents in order are admitted while the words before
-    them stay under the cap; words_before does the same for a whole language."""
-    d = docs(spark, sf_dir).select("doc_id", "lang", (F.floor(F.col("doc_id") / 100)).alias("shard"), T.word_count(F.col("text")).alias("n"))
-    return words_before(d, ["lang", "shard"]).select("doc_id", "before", (F.col("before") < 5000).alias("admitted"))
+    """Per language, documents in order are admitted while the words before them stay under the cap: the one that crosses it
+    is the last."""
+    d = docs(spark, sf_dir).select("doc_id", "lang", T.word_count(F.col("text")).alias("n"))
+    return words_before(d, ["lang"]).select("doc_id", "before", F.when(F.col("before") < DRAFT_CAP, "admitted").otherwise("draft_total_cap").alias("reason"))
 
 
 def rule_engine_docs(spark, sf_dir):
@@ -245,7 +264,7 @@ checks AS (
 CATALOGUE = {
     "doc_word_counts": (doc_word_counts, f"SELECT doc_id, {S.count('text')} AS n_words FROM documents"),
     "silo_word_totals": (silo_word_totals, f"SELECT doc_id % 11 AS silo, CAST(sum({S.count('text')}) AS BIGINT) AS n_words, count(*) AS n_docs FROM documents GROUP BY 1"),
-    "citation_counts": (citation_counts, "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS BIGINT) AS n_hits FROM documents"),
+    "citation_counts": (citation_counts, "SELECT doc_id, CAST((length(t) - length(replace(t, '[^src-', ''))) / 6 AS BIGINT) AS n_hits FROM (SELECT doc_id, replace(text, ' of ', ' [^src-1] ') AS t FROM documents)"),
     "web_snippets": (web_snippets, f"SELECT doc_id, array_to_string(({S.words('text')})[1:40], ' ') AS snippet FROM documents"),
     "normalize_pdf": (_normal(T.normalize_pdf), _digest(f"regexp_replace({S.replaced('text', T.SPACES)}, '{_symbols(T.SYMBOL_RANGES)}', '', 'g')")),
     "normalize_latin1": (_normal(T.normalize_latin1), _digest(f"regexp_replace({S.replaced('text', T.LATIN1)}, '[^\\x{{0}}-\\x{{ff}}]', '', 'g')")),
@@ -254,7 +273,7 @@ CATALOGUE = {
     "escape_xml": (_normal(T.escape_xml), _digest(S.replaced("text", [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]))),
     "escape_markup": (_normal(T.escape_html), _digest(_ESC)),
     "chunk_paragraphs": (chunk_paragraphs, _chunks(f"list_filter(string_split(text, chr(10)), lambda x: {S.strip('x')} <> '')", 3500, "chr(10) || chr(10)", 2, True)),
-    "chunk_words": (chunk_words, _chunks(S.words("text"), 2000, "' '", 1, False)),
+    "chunk_words": (chunk_words, _chunks(S.words("text"), 2000, "' '", 2, False)),
     "text_paragraphs": (text_paragraphs, f"WITH {S.PARAGRAPHS} SELECT * FROM paragraphs"),
     "text_sections": (text_sections, f"WITH {S.PARAGRAPHS} SELECT * FROM text_sections"),
     "structure_counts": (structure_counts, f"WITH {S.PARAGRAPHS} SELECT doc_id, count(*) AS n_sections, CAST(sum(n_paragraphs) AS BIGINT) AS n_paragraphs, CAST(sum(n_words) AS BIGINT) AS n_words FROM text_sections GROUP BY doc_id"),
@@ -266,16 +285,18 @@ CATALOGUE = {
 s AS (SELECT *, last_value(CASE WHEN starts_with(lower({S.strip('line')}), '**evidence') OR starts_with(lower({S.strip('line')}), 'evidence gap') THEN 1 WHEN starts_with(line, '#') THEN 0 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS st FROM m)
 SELECT doc_id, count(*) AS n_lines, CAST(sum(line_no) AS BIGINT) AS line_sum FROM s WHERE coalesce(st, 0) = 0 GROUP BY doc_id"""),
     "heading_pairs": (heading_pairs, f"""WITH {S.LINES}, p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS nxt FROM lines),
-h AS (SELECT *, coalesce(length(line) > 0 AND length(line) < 60 AND length(nxt) > 2 * length(line), false) AS hit FROM p),
+h AS (SELECT *, coalesce(length({S.strip('line')}) > 0 AND length({S.strip('line')}) < 50 AND length({S.strip('nxt')}) > 2 * length({S.strip('line')}), false) AS hit FROM p),
 r AS (SELECT *, sum(CAST(NOT hit AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM h),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY line_no) AS rk FROM r WHERE hit)
-SELECT doc_id, line_no, line, nxt AS next FROM k WHERE rk % 2 = 1"""),
-    "indent_ratio": (indent_ratio, f"SELECT doc_id, count(*) FILTER (regexp_matches(line, '^[ \\t]{{2,}}')) AS indented, count(*) AS eligible, round(count(*) FILTER (regexp_matches(line, '^[ \\t]{{2,}}')) / count(*), 6) AS ratio FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length({S.strip('line')}) > 0 GROUP BY doc_id"),
+SELECT doc_id, line_no, line, nxt AS next, regexp_matches(nxt, '^[ \\t]{{2}}') AS indented FROM k WHERE rk % 2 = 1"""),
+    "indent_ratio": (indent_ratio, f"""WITH l AS (SELECT doc_id, regexp_matches(line, '^[ \\t]{{2}}') AS inside, {S.strip('line')} AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
+f AS (SELECT doc_id, inside, NOT inside AND length(s) > 10 AND NOT regexp_matches(s, '^[\\p{{Lu}}\\p{{Nd}}\\x{{b2}}\\x{{b3}}\\x{{b9}}]') AS other FROM l WHERE length(s) > 0)
+SELECT doc_id, count(*) FILTER (inside) AS indented, count(*) FILTER (inside OR other) AS eligible, round(count(*) FILTER (inside) / nullif(count(*) FILTER (inside OR other), 0), 6) AS ratio FROM f GROUP BY doc_id"""),
     "sparse_pages": (sparse_pages, f"SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length({S.strip('line')}) > 0 GROUP BY doc_id HAVING count(*) < 5"),
-    "compile_manuscript": (compile_manuscript, f"SELECT source, md5(string_agg(md5(t), chr(10) || chr(10) ORDER BY doc_id)) AS digest, CAST(sum(length(t)) AS BIGINT) AS n_chars FROM (SELECT source, doc_id, {S.strip("CASE WHEN doc_id % 2 = 0 THEN 'Final. ' || text ELSE text END")} AS t FROM documents) WHERE t <> '' GROUP BY source"),
-    "size_bucket_avg": (size_bucket_avg, f"SELECT CASE WHEN n < 200 THEN 'small' WHEN n < 1000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n_docs, round(avg(n), 6) AS avg_words FROM (SELECT {S.count('text')} AS n FROM documents) GROUP BY 1"),
+    "compile_manuscript": (compile_manuscript, f"SELECT source, doc_id, CAST(coalesce(sum(n + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", n AS n_chars, digest FROM (SELECT source, doc_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (SELECT source, doc_id, {S.strip("CASE WHEN doc_id % 2 = 0 THEN 'Final. ' || text ELSE text END")} AS t FROM documents) WHERE t <> '')"),
+    "size_bucket_avg": (size_bucket_avg, f"SELECT CASE WHEN n < 5000 THEN 'small' WHEN n < 20000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n_docs, round(avg(n), 6) AS avg_words FROM (SELECT {S.count('text')} AS n FROM documents) GROUP BY 1"),
     "cost_rollup": (cost_rollup, f"SELECT CASE lang WHEN 'en' THEN 'large' WHEN 'de' THEN 'small' ELSE 'other' END AS model, count(*) AS n_calls, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n / 1000 * CASE lang WHEN 'de' THEN 0.0015::DOUBLE ELSE 0.01::DOUBLE END + n / 4 / 1000 * CASE lang WHEN 'de' THEN 0.002::DOUBLE ELSE 0.03::DOUBLE END), 6) AS cost FROM (SELECT lang, {S.count('text')}::DOUBLE AS n FROM documents) GROUP BY 1"),
-    "draft_cap_gate": (draft_cap_gate, f"SELECT doc_id, b AS before, b < 5000 AS admitted FROM (SELECT doc_id, CAST(coalesce(sum(n) OVER (PARTITION BY lang, doc_id // 100 ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM (SELECT doc_id, lang, {S.count('text')} AS n FROM documents))"),
+    "draft_cap_gate": (draft_cap_gate, f"SELECT doc_id, b AS before, CASE WHEN b < {DRAFT_CAP} THEN 'admitted' ELSE 'draft_total_cap' END AS reason FROM (SELECT doc_id, CAST(coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM (SELECT doc_id, lang, {S.count('text')} AS n FROM documents))"),
     "rule_engine_docs": (rule_engine_docs, _CHECKS + " SELECT * FROM checks"),
     "severity_rollup": (severity_rollup, _CHECKS + " SELECT doc_id, CASE max(CASE status WHEN 'error' THEN 3 WHEN 'fail' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'fail' WHEN 1 THEN 'warning' ELSE 'pass' END AS overall FROM checks GROUP BY doc_id"),
     "status_pivot": (status_pivot, _CHECKS + " SELECT check_name, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("pass", "warning", "fail", "error", "info")) + " FROM checks GROUP BY check_name"),

@@ -60,6 +60,11 @@ LINES = """lines AS (
     SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 8 = 0 AND i > 1 THEN ['Chapter ' || CAST((i - 1) // 8 AS VARCHAR), x] ELSE [x] END)) AS ls
     FROM documents WHERE text IS NOT NULL))"""
 HEADER = r"(regexp_matches(lower(s), '^(chapter|letter|part|section)\s+(\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|[a-z])') OR regexp_matches(lower(s), '^(\d+|[ivxlcdm]+)\.(\s+\S.{0,40})?$'))"
+#: The lines of a group joined to a paragraph.
+_JOINED = (
+    f"replace(replace(array_to_string(list_transform(list(line ORDER BY line_no), lambda x, i: regexp_replace(CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^{WS}+', '') END, "
+    f"'{WS}+$', '')), chr(10)), '-' || chr(10), ''), chr(10), ' ')"
+)
 PARAGRAPHS = f"""{LINES}, flagged AS (SELECT *, s <> '' AND {HEADER} AS header FROM (SELECT *, {strip('line')} AS s FROM lines)),
 marked AS (
   SELECT *, sum(CAST(header AS INT)) OVER w AS section_no, sum(CAST(header OR s = '' AS INT)) OVER w AS break_no,
@@ -67,14 +72,15 @@ marked AS (
   FROM flagged WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
 paragraphs AS (
   SELECT doc_id, CAST(section_no AS BIGINT) AS section_no, max(title) AS title, row_number() OVER (PARTITION BY doc_id, section_no ORDER BY break_no) AS paragraph_no,
-         replace(replace(array_to_string(list_transform(list(line ORDER BY line_no), lambda x, i: regexp_replace(CASE WHEN i = 1 THEN x ELSE regexp_replace(x, '^{WS}+', '') END, '{WS}+$', '')), chr(10)), '-' || chr(10), ''), chr(10), ' ') AS text
+         {_JOINED} AS text
   FROM marked WHERE NOT header AND s <> '' GROUP BY doc_id, section_no, break_no),
 kept AS (SELECT doc_id, section_no, max(title) AS title, count(*) AS n_paragraphs, CAST(sum({count('text')}) AS BIGINT) AS n_words FROM paragraphs WHERE section_no > 0 GROUP BY doc_id, section_no),
 sections AS (SELECT *, CASE WHEN lower(title) LIKE 'chapter%' THEN row_number() OVER (PARTITION BY doc_id ORDER BY section_no) END AS number FROM kept),
-main AS (
-  SELECT doc_id, 0 AS section_no, 'Main Content' AS title, NULL AS number, count(DISTINCT break_no) AS n_paragraphs, CAST(sum({count('line')}) AS BIGINT) AS n_words FROM (
-    SELECT doc_id, line, s, sum(CAST(s = '' AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS break_no FROM flagged
-    WHERE doc_id NOT IN (SELECT doc_id FROM sections)) WHERE s <> '' GROUP BY doc_id),
+whole AS (
+  SELECT doc_id, {_JOINED} AS text FROM (
+    SELECT doc_id, line_no, line, s, sum(CAST(s = '' AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS break_no FROM flagged
+    WHERE doc_id NOT IN (SELECT doc_id FROM sections)) WHERE s <> '' GROUP BY doc_id, break_no),
+main AS (SELECT doc_id, 0 AS section_no, 'Main Content' AS title, NULL AS number, count(*) AS n_paragraphs, CAST(sum({count('text')}) AS BIGINT) AS n_words FROM whole GROUP BY doc_id),
 text_sections AS (
   SELECT doc_id, section_no, title, number, n_paragraphs, n_words FROM sections
   UNION ALL SELECT doc_id, CAST(section_no AS BIGINT), title, CAST(number AS BIGINT), n_paragraphs, n_words FROM main)"""
