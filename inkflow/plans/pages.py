@@ -13,11 +13,17 @@ TERMS = ["tion", "schen", "ación"]
 MIN_WORDS = 300
 
 
+def cleaned(pages) -> DataFrame:
+    """page_id, clean, n_words: each page is cleaned and counted once."""
+    both = T.bound(T.html_clean(F.col("html")), lambda t: F.struct(t.alias("clean"), T.word_count(t).alias("n_words")))
+    return pages.select("page_id", both.alias("c")).select("page_id", "c.clean", "c.n_words")
+
+
 def gated(spark, sf_dir) -> DataFrame:
     """page_id, words, reason: the first gate that a page fails, in the ingest order."""
-    clean = table(spark, sf_dir, "pages").select("page_id", T.html_clean(F.coalesce("html", F.lit(""))).alias("t"))
-    n = T.word_count(F.col("t"))
-    return clean.select("page_id", n.alias("n_words"), F.when(T.looks_blocked(F.col("t")), "blocked").when(n < MIN_WORDS, "too_short").when(~T.mentions(F.col("t"), TERMS), "off_topic").otherwise("accepted").alias("reason"))
+    clean = cleaned(table(spark, sf_dir, "pages").withColumn("html", F.coalesce("html", F.lit(""))))
+    t, n = F.col("clean"), F.col("n_words")
+    return clean.select("page_id", "n_words", F.when(T.looks_blocked(t), "blocked").when(n < MIN_WORDS, "too_short").when(~T.mentions(t, TERMS), "off_topic").otherwise("accepted").alias("reason"))
 
 
 _GATED = f"""gated AS (
@@ -35,8 +41,7 @@ def ingest_gate(spark, sf_dir):
 
 
 def html_clean(spark, sf_dir):
-    t = T.html_clean(F.col("html"))
-    return table(spark, sf_dir, "pages").select("page_id", t.alias("clean"), T.word_count(t).alias("n_words"))
+    return cleaned(table(spark, sf_dir, "pages"))
 
 
 def blocked_pages(spark, sf_dir):
@@ -47,24 +52,51 @@ def topic_relevance(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.mentions(F.coalesce("html", F.lit("")), TERMS).alias("on_topic"))
 
 
-def html_sections(spark, sf_dir):
-    """Headings and paragraphs in page order; every heading starts a section, and sections without paragraphs drop."""
-    bare = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
-    tokens = F.regexp_extract_all(bare, F.lit(r"(?is)(<h[1-3]>[^<]*|<p>[^<]*)"), F.lit(1))
-    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(tokens).alias("pos", "tok"))
-    rows = rows.select("page_id", "pos", F.col("tok").rlike("(?i)^<h").alias("head"), T.strip(F.regexp_replace("tok", "^<[^>]*>", "")).alias("txt")).where("txt <> ''")
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("section_no", F.sum(F.col("head").cast("long")).over(w))
-    return rows.groupBy("page_id", "section_no").agg(F.max(F.when(F.col("head"), F.col("txt"))).alias("title"), F.count_if(~F.col("head")).alias("n_paragraphs")).where("n_paragraphs > 0")
+#: Patterns that both engines read: what is no text, marks for the beginnings of headings, of paragraphs and of anything else
+#: that ends them, and the tags that are left.  Quoted values may hold what looks like a tag's end.
+NO_TEXT = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+_REST = r"""(?:"[^"]*"|'[^']*'|[^"'>])*>"""
+MARKS = [
+    (rf"(?i)<h[1-3](?:\s{_REST}|>)", "\x01H"), (rf"(?i)<p(?:\s{_REST}|>)", "\x01P"),
+    (rf"(?i)</?(?:h[1-6]|p|div|section|article|main|header|footer|nav|aside|ul|ol|li|table|tr|td|blockquote|form|body|html|head|title)(?:\s{_REST}|>)", "\x01X"),
+    (rf"(?i)</?[a-z]{_REST}", ""),
+]
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "\u00b7"), ("&copy;", "\u00a9"), ("&nbsp;", "\u00a0"), ("&#39;", "'"), ("&amp;", "&")]
 
 
-_SECTIONS = rf"""
-SELECT page_id, CAST(section_no AS BIGINT) AS section_no, max(CASE WHEN head THEN txt END) AS title, count(*) FILTER (NOT head) AS n_paragraphs FROM (
-  SELECT *, sum(CAST(head AS INT)) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section_no FROM (
-    SELECT page_id, pos, regexp_matches(tok, '(?i)^<h') AS head, {S.strip("regexp_replace(tok, '^<[^>]*>', '')")} AS txt FROM (
-      SELECT page_id, unnest(toks) AS tok, generate_subscripts(toks, 1) AS pos FROM (
-        SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '(?is)(<h[1-3]>[^<]*|<p>[^<]*)', 1) AS toks FROM pages))) WHERE txt <> '')
-GROUP BY page_id, section_no HAVING count(*) FILTER (NOT head) > 0"""
+def html_sections(spark, sf_dir):
+    """Headings and paragraphs in page order, whole texts without their inline tags; every heading starts a section.  Sections
+    without paragraphs drop, and so do paragraphs before the first heading; a page without sections is one, Document Content,
+    of all its paragraphs."""
+    bare = F.regexp_replace(F.col("html"), NO_TEXT, "")
+    for pattern, mark in MARKS:
+        bare = F.regexp_replace(bare, pattern, mark)
+    rows = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(bare, "\x01")).alias("pos", "tok"))
+    rows = rows.select("page_id", "pos", F.left("tok", F.lit(1)).alias("kind"), T.strip(T.replaced(F.expr("substring(tok, 2)"), ENTITIES)).alias("txt"))
+    rows = rows.where("pos > 0 and (kind = 'H' or kind = 'P' and txt <> '')")
+    page = Window.partitionBy("page_id")
+    head = F.col("kind") == "H"
+    rows = rows.withColumn("section_no", F.sum(head.cast("long")).over(page.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("any", F.max(~head & (F.col("section_no") > 0)).over(page))
+    rows = rows.withColumn("section_no", F.when(F.col("any"), F.col("section_no")).otherwise(0)).where("section_no > 0 or not any")
+    title = F.when(F.max("any"), F.max(F.when(head, F.col("txt")))).otherwise("Document Content")
+    found = rows.groupBy("page_id", "section_no").agg(title.alias("title"), F.count_if(~head).alias("n_paragraphs"), F.sum(F.when(~head, F.length("txt"))).alias("n_chars"))
+    return found.where("n_paragraphs > 0")
+
+
+def _marked(c: str) -> str:
+    for pattern, mark in [(NO_TEXT, ""), *MARKS]:
+        c = f"regexp_replace({c}, {S.quote(pattern)}, {S.quote(mark)}, 'g')"
+    return c
+
+
+_SECTIONS = f"""WITH toks AS (SELECT page_id, string_split({_marked('html')}, chr(1)) AS t FROM pages),
+r AS (SELECT * FROM (SELECT page_id, pos, tok[1:1] AS kind, {S.strip(S.replaced('tok[2:]', ENTITIES))} AS txt FROM (SELECT page_id, unnest(t) AS tok, generate_subscripts(t, 1) - 1 AS pos FROM toks)) WHERE pos > 0 AND (kind = 'H' OR kind = 'P' AND txt <> '')),
+n AS (SELECT *, sum(CAST(kind = 'H' AS INT)) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM r),
+a AS (SELECT *, bool_or(kind = 'P' AND k > 0) OVER (PARTITION BY page_id) AS found FROM n)
+SELECT page_id, CAST(CASE WHEN found THEN k ELSE 0 END AS BIGINT) AS section_no, CASE WHEN bool_or(found) THEN max(CASE WHEN kind = 'H' THEN txt END) ELSE 'Document Content' END AS title,
+       count(*) FILTER (kind = 'P') AS n_paragraphs, CAST(sum(CASE WHEN kind = 'P' THEN length(txt) END) AS BIGINT) AS n_chars
+FROM a WHERE k > 0 OR NOT found GROUP BY 1, 2, found HAVING count(*) FILTER (kind = 'P') > 0"""
 
 
 def url_parts(spark, sf_dir):
@@ -106,11 +138,15 @@ def search_pair_dedup(spark, sf_dir):
 
 
 def sources_page(spark, sf_dir):
-    """Bullets of ordered unique URLs, per authority."""
+    """Bullets of ordered unique URLs, a row each, with the place of each in its authority's page below the heading.  No
+    authority is gathered: places come from sums per range of ord."""
+    from inkflow.plans.documents import words_before
+
     pages = table(spark, sf_dir, "pages").where("coalesce(url, '') <> ''")
-    one = pages.groupBy("url").agg(F.min("page_id").alias("ord")).withColumn("authority", T.authority(F.col("url")))
-    listed = F.array_sort(F.collect_list(F.struct("ord", "url")))
-    return one.groupBy("authority").agg(F.array_join(F.transform(listed, lambda x: F.concat(F.lit("- "), x["url"])), "\n").alias("bullets"), F.count("*").alias("n_urls"))
+    one = pages.groupBy("url").agg(F.min("page_id").alias("doc_id")).withColumn("authority", T.authority(F.col("url")))
+    bullets = one.select("authority", "doc_id", F.concat(F.lit("- "), "url").alias("bullet"), (F.length("url") + 3).cast("long").alias("n"))
+    heading = len("# Sources\n\n")
+    return words_before(bullets, ["authority"]).select("authority", F.col("doc_id").alias("ord"), "bullet", (F.col("before") + heading).alias("offset"))
 
 
 def _either(words: list[str]) -> str:
@@ -131,5 +167,5 @@ CATALOGUE = {
     "ordered_distinct_urls": (ordered_distinct_urls, f"SELECT {_AUTH} AS authority, min(page_id) AS first_page, count(*) AS n FROM pages GROUP BY 1"),
     "discovery_union": (discovery_union, "SELECT url, min(ord) AS ord FROM (SELECT url, page_id AS ord FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT url, page_id + 1000000000 FROM pages) GROUP BY url"),
     "search_pair_dedup": (search_pair_dedup, f"SELECT {_AUTH} AS site, 'cse:silo_' || CAST(page_id % 11 AS VARCHAR) AS label, min(page_id) AS ord, CAST(page_id % 11 AS INT) AS silo FROM pages GROUP BY 1, 2, 4"),
-    "sources_page": (sources_page, f"SELECT authority, string_agg('- ' || url, chr(10) ORDER BY ord) AS bullets, count(*) AS n_urls FROM (SELECT url, min(page_id) AS ord, {_AUTH} AS authority FROM pages WHERE coalesce(url, '') <> '' GROUP BY url) GROUP BY authority"),
+    "sources_page": (sources_page, f"SELECT authority, ord, '- ' || url AS bullet, CAST(11 + coalesce(sum(length(url) + 3) OVER (PARTITION BY authority ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT url, min(page_id) AS ord, {_AUTH} AS authority FROM pages WHERE coalesce(url, '') <> '' GROUP BY url)"),
 }

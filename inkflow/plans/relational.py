@@ -44,8 +44,8 @@ def silo_title_lookup(spark, sf_dir):
 
 
 def search_query_grid(spark, sf_dir):
-    t, s = rows(spark, X.TEMPLATES, "silo int, tail string"), rows(spark, X.SITES, "site_no int, site string")
-    return t.crossJoin(F.broadcast(s)).select("silo", "site", F.concat(F.replace(F.concat(F.lit("{topic} "), "tail"), F.lit("{topic}"), F.lit("spark")), F.lit(" site:"), "site").alias("query"))  # six literal rows
+    t, s = rows(spark, X.TEMPLATE_ROWS, "silo int, template string"), rows(spark, X.SITES, "site_no int, site string")
+    return t.crossJoin(F.broadcast(s)).select("silo", "site", F.concat(F.replace("template", F.lit("{topic}"), F.lit("spark")), F.lit(" site:"), "site").alias("query"))  # six literal rows
 
 
 def idea_pool(spark, sf_dir):
@@ -70,15 +70,22 @@ def image_manifest(d):
 
 
 def apply_images(d):
-    return d.select("id", T.replaced(F.col("t"), [("[[image: a]]", "(a.png)"), ("[[IMAGE:a]]", "(a.png)"), ("[[Cover:b]]", "(b.png)")]).alias("t"))
+    """Every replacement in its order, all occurrences, in the text that those before it left."""
+    each = F.array(*[F.struct(F.lit(a).alias("of"), F.lit(f"![Illustration]({b})").alias("to")) for a, b in X.IMAGES])
+    return d.select("id", F.aggregate(each, F.col("t"), lambda t, r: F.replace(t, r["of"], r["to"])).alias("t"))
 
 
 def checker_output_parse(d):
-    s = F.when(F.col("line").contains("No errors or warnings detected"), "pass").when(F.col("line").startswith("ERROR"), "fail").when(F.col("line").startswith("WARNING"), "warning")
-    msg = F.when(F.col("line").startswith("ERROR"), F.substring("line", 7, 1000)).when(F.col("line").startswith("WARNING"), F.substring("line", 9, 1000)).otherwise(F.col("line"))
-    hit = d.select("id", "ord", s.alias("status"), msg.alias("message")).where("status is not null")
-    bare = d.join(hit.select("id").distinct(), "id", "left_anti").select("id").distinct()
-    return hit.unionByName(bare.select("id", F.lit(0).alias("ord"), F.lit("fail").alias("status"), F.lit("no result").alias("message")))
+    """An output with the phrase of success passes, whatever else it says; else its errors and warnings, whole lines without
+    the word; else one failure."""
+    line = T.strip(F.col("line"))
+    told = d.select("id", "ord", line.alias("line"), F.col("line").contains("No errors or warnings detected").alias("ok"))
+    s = F.when(F.col("ok"), "pass").when(F.col("line").startswith("ERROR"), "fail").when(F.col("line").startswith("WARNING"), "warning")
+    msg = F.when(F.col("ok"), "no errors or warnings").when(F.col("line").startswith("ERROR"), T.strip(F.expr("substring(line, 7)"))).otherwise(T.strip(F.expr("substring(line, 9)")))
+    hit = told.select("id", "ord", s.alias("status"), msg.alias("message"))
+    per = hit.groupBy("id").agg(F.min(F.when(F.col("status") == "pass", F.col("ord"))).alias("passed"), F.count("status").alias("n"))
+    some = hit.where("status is not null").join(per, "id").where("passed is null or ord = passed").select("id", "ord", "status", "message")
+    return some.unionByName(per.where("n = 0").select("id", F.lit(0).alias("ord"), F.lit("fail").alias("status"), F.lit("no result").alias("message")))
 
 
 def json_fallback(d):
@@ -92,23 +99,29 @@ def questions(d):
 
 
 def _score():
-    return F.col("likes") + 2 * F.col("reposts") + F.col("replies") + F.col("quotes")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return n("likes") + 2 * n("reposts") + n("replies") + n("quotes")
 
 
 _POSTS = "id int, author string, likes int, reposts int, replies int, quotes int, url string"
 
 
+def ranked(rows, k, *order):
+    """The first k rows, numbered: the sort keeps k rows a task, and only these are numbered in one."""
+    return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def trend_top_authors(d):
     """The best post of each author, first wins; authors in order of score, then first appearance."""
     s = d.withColumn("author", F.coalesce("author", F.lit("unknown"))).withColumn("score", _score())
     best = s.groupBy("author").agg(F.max(F.struct("score", (-F.col("id")).alias("back"))).alias("b"), F.min("id").alias("first"))
     best = best.select("author", F.col("b.score").alias("score"), (-F.col("b.back")).alias("post"), "first")
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first"))).where("rank <= 10")
+    return ranked(best, 8, F.desc("score"), "first")
 
 
 def trend_top_urls(d):
     n = d.where("url is not null").groupBy("url").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first"))).where("rank <= 10")
+    return ranked(n, 8, F.desc("n"), "first")
 
 
 def accuracy_tolerance(d):
@@ -126,30 +139,33 @@ CATALOGUE = {
         + S.replaced(S.replaced("t", T.SPACES), [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")]) + " AS esc FROM r", "id int, t string"),
     "slugify_compat": v(_fields(slug=T.slugify_compat), "r", "id, t", X.SLUGS, r"SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(trim(t)), '[^a-z0-9\\s-]', '', 'g'), '-+', '-', 'g'), ''), 'topic') AS slug FROM r", "id int, t string"),
     "parse_lists": v(_fields(items=lambda t: F.array_join(T.parse_list(t), "|"), urls=lambda t: F.array_join(T.parse_url_list(t), "|")), "r", "id, t", X.LISTS,
-        f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '[,\\n]'), lambda x, i: CASE WHEN list_position(list_transform(regexp_split_to_array(t, '[,\\n]'), lambda y: {S.strip('y')}), {S.strip('x')}) = i THEN {S.strip('x')} ELSE '' END), lambda x: x <> ''), '|') AS items, array_to_string(list_filter(list_transform(string_split(t, CASE WHEN contains(t, chr(10)) THEN chr(10) ELSE ',' END), lambda x: {S.strip('x')}), lambda x: x <> ''), '|') AS urls FROM r", "id int, t string"),
+        f"SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(t, '[,\\n]'), lambda x, i: CASE WHEN list_position(list_transform(regexp_split_to_array(t, '[,\\n]'), lambda y: {S.strip('y')}), {S.strip('x')}) = i THEN {S.strip('x')} ELSE '' END), lambda x: x <> ''), '|') AS items, array_to_string(list_filter(list_transform(string_split(t, CASE WHEN contains(t, chr(10)) THEN chr(10) ELSE ',' END), lambda x, i: CASE WHEN list_position(list_transform(string_split(t, CASE WHEN contains(t, chr(10)) THEN chr(10) ELSE ',' END), lambda y: {S.strip('y')}), {S.strip('x')}) = i THEN {S.strip('x')} ELSE '' END), lambda x: x <> ''), '|') AS urls FROM r", "id int, t string"),
     "or_query": v(lambda d: d.select("id", T.or_query(F.col("name"), F.col("kw")).alias("q")), "r", "id, name, kw", [(i, n, k) for i, n, k in X.TERMS],
-        "SELECT id, CASE len(q) WHEN 0 THEN '' WHEN 1 THEN q[1] ELSE '(' || array_to_string(q, ' OR ') || ')' END AS q FROM (SELECT id, list_transform(list_filter(ts, lambda x, i: x <> '' AND list_position(ts, x) = i), lambda x: '\"' || trim(replace(x, '\"', '')) || '\"') AS q FROM (SELECT id, list_transform(list_concat([name], CAST(kw AS VARCHAR[])), lambda x: trim(x)) AS ts FROM r))", "id int, name string, kw array<string>"),
+        "SELECT id, CASE len(q) WHEN 0 THEN '' WHEN 1 THEN q[1] ELSE '(' || array_to_string(q, ' OR ') || ')' END AS q FROM (SELECT id, list_transform(list_filter(list_transform(list_filter(ts, lambda x, i: x <> '' AND list_position(ts, x) = i), lambda x: trim(replace(x, '\"', ''))), lambda x: x <> ''), lambda x: '\"' || x || '\"') AS q FROM (SELECT id, list_transform(list_concat([name], CAST(kw AS VARCHAR[])), lambda x: trim(x)) AS ts FROM r))", "id int, name string, kw array<string>"),
     "parse_silo_number": v(_fields(silo=T.silo_number), "r", "id, t", X.NUMBERS, r"SELECT id, coalesce(TRY_CAST(regexp_extract(t, '\b(10|[0-9])\b', 1) AS INT), 0) AS silo FROM r", "id int, t string"),
     "parse_silo_token": v(_fields(silo=T.silo_token), "r", "id, t", X.NUMBERS, r"SELECT id, coalesce(TRY_CAST(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '^[0-9]+$'))[1] AS INT), 0) AS silo FROM r", "id int, t string"),
     "forced_silo": v(_fields(silo=T.forced_silo), "r", "id, t", X.LABELS, "SELECT id, TRY_CAST(regexp_extract(t, '^cse:silo_(.*)$', 1) AS INT) AS silo FROM r", "id int, t string"),
     "image_manifest": v(image_manifest, "r", "id, t", X.PLACEHOLDERS, r"SELECT id, printf('img-%03d', pos) AS image, upper(ks[pos]) AS kind, trim(ws[pos]) AS description FROM (SELECT id, ks, ws, unnest(range(1, len(ks) + 1)) AS pos FROM (SELECT id, regexp_extract_all(t, '(?i)\[\[(IMAGE|COVER|BACK_COVER):(.+?)\]\]', 1) AS ks, regexp_extract_all(t, '(?i)\[\[(IMAGE|COVER|BACK_COVER):(.+?)\]\]', 2) AS ws FROM r))", "id int, t string"),
-    "apply_images": v(apply_images, "r", "id, t", X.PLACEHOLDERS, "SELECT id, replace(replace(replace(t, '[[image: a]]', '(a.png)'), '[[IMAGE:a]]', '(a.png)'), '[[Cover:b]]', '(b.png)') AS t FROM r", "id int, t string"),
+    "apply_images": v(apply_images, "r", "id, t", X.PLACEHOLDERS, "SELECT id, " + S.replaced("t", [(a, f"![Illustration]({b})") for a, b in X.IMAGES]) + " AS t FROM r", "id int, t string"),
     "topic_silo_grid": (topic_silo_grid, "WITH " + S.values("t", "topic_id, name", X.TOPICS) + ", " + S.values("s", "silo, title", X.SILO_TITLES) + " SELECT * FROM t, s"),
     "ensure_briefs": (ensure_briefs, "WITH " + S.values("t", "topic_id, name", X.TOPICS) + ", " + S.values("s", "silo, title", X.SILO_TITLES) + ", " + S.values("b", "topic_id, silo, brief", X.BRIEFS) + " SELECT t.topic_id, s.silo, title FROM t, s WHERE s.silo > 0 AND NOT EXISTS (SELECT 1 FROM b WHERE b.topic_id = t.topic_id AND b.silo = s.silo)"),
     "trend_upsert": (trend_upsert, "WITH " + S.values("n", "id, source, name", X.TRENDS) + ", " + S.values("k", "source, name", X.KNOWN_TRENDS) + " SELECT source, name, min(id) AS id FROM n WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.source = n.source AND k.name = n.name) GROUP BY source, name"),
     "silo_title_lookup": (silo_title_lookup, "WITH " + S.values("r", "id, t", X.NUMBERS) + ", " + S.values("s", "silo, title", X.SILO_TITLES) + r" SELECT id, n AS silo, coalesce(title, 'Unclassified') AS title FROM (SELECT id, coalesce(TRY_CAST(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '^[0-9]+$'))[1] AS INT), 0) AS n FROM r) LEFT JOIN s ON n = s.silo"),
-    "search_query_grid": (search_query_grid, "WITH " + S.values("t", "silo, tail", X.TEMPLATES) + ", " + S.values("s", "site_no, site", X.SITES) + " SELECT silo, site, 'spark ' || tail || ' site:' || site AS query FROM t, s"),
+    "search_query_grid": (search_query_grid, "WITH " + S.values("t", "silo, template", X.TEMPLATE_ROWS) + ", " + S.values("s", "site_no, site", X.SITES) + " SELECT silo, site, replace(template, '{topic}', 'spark') || ' site:' || site AS query FROM t, s"),
     "idea_pool": (idea_pool, "WITH " + S.values("d", "id, status, silo, t", X.IDEAS) + " SELECT 1 AS branch, id, t FROM d WHERE silo = 3 UNION ALL SELECT 2, id, t FROM d WHERE silo IS NULL AND status = 'backlog'"),
     "idea_status_counts": v(lambda d: d.groupBy("status").agg(F.count("*").alias("n"), F.count_if(F.col("silo").isNull()).alias("unassigned")), "d", "id, status, silo, t", X.IDEAS, "SELECT status, count(*) AS n, count(*) FILTER (silo IS NULL) AS unassigned FROM d GROUP BY status", "id int, status string, silo int, t string"),
     "pending_sources": v(lambda d: d.where("topic_id = 1 and status = 'pending'").select("id", "url"), "d", "id, topic_id, status, url", X.SOURCES, "SELECT id, url FROM d WHERE topic_id = 1 AND status = 'pending'", "id int, topic_id int, status string, url string"),
     "pending_count": v(lambda d: d.where("status = 'pending'").groupBy("topic_id").agg(F.count("*").alias("n")), "d", "id, topic_id, status, url", X.SOURCES, "SELECT topic_id, count(*) AS n FROM d WHERE status = 'pending' GROUP BY topic_id", "id int, topic_id int, status string, url string"),
     "chapter_context": (chapter_context, "WITH " + S.values("s", "silo, title", X.SILO_TITLES) + ", " + S.values("b", "topic_id, silo, brief", X.BRIEFS) + ", " + S.values("d", "id, status, silo, t", X.IDEAS) + " SELECT s.silo, title, coalesce(brief, 'Silo ' || s.silo) AS brief, coalesce(i.ideas, '') AS ideas FROM s LEFT JOIN (SELECT * FROM b WHERE topic_id = 1) b ON b.silo = s.silo LEFT JOIN (SELECT silo, string_agg(t, '|' ORDER BY id) AS ideas FROM d WHERE silo IS NOT NULL GROUP BY silo) i ON i.silo = s.silo"),
-    "checker_output_parse": v(checker_output_parse, "r", "id, ord, line", X.OUTPUT, "SELECT id, ord, status, message FROM (SELECT id, ord, CASE WHEN contains(line, 'No errors or warnings detected') THEN 'pass' WHEN starts_with(line, 'ERROR') THEN 'fail' WHEN starts_with(line, 'WARNING') THEN 'warning' END AS status, CASE WHEN starts_with(line, 'ERROR') THEN substring(line, 7) WHEN starts_with(line, 'WARNING') THEN substring(line, 9) ELSE line END AS message FROM r) WHERE status IS NOT NULL UNION ALL SELECT DISTINCT id, 0, 'fail', 'no result' FROM r WHERE id NOT IN (SELECT id FROM r WHERE contains(line, 'No errors or warnings detected') OR starts_with(line, 'ERROR') OR starts_with(line, 'WARNING'))", "id int, ord int, line string"),
+    "checker_output_parse": v(checker_output_parse, "r", "id, ord, line", X.OUTPUT, f""", t AS (SELECT id, ord, {S.strip('line')} AS line, contains(line, 'No errors or warnings detected') AS ok FROM r),
+h AS (SELECT id, ord, CASE WHEN ok THEN 'pass' WHEN starts_with(line, 'ERROR') THEN 'fail' WHEN starts_with(line, 'WARNING') THEN 'warning' END AS status, CASE WHEN ok THEN 'no errors or warnings' WHEN starts_with(line, 'ERROR') THEN {S.strip('substring(line, 7)')} ELSE {S.strip('substring(line, 9)')} END AS message FROM t),
+p AS (SELECT id, min(CASE WHEN status = 'pass' THEN ord END) AS passed, count(status) AS n FROM h GROUP BY id)
+SELECT h.* FROM h JOIN p ON h.id = p.id WHERE status IS NOT NULL AND (passed IS NULL OR ord = passed) UNION ALL SELECT id, 0, 'fail', 'no result' FROM p WHERE n = 0""", "id int, ord int, line string"),
     "json_fallback": v(json_fallback, "r", "id, t", X.REVIEWS, f"SELECT id, coalesce({_JSON_SCORE}, 0) AS score, coalesce(CASE WHEN json_valid(t) THEN json_extract_string(t, '$.notes') END, '') AS notes FROM r", "id int, t string"),
     "json_questions": v(questions, "r", "id, t", X.QUESTIONS, "SELECT id, CASE WHEN json_valid(t) AND json_array_length(CASE WHEN json_valid(t) THEN t ELSE '[]' END) = 5 THEN array_to_string(CAST(json(CASE WHEN json_valid(t) THEN t ELSE '[]' END) AS VARCHAR[]), '|') ELSE 'canned' END AS questions FROM r", "id int, t string"),
-    "post_scores": v(lambda d: d.select("id", _score().alias("score")), "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT id, likes + 2 * reposts + replies + quotes AS score FROM d", _POSTS),
-    "trend_top_authors": v(trend_top_authors, "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT *, CAST(row_number() OVER (ORDER BY score DESC, first) AS INT) AS rank FROM (SELECT coalesce(author, 'unknown') AS author, max(likes + 2 * reposts + replies + quotes) AS score, CAST(arg_max(id, (likes + 2 * reposts + replies + quotes) * 1000 - id) AS INT) AS post, min(id) AS first FROM d GROUP BY 1) QUALIFY rank <= 10", _POSTS),
-    "trend_top_urls": v(trend_top_urls, "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT *, CAST(row_number() OVER (ORDER BY n DESC, first) AS INT) AS rank FROM (SELECT url, count(*) AS n, min(id) AS first FROM d WHERE url IS NOT NULL GROUP BY url) QUALIFY rank <= 10", _POSTS),
+    "post_scores": v(lambda d: d.select("id", _score().alias("score")), "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT id, coalesce(likes, 0) + 2 * coalesce(reposts, 0) + coalesce(replies, 0) + coalesce(quotes, 0) AS score FROM d", _POSTS),
+    "trend_top_authors": v(trend_top_authors, "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT *, CAST(row_number() OVER (ORDER BY score DESC, first) AS INT) AS rank FROM (SELECT coalesce(author, 'unknown') AS author, max(coalesce(likes, 0) + 2 * coalesce(reposts, 0) + coalesce(replies, 0) + coalesce(quotes, 0)) AS score, CAST(arg_max(id, (coalesce(likes, 0) + 2 * coalesce(reposts, 0) + coalesce(replies, 0) + coalesce(quotes, 0)) * 1000 - id) AS INT) AS post, min(id) AS first FROM d GROUP BY 1) QUALIFY rank <= 8", _POSTS),
+    "trend_top_urls": v(trend_top_urls, "d", "id, author, likes, reposts, replies, quotes, url", X.POSTS, "SELECT *, CAST(row_number() OVER (ORDER BY n DESC, first) AS INT) AS rank FROM (SELECT url, count(*) AS n, min(id) AS first FROM d WHERE url IS NOT NULL GROUP BY url) QUALIFY rank <= 8", _POSTS),
     "accuracy_tolerance": v(accuracy_tolerance, "d", "id, found, expected, low, high", X.ACCURACY, "SELECT id, CASE WHEN found = expected THEN 100 WHEN found BETWEEN low AND high THEN 75 ELSE greatest(0, 100 - 10 * abs(found - expected)) END AS score, found BETWEEN low AND high AS within FROM d", "id int, found int, expected int, low int, high int"),
     "expired_sessions": v(lambda d: d.where("s < 7300 - 3600").select("id"), "d", "id, s", X.STAMPS, "SELECT id FROM d WHERE s < 7300 - 3600", "id int, s int"),
 }

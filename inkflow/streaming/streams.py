@@ -8,15 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _drain(spark: SparkSession, stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
-    """Run a stream over all that is there, and read what it wrote."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors see; only a local session may do without one being named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
+        root = "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    """Run a stream over all that is there in append mode, and read what it wrote."""
+    base = shared(spark, name)
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").outputMode("append").start(f"{base}/out").awaitTermination()
-    else:  # each micro-batch replaces the table, as a status file is
-        writer.outputMode(mode).foreachBatch(lambda d, i: d.write.mode("overwrite").parquet(f"{base}/out")).start().awaitTermination()
+    writer.format("parquet").outputMode("append").start(f"{base}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
@@ -28,29 +34,29 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per hour and type; late rows beyond a day are dropped by the watermark."""
+    """Events per hour and type of the hours that ended a day before the last event: what comes later is dropped, and state
+    is kept for a day."""
     w = _events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type")
     out = w.agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
-    return _drain(spark, out, "complete", "tumbling")
+    return _drain(spark, out, "tumbling")
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First event of each user and type."""
-    e = _events(spark, sf_dir).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return _drain(spark, e, "append", "dedup")
+    """One event of each user and type; state is kept until the watermark passes it."""
+    e = _events(spark, sf_dir).select("user_id", "event_type", "ts").withWatermark("ts", "3650 days")
+    return _drain(spark, e.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user with gaps of at most an hour."""
+    """Sessions of a user with gaps of less than an hour, that ended a day before the last event."""
     s = _events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n"))
-    return _drain(spark, s.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"), "complete", "session")
+    return _drain(spark, s.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"), "session")
 
 
 def trend_upsert(spark: SparkSession, stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Candidates (user, type) of a stream that are not known, each with the least event of the micro-batch that brought it:
     every micro-batch is de-duplicated, joined against the stored table and what `known` holds, and appended."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    base = f"{root.rstrip('/')}/trends-{uuid.uuid4().hex}"
+    base = shared(spark, "trends")
     key = ["user_id", "event_type"]
     columns = stream.select(*key, F.col("event_id").alias("first_event"))
 
@@ -71,13 +77,14 @@ def trend_upsert(spark: SparkSession, stream: DataFrame, known: DataFrame | None
 
 
 def stream_trend_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates (user, type) seen for the first time, over the even users that the query's SQL takes."""
-    return trend_upsert(spark, _events(spark, sf_dir).where("user_id % 2 = 0"))
+    """Candidates (user, type) seen for the first time, without the customers' purchases, which are known."""
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("user_id"), F.lit("purchase").alias("event_type"))
+    return trend_upsert(spark, _events(spark, sf_dir), known)
 
 
 CATALOGUE = {
-    "stream_tumbling": (stream_tumbling, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
+    "stream_tumbling": (stream_tumbling, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
-    "stream_session": (stream_session, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, k"),
-    "stream_trend_upsert": (stream_trend_upsert, "SELECT user_id, event_type, min(event_id) AS first_event FROM events WHERE user_id % 2 = 0 GROUP BY 1, 2"),
+    "stream_session": (stream_session, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"),
+    "stream_trend_upsert": (stream_trend_upsert, "SELECT user_id, event_type, min(event_id) AS first_event FROM events WHERE NOT (event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer)) GROUP BY 1, 2"),
 }
