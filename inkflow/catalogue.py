@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkflow.plans import documents, events, pages, relational
+from inkflow.plans import documents, events, manuscripts, pages, relational, storage, validation
 from inkflow.streaming import streams
 
 
 def _all() -> dict:
-    return {**pages.CATALOGUE, **documents.CATALOGUE, **relational.CATALOGUE, **events.CATALOGUE, **streams.CATALOGUE}
+    return {**pages.CATALOGUE, **documents.CATALOGUE, **relational.CATALOGUE, **events.CATALOGUE, **streams.CATALOGUE, **validation.CATALOGUE, **manuscripts.CATALOGUE, **storage.CATALOGUE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -158,6 +158,12 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def title_case(c: Column) -> Column:
+    """str.title(): a letter after none is upper case, every other one lower case."""
+    after = lambda cs, x, i: F.when((i == 0) | ~F.coalesce(F.get(cs, i - 1), F.lit("")).rlike(r"\p{L}"), F.upper(x)).otherwise(F.lower(x))
+    return bound(F.split(c, ""), lambda cs: F.array_join(F.transform(cs, lambda x, i: after(cs, x, i)), ""))
+
+
 def html_clean(c: Column) -> Column:
     """Text nodes on lines of their own, without script, style, noscript and comments; entities of the common kind."""
     bare = F.regexp_replace(c, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>", "")

@@ -20,7 +20,7 @@ def is_header(stripped: Column) -> Column:
 
 def is_anchored_header(stripped: Column) -> Column:
     low = F.lower(stripped)
-    return low.rlike(ANCHORED) | (low.rlike(r"^(\d+|[ivxlcdm]+)$") & (F.length(low) < 10))
+    return low.rlike(ANCHORED) | (low.rlike(r"^(\d+|[ivxlcdm]+)\.?$") & (F.length(low) < 10))
 
 
 def with_chapters(docs: DataFrame, every: int = 8) -> DataFrame:
