@@ -17,8 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED
+    """A new folder below spark.checkpoint.dir, which the driver and all executors see; only a local session may do
+    without one being named."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines see")
+        root = LOCAL_SHARED
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -11,16 +11,14 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
    candidates a row.  Texts whose lengths differ by more than a fifth of the longer one are no candidates.
 3. Candidates are verified by banded alignment, and links become classes by alternating star contraction; each round is
    written to the shared folder.
-4. In runs of several classes each node is compared with one node of the largest class, ROUNDS times, which joins most of
-   what belongs together.
-5. What these steps left out is found exactly.  Runs of one class need no more.  In a run of several classes every two nodes
+4. What the second step left out is found exactly.  Runs of one class need no more.  In a run of several classes every two nodes
    of different classes and of about one length are candidates, while it has at most RUN nodes.  The nodes of longer runs,
    and all texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes one word, so
    linked texts share at least (longer length - edits) words, and in one fixed order of all words the first few of one text
    hold one of the first few of the other.  The order puts frequent ones last.  Words of one class give no candidates; those
    of many nodes are split into blocks, and every two blocks are a group of their own.  Bits of the texts' words, of which no
    more than the edits can be set on one side only, drop most pairs before their texts are read.
-6. These candidates are verified as well, and the classes are made again with their links.
+5. These candidates are verified as well, and the classes are made again with their links.
 
 So a link between classes is lost only if its texts are longer than SHORT words and share none of the sketches; the
 README gives the measured recall.  n_links counts the links verified on the way, as texts already in one class are not
@@ -50,12 +48,10 @@ SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
 KEPT_WORDS, KEPT_NODES = 400_000, 200_000
 #: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
 RUN, SHORT = 40, 100
-#: How often nodes are compared with their runs' largest classes before all pairs of classes are looked at.
-ROUNDS = 2
 #: Texts whose words and pairs are counted for the filter's order, slots of the counts, and nodes in a block.
 COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
 #: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
-BITS, BAG = 8, 1024
+BITS, BAG = 16, 1024
 LENGTHS = 100
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) | 1 for i in range(256)], np.uint64)
@@ -313,14 +309,50 @@ def neighbours(rows: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), live
 
 
+def only(x: str, y: str) -> Column:
+    """How many of the bits of column x are not in column y."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
+
+
+def alike(least: float) -> Column:
+    """Whether texts of n and n2 words and the bits of these can be linked."""
+    longer = F.greatest("n", "n2")
+    edits = F.floor((1 - least) * longer + 1e-9)
+    return (longer - F.least("n", "n2") <= edits) & (only("bits", "bits2") <= edits) & (only("bits2", "bits") <= edits)
+
+
+def word_table(texts: DataFrame) -> DataFrame:
+    """(id, n, bits) of texts (id, text), their words as a number and as bits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[int] = set()
+        for pdf in batches:
+            rows = []
+            for i, t in zip(pdf["id"].tolist(), pdf["text"], strict=True):
+                if i not in seen:
+                    if len(seen) < KEPT_NODES:
+                        seen.add(i)
+                    words = t.split()
+                    rows.append((i, len(words), word_bits(words)))
+            yield pd.DataFrame(rows, columns=["id", "n", "bits"])
+
+    return texts.select("id", "text").mapInPandas(run, "id long, n int, bits array<long>").distinct()
+
+
 def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Only texts that occur
-    in a pair are shuffled, once, one copy of each, and used for both ends."""
+    """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Pairs whose words' bits
+    say that they are not go first; then only texts that occur in a pair are shuffled, once, one copy of each, and used for
+    both ends.  What is needed is written before it is joined, so that Spark knows its size when it plans."""
     spark = docs.sparkSession
+
+    def ends(of: DataFrame, name: str) -> DataFrame:
+        return store(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shared_dir(spark, name))
+
     pairs = store(pairs, shared_dir(spark, "candidates"))
-    # Written, so that Spark knows its size before it plans the join.
-    needed = store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shared_dir(spark, "needed"))
-    texts = keyed(docs).join(needed, "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
+    bits = store(word_table(keyed(docs).join(ends(pairs, "needed"), "id", "left_semi")), shared_dir(spark, "bits"))
+    told = pairs.join(bits.withColumnRenamed("id", "a").hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")).hint("merge"), "b")
+    pairs = store(told.where(alike(least)).select("a", "b").distinct(), shared_dir(spark, "likely"))
+    texts = keyed(docs).join(ends(pairs, "needed"), "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -371,15 +403,6 @@ def mixed_runs(live: DataFrame, roots: DataFrame) -> DataFrame:
     return store(rows.join(mixed.hint("merge"), "s"), shared_dir(spark, "mixed"))
 
 
-def to_main_class(mixed: DataFrame, far: int) -> DataFrame:
-    """Pairs of each node with a node of its run's largest class, another one in each run: a candidate a row."""
-    each = mixed.groupBy("s", "root").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "q"), F.xxhash64("s", "id")).alias("of"))
-    main = each.groupBy("s").agg(F.max_by(F.struct("root", "of"), F.struct("m", "root")).alias("main")).select("s", "main.root", "main.of.id", "main.of.q")
-    main = main.toDF("s", "root2", "id2", "q2")
-    close = (F.col("root") != F.col("root2")) & (F.abs(F.col("q") - F.col("q2")) <= far)
-    return mixed.join(main.hint("merge"), "s").where(close).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-
-
 def left_out(mixed: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
     """The pairs of nodes of different classes and about one length in runs of at most RUN nodes, and the ids of longer ones."""
     few = mixed.where(F.col("n") <= RUN)
@@ -438,19 +461,17 @@ def filtered(texts: DataFrame, least: float) -> DataFrame:
     # Counted with its classes before any row moves.
     several = rows.select("root", F.explode("words").alias("word")).groupBy("word").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
     several = store(several.where("r1 <> r2").select("word", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), shared_dir(spark, "common"))
-    live = places.join(several, "word").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    live = places.join(several, "word")
     kept = ("id", "root", "n", "at", "bits")
-    live = live.select("word", *kept, "block", other).select("word", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *kept)
-    live = store(live, shared_dir(spark, "live"))
+    few = live.where("blocks = 1").select("word", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *kept)
+    many = live.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    many = many.select("word", *kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    live = store(few.unionByName(many.select("word", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *kept)), shared_dir(spark, "live"))
     right = live.select("word", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
-    longer = F.greatest("n", "n2")
-    edits = F.floor((1 - least) * longer + 1e-9)
     # Of the first word that two texts share, both sides have enough left.
-    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - edits
-    only = lambda x, y: reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
-    alike = (only("bits", "bits2") <= edits) & (only("bits2", "bits") <= edits)
-    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & enough & alike
+    longer = F.greatest("n", "n2")
+    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - F.floor((1 - least) * longer + 1e-9)
+    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & enough & alike(least)
     return live.join(right.hint("merge"), ["word", "lo", "hi"]).where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
@@ -468,14 +489,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     edges = store(verified(docs, pairs, least), shared_dir(spark, "links"))
     roots = store(components(edges), shared_dir(spark, "roots"))
     mixed = mixed_runs(live, by_id(roots))
-    for _ in range(ROUNDS):
-        more = store(verified(docs, to_main_class(mixed, far), least), shared_dir(spark, "merged"))
-        if more.isEmpty():
-            break
-        edges = store(edges.unionByName(more).distinct(), shared_dir(spark, "links"))
-        roots = store(components(edges), shared_dir(spark, "roots"))
-        mixed = mixed_runs(mixed.select("s", "q", "id"), by_id(roots))
     pairs, hot = left_out(mixed, far)
+    hot = store(hot, shared_dir(spark, "hot"))  # so that Spark knows its size
     text = keyed(docs)
     most = int(SHORT / least) + 1  # words of the longest partner
     short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
