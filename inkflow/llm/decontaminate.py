@@ -71,20 +71,24 @@ def bitmap(rows: DataFrame) -> np.ndarray:
 
 
 class Filter:
-    """Whether a word's bit is set, remembered for the words seen so far."""
+    """Which words' bits are set, remembered for the words seen so far."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.seen = bits, {}
 
-    def __call__(self, word: bytes) -> bool:
-        got = self.seen.get(word)
-        if got is None:
-            k = zlib.crc32(word) % SLOTS
-            got = bool(self.bits[k >> 3] >> (7 - (k & 7)) & 1)
-            if len(self.seen) < KEPT_WORDS:
-                self.seen[word] = got
+    def _look(self, word: bytes) -> bool:
+        k = zlib.crc32(word) % SLOTS
+        got = bool(self.bits[k >> 3] >> (7 - (k & 7)) & 1)
+        if len(self.seen) < KEPT_WORDS:
+            self.seen[word] = got
         return got
 
+    def places(self, ws: list[bytes]) -> list[int]:
+        flags = list(map(self.seen.get, ws))
+        if None in flags:
+            flags = [self._look(w) if f is None else f for w, f in zip(ws, flags, strict=True)]
+        return [p for p, f in enumerate(flags) if f] if True in flags else []
+
 
 def word_frequencies(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     """(word, n): in how many texts each word whose bit is set occurs; counted in the tasks, then summed."""
@@ -94,7 +98,8 @@ def word_frequencies(texts: DataFrame, bits: np.ndarray) -> DataFrame:
         matters, total = Filter(sent.value), Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                total.update(filter(matters, set(words(text))))
+                ws = words(text)
+                total.update({ws[p] for p in matters.places(ws)})
             if len(total) > KEPT_WORDS:
                 yield pd.DataFrame({"word": pd.Series(list(total.keys()), dtype=object), "n": list(total.values())})
                 total.clear()
@@ -136,13 +141,12 @@ def marked(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
             for k, text in enumerate(batch["text"].to_pylist()):
                 ws = words(text)
                 counts.append(len(ws))
-                for p, w in enumerate(ws):
-                    if matters(w):
-                        c = max(0, p - size + 1)
-                        places.append((row + k, w, p, c, ws[c : p + size]))
-                        if len(places) >= MOST_PLACES:
-                            yield flush(batch, places)
-                            places = []
+                for p in matters.places(ws):
+                    c = max(0, p - size + 1)
+                    places.append((row + k, ws[p], p, c, ws[c : p + size]))
+                    if len(places) >= MOST_PLACES:
+                        yield flush(batch, places)
+                        places = []
             if places:
                 yield flush(batch, places)
             yield out(batch, len(counts), row=np.arange(row, row + len(counts)), n_words=counts)
