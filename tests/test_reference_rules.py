@@ -101,3 +101,18 @@ def test_sinks(spark):
         assert "".join(r.value for r in sorted(found, key=lambda r: r.file_path)) == want
     seen = files.uploads(spark, f"{path}/source=t").collect()
     assert len(seen) == 1 and seen[0].suffix == ".txt" and seen[0].accepted and seen[0].bytes == 6
+
+
+def test_section_goldens(spark):
+    """Sections of texts of the known shapes: letters without numbers, chapters with a numbered heading among them, a preamble."""
+    body = "Some prose of this part.\nIt goes on."
+    letters = "\n\n".join(["A title", "Foreword", body, *[f"Letter {i}\n\n{body}" for i in range(1, 6)]])
+    medium = "\n\n".join(["Front matter", "Introduction: why", body, *[f"Chapter {i}\n{body}" for i in (1, 2, 3)], "2. Speaking with care", body, *[f"Chapter {i}\n\n{body}" for i in range(4, 9)], "Conclusion: so", body])
+    short = "\n\n".join(["Title", "Introduction", body, *[f"Chapter {i}\n\n{body}" for i in (1, 2, 3)], "Conclusion", body])
+    lines = spark.createDataFrame([(d, i, x) for d, t in enumerate((letters, medium, short)) for i, x in enumerate(t.split("\n"))], "doc_id int, line_no int, line string")
+    got: dict = {}
+    for r in sorted(structure.text_sections(lines).collect(), key=lambda r: (r.doc_id, r.section_no)):
+        got.setdefault(r.doc_id, []).append((r.title, r.number))
+    assert got[0] == [(f"Letter {i}", None) for i in range(1, 6)]
+    assert got[1] == [("Chapter 1", 1), ("Chapter 2", 2), ("Chapter 3", 3), ("2. Speaking with care", None), *[(f"Chapter {i}", i + 1) for i in range(4, 9)]]
+    assert got[2] == [(f"Chapter {i}", i) for i in (1, 2, 3)]
