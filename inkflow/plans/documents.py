@@ -155,12 +155,22 @@ def size_bucket_avg(spark, sf_dir):
     return b.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.round(F.avg("n"), 6).alias("avg_words"))
 
 
+#: Prices of a thousand tokens in and out; models without a price cost what the large one does.
+PRICES = [("large", 0.01, 0.03), ("small", 0.0015, 0.002)]
+
+
 def cost_rollup(spark, sf_dir):
-    """Tokens (words) per language as calls, priced by model."""
-    price = spark.createDataFrame([("en", "large", 0.01, 0.03), ("de", "small", 0.0015, 0.002)], "lang string, model string, p_in double, p_out double")
-    calls = docs(spark, sf_dir).select("lang", T.word_count(F.col("text")).alias("n")).join(F.broadcast(price), "lang", "left")  # two literal rows
-    cost = F.col("n") / 1000 * F.coalesce("p_in", F.lit(0.01)) + F.col("n") / 4 / 1000 * F.coalesce("p_out", F.lit(0.03))
-    return calls.groupBy(F.coalesce("model", F.lit("other")).alias("model")).agg(F.count("*").alias("n_calls"), F.sum("n").alias("tokens"), F.round(F.sum(cost), 6).alias("cost"))
+    """Each source's run: calls, tokens in and out, cost, and the model of its last call.  A document is a call that reads its
+    words and writes a fourth as many."""
+    price = spark.createDataFrame(PRICES, "model string, p_in double, p_out double")
+    model = F.when(F.col("lang") == "en", "large").when(F.col("lang") == "de", "small").otherwise("other")
+    calls = docs(spark, sf_dir).select("source", "doc_id", model.alias("model"), T.word_count(F.col("text")).alias("n_in")).withColumn("n_out", F.floor(F.col("n_in") / 4))
+    calls = calls.join(F.broadcast(price), "model", "left")  # two literal rows
+    cost = F.col("n_in") / 1000 * F.coalesce("p_in", F.lit(PRICES[0][1])) + F.col("n_out") / 1000 * F.coalesce("p_out", F.lit(PRICES[0][2]))
+    return calls.groupBy("source").agg(
+        F.count("*").alias("n_calls"), F.sum(F.col("n_in") + F.col("n_out")).alias("tokens"), F.sum("n_in").alias("tokens_in"), F.sum("n_out").alias("tokens_out"),
+        F.round(F.sum(cost), 6).alias("cost"), F.max_by("model", "doc_id").alias("model_used"),
+    )
 
 
 def words_before(rows, group, size=10_000):
@@ -295,7 +305,9 @@ SELECT doc_id, count(*) FILTER (inside) AS indented, count(*) FILTER (inside OR
     "sparse_pages": (sparse_pages, f"SELECT doc_id, count(*) AS n_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length({S.strip('line')}) > 0 GROUP BY doc_id HAVING count(*) < 5"),
     "compile_manuscript": (compile_manuscript, f"SELECT source, doc_id, CAST(coalesce(sum(n + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", n AS n_chars, digest FROM (SELECT source, doc_id, CAST(length(t) AS BIGINT) AS n, md5(t) AS digest FROM (SELECT source, doc_id, {S.strip("CASE WHEN doc_id % 2 = 0 THEN 'Final. ' || text ELSE text END")} AS t FROM documents) WHERE t <> '')"),
     "size_bucket_avg": (size_bucket_avg, f"SELECT CASE WHEN n < 5000 THEN 'small' WHEN n < 20000 THEN 'medium' ELSE 'large' END AS bucket, count(*) AS n_docs, round(avg(n), 6) AS avg_words FROM (SELECT {S.count('text')} AS n FROM documents) GROUP BY 1"),
-    "cost_rollup": (cost_rollup, f"SELECT CASE lang WHEN 'en' THEN 'large' WHEN 'de' THEN 'small' ELSE 'other' END AS model, count(*) AS n_calls, CAST(sum(n) AS BIGINT) AS tokens, round(sum(n / 1000 * CASE lang WHEN 'de' THEN 0.0015::DOUBLE ELSE 0.01::DOUBLE END + n / 4 / 1000 * CASE lang WHEN 'de' THEN 0.002::DOUBLE ELSE 0.03::DOUBLE END), 6) AS cost FROM (SELECT lang, {S.count('text')}::DOUBLE AS n FROM documents) GROUP BY 1"),
+    "cost_rollup": (cost_rollup, f"""WITH c AS (SELECT source, doc_id, CASE lang WHEN 'en' THEN 'large' WHEN 'de' THEN 'small' ELSE 'other' END AS model, {S.count('text')} AS n FROM documents),
+p AS (SELECT *, n // 4 AS o, CASE model WHEN 'small' THEN 0.0015::DOUBLE ELSE 0.01::DOUBLE END AS i_price, CASE model WHEN 'small' THEN 0.002::DOUBLE ELSE 0.03::DOUBLE END AS o_price FROM c)
+SELECT source, count(*) AS n_calls, CAST(sum(n + o) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, round(sum(n / 1000::DOUBLE * i_price + o / 1000::DOUBLE * o_price), 6) AS cost, arg_max(model, doc_id) AS model_used FROM p GROUP BY source"""),
     "draft_cap_gate": (draft_cap_gate, f"SELECT doc_id, b AS before, CASE WHEN b < {DRAFT_CAP} THEN 'admitted' ELSE 'draft_total_cap' END AS reason FROM (SELECT doc_id, CAST(coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM (SELECT doc_id, lang, {S.count('text')} AS n FROM documents))"),
     "rule_engine_docs": (rule_engine_docs, _CHECKS + " SELECT * FROM checks"),
     "severity_rollup": (severity_rollup, _CHECKS + " SELECT doc_id, CASE max(CASE status WHEN 'error' THEN 3 WHEN 'fail' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'fail' WHEN 1 THEN 'warning' ELSE 'pass' END AS overall FROM checks GROUP BY doc_id"),
