@@ -7,8 +7,8 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
 
 1. Equal texts are one node, named by a digest.
 2. Sketches are range-sorted by (value, length, node), so that a value that a third of the corpus shares is spread over
-   many tasks.  Each node of a run is compared with the node before it and with the run's first: two
-   candidates a row.  Texts whose lengths differ by more than a fifth of the longer one are no candidates.
+   many tasks.  In one run of EARLY each node is compared with the node before it and with the run's first, which joins
+   most copies at little cost; what it leaves, and all other runs, come under 4.  Texts whose lengths differ by more than a fifth of the longer one are no candidates.
 3. Candidates are verified by banded alignment, and links become classes by alternating star contraction; each round is
    written to the shared folder.
 4. What the second step left out is found exactly.  Runs of one class need no more.  In a run of several classes every two nodes
@@ -48,6 +48,8 @@ SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
 KEPT_WORDS, KEPT_NODES = 400_000, 200_000
 #: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
 RUN, SHORT = 40, 100
+#: One sketch value in EARLY (a power of two) gives candidates before the classes are first made; all go through the rest.
+EARLY = 4
 #: Texts whose words and pairs are counted for the filter's order, slots of the counts, and nodes in a block.
 COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
 #: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
@@ -277,8 +279,9 @@ def runs(rows: DataFrame, far: int) -> DataFrame:
             live = np.flatnonzero(shared & ~again)
             live = live[live >= (0 if last is None or alone else 1)]
             pairs = np.flatnonzero(~new & ~again)
-            near = pairs[q[pairs] - q[pairs - 1] <= far]
-            back = pairs[(heads[pairs] != ids[pairs - 1]) & (heads[pairs] != ids[pairs]) & (q[pairs] - head_q[pairs] <= far)]
+            first_looked = (s[pairs] & (EARLY - 1)) == 0
+            near = pairs[first_looked & (q[pairs] - q[pairs - 1] <= far)]
+            back = pairs[first_looked & (heads[pairs] != ids[pairs - 1]) & (heads[pairs] != ids[pairs]) & (q[pairs] - head_q[pairs] <= far)]
             a, b = np.concatenate([ids[near - 1], heads[back]]), np.concatenate([ids[near], ids[back]])
             out = [pd.DataFrame({"kind": 0, "part": part, "s": 0, "q": 0, "a": np.minimum(a, b), "b": np.maximum(a, b)})]
             out.append(pd.DataFrame({"kind": 1, "part": part, "s": s[live], "q": q[live], "a": ids[live], "b": 0}))
