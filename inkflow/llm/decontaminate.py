@@ -199,5 +199,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
     texts = docs.select(digest.alias("digest"), text_or_empty().alias("text"))
     found, hits, _ = search(texts, benchmark, size)
     bad = found.join(hits.select("row").distinct(), "row", "left_semi").select("digest").distinct()
+    bad = store(bad, shared_dir(docs.sparkSession, "contaminated"))  # so that Spark knows its size
     inside = docs.select(F.struct("*").alias("row"), digest.alias("digest"))  # no name of docs can clash
     return inside.join(bad, "digest", "left_anti").select("row.*")
