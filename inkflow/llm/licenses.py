@@ -46,8 +46,11 @@ TEMPLATES = (
 )
 LEAST = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: What parts words; the same without the line end.
-BETWEEN, BETWEEN_IN_LINE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What parts words, and an empty line, or one without words, which parts blocks.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+EMPTY_LINE = r"\n[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]*+\n"
+#: The letters beyond ASCII whose lower case holds one of ASCII.
+ODD = ("\u0130", "\u212a")
 
 
 def template_words(text: str) -> set[str]:
@@ -58,46 +61,56 @@ def least_overlap(size: int, least: float) -> int:
     return math.ceil(least * size - 1e-9)
 
 
+def lower_ascii(c: Column, looked_for: set[str]) -> Column:
+    """A-Z in lower case.  Where only words of ASCII are looked for, the case of other letters tells nothing, and lower() is
+    much faster than translate(); but it makes ASCII of the ODD ones."""
+    if not all(w.isascii() for w in looked_for):
+        return F.translate(c, UPPER, LOWER)
+    return F.when(reduce(lambda a, b: a | b, [c.contains(x) for x in ODD]), F.translate(c, UPPER, LOWER)).otherwise(F.lower(c))
+
+
 def blanks(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def base_places(low: Column, phrases=PHRASES) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base, the labels, of a text in lower case; every word of `spaced` has a
-    blank of its own on both sides, so a phrase's words are whole words and phrases share no blank."""
-    inner = F.trim(F.regexp_replace(low, BETWEEN, "  "))
-    spaced = F.when(inner == "", F.lit("")).otherwise(F.concat(F.lit(" "), inner, F.lit(" ")))
-    n_words = (blanks(spaced) / 2).cast("long")
-    count, first, last, labels = [], [], [], []
-    for phrase, label in phrases:
-        words = phrase.split()
-        p = " " + "  ".join(words) + " "
-        there = spaced.contains(p)
-        count.append(F.when(there, ((F.length(spaced) - F.length(F.replace(spaced, F.lit(p), F.lit("")))) / len(p)).cast("long")).otherwise(F.lit(0).cast("long")))
-        first.append(F.when(there, (blanks(F.substring_index(spaced, p, 1)) / 2).cast("long")))
-        last.append(F.when(there, n_words - (blanks(F.substring_index(spaced, p, -1)) / 2).cast("long") - len(words)))
-        labels.append(F.when(there, F.lit(label)))
-    ends = {"first_word": F.least(*first) if len(first) > 1 else first[0], "last_word": F.greatest(*last) if len(last) > 1 else last[0]}
-    return {"n_words": n_words, "n_base": reduce(lambda a, b: a + b, count), **ends, "base": F.array_sort(F.array_distinct(F.array_compact(F.array(*labels))))}
-
-
-def blocks_of(low: Column, vocabulary: list[str]) -> Column:
-    """(block, words): each block of a text and the different words of the vocabulary in it."""
-    flat = F.regexp_replace(low, BETWEEN_IN_LINE, " ")
-    lines = F.regexp_replace(flat, " ?\n ?", "\n")
-
-    def words(block: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(block, "[ \n]"), lambda w: w.isin(vocabulary)))
-
-    every = F.transform(F.split(lines, "\n\n+"), lambda block, i: F.struct(i.alias("block"), words(block).alias("words")))
-    return F.filter(every, lambda b: F.size(b["words"]) > 0)
-
-
-def scanned(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """doc_id, the base columns and blocks, one row per document; written, as rows are numbered by the task that reads them."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.translate(text_or_empty(), UPPER, LOWER).alias("low"))
-    rows = rows.select("doc_id", *(c.alias(k) for k, c in base_places(F.col("low")).items()), blocks_of(F.col("low"), vocabulary).alias("blocks"))
-    return store(rows.withColumn("row", F.monotonically_increasing_id()), shared_dir(docs.sparkSession, "license-blocks"))
+def base_places(low: Column, words: Column, n_words: Column, phrases=PHRASES) -> Column:
+    """n_base, first_word, last_word and base, the labels, of a text.  In `spaced` every word has a blank of its own on both
+    sides, so a phrase's words are whole words and phrases share no blank; only texts that hold all of a phrase's words need
+    it."""
+    able = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [low.contains(w) for w in p.split()]) for p, _ in phrases])
+    spaced = F.when(able, F.concat(F.lit(" "), F.array_join(F.flatten(words), "  "), F.lit(" "))).otherwise("")
+
+    def found(s: Column) -> Column:
+        count, first, last, labels = [], [], [], []
+        for phrase, label in phrases:
+            size = len(phrase.split())
+            p = " " + "  ".join(phrase.split()) + " "
+            there = s.contains(p)
+            count.append(F.when(there, ((F.length(s) - F.length(F.replace(s, F.lit(p), F.lit("")))) / len(p)).cast("long")).otherwise(F.lit(0).cast("long")))
+            first.append(F.when(there, (blanks(F.substring_index(s, p, 1)) / 2).cast("long")))
+            last.append(F.when(there, n_words - (blanks(F.substring_index(s, p, -1)) / 2).cast("long") - size))
+            labels.append(F.when(there, F.lit(label)))
+        none = F.lit(None).cast("long")
+        return F.struct(
+            reduce(lambda a, b: a + b, count).alias("n_base"), F.least(*first, none).alias("first_word"), F.greatest(*last, none).alias("last_word"),
+            F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))).alias("base"),
+        )
+
+    return F.get(F.transform(F.array(spaced), found), F.lit(0))
+
+
+def scanned(docs: DataFrame, vocabulary: list[str], phrases=PHRASES) -> DataFrame:
+    """doc_id, the base columns and blocks, (block, words) of each block with the different words of the vocabulary in it; one
+    row per document.  Written, as rows are numbered by the task that reads them."""
+    looked_for = {*vocabulary, *(w for p, _ in phrases for w in p.split())}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lower_ascii(text_or_empty(), looked_for).alias("low"))
+    flat = F.transform(F.split("low", EMPTY_LINE), lambda b: F.trim(F.regexp_replace(b, BETWEEN, " ")))
+    words = F.transform(F.filter(flat, lambda b: b != ""), lambda b: F.split(b, " "))
+    rows = rows.select("doc_id", "low", words.alias("every"))
+    n_words = F.aggregate("every", F.lit(0).cast("long"), lambda a, w: a + F.size(w))
+    own = F.transform("every", lambda w, i: F.struct(i.alias("block"), F.array_distinct(F.filter(w, lambda x: x.isin(vocabulary))).alias("words")))
+    rows = rows.select("doc_id", n_words.alias("n_words"), base_places(F.col("low"), F.col("every"), n_words, phrases).alias("b"), F.filter(own, lambda b: F.size(b["words"]) > 0).alias("blocks"))
+    return store(rows.select("doc_id", "n_words", "b.*", "blocks").withColumn("row", F.monotonically_increasing_id()), shared_dir(docs.sparkSession, "license-blocks"))
 
 
 def word_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
