@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkflow.plans import control, documents, events, manuscripts, pages, relational, storage, validation
-from inkflow.streaming import streams
+from inkflow.streaming import expiry, streams
 
 
 def _all() -> dict:
-    return {**pages.CATALOGUE, **documents.CATALOGUE, **relational.CATALOGUE, **events.CATALOGUE, **streams.CATALOGUE, **validation.CATALOGUE, **manuscripts.CATALOGUE, **storage.CATALOGUE, **control.CATALOGUE}
+    return {**pages.CATALOGUE, **documents.CATALOGUE, **relational.CATALOGUE, **events.CATALOGUE, **streams.CATALOGUE, **expiry.CATALOGUE, **validation.CATALOGUE, **manuscripts.CATALOGUE, **storage.CATALOGUE, **control.CATALOGUE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -18,12 +20,32 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _drain(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there in append mode, and read what it wrote."""
-    base = shared(spark, name)
+#: The time of a closing row: later than any event.
+END = "9000-01-01"
+
+
+def _run(stream: DataFrame, base: str) -> StreamingQuery:
     writer = stream.writeStream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True)
-    writer.format("parquet").outputMode("append").start(f"{base}/out").awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    q = writer.format("parquet").outputMode("append").start(f"{base}/out")
+    q.awaitTermination()
+    return q
+
+
+def drained(events: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, delay: str = "1 day") -> tuple[DataFrame, StreamingQuery]:
+    """What `build` makes of all events in append mode, and the query that ended it.  Append mode keeps what is not past the
+    watermark, so a second run reads one closing row, of the time END, from a source of its own: the watermark passes
+    everything, and a last batch without rows writes what is left.  The row itself goes before the state."""
+    spark = events.sparkSession
+    base = shared(spark, name)
+    spark.createDataFrame([], events.schema).write.parquet(f"{base}/closing")
+    both = events.unionByName(spark.readStream.schema(events.schema).parquet(f"{base}/closing"))
+    # The condition names the event time, so it stays behind the watermark, which has then seen the row.
+    stream = build(both.withWatermark("ts", delay).where(F.col("ts") < F.lit(END).cast("timestamp")))
+    _run(stream, base)
+    closing = [F.lit(END).cast("timestamp").alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema]
+    spark.range(1).select(*closing).write.mode("append").parquet(f"{base}/closing")
+    q = _run(stream, base)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out"), q
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,23 +56,28 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per hour and type of the hours that ended a day before the last event: what comes later is dropped, and state
-    is kept for a day."""
-    w = _events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour"), "event_type")
-    out = w.agg(F.count("*").alias("n")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
-    return _drain(spark, out, "tumbling")
+    """Events per hour and type; state is kept for a day behind the last event."""
+
+    def build(events: DataFrame) -> DataFrame:
+        w = events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+        return w.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n")
+
+    return drained(_events(spark, sf_dir), build, "tumbling")[0]
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One event of each user and type; state is kept until the watermark passes it."""
-    e = _events(spark, sf_dir).select("user_id", "event_type", "ts").withWatermark("ts", "3650 days")
-    return _drain(spark, e.dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "dedup")
+    """One row of each user and type: micro-batches are held against what is stored, so no state grows with the keys."""
+    return trend_upsert(spark, _events(spark, sf_dir)).select("user_id", "event_type")
 
 
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of a user with gaps of less than an hour, that ended a day before the last event."""
-    s = _events(spark, sf_dir).withWatermark("ts", "1 day").groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n"))
-    return _drain(spark, s.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n"), "session")
+    """Sessions of a user with gaps of less than an hour."""
+
+    def build(events: DataFrame) -> DataFrame:
+        s = events.groupBy(F.session_window("ts", "1 hour"), "user_id").agg(F.count("*").alias("n"))
+        return s.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+    return drained(_events(spark, sf_dir), build, "session")[0]
 
 
 def trend_upsert(spark: SparkSession, stream: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -83,8 +110,8 @@ def stream_trend_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATALOGUE = {
-    "stream_tumbling": (stream_tumbling, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2"),
+    "stream_tumbling": (stream_tumbling, "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "stream_dedup": (stream_dedup, "SELECT DISTINCT user_id, event_type FROM events"),
-    "stream_session": (stream_session, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"),
+    "stream_session": (stream_session, "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, k"),
     "stream_trend_upsert": (stream_trend_upsert, "SELECT user_id, event_type, min(event_id) AS first_event FROM events WHERE NOT (event_type = 'purchase' AND user_id IN (SELECT c_custkey FROM customer)) GROUP BY 1, 2"),
 }
