@@ -160,7 +160,7 @@ def bound(value: Column, use) -> Column:
 
 def title_case(c: Column) -> Column:
     """str.title(): a letter after none is upper case, every other one lower case."""
-    after = lambda cs, x, i: F.when((i == 0) | ~F.coalesce(F.get(cs, i - 1), F.lit("")).rlike(r"\p{L}"), F.upper(x)).otherwise(F.lower(x))
+    after = lambda cs, x, i: F.when((i == 0) | ~F.coalesce(F.get(cs, i - 1), F.lit("")).rlike(r"\p{L}"), F.when(x == "ß", "Ss").otherwise(F.upper(x))).otherwise(F.lower(x))
     return bound(F.split(c, ""), lambda cs: F.array_join(F.transform(cs, lambda x, i: after(cs, x, i)), ""))
 
 

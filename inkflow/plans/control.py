@@ -1,27 +1,17 @@
-"""Point queries, patches, orders and budgets of the content pipeline's small tables."""
+"""Point queries, patches, orders and budgets of the content pipeline's small tables, derived from the given ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkflow.functions import text as T
 from inkflow.plans import fixtures as X
 from inkflow.plans import sqltext as S
+from inkflow.plans.derived import derived, derived_sql
 
-IDEAS = [(1, 1, "backlog", None), (2, 1, "assigned", 0), (3, 1, "assigned", 3), (4, 2, "backlog", None), (5, 1, "backlog", None), (6, 1, "done", 0)]
-TOPICS = [(1, "alpha", 100), (2, "beta", 300), (3, "gamma", 300), (4, "delta", 200)]
-SILOS = [(10, 1, 2), (11, 1, 0), (12, 2, 1), (13, 3, 1)]
-NAMES = [(1, "title", "A"), (1, "author", ""), (1, "language", None), (2, "title", "B"), (2, "author", "C"), (2, "language", "en"), (3, "title", None)]
-RESULTS = [(1, 3, "chapter written", None), (2, 1, None, "timeout"), (3, 2, "chapter written", None), (4, 4, None, "no key")]
-BRIEFS = [(1, "Old", "Goal", "keep me"), (2, "Two", "Aim", "x"), (3, "Three", "Why", None)]
-PATCHES = [(1, "", "New goal", None), (2, "New two", None, "y")]
-SESSIONS = [(1, "2024-01-01 10:00:00"), (2, "2024-01-01 11:00:00"), (3, "2024-01-01 11:00:01"), (4, "2024-01-01 12:30:00")]
-NOW = "2024-01-01 12:00:00"
-#: source, is it a post, does its fetch succeed
-CALLS = [(1, True, True), (2, False, True), (3, True, False), (4, True, True), (5, True, True), (6, False, False), (7, True, True)]
-MOST_CALLS = 2
-QUERIES = [(1, "two words"), (2, 'a&b="c"'), (3, "é+1/2")]
+NOW = "2024-01-15 12:00:00"
+MOST_CALLS = 50
 
 
 def idea_filters(d):
@@ -40,10 +30,11 @@ def latest_topics(d):
 def call_budget(d):
     """Sources in order: posts are left pending once so many have been fetched; only successes count.  All succeed or fail as
     they do, so the count before a source is that of the successes among the posts before it, at most the budget."""
-    before = Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)  # one run of one topic: a bounded table
-    used = F.coalesce(F.sum(F.when(F.col("post") & F.col("ok"), 1).otherwise(0)).over(before), F.lit(0))
-    status = F.when(F.col("post") & (used >= MOST_CALLS), "pending").when(F.col("ok"), "extracted").otherwise("failed")
-    return d.select("id", status.alias("status"))
+    from inkflow.plans.documents import words_before
+
+    rows = d.withColumnRenamed("id", "doc_id").withColumn("n", (F.col("post") & F.col("ok")).cast("long")).withColumn("run", F.lit(1))
+    status = F.when(F.col("post") & (F.col("before") >= MOST_CALLS), "pending").when(F.col("ok"), "extracted").otherwise("failed")
+    return words_before(rows, ["run"]).select(F.col("doc_id").alias("id"), status.alias("status"))
 
 
 def missing_names(d):
@@ -53,27 +44,28 @@ def missing_names(d):
 
 
 def task_outcome(d):
-    """Completed tasks and errors of a run."""
-    return d.agg(F.count("result").alias("completed"), F.count("error").alias("failed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("silo", "error")))), lambda x: x["error"]), "; ").alias("errors"))
+    """Completed tasks and errors of each run, which has a task a silo."""
+    return d.groupBy("run").agg(F.count("result").alias("completed"), F.count("error").alias("failed"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("silo", "error")))), lambda x: x["error"]), "; ").alias("errors"))
 
 
 def silo_templates(spark, sf_dir):
-    """Every silo with its templates; silo 0 has none."""
+    """Every silo of every topic with its templates in the topic's name; silo 0 has none."""
     silos = spark.createDataFrame(X.SILO_TITLES, "silo int, title string")
     t = spark.createDataFrame(X.TEMPLATE_ROWS, "silo int, template string").groupBy("silo").agg(F.array_join(F.array_sort(F.collect_list("template")), "|").alias("templates"))
-    return silos.join(t, "silo", "left").select("silo", "title", F.coalesce("templates", F.lit("")).alias("templates"))
+    silos = silos.join(t, "silo", "left").select("silo", "title", F.coalesce("templates", F.lit("")).alias("templates"))
+    return derived(spark, sf_dir, "topics").crossJoin(F.broadcast(silos)).select("topic_id", "silo", "title", F.replace("templates", F.lit("{topic}"), F.col("name")).alias("templates"))  # 11 literal rows
 
 
 def topic_silos(spark, sf_dir):
-    """A topic's silos by number, found by the topic's name."""
-    t = spark.createDataFrame(TOPICS, "topic_id int, name string, created int").where("name = 'alpha'")
-    return t.join(spark.createDataFrame(SILOS, "silo_id int, topic_id int, silo int"), "topic_id").orderBy("silo").select("name", "silo_id", "silo")
+    """Topics' silos by number, found by the topics' names."""
+    t = derived(spark, sf_dir, "topics").where("name like '%7'")
+    return t.join(derived(spark, sf_dir, "silos"), "topic_id").select("name", "silo_id", "silo")
 
 
 def brief_patch(spark, sf_dir):
     """A form's patch: empty titles and goals leave the old ones, notes are always those of the form."""
-    b = spark.createDataFrame(BRIEFS, "id int, title string, goal string, notes string")
-    p = spark.createDataFrame(PATCHES, "id int, new_title string, new_goal string, new_notes string").withColumn("given", F.lit(True))
+    b = derived(spark, sf_dir, "book_briefs")
+    p = derived(spark, sf_dir, "patches").select("id", *(F.col(c).alias(f"new_{c}") for c in ("title", "goal", "notes"))).withColumn("given", F.lit(True))
     keep = lambda new, old: F.coalesce(F.nullif(F.col(new), F.lit("")), F.col(old)).alias(old)
     return b.join(p, "id", "left").select("id", keep("new_title", "title"), keep("new_goal", "goal"), F.when(F.col("given"), F.col("new_notes")).otherwise(F.col("notes")).alias("notes"))
 
@@ -88,23 +80,23 @@ def feed_urls(d):
     return d.select("id", F.concat(F.lit("https://example.com/search.rss?q="), F.url_encode("q"), F.lit("&sort=hot")).alias("search"), F.concat(F.lit("https://example.org/feed/tag/"), T.slugify_compat(F.col("q"))).alias("tag"))
 
 
-def _over(fn, data, schema):
-    return lambda spark, sf_dir: fn(spark.createDataFrame(data, schema))
+def _over(fn, relation):
+    return lambda spark, sf_dir: fn(derived(spark, sf_dir, relation))
 
 
-def _with(name: str, columns: str, data: list[tuple]) -> str:
-    return "WITH " + S.values(name, columns, data)
+def _with(relation: str, alias: str = "d") -> str:
+    return "WITH " + derived_sql(relation, alias)
 
 
 CATALOGUE = {
-    "idea_filters": (_over(idea_filters, IDEAS, "id int, topic_id int, status string, silo int"), _with("d", "id, topic_id, status, silo", IDEAS) + " SELECT 'ids' AS filter, id FROM d WHERE topic_id = 1 AND id IN (2, 3, 4) UNION ALL SELECT 'backlog', id FROM d WHERE topic_id = 1 AND status = 'backlog' UNION ALL SELECT 'silo 0', id FROM d WHERE topic_id = 1 AND silo = 0"),
-    "latest_topics": (_over(latest_topics, TOPICS, "id int, name string, created int"), _with("d", "id, name, created", TOPICS) + " SELECT id, name FROM d ORDER BY created DESC, id LIMIT 3"),
-    "call_budget": (_over(call_budget, CALLS, "id int, post boolean, ok boolean"), _with("d", "id, post, ok", CALLS) + f" SELECT id, CASE WHEN post AND (SELECT count(*) FROM d e WHERE e.id < d.id AND e.post AND e.ok) >= {MOST_CALLS} THEN 'pending' WHEN ok THEN 'extracted' ELSE 'failed' END AS status FROM d"),
-    "missing_names": (_over(missing_names, NAMES, "id int, name string, value string"), _with("d", "id, name, value", NAMES) + " SELECT id, coalesce(string_agg(CASE WHEN coalesce(value, '') = '' THEN name END, ', ' ORDER BY name), '') AS missing FROM d GROUP BY id"),
-    "task_outcome": (_over(task_outcome, RESULTS, "id int, silo int, result string, error string"), _with("d", "id, silo, result, error", RESULTS) + " SELECT count(result) AS completed, count(error) AS failed, string_agg(error, '; ' ORDER BY silo) AS errors FROM d"),
-    "silo_templates": (silo_templates, _with("s", "silo, title", X.SILO_TITLES) + ", " + S.values("t", "silo, template", X.TEMPLATE_ROWS) + " SELECT s.silo, title, coalesce(string_agg(template, '|' ORDER BY template), '') AS templates FROM s LEFT JOIN t ON s.silo = t.silo GROUP BY s.silo, title"),
-    "topic_silos": (topic_silos, _with("t", "topic_id, name, created", TOPICS) + ", " + S.values("s", "silo_id, topic_id, silo", SILOS) + " SELECT name, silo_id, silo FROM t JOIN s ON t.topic_id = s.topic_id WHERE name = 'alpha'"),
-    "brief_patch": (brief_patch, _with("b", "id, title, goal, notes", BRIEFS) + ", " + S.values("p", "id, title, goal, notes", PATCHES) + " SELECT b.id, coalesce(nullif(p.title, ''), b.title) AS title, coalesce(nullif(p.goal, ''), b.goal) AS goal, CASE WHEN p.id IS NULL THEN b.notes ELSE p.notes END AS notes FROM b LEFT JOIN p ON b.id = p.id"),
-    "session_expiry": (_over(expired, SESSIONS, "id int, seen_at string"), _with("d", "id, seen_at", SESSIONS) + f" SELECT id FROM d WHERE CAST(seen_at AS TIMESTAMP) < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR"),
-    "feed_urls": (_over(feed_urls, QUERIES, "id int, q string"), _with("d", "id, q", QUERIES) + r" SELECT id, 'https://example.com/search.rss?q=' || replace(url_encode(q), '%20', '+') || '&sort=hot' AS search, 'https://example.org/feed/tag/' || coalesce(nullif(regexp_replace(regexp_replace(lower(trim(q)), '[^a-z0-9\\s-]', '', 'g'), '-+', '-', 'g'), ''), 'topic') AS tag FROM d"),
+    "idea_filters": (_over(idea_filters, "ideas"), _with("ideas") + " SELECT 'ids' AS filter, id FROM d WHERE topic_id = 1 AND id IN (2, 3, 4) UNION ALL SELECT 'backlog', id FROM d WHERE topic_id = 1 AND status = 'backlog' UNION ALL SELECT 'silo 0', id FROM d WHERE topic_id = 1 AND silo = 0"),
+    "latest_topics": (_over(latest_topics, "topic_rows"), _with("topic_rows") + " SELECT id, name FROM d ORDER BY created DESC, id LIMIT 3"),
+    "call_budget": (_over(call_budget, "calls"), _with("calls") + f" SELECT id, CASE WHEN post AND coalesce(count(*) FILTER (post AND ok) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= {MOST_CALLS} THEN 'pending' WHEN ok THEN 'extracted' ELSE 'failed' END AS status FROM d"),
+    "missing_names": (_over(missing_names, "names"), _with("names") + " SELECT id, coalesce(string_agg(CASE WHEN coalesce(value, '') = '' THEN name END, ', ' ORDER BY name), '') AS missing FROM d GROUP BY id"),
+    "task_outcome": (_over(task_outcome, "results"), _with("results") + " SELECT run, count(result) AS completed, count(error) AS failed, coalesce(string_agg(error, '; ' ORDER BY silo, error), '') AS errors FROM d GROUP BY run"),
+    "silo_templates": (silo_templates, _with("topics", "t") + ", " + S.values("s", "silo, title", X.SILO_TITLES) + ", " + S.values("x", "silo, template", X.TEMPLATE_ROWS) + ", y AS (SELECT s.silo, title, coalesce(string_agg(template, '|' ORDER BY template), '') AS templates FROM s LEFT JOIN x ON s.silo = x.silo GROUP BY s.silo, title) SELECT topic_id, silo, title, replace(templates, '{topic}', name) AS templates FROM t, y"),
+    "topic_silos": (topic_silos, _with("topics", "t") + ", " + derived_sql("silos", "s") + " SELECT name, silo_id, silo FROM t JOIN s ON t.topic_id = s.topic_id WHERE name LIKE '%7'"),
+    "brief_patch": (brief_patch, _with("book_briefs", "b") + ", " + derived_sql("patches", "p") + " SELECT b.id, coalesce(nullif(p.title, ''), b.title) AS title, coalesce(nullif(p.goal, ''), b.goal) AS goal, CASE WHEN p.id IS NULL THEN b.notes ELSE p.notes END AS notes FROM b LEFT JOIN p ON b.id = p.id"),
+    "session_expiry": (_over(expired, "sessions"), _with("sessions") + f" SELECT id FROM d WHERE CAST(seen_at AS TIMESTAMP) < TIMESTAMP '{NOW}' - INTERVAL 1 HOUR"),
+    "feed_urls": (_over(feed_urls, "queries"), _with("queries") + r" SELECT id, 'https://example.com/search.rss?q=' || replace(url_encode(q), '%20', '+') || '&sort=hot' AS search, 'https://example.org/feed/tag/' || coalesce(nullif(regexp_replace(regexp_replace(lower(trim(q)), '[^a-z0-9\\s-]', '', 'g'), '-+', '-', 'g'), ''), 'topic') AS tag FROM d"),
 }

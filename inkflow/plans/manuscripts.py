@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inkflow.functions import text as T
 from inkflow.plans import sqltext as S
+from inkflow.plans.derived import derived, derived_sql
 from inkflow.session import table
 
 BLOCK_COLUMNS = "doc int, ord int, type string, level int, text string, style string, attribution string, caption string, number string"
@@ -55,24 +56,24 @@ def block_mapping(blocks: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(spark) -> DataFrame:
-    return spark.createDataFrame(BLOCKS, BLOCK_COLUMNS)
+def _blocks(spark, sf_dir) -> DataFrame:
+    return derived(spark, sf_dir, "blocks")
 
 
 def endnotes(spark, sf_dir):
     """Notes in the order of chapters and of their places in them, numbered as they say."""
-    notes = block_mapping(_blocks(spark)).where("part = 'note'")
+    notes = block_mapping(_blocks(spark, sf_dir)).where("part = 'note'")
     place = F.row_number().over(Window.partitionBy("doc").orderBy("chapter_no", "ord"))
     return notes.select("doc", place.alias("place"), F.col("style").cast("int").alias("number"), "text")
 
 
 def contents(spark, sf_dir):
     """A line for each chapter, with its number where its title says it is one."""
-    rows = block_mapping(_blocks(spark)).where("part = 'chapter'").groupBy("doc", "chapter_no").agg(F.max("title").alias("title"), F.count("*").alias("n_blocks"))
+    rows = block_mapping(_blocks(spark, sf_dir)).where("part = 'chapter'").groupBy("doc", "chapter_no").agg(F.max("title").alias("title"), F.count("*").alias("n_blocks"))
     return rows.select("doc", "chapter_no", "title", "n_blocks", F.concat(F.lit("chapter_"), F.lpad(F.col("chapter_no").cast("string"), 3, "0"), F.lit(".xhtml")).alias("href"))
 
 
-_MAPPED = S.values("blocks", ", ".join(x.split()[0] for x in BLOCK_COLUMNS.split(", ")), BLOCKS) + f""",
+_FROM_BLOCKS = f"""
 b0 AS (SELECT doc, ord, type, coalesce(level, 1) AS level, {S.strip("coalesce(text, '')")} AS text, style, attribution, caption, number FROM blocks),
 b1 AS (SELECT *, type = 'chapter' OR type = 'heading' AND level = 1 AS head FROM b0 WHERE text <> ''),
 b2 AS (SELECT *, type = 'chapter' OR head AND NOT coalesce(bool_or(head) OVER (PARTITION BY doc ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS start FROM b1),
@@ -86,6 +87,8 @@ mapped AS (SELECT b5.doc, ord, CASE type WHEN 'front_matter' THEN 'front' WHEN '
   CASE type WHEN 'quote' THEN coalesce(attribution, '') WHEN 'footnote' THEN coalesce(nullif(regexp_extract(number, '\\d+'), ''), '1') WHEN 'heading' THEN CAST(level AS VARCHAR) WHEN 'image' THEN 'image' ELSE coalesce(style, 'normal') END AS style
   FROM b5 LEFT JOIN runs ON b5.doc = runs.doc AND b5.run = runs.run WHERE matter OR kept AND (content OR type = 'footnote' AND b5.run > 0))"""
 
+_MAPPED = derived_sql("blocks", "blocks") + "," + _FROM_BLOCKS
+
 #: What begins a section of page text, a greeting, and words that begin a sentence, not a subtitle.
 SECTION_LINE = re.compile(r"(?:(?:chapter|letter|part|section|foreword|prologue|epilogue|introduction|conclusion)\s*(?:\d+|[ivxlcdm]+|one|two|three|four|five|six|seven|eight|nine|ten|[a-z])?:?\s*|letter\s+\d+\s*)$", re.IGNORECASE)
 BARE_NUMBER = re.compile(r"(?:\d+|[ivxlcdm]+)\.?\s*$", re.IGNORECASE)
@@ -179,18 +182,18 @@ def small_functions(d):
     )
 
 
-_TITLE = "array_to_string(list_transform(string_split(u, ''), lambda c, i: CASE WHEN i = 1 OR NOT regexp_matches(string_split(u, '')[i - 1], '\\p{L}') THEN upper(c) ELSE lower(c) END), '')"
+_TITLE = "array_to_string(list_transform(string_split(u, ''), lambda c, i: CASE WHEN i = 1 OR NOT regexp_matches(string_split(u, '')[i - 1], '\\p{L}') THEN CASE WHEN c = 'ß' THEN 'Ss' ELSE upper(c) END ELSE lower(c) END), '')"
 
 
-def _over(fn, data, schema):
-    return lambda spark, sf_dir: fn(spark.createDataFrame(data, schema))
+def _over(fn, relation):
+    return lambda spark, sf_dir: fn(derived(spark, sf_dir, relation))
 
 
 CATALOGUE = {
-    "block_mapping": (_over(block_mapping, BLOCKS, BLOCK_COLUMNS), f"WITH {_MAPPED} SELECT * FROM mapped"),
+    "block_mapping": (_over(block_mapping, "blocks"), f"WITH {_MAPPED} SELECT * FROM mapped"),
     "endnotes": (endnotes, f"WITH {_MAPPED} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY chapter_no, ord) AS INT) AS place, CAST(style AS INT) AS number, text FROM mapped WHERE part = 'note'"),
     "contents": (contents, f"WITH {_MAPPED} SELECT doc, chapter_no, max(title) AS title, count(*) AS n_blocks, 'chapter_' || lpad(CAST(chapter_no AS VARCHAR), 3, '0') || '.xhtml' AS href FROM mapped WHERE part = 'chapter' GROUP BY doc, chapter_no"),
     "pdf_structure": (pdf_structure, None),
-    "metadata_defaults": (_over(metadata_defaults, METADATA, "id int, title string, author string, language string, isbn string"), f"WITH {S.values('r', 'id, title, author, language, isbn', METADATA)} SELECT id, coalesce(nullif(trim(title), ''), 'Untitled') AS title, coalesce(nullif(trim(author), ''), 'Unknown Author') AS author, coalesce(nullif(trim(language), ''), 'en') AS language, 'ISBN:' || coalesce(isbn, '') AS identifier FROM r"),
-    "small_functions": (_over(small_functions, SMALL, "id int, t string, seconds double, n int, margin string, flag string, bytes long"), f"WITH {S.values('r', 'id, t, seconds, n, margin, flag, bytes', SMALL)}, q AS (SELECT *, replace(t, '_', ' ') AS u FROM r) SELECT id, {_TITLE} AS title, CAST(len(string_split(t, chr(10))) - CASE WHEN ends_with(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n_lines, replace(regexp_replace(t, '[^a-z ]', '', 'g'), ' ', '+') AS query, round(seconds::DOUBLE, 2) AS seconds, greatest(10, least(coalesce(n, 10), 100)) AS clamped, coalesce(TRY_CAST(margin AS DOUBLE) BETWEEN 0.5 AND 1.5, false) AS margin_ok, lower(flag) IN ('1', 'true', 'yes', 'on') AS flag, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN CAST(round(bytes / 1024, 2) AS VARCHAR) || ' KB' ELSE CAST(round(bytes / 1048576, 2) AS VARCHAR) || ' MB' END AS size FROM q"),
+    "metadata_defaults": (_over(metadata_defaults, "metadata"), f"WITH {derived_sql('metadata', 'r')} SELECT id, coalesce(nullif(trim(title), ''), 'Untitled') AS title, coalesce(nullif(trim(author), ''), 'Unknown Author') AS author, coalesce(nullif(trim(language), ''), 'en') AS language, 'ISBN:' || coalesce(isbn, '') AS identifier FROM r"),
+    "small_functions": (_over(small_functions, "small"), f"WITH {derived_sql('small', 'r')}, q AS (SELECT *, replace(t, '_', ' ') AS u FROM r) SELECT id, {_TITLE} AS title, CAST(len(string_split(t, chr(10))) - CASE WHEN ends_with(t, chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS n_lines, replace(regexp_replace(t, '[^a-z ]', '', 'g'), ' ', '+') AS query, round(seconds::DOUBLE, 2) AS seconds, greatest(10, least(coalesce(n, 10), 100)) AS clamped, coalesce(TRY_CAST(margin AS DOUBLE) BETWEEN 0.5 AND 1.5, false) AS margin_ok, lower(flag) IN ('1', 'true', 'yes', 'on') AS flag, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN CAST(round(bytes / 1024, 2) AS VARCHAR) || ' KB' ELSE CAST(round(bytes / 1048576, 2) AS VARCHAR) || ' MB' END AS size FROM q"),
 }

@@ -31,11 +31,11 @@ def jsonl_last(spark, sf_dir):
 
 
 def status_overwrite(spark, sf_dir):
-    """The last of three states."""
-    path = shared(spark, "status")
-    for state, n in (("running", 0), ("cycle", 4), ("stopped", 7)):
-        files.overwrite_status(spark.createDataFrame([(state, n)], "state string, cycles int"), path)
-    return files.json_lines(spark, path, "state string, cycles int")
+    """The last of three states of a run over pages: how many sources there are, how many have a page, how many are there twice."""
+    path, pages = shared(spark, "status"), table(spark, sf_dir, "pages")
+    for state, n in (("running", F.count("url")), ("cycle", F.count("html")), ("stopped", F.count("url") - F.count_distinct("url"))):
+        files.overwrite_status(pages.agg(F.lit(state).alias("state"), n.alias("sources")), path)
+    return files.json_lines(spark, path, "state string, sources long")
 
 
 def text_scan(spark, sf_dir):
@@ -70,7 +70,7 @@ def patch_rows(spark, sf_dir):
 CATALOGUE = {
     "jsonl_append": (jsonl_append, "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1"),
     "jsonl_last": (jsonl_last, "SELECT event_id, event_type, CAST(row_number() OVER (ORDER BY event_id DESC) AS INT) AS back FROM events QUALIFY back <= 5"),
-    "status_overwrite": (status_overwrite, "SELECT 'stopped' AS state, 7 AS cycles"),
+    "status_overwrite": (status_overwrite, "SELECT 'stopped' AS state, count(url) - count(DISTINCT url) AS sources FROM pages"),
     "text_scan": (text_scan, f"SELECT source, CAST(sum({S.count('text')}) AS BIGINT) AS n_words FROM documents WHERE text IS NOT NULL GROUP BY source"),
     "feed_scan": (feed_scan, "SELECT feed, entry, title, link FROM (SELECT page_id // 20 AS feed, CAST(row_number() OVER (PARTITION BY page_id // 20 ORDER BY page_id) - 1 AS INT) AS entry, 'Page ' || page_id AS title, CASE WHEN page_id % 3 = 0 THEN 'id-' || page_id ELSE 'http://x/' || page_id END AS link FROM pages WHERE page_id % 4 <> 0) WHERE entry < 4"),
     "patch_rows": (patch_rows, "SELECT n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'New ' || n_name ELSE n_name END AS n_name, CASE WHEN n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 THEN 9 ELSE n_regionkey END AS n_regionkey FROM nation"),

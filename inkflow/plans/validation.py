@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkflow.plans import sqltext as S
+from inkflow.plans.derived import derived, derived_sql
 
 PRINT_COLUMNS = (
     "doc string, mb double, pages int, version string, fonts int, embedded int, title string, author string, page_size string, width double, height double, "
@@ -54,8 +55,8 @@ SHEET_FACTS = [
 ]
 SHEET_ISSUES = [
     ("orphans", "orphans IS NULL OR orphans < 3"), ("widows", "widows IS NULL OR widows < 3"), ("indent", "indent IS NULL OR NOT (indent BETWEEN 0.2 AND 0.3)"), ("first paragraph", "NOT first_para"),
-    ("paragraph after heading", "NOT adjacent"), ("paragraph after chapter title", "NOT chapter_title"), ("drop cap line height", "cap_line < 1.0 AND cap_line > 0"), ("drop cap margin", "cap_margin < 0.05 AND cap_margin > 0"),
-    ("chapter break", "NOT chapter_break"), ("heading break", "NOT avoid_break"), ("margin", "margin > 0 AND abs(margin - 0.75) > 0.01"),
+    ("paragraph after heading", "NOT adjacent"), ("paragraph after chapter title", "NOT chapter_title"), ("drop cap line height", "caps AND cap_line < 1.0 AND cap_line > 0"), ("drop cap margin", "caps AND cap_margin < 0.05 AND cap_margin > 0"),
+    ("chapter break", "NOT chapter_break"), ("heading break", "NOT avoid_break"), ("margin", "margin > 0 AND abs(margin - wanted) > 0.01"),
 ]
 
 MEMBERS = [
@@ -90,30 +91,37 @@ def _checks_sql(rules: list[tuple[str, str]], key: str, facts: str) -> str:
     return " UNION ALL ".join(f"SELECT {key}, ord, check_name, status FROM (SELECT {key}, {i} AS ord, '{n}' AS check_name, {e} AS status FROM {facts}) WHERE status IS NOT NULL" for i, (n, e) in enumerate(rules, 1))
 
 
-def print_facts(spark) -> DataFrame:
-    return spark.createDataFrame(PRINT_FILES, PRINT_COLUMNS)
+def print_checks(facts: DataFrame) -> DataFrame:
+    return checks(facts, "doc", PRINT_RULES)
 
 
 def rule_engine_print(spark, sf_dir):
-    return checks(print_facts(spark), "doc", PRINT_RULES)
+    return print_checks(derived(spark, sf_dir, "print_files"))
 
 
 def sheet_facts(sheets: DataFrame) -> DataFrame:
-    """The facts of each style sheet (sheet, css)."""
+    """The facts of each style sheet (sheet, css); caps, whether drop caps are asked for, and wanted, the margin in inches, are
+    the book's options, or else none and 0.75."""
     def fact(pattern, kind):
         got = F.regexp_extract("css", pattern, 1)
         return got != "" if kind is None else got.try_cast(kind)
 
-    return sheets.select("sheet", *[fact(p, k).alias(n) for n, p, k in SHEET_FACTS])
+    options = {"caps": F.lit(False), "wanted": F.lit(0.75)}
+    sheets = sheets.withColumns({c: F.coalesce(F.col(c), v) if c in sheets.columns else v for c, v in options.items()})
+    return sheets.select("sheet", "caps", "wanted", *[fact(p, k).alias(n) for n, p, k in SHEET_FACTS])
 
 
-def rule_engine_sheets(spark, sf_dir):
+def sheet_checks(sheets: DataFrame) -> DataFrame:
     """sheet, status, issues: a sheet fails for any issue."""
-    facts = sheet_facts(spark.createDataFrame(SHEETS, "sheet string, css string"))
+    facts = sheet_facts(sheets)
     issues = F.array_join(F.array_compact(F.array(*[F.when(F.expr(e), n) for n, e in SHEET_ISSUES])), "; ")
     return facts.select("sheet", issues.alias("issues")).select("sheet", F.when(F.col("issues") == "", "pass").otherwise("fail").alias("status"), "issues")
 
 
+def rule_engine_sheets(spark, sf_dir):
+    return sheet_checks(derived(spark, sf_dir, "sheets"))
+
+
 def book_facts(members: DataFrame, packages: DataFrame) -> DataFrame:
     """Counts of member names and sizes, and what the package file's metadata lacks."""
     counts = members.groupBy("book").agg(*[F.count_if(F.expr(e)).alias(n) for n, e in _BOOK_COUNTS.items()])
@@ -123,31 +131,34 @@ def book_facts(members: DataFrame, packages: DataFrame) -> DataFrame:
     return counts.join(told, "book", "left").withColumn("has_metadata", F.coalesce("has_metadata", F.lit(False))).withColumn("missing", F.coalesce("missing", F.lit("title, author, language")))
 
 
+def book_checks(members: DataFrame, packages: DataFrame) -> DataFrame:
+    return checks(book_facts(members, packages), "book", BOOK_RULES)
+
+
 def rule_engine_books(spark, sf_dir):
-    return checks(book_facts(spark.createDataFrame(MEMBERS, "book string, name string, size long"), spark.createDataFrame(PACKAGES, "book string, opf string")), "book", BOOK_RULES)
+    return book_checks(derived(spark, sf_dir, "members"), derived(spark, sf_dir, "packages"))
 
 
-_PRINT = S.values("facts", ", ".join(c.split()[0] for c in PRINT_COLUMNS.split(", ")), PRINT_FILES)
 
 
 def _sheet_sql() -> str:
     facts = ", ".join((f"{g} <> ''" if k is None else f"TRY_CAST({g} AS {k.upper()})") + f" AS {n}" for n, p, k in SHEET_FACTS for g in [f"regexp_extract(css, {S.quote(p)}, 1)"])
     issues = ", ".join(f"CASE WHEN {e} THEN '{n}' END" for n, e in SHEET_ISSUES)
-    return f"WITH {S.values('r', 'sheet, css', SHEETS)}, f AS (SELECT sheet, {facts} FROM r), i AS (SELECT sheet, array_to_string(list_filter([{issues}], lambda x: x IS NOT NULL), '; ') AS issues FROM f) SELECT sheet, CASE WHEN issues = '' THEN 'pass' ELSE 'fail' END AS status, issues FROM i"
+    return f"WITH {derived_sql('sheets', 'r')}, f AS (SELECT sheet, coalesce(caps, false) AS caps, coalesce(wanted, 0.75) AS wanted, {facts} FROM r), i AS (SELECT sheet, array_to_string(list_filter([{issues}], lambda x: x IS NOT NULL), '; ') AS issues FROM f) SELECT sheet, CASE WHEN issues = '' THEN 'pass' ELSE 'fail' END AS status, issues FROM i"
 
 
 def _book_sql() -> str:
     counts = ", ".join(f"count(*) FILTER ({e}) AS {n}" for n, e in _BOOK_COUNTS.items())
     lacks = ", ".join(f"CASE WHEN NOT regexp_matches(coalesce(opf, ''), '<dc:{tag}(\\s[^>]*)?>[^<]') THEN '{n}' END" for tag, n in (("title", "title"), ("creator", "author"), ("language", "language")))
     return (
-        f"WITH {S.values('m', 'book, name, size', MEMBERS)}, {S.values('p', 'book, opf', PACKAGES)}, c AS (SELECT book, {counts} FROM m GROUP BY book), "
+        f"WITH {derived_sql('members', 'm')}, {derived_sql('packages', 'p')}, c AS (SELECT book, {counts} FROM m GROUP BY book), "
         f"t AS (SELECT book, regexp_matches(coalesce(opf, ''), '<metadata[\\s>]') AS has_metadata, array_to_string(list_filter([{lacks}], lambda x: x IS NOT NULL), ', ') AS missing FROM p), "
         "facts AS (SELECT c.*, coalesce(has_metadata, false) AS has_metadata, coalesce(missing, 'all') AS missing FROM c LEFT JOIN t ON c.book = t.book) " + _checks_sql(BOOK_RULES, "book", "facts")
     )
 
 
 CATALOGUE = {
-    "rule_engine_print": (rule_engine_print, f"WITH {_PRINT} " + _checks_sql(PRINT_RULES, "doc", "facts")),
+    "rule_engine_print": (rule_engine_print, f"WITH {derived_sql('print_files', 'facts')} " + _checks_sql(PRINT_RULES, "doc", "facts")),
     "rule_engine_sheets": (rule_engine_sheets, _sheet_sql()),
     "rule_engine_books": (rule_engine_books, _book_sql()),
 }

@@ -72,7 +72,7 @@ def test_page_sections():
 def test_rules(spark):
     """Statuses worked out by hand from the rules."""
     got: dict = {}
-    for r in validation.rule_engine_print(spark, "").collect():
+    for r in validation.print_checks(spark.createDataFrame(validation.PRINT_FILES, validation.PRINT_COLUMNS)).collect():
         got.setdefault(r.doc, {})[r.check_name] = r.status
     assert {s for n, s in got["good"].items() if n not in ("page_breaks",)} == {"pass"} and len(got["good"]) == 15
     poor = {"file_size": "fail", "page_count": "fail", "file_version": "warning", "fonts": "fail", "metadata": "warning", "page_dimensions": "warning", "text_extraction": "warning", "first_paragraphs": "fail",
@@ -80,12 +80,15 @@ def test_rules(spark):
     assert {k: got["poor"][k] for k in poor} == poor
     assert got["edge"]["file_size"] == "pass" and got["edge"]["fonts"] == "warning" and got["edge"]["indentation"] == "warning" and "formatting_style" not in got["edge"] and got["edge"]["margin_accuracy"] == "pass"
     assert got["none"]["file_size"] == got["none"]["page_count"] == "error" and got["wide"]["page_count"] == "warning" and got["wide"]["fonts"] == "fail"
-    sheets = {r.sheet: r for r in validation.rule_engine_sheets(spark, "").collect()}
+    plain = spark.createDataFrame(validation.SHEETS, "sheet string, css string")
+    sheets = {r.sheet: r for r in validation.sheet_checks(plain.selectExpr("*", "true AS caps")).collect()}
+    asked = {r.sheet: r.issues for r in validation.sheet_checks(plain.selectExpr("*", "1.0D AS wanted")).collect()}
+    assert "drop cap" not in asked["poor"] and asked["good"] == "margin" and not asked["poor"].endswith("margin")  # by the book's options
     assert sheets["good"].status == "pass" and sheets["good"].issues == ""
     assert sheets["poor"].issues.split("; ") == ["orphans", "widows", "indent", "first paragraph", "paragraph after heading", "paragraph after chapter title", "drop cap line height", "drop cap margin", "chapter break", "heading break", "margin"]
     assert len(sheets["empty"].issues.split("; ")) == 8
     books: dict = {}
-    for r in validation.rule_engine_books(spark, "").collect():
+    for r in validation.book_checks(spark.createDataFrame(validation.MEMBERS, "book string, name string, size long"), spark.createDataFrame(validation.PACKAGES, "book string, opf string")).collect():
         books.setdefault(r.book, {})[r.check_name] = r.status
     assert set(books["good"].values()) == {"pass"} and set(books["poor"].values()) == {"fail", "warning"} and books["many"]["file_count"] == "fail"
     assert books["half"] == {"file_count": "pass", "file_sizes": "pass", "metadata": "fail", "navigation": "fail", "fonts": "warning", "structure": "fail"}
