@@ -53,12 +53,65 @@ def test_numbers_decide():
     def numeric(t, row) -> bool:
         return isinstance(t, tuple) and (t[0] < 6 or numeric(t[2] if row[t[0]] <= t[1] else t[3], row))
 
-    assert all(numeric(tree, r) for r in x if not r[6])
+    assert all(numeric(tree, r) for r in x if not r[6] and not r[7] and not r[11])
     links = "".join(f'<p><a href="/{i}">Page {i}</a></p>' for i in range(8))
     words = "".join(f"<p>Page {i} of it</p>" for i in range(8))
     assert main_text(f"<body>{links}</body>") == "" and main_text(f"<body>{words}</body>").count("Page") == 8
 
 
+NAMES = {
+    "comments": ("user-comments", "disqus_thread", "readerComments", "comment-17", "post-comments", "comments-area", "article-discussion", "replies"),
+    "adverts": ("promo-box", "ad-slot-3", "sponsored-content", "advert", "adsense_unit", "promo", "mid-article-ads", "sponsorBlock"),
+    "notices": ("site-notice", "cookie-text", "gdpr-banner", "important-notice", "consentPopup", "newsletter-signup", "alert", "legal-notice"),
+    "more": ("main-sidebar", "entry-footer", "related-posts-widget", "share", "breadcrumbs", "site-navigation", "socialLinks", "pager"),
+}
+PARTS = ("article-header", "has-sidebar", "entry-content", "post-body", "search-result", "comments-off", "lead", "pull-quote", "no-comments", "form-theory", "threaded-needle", "header-image-caption")
+
+
+def test_furniture_of_any_length_and_name():
+    """Comments, adverts, notices and the like of 5 to 200 words, inside the article and after it; article parts stay."""
+    rng = random.Random(3)
+    said = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    for names in NAMES.values():
+        for name in names:
+            for kind in ("class", "id"):
+                for n in (5, 20, 60, 200):
+                    one, two, extra = said(40), said(70), f'<div {kind}="{name}"><p>{said(n)}</p><p>{said(n)}</p></div>'
+                    assert main_text(f"<body><article><p>{one}</p>{extra}<p>{two}</p></article></body>") == f"{one} {two}", name
+                    assert main_text(f"<body><div><p>{one}</p><p>{two}</p></div>{extra}</body>") == f"{one} {two}", name
+    for name in PARTS:
+        one, two = said(40), said(9)
+        assert main_text(f'<body><article><p>{one}</p><div class="{name}"><p>{two}</p></div></article></body>') == f"{one} {two}", name
+
+
+def test_notices_without_names():
+    rng = random.Random(4)
+    said = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    for phrase in html.SAYS:
+        for n in (0, 4, 20, 40):
+            one, notice = said(80), f"{phrase.capitalize()} {said(n)}."
+            assert main_text(f"<body><div><p>{notice}</p></div><div><p>{one}</p></div></body>") == one, phrase
+    long = f"{said(50)} as most sites do, we use cookies {said(60)}"
+    assert main_text(f"<article><p>{long}</p></article>") == long
+
+
+def test_formulas_buttons_and_references():
+    assert main_text("<article><p>Let <math><mi>x</mi>=<mn>1</mn></math> be given.</p></article>") == "Let x=1 be given."
+    assert main_text("<article><p>See <svg><title>icon</title><text>Figure</text></svg> here.</p></article>") == "See Figure here."
+    assert main_text("<article><p>Press <button>Save</button> to go on with it.</p></article>") == "Press Save to go on with it."
+    assert main_text("<article><p>One two three four.</p><button>Save</button></article>") == "One two three four."
+    items = "".join(f'<li><a href="/{i}">Author {i}, a title of a paper</a></li>' for i in range(4))
+    text = " ".join(f"Author {i}, a title of a paper" for i in range(4))
+    for heading in ("References", "Further reading:", "Literatur"):
+        got = main_text(f"<article><p>One two three four five.</p><h2>{heading}</h2><ol>{items}</ol><h2>After</h2><ul><li><a href='/'>Other page</a></li></ul></article>")
+        assert got == f"One two three four five. {heading} {text} After"
+
+
+def test_very_long_single_block():
+    text = "word " * 200_000
+    assert main_text(f"<article><p>{text}</p></article>") == text.strip()
+
+
 def test_malformed():
     cases = {
         '<article><p>Hi <a href="x>there</a> you': "Hi there you",
