@@ -2,7 +2,7 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags.  A block's features are its word count and link
 density, those of the blocks before and after it, and whether its open elements are page furniture by name, by their
-class, id or role (a hint), or the article; whether it says what only notices and adverts say; and whether the heading
+class, id or role (a hint), or the article; whether it says what, outside of an article, only notices and adverts say; and whether the heading
 before it opens a list of references.  A class is a hint by its head word, the last one that says something (user-comments,
 promo-box), or by a word that marks one wherever it stands (cookie-text); words that also name an article's parts (header,
 form, search) need a class of nothing else, and a class that says what a page has (has-sidebar) is none.  The page, the
@@ -73,8 +73,8 @@ CITED = frozenset(
 ARTICLES = frozenset("article content post entry story main".split())
 
 #: The labelled table's shapes of blocks: words and link density of the block, of the one before and of the one after,
-#: heading, and four labels, 1 for main text: where no open element says more, inside an article, where the block says what
-#: notices say, and under the heading of a list of references.
+#: heading, and four labels, 1 for main text: where no open element says more, inside an article, where the block outside of one
+#: says what notices say, and under the heading of a list of references.
 SHAPES = """
   1 0.0    0 0.0    0 0.0  0  1 1 0 1
   3 0.0    0 0.0    0 0.0  0  1 1 0 1
@@ -143,7 +143,7 @@ MARKS = """
 0 0 0 0 0   0  4
 0 0 1 0 0   1  4
 0 0 0 1 0   2  1
-0 0 1 1 0   2  1
+0 0 1 1 0   1  1
 0 0 0 0 1   3  1
 0 0 1 0 1   3  1
 0 1 0 0 0  -1  1
@@ -181,9 +181,11 @@ def is_hint(name: str) -> bool:
     return bool(said) and (said[-1] in HEADS or HINTS.issuperset(said))
 
 
+_SAYS = re.compile(r"\b(?:" + "|".join(map(re.escape, SAYS)) + r")\b")
+
+
 def says_notice(text: str) -> bool:
-    low = text.lower()
-    return any(phrase in low for phrase in SAYS)
+    return _SAYS.search(text.lower()) is not None
 
 
 def block_features(page: str) -> tuple[list[str], np.ndarray]:

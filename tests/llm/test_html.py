@@ -92,7 +92,8 @@ def test_notices_without_names():
             one, notice = said(80), f"{phrase.capitalize()} {said(n)}."
             assert main_text(f"<body><div><p>{notice}</p></div><div><p>{one}</p></div></body>") == one, phrase
     long = f"{said(50)} as most sites do, we use cookies {said(60)}"
-    assert main_text(f"<article><p>{long}</p></article>") == long
+    assert main_text(f"<article><p>{long}</p></article>") == main_text(f"<body><p>{long}</p></body>") == long
+    assert main_text("<article><p>All rights reserved.</p><p>It oftheshare onstor.</p></article>") == "All rights reserved. It oftheshare onstor."
 
 
 def test_formulas_buttons_and_references():
