@@ -1,15 +1,20 @@
 """Personal data by base patterns and a skip-chain conditional random field.
 
-Base spans come from fixed patterns.  The field's nodes are the base spans and what looks like personal data but
-fails a pattern (a long number without its plus sign, an address with a blank before the at sign).  Chain edges join
-neighbours; skip edges join a node to the last and the first node with the same or a similar form (equal digits, equal last
-seven digits, equal local part), so their number is linear.  Loopy sum-product message passing gives each node's
-label; base nodes keep theirs, and other nodes whose label is certain enough are added spans of that kind.
+Base spans come from fixed patterns.  The field's nodes are the base spans and what resembles one: longer numbers in any
+grouping, four small numbers in a row, addresses in words ("name (at) host.org"), and words that are the local part of an
+address of the text.  Chain edges join neighbours; skip edges join a node to the last and the first node with the same or a
+similar form (equal digits, equal last seven digits, equal four numbers, equal address or local part), so their number is
+linear.  Loopy sum-product message passing gives each node's label; base nodes keep theirs, and other nodes whose label is
+certain enough are added spans of that kind.
+
 Weights are learned by pseudo-likelihood in numpy on at most TRAIN_ROWS documents (those with the least hash of
-doc_id) and TRAIN_NODES nodes of each, labelled by the base patterns: other nodes are no personal data, but those of the
-same form as a base node have its label, and those of a similar form stay unlabelled.  The plus sign is masked for half of
-the nodes, and these also count as mentioned once more, which is what a repeated form without its sign looks like.  All
-skip edges share one matrix of potentials: what label the other end's label makes likely.
+doc_id) and TRAIN_NODES nodes of each.  Base nodes have their labels and other nodes none, but those of the same form as a
+base node have its label, and those of a similar form stay unlabelled.  Every base node is also learned masked, as a
+repetition may write it (a number without its sign or in other groups, an address in words, its local part): with a skip
+edge to the base node it has that node's label, and without one it is no personal data, unless its form alone tells (an
+address in words).  The same is learned from PIECES spans of every kind that are made up, as a corpus may lack a kind, and
+from numbers that are none.  So what a repetition is, skip edges decide.  All share one matrix of potentials: what label the
+other end's label makes likely.
 
 Nulls: a null text is empty and has no spans.  Null and repeated doc_ids stay separate rows; of repeated doc_ids, the
 text of the least hash is learned from.  Documents without such nodes, and empty tables, need no model.  Very long texts:
@@ -20,8 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,9 +49,16 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+@")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,2}[0-9])++")
-_SPACED_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?@ ?| ?[\[(]at[\])] ?)[A-Za-z0-9-]{1,63}(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]{1,63}){1,8}", re.IGNORECASE)
+_NUMBER = re.compile(r"\(?[0-9](?:[\x20()./-]{0,2}[0-9])++")
+_FOUR = re.compile(r"(?<![0-9])[0-9]{1,3}(?:(?: ?[.,-] ?|\[\.\]| dot | )[0-9]{1,3}){3}(?![0-9])")
+_AT = re.compile(r" ?@ ?| ?[\[(]at[\])] ?| at ", re.IGNORECASE)
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?| dot )[A-Za-z0-9-]++)+", re.IGNORECASE)
+_DOT = re.compile(r" ?[\[(]dot[\])] ?| dot ", re.IGNORECASE)
+_TOKEN = re.compile(r"[A-Za-z0-9._%+-]++")
 _DIGIT = re.compile(r"[0-9]")
+PIECES, LEAST_LOCAL = 60, 4
+#: Local parts of functions, not of persons: as words they are no personal data.
+ROLES = frozenset("info contact support sales admin administrator office mail email hello help team service services press jobs news newsletter webmaster postmaster noreply abuse billing shop privacy security".split())
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -88,40 +103,94 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def spaced_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with blanks or words for the at sign or the dots: from each at sign the whole run of local characters before
+    it and the host after it."""
+    free = 0
+    for m in _AT.finditer(text):
+        k = m.start()
+        while k > free and text[k - 1] in _LOCAL_CHARS:
+            k -= 1
+        host = _HOST.match(text, m.end()) if k < m.start() else None
+        if host:
+            yield k, host.end()
+            free = host.end()
+
+
+def local_part(piece: str) -> str:
+    return piece.partition("@")[0]
+
+
 def other_nodes(text: str, base: list[Span]) -> list[tuple[int, int]]:
-    """Look-alikes that overlap no base span."""
-    found = [m.span() for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7] if _DIGIT.search(text) else []
-    if "@" in text or "(at)" in text or "[at]" in text:
-        found += [m.span() for m in _SPACED_AT.finditer(text)]
-    out, taken = [], sorted((a, b) for _, a, b in base)
-    k, free = 0, 0
-    for a, b in sorted(found):
-        while k < len(taken) and taken[k][1] <= a:
-            k += 1
-        if a >= free and not (k < len(taken) and taken[k][0] < b):
-            out.append((a, b))
-            free = b
-    return out
+    """Look-alikes that overlap no base span and not one another; of those that do, addresses come before numbers."""
+    found = []
+    low = text.lower()
+    if "@" in text or " at " in low or "(at)" in low or "[at]" in low:
+        found += [(a, b, 0) for a, b in spaced_addresses(text)]
+    if _DIGIT.search(text):
+        found += [(*m.span(), 1) for m in _FOUR.finditer(text) if all(int(x) <= 255 for x in re.findall(r"[0-9]+", m[0]))]
+        found += [(*m.span(), 2) for m in _NUMBER.finditer(text) if m.end() - m.start() >= 7 and len(_DIGIT.findall(m[0])) >= 7]
+    locals_ = {x for k, a, b in base if k == 0 and len(x := local_part(text[a:b])) >= LEAST_LOCAL}
+    locals_ |= {x for a, b, k in found if k == 0 and len(x := local_part(address(text[a:b]))) >= LEAST_LOCAL}
+    locals_ -= ROLES
+    if locals_:
+        found += [(a, a + len(t), 3) for m in _TOKEN.finditer(text) for t, a in [(m[0].rstrip(".-"), m.start())] if t.lower() in locals_ or t in locals_]
+    taken = sorted((a, b) for _, a, b in base)
+    out: list[tuple[int, int]] = []
+    for kind in range(4):
+        more, k = [], 0
+        for a, b, of in sorted(found):
+            if of != kind:
+                continue
+            while k < len(taken) and taken[k][1] <= a:
+                k += 1
+            if not (k < len(taken) and taken[k][0] < b) and not (more and a < more[-1][1]):
+                more.append((a, b))
+        out += more
+        taken = sorted([*taken, *more])
+    return sorted(out)
+
+
+def address(piece: str) -> str:
+    """An address in words as an address, in lower case."""
+    return _DOT.sub(".", _AT.sub("@", piece.lower(), count=1))
+
 
+def four(piece: str) -> list[int] | None:
+    parts = [int(x) for x in re.findall(r"[0-9]+", piece)]
+    return parts if len(parts) == 4 and max(parts) <= 255 and not piece.startswith("+") else None
 
-def features(piece: str, before: str, mask_plus: bool = False) -> list[str]:
+
+def is_address(piece: str) -> bool:
+    return _AT.search(piece) is not None and any(c.isalpha() for c in piece)
+
+
+def features(piece: str, before: str) -> list[str]:
     digits = len(_DIGIT.findall(piece))
-    out = ["bias", f"digits{min(digits, 20)}", f"at{'@' in piece or '(at)' in piece or '[at]' in piece}", f"dots{min(piece.count('.'), 4)}"]
-    out += [f"alpha{any(c.isalpha() for c in piece)}", f"space{' ' in piece}", f"dash{'-' in piece}", f"paren{'(' in piece}"]
+    if is_address(piece):
+        low = piece.lower()
+        return ["bias", f"sign{'@' in piece}", f"marked{'(at)' in low or '[at]' in low}", f"blank{' @' in low or '@ ' in low}", f"dots{_DOT.search(low) is not None}"]
+    if digits < 7 and four(piece) is None:
+        return ["bias", "word", f"plain{piece.isalpha()}"]
+    out = ["bias", f"digits{min(digits, 20)}", f"dots{min(piece.count('.'), 4)}", f"four{four(piece) is not None}"]
+    out += [f"space{' ' in piece}", f"dash{'-' in piece}", f"paren{'(' in piece}", f"slash{'/' in piece}"]
     if digits in range(16, 20):
         out.append(f"luhn{luhn(''.join(_DIGIT.findall(piece)))}")
-    if not mask_plus:
-        out.append(f"plus{piece.startswith('+') or before.endswith('+')}")
+    out.append(f"plus{piece.startswith('+') or before.endswith('+')}")
     return out
 
 
 def forms(piece: str) -> list[str]:
     """Nodes that share one of these are linked."""
-    low = re.sub(r" ?[\[(]at[\])] ?| ?@ ?", "@", piece.lower())
-    if "@" in low:
-        return [f"a{low}", f"l{low.partition('@')[0]}"]
+    if is_address(piece):
+        low = address(piece)
+        return [f"a{low}", f"l{local_part(low)}"]
     digits = "".join(_DIGIT.findall(piece))
-    return [f"n{digits}", f"t{digits[-7:]}"]
+    parts = four(piece)
+    if len(digits) < 7 and parts is None:
+        return [f"l{piece.lower()}"]
+    out = [f"n{digits}", f"t{digits[-7:]}"] if len(digits) >= 7 else []
+    return [*out, f"i{'.'.join(map(str, parts))}"] if parts else out
 
 
 def links(pieces: list[str]) -> list[tuple[int, int]]:
@@ -138,6 +207,45 @@ def links(pieces: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def regrouped(digits: str, by: str, rng: random.Random) -> str:
+    out, at = [], 0
+    while at < len(digits):
+        n = rng.randint(2, 5)
+        out.append(digits[at : at + n])
+        at += n
+    return by.join(out)
+
+
+def masked(kind: int, piece: str, rng: random.Random) -> list[tuple[str, int]]:
+    """How a repetition may write a span, each with its label when nothing is linked to it."""
+    digits = "".join(_DIGIT.findall(piece))
+    if kind == 0:
+        local, _, host = piece.partition("@")
+        at, dot = rng.choice([(" (at) ", "."), ("(at)", "."), (" [at] ", " [dot] "), (" at ", " dot "), (" (at) ", " (dot) ")])
+        out = [(local + at + host.replace(".", dot), 1), (f"{local} at {host}", 0)]
+        return [*out, (local, 0)] if len(local) >= LEAST_LOCAL else out
+    if kind == 1:
+        return [(rng.choice([" . ", "-", ", ", " ", "[.]", " dot "]).join(re.findall(r"[0-9]+", piece)), 0)]
+    if kind == 2:
+        return [(regrouped(digits, rng.choice([".", "/", "  ", " - ", ""]), rng), 0)]
+    return [(piece.lstrip("+"), 0), (regrouped(digits, rng.choice([" ", "-", ".", "/", ""]), rng), 0), ("0" + regrouped(digits[-rng.randint(7, 9) :], rng.choice([" ", "-", ""]), rng), 0)]
+
+
+def made_up(rng: random.Random) -> list[tuple[int, str]]:
+    """PIECES spans of every kind."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda a, b: "".join(rng.choice(letters) for _ in range(rng.randint(a, b)))
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    out = []
+    for _ in range(PIECES):
+        out.append((0, f"{word(4, 8)}{rng.choice(['', '.', '_'])}{rng.choice([word(3, 7), number(2)])}@{word(3, 9)}.{rng.choice(['com', 'org', 'example.net'])}"))
+        out.append((1, ".".join(str(rng.randrange(256)) for _ in range(4))))
+        body = number(rng.randint(15, 18))
+        out.append((2, next(body + d for d in "0123456789" if luhn(body + d))))
+        out.append((3, "+" + rng.choice("123456789") + regrouped(number(rng.randint(8, 12)), rng.choice(["", " ", "-"]), rng)))
+    return out
+
+
 class Model:
     """unary: weights by feature; chain and skip: label by label."""
 
@@ -171,19 +279,48 @@ def softmax(z: np.ndarray) -> np.ndarray:
 Case = tuple[list[str], int, int, int, list[int]]  # features, label, labels of the neighbours (-1: none known) and of the skip edges' other ends
 
 
+def repetitions(kind: int, piece: str, left: int, right: int) -> list[Case]:
+    """A span masked, with a skip edge to itself and without one."""
+    rng = random.Random(zlib.crc32(piece.encode()))
+    out = []
+    for text, alone in masked(kind, piece, rng):
+        fs = features(text, "")
+        out += [(fs, kind + 1, kind + 1, right, [kind + 1]), (fs, (kind + 1) * alone, left, right, [])]
+        if not alone:
+            out.append((fs, 0, kind + 1, right, []))  # beside another of its kind, and not linked
+    return out
+
+
 def cases(g: Graph, most: int = TRAIN_NODES) -> list[Case]:
-    """What can be learned from each labelled node given its labelled neighbours."""
+    """What can be learned from each labelled node given its labelled neighbours, and from base nodes masked."""
     by_form = {forms(p)[0]: y for p, y in zip(g.pieces, g.base, strict=True) if y}
     similar = {i for a, b in g.skips for i, j in ((a, b), (b, a)) if g.base[j] and not g.base[i]}
-    known = [y or by_form.get(forms(p)[0], -1 if i in similar else 0) for i, (p, y) in enumerate(zip(g.pieces, g.base, strict=True))]
+    known = [y or by_form.get(forms(p)[0], -1 if i in similar or is_address(p) else 0) for i, (p, y) in enumerate(zip(g.pieces, g.base, strict=True))]
     beside: list[list[int]] = [[] for _ in known]
     for a, b in g.skips:
         beside[a].append(b)
         beside[b].append(a)
-    return [
-        (features(g.pieces[i], g.before[i]), y, known[i - 1] if i else -1, known[i + 1] if i + 1 < len(known) else -1, [known[j] for j in beside[i] if known[j] >= 0])
-        for i, y in enumerate(known[:most]) if y >= 0
-    ]
+    out: list[Case] = []
+    for i, y in enumerate(known[:most]):
+        left, right = known[i - 1] if i else -1, known[i + 1] if i + 1 < len(known) else -1
+        if y >= 0:
+            out.append((features(g.pieces[i], g.before[i]), y, left, right, [known[j] for j in beside[i] if known[j] >= 0]))
+        if g.base[i]:
+            out += repetitions(g.base[i] - 1, g.pieces[i], left, right)
+    return out
+
+
+def general_cases(seed: int = 1) -> list[Case]:
+    """Spans that are made up, as they are and masked, and numbers and words that are none, alone and repeated."""
+    rng = random.Random(seed)
+    out: list[Case] = []
+    for kind, piece in made_up(rng):
+        out.append((features(piece, ""), kind + 1, -1, -1, []))
+        out += repetitions(kind, piece, -1, -1)
+        digits = "".join(rng.choice("0123456789") for _ in range(rng.randint(7, 19)))
+        for text in (digits, regrouped(digits, rng.choice([" ", "-", ".", "/"]), rng), " ".join(str(rng.randrange(256)) for _ in range(4))):
+            out += [(features(text, ""), 0, -1, -1, []), (features(text, ""), 0, rng.randrange(5), -1, [0])]
+    return out
 
 
 def train(every: list[Case], epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
@@ -193,8 +330,6 @@ def train(every: list[Case], epochs: int = EPOCHS, rate: float = RATE, seed: int
     for _ in range(epochs):
         for k in rng.permutation(len(every)):
             fs, y, left, right, skips = every[k]
-            if rng.random() < 0.5:
-                fs, skips = [f for f in fs if not f.startswith("plus")], [*skips, y]
             for f in fs:
                 model.unary.setdefault(f, np.zeros(len(LABELS)))
             z = model.scores(fs)
@@ -276,13 +411,19 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+@lru_cache(maxsize=1)
+def general_model() -> Model:
+    """Learned without a corpus."""
+    return train(general_cases())
+
+
 def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Learn in one task from the cases of at most `most` documents."""
     key = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     has = key.where(F.col("doc_id").isNotNull() & (F.col("text").contains("@") | F.col("text").rlike("[0-9]{4}")))
     ids = [r.doc_id for r in has.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
     if not ids:
-        return Model()
+        return general_model()
     keys = docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = key.join(F.broadcast(keys), "doc_id").withColumn("h", F.xxhash64("text"))  # bounded: `most` long integers are sent
 
@@ -296,14 +437,14 @@ def fit(docs: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = sorted((i, c) for pdf in batches for i, c in zip(pdf["doc_id"].tolist(), pdf["cases"], strict=True))
-        m = train([tuple(c) for _, cs in got for c in json.loads(cs)])
+        m = train([*general_cases(), *(tuple(c) for _, cs in got for c in json.loads(cs))])
         yield pd.DataFrame({"names": [list(m.unary)], "unary": [[x for v in m.unary.values() for x in v.tolist()]], "chain": [m.chain.ravel().tolist()], "skip": [m.skip.ravel().tolist()]})
 
     each = rows.mapInPandas(found, "doc_id long, h long, cases string").groupBy("doc_id").agg(F.min_by("cases", "h").alias("cases"))
     sample = each.repartition(1)  # at most `most` rows of TRAIN_NODES cases
     r = sample.mapInPandas(learn, "names array<string>, unary array<double>, chain array<double>, skip array<double>").first()
     if r is None:
-        return Model()
+        return general_model()
     n = len(LABELS)
     return Model({k: r.unary[n * i : n * i + n] for i, k in enumerate(r.names)}, np.reshape(r.chain, (n, n)), np.reshape(r.skip, (n, n)))
 
