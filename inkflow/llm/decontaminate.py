@@ -7,12 +7,13 @@ word they are, each with the words around it; the positional bound gives the one
 length bound drops places that do not fit, and the window's words are then compared there.
 
 Windows, frequencies and prefixes are Spark tables.  The tasks that read documents get a bitmap of SLOTS bits of the words
-that can matter, whatever the size of the benchmark; words that only share a bit are dropped by the joins.  A word that
-stands in many documents gives a row for each place, and Spark splits such a word in the join.
+that can matter, whatever the size of the benchmark, and one of the pairs of a prefix word and its neighbour in the window: a
+place whose neighbour is in no pair can hold no window, and gives no row.  Words that only share a bit are dropped by the
+joins.  A word that stands in many documents gives a row for each place that is left, and Spark splits such a word in the join.
 
 Nulls: a null text has no words, and an item without words has no windows.  Windows of an item with a null id are hits
 without an item.  Repeated doc_ids and item_ids: document rows stay separate, items of one id count once.  Very long texts
-give rows by prefix word, never a row of their size.  Other columns, of whatever name, are ignored, or pass through
+give rows by prefix word; the words that are hit are counted, and only hit_positions gathers a text's places in a row.  Other columns, of whatever name, are ignored, or pass through
 drop_contaminated.  Empty tables: without items every document is clean; without documents there are no rows.
 """
 
@@ -35,7 +36,7 @@ from inkflow.llm.common import shared_dir, store, text_or_empty
 WINDOW = 10
 #: Bits of the bitmaps, words that a task counts or remembers at once, rows that it holds, and the bit above a row's number.
 SLOTS, KEPT_WORDS, MOST_PLACES, ROW_BITS = 1 << 22, 400_000, 20_000, 40
-HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_words array<int>, items array<long>"
+HITS = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
 
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -83,6 +84,16 @@ class Filter:
             self.seen[word] = got
         return got
 
+    def beside(self, ws: list[bytes], p: int) -> bool:
+        """Whether the bits are set of a pair with the next word, with the one before, or of the word alone."""
+        w, bits = ws[p], self.bits
+        for key in (w + b" " + ws[p + 1] if p + 1 < len(ws) else None, ws[p - 1] + b" < " + w if p else None, w + b" ."):
+            if key is not None:
+                k = zlib.crc32(key) % SLOTS
+                if bits[k >> 3] >> (7 - (k & 7)) & 1:
+                    return True
+        return False
+
     def places(self, ws: list[bytes]) -> list[int]:
         flags = list(map(self.seen.get, ws))
         if None in flags:
@@ -116,16 +127,24 @@ def prefix_table(windows: DataFrame, frequencies: DataFrame) -> DataFrame:
     return rarest.join(windows, "window").select("p.word", "p.at", "window", "words")
 
 
-def marked(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
+def pair_keys(prefixes: DataFrame) -> DataFrame:
+    """A key (word) of each prefix word with its neighbour in the window: the next word, else the one before, else none."""
+    text = lambda s: F.lit(s).cast("binary")
+    other = lambda k: F.get("words", F.col("at") + k)
+    after, before = F.concat("word", text(" "), other(1)), F.concat(other(-1), text(" < "), "word")
+    return prefixes.select(F.when(F.col("at") + 1 < F.size("words"), after).when(F.col("at") > 0, before).otherwise(F.concat("word", text(" ."))).alias("word"))
+
+
+def marked(texts: DataFrame, bits: np.ndarray, pairs: np.ndarray, size: int) -> DataFrame:
     """A row for each text (row, n_words, and the columns of texts but text), and one for each of its words whose bit is
-    set: row, word, its place p, and the words from place c on around it.  Write the table before it is used twice, as
+    set, as is one of a pair with it: row, word, its place p, and the words from place c on around it.  Write the table before it is used twice, as
     rows are numbered by the task that reads them."""
-    sent = texts.sparkSession.sparkContext.broadcast(bits)
+    sent = texts.sparkSession.sparkContext.broadcast((bits, pairs))
     others = [f for f in texts.schema if f.name != "text"]
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in others)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matters, row = Filter(sent.value), TaskContext.get().partitionId() << ROW_BITS
+        matters, near, row = Filter(sent.value[0]), Filter(sent.value[1]), TaskContext.get().partitionId() << ROW_BITS
         types = {"row": pa.int64(), "n_words": pa.int64(), "word": pa.binary(), "p": pa.int32(), "c": pa.int32(), "around": pa.list_(pa.binary())}
 
         def out(batch: pa.RecordBatch, n: int, **given) -> pa.RecordBatch:
@@ -142,6 +161,8 @@ def marked(texts: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
                 ws = words(text)
                 counts.append(len(ws))
                 for p in matters.places(ws):
+                    if not near.beside(ws, p):
+                        continue
                     c = max(0, p - size + 1)
                     places.append((row + k, ws[p], p, c, ws[c : p + size]))
                     if len(places) >= MOST_PLACES:
@@ -171,25 +192,36 @@ def search(texts: DataFrame, benchmark: DataFrame, size: int) -> tuple[DataFrame
     windows = owners.groupBy("window").agg(F.first("words").alias("words"))
     frequencies = word_frequencies(texts, bitmap(owners.select(F.explode("words").alias("word"))))
     prefixes = store(prefix_table(windows, frequencies), shared_dir(spark, "prefixes"))
-    found = store(marked(texts, bitmap(prefixes), size), shared_dir(spark, "marked"))
+    found = store(marked(texts, bitmap(prefixes), bitmap(pair_keys(prefixes)), size), shared_dir(spark, "marked"))
     return found.where("word is null").drop("word", "p", "c", "around"), store(occurrences(found, prefixes), shared_dir(spark, "occurrences")), owners.select("window", "item_id").distinct()
 
 
+def hit_places(hits: DataFrame) -> DataFrame:
+    """(row, p): the different words that an occurrence covers."""
+    return hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")).distinct()
+
+
 def find_overlap(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """One row (HITS) per document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     found, hits, owners = search(texts, benchmark, size)
-    place = F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("p")
-    hit = hits.select("row", place).distinct().groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("hit_words"))
+    hit = hit_places(hits).groupBy("row").agg(F.count("*").alias("n_hit"))
     items = hits.join(owners, "window").where("item_id is not null").select("row", "item_id").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
     every = found.join(hit, "row", "left").join(items, "row", "left").select(
-        "doc_id", "n_words", F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items")
     )
     joined = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     return every.select(
-        "doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(joined, 256).alias("items_sha256"), (F.size("hit_words") > 0).alias("contaminated"), "hit_words", "items",
-    )
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "items"
+    )
+
+
+def hit_positions(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id and hit_words, the places of the words that are hit, in order, of each document that has some; a row is as long
+    as its document has such words."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    found, hits, _ = search(texts, benchmark, size)
+    return found.join(hit_places(hits).groupBy("row").agg(F.array_sort(F.collect_list("p")).alias("hit_words")), "row").select("doc_id", "hit_words")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:

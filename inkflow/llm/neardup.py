@@ -21,8 +21,8 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
 5. These candidates are verified as well, and the classes are made again with their links.
 
 So a link between classes is lost only if its texts are longer than SHORT words and share none of the sketches; the
-README gives the measured recall.  n_links counts the links verified on the way, as texts already in one class are not
-compared again.  Texts of fewer than five words have one k-mer, the whole text.
+README gives the measured recall.  Texts already in one class are not compared again, so links within a class are not
+counted.  Texts of fewer than five words have one k-mer, the whole text.
 
 Nulls: a null text is empty; all empty texts are equal.  A null doc_id joins its text's class; a class of null ids
 only has the class null.  Repeated rows stay, in one class.  Very long texts are sketched in strips of k-mers, and their
@@ -484,7 +484,7 @@ def by_id(roots: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """key, class_id (the least doc_id of its class), n_links of every different text."""
+    """key, class_id (the least doc_id of its class) of every different text."""
     spark = docs.sparkSession
     rows = store(sketch_rows(keyed(docs)), shared_dir(spark, "sketches"))
     far = far_classes(least)
@@ -503,20 +503,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     if not more.isEmpty():
         edges = edges.unionByName(more).distinct()
         roots = store(components(edges), shared_dir(spark, "roots"))
-    degree = edges.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n_links"))
     nodes = text.groupBy("key").agg(F.min("doc_id").alias("least"))
     linked = store(nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared_dir(spark, "linked"))
     # Written, so that Spark can split a large class in the join below.
     heads = store(linked.groupBy("root").agg(F.min("least").alias("class_id")), shared_dir(spark, "least-of-class"))
-    named = linked.join(heads, "root").join(degree, "key", "left").select("key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return store(named, shared_dir(spark, "classes"))
+    return store(linked.join(heads, "root").select("key", "class_id"), shared_dir(spark, "classes"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, n_links (verified links of its text), keeps (it is the document of class_id; of repeated rows of
-    one doc_id, all)."""
+    """doc_id, class_id, keeps (it is the document of class_id; of repeated rows of one doc_id, all)."""
     return keyed(docs).select("doc_id", "key").join(classes(docs, least), "key").select(
-        "doc_id", "class_id", "n_links", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("keeps")
+        "doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)).alias("keeps")
     )
 
 

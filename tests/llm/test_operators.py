@@ -278,6 +278,7 @@ def test_op7_edges(spark):
     items = spark.createDataFrame([(7, item), (7, item), (8, item), (None, "ten eleven word"), (9, "word " * 10)], "item_id long, text string")
     got = {(r.doc_id, r.n_hit, r.n_items) for r in decontaminate.find_overlap(docs, items).collect()}
     assert got == {(1, 11, 2), (2, 30011, 3), (3, 30002, 1), (4, 0, 0), (5, 11, 2), (6, 0, 0)}
+    assert {(r.doc_id, len(r.hit_words), r.hit_words[-1]) for r in decontaminate.hit_positions(docs, items).collect()} == {(1, 11, 10), (2, 30011, 30010), (3, 30002, 30001), (5, 11, 11)}
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [4, 6]
     assert decontaminate.find_overlap(docs.limit(0), items).count() == 0 and not decontaminate.find_overlap(docs, items.limit(0)).where("contaminated").count()
