@@ -33,6 +33,24 @@ def store(df: DataFrame, path: str, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of a step in the shared folder, which go when the step's own result is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(shared_dir(self.spark, name))
+        return store(df, self.paths[-1])
+
+    def clear(self) -> None:
+        """Only when no table that is still to be read comes from these."""
+        for path in self.paths:
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        self.paths = []
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkflow.llm.common import shared_dir, store, text_or_empty
+from inkflow.llm.common import Scratch, shared_dir, store, text_or_empty
 
 SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
 KEPT_WORDS, KEPT_NODES = 400_000, 200_000
@@ -298,9 +298,9 @@ def runs(rows: DataFrame, far: int) -> DataFrame:
     return sorted_rows.mapInPandas(run, "kind int, part int, s long, q int, a long, b long")
 
 
-def neighbours(rows: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
-    """From (s, q, id): candidate pairs (a, b), and (s, q, id) of the runs of several nodes."""
-    found = store(runs(rows, far), shared_dir(rows.sparkSession, "runs"))
+def neighbours(rows: DataFrame, far: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """From (s, q, id): candidate pairs (a, b), and (s, q, id) of the runs of several nodes; both come from one new table."""
+    found = scratch.store(runs(rows, far), "runs")
     # Two rows a partition: the first, and the last of the one before that has rows.
     w = Window.orderBy("part", "kind")
     ends = found.where("kind > 1").select("kind", "s", "q", "a", *(F.lag(c).over(w).alias(c + "2") for c in ("s", "q", "a")))
@@ -342,19 +342,17 @@ def word_table(texts: DataFrame) -> DataFrame:
     return texts.select("id", "text").mapInPandas(run, "id long, n int, bits array<long>").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Pairs whose words' bits
     say that they are not go first; then only texts that occur in a pair are shuffled, once, one copy of each, and used for
     both ends.  What is needed is written before it is joined, so that Spark knows its size when it plans."""
-    spark = docs.sparkSession
-
     def ends(of: DataFrame, name: str) -> DataFrame:
-        return store(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shared_dir(spark, name))
+        return scratch.store(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
-    pairs = store(pairs, shared_dir(spark, "candidates"))
-    bits = store(word_table(keyed(docs).join(ends(pairs, "needed"), "id", "left_semi")), shared_dir(spark, "bits"))
+    pairs = scratch.store(pairs, "candidates")
+    bits = scratch.store(word_table(keyed(docs).join(ends(pairs, "needed"), "id", "left_semi")), "bits")
     told = pairs.join(bits.withColumnRenamed("id", "a").hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")).hint("merge"), "b")
-    pairs = store(told.where(alike(least)).select("a", "b").distinct(), shared_dir(spark, "likely"))
+    pairs = scratch.store(told.where(alike(least)).select("a", "b").distinct(), "likely")
     texts = keyed(docs).join(ends(pairs, "needed"), "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("boolean")
@@ -368,14 +366,15 @@ def verified(docs: DataFrame, pairs: DataFrame, least: float = SIMILARITY) -> Da
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, root) for every end of an edge: alternating large-star and small-star steps until nothing moves.  A
-    node's least neighbour is aggregated before the shuffle, so hubs are no single task."""
+    node's least neighbour is aggregated before the shuffle, so hubs are no single task.  Only the last round's tables stay."""
     spark = edges.sparkSession
     now = store(edges.select("a", "b"), shared_dir(spark, "edges"))
+    last = Scratch(spark)
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         """e: (u, v) for every u and the neighbours v it looks at."""
         least = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = store(least, shared_dir(spark, "least"))
+        least = this.store(least, "least")
         joined = e.join(least, "u")
         if large:
             return joined.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
@@ -386,24 +385,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = None
     while True:
+        this = Scratch(spark)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        now = store(star(both, True).where("a <> b").distinct(), shared_dir(spark, "large"))
+        now = this.store(star(both, True).where("a <> b").distinct(), "large")
         down = now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        now = store(star(down, False).where("a <> b").distinct(), shared_dir(spark, "small"))
+        now = this.store(star(down, False).where("a <> b").distinct(), "small")
         after = sign(now)
+        last.clear()
+        last = this
         if after == before:
             break
         before = after
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
-def mixed_runs(live: DataFrame, roots: DataFrame) -> DataFrame:
+def mixed_runs(live: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
     """(s, q, id, root, n): the rows (s, q, id) of the runs with nodes of several classes, and the run's number of rows."""
-    spark = live.sparkSession
-    rows = live.join(roots.hint("merge"), "id", "left").select("s", "q", "id", F.coalesce("root", "id").alias("root"))
-    rows = store(rows, shared_dir(spark, "rooted"))
+    nodes = live.groupBy("id").agg(F.collect_list(F.struct("s", "q")).alias("places"))  # at most SKETCHES of a node
+    rows = nodes.join(roots.hint("merge"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), F.inline("places"))
+    rows = scratch.store(rows.select("s", "q", "id", "root"), "rooted")
     mixed = rows.groupBy("s").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).where("r1 <> r2").select("s", "n")
-    return store(rows.join(mixed.hint("merge"), "s"), shared_dir(spark, "mixed"))
+    return scratch.store(rows.join(mixed.hint("merge"), "s"), "mixed")
 
 
 def left_out(mixed: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
@@ -446,7 +448,7 @@ def common_counts(texts: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def filtered(texts: DataFrame, least: float) -> DataFrame:
+def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
     left out."""
     spark = texts.sparkSession
@@ -459,17 +461,17 @@ def filtered(texts: DataFrame, least: float) -> DataFrame:
             bits = pd.Series([word_bits(w) for w in words], dtype=object, index=pdf.index)
             yield pdf[["id", "root"]].assign(n=np.array([len(w) for w in words], np.int32), bits=bits, words=found)
 
-    rows = store(texts.mapInPandas(first_words, "id long, root long, n int, bits array<long>, words array<long>"), shared_dir(spark, "words"))
+    rows = scratch.store(texts.mapInPandas(first_words, "id long, root long, n int, bits array<long>, words array<long>"), "words")
     places = rows.select("id", "root", "n", "bits", F.posexplode("words").alias("at", "word"))
     # Counted with its classes before any row moves.
     several = rows.select("root", F.explode("words").alias("word")).groupBy("word").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
-    several = store(several.where("r1 <> r2").select("word", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), shared_dir(spark, "common"))
+    several = scratch.store(several.where("r1 <> r2").select("word", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "common")
     live = places.join(several, "word")
     kept = ("id", "root", "n", "at", "bits")
     few = live.where("blocks = 1").select("word", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *kept)
     many = live.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     many = many.select("word", *kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    live = store(few.unionByName(many.select("word", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *kept)), shared_dir(spark, "live"))
+    live = scratch.store(few.unionByName(many.select("word", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *kept)), "live")
     right = live.select("word", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
     # Of the first word that two texts share, both sides have enough left.
     longer = F.greatest("n", "n2")
@@ -486,20 +488,26 @@ def by_id(roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """key, class_id (the least doc_id of its class) of every different text."""
     spark = docs.sparkSession
-    rows = store(sketch_rows(keyed(docs)), shared_dir(spark, "sketches"))
+    # What a step is made from goes when the step is written.
+    sketched, run_tables, step = Scratch(spark), Scratch(spark), Scratch(spark)
+    rows = sketched.store(sketch_rows(keyed(docs)), "sketches")
     far = far_classes(least)
-    pairs, live = neighbours(rows, far)
-    edges = store(verified(docs, pairs, least), shared_dir(spark, "links"))
+    pairs, live = neighbours(rows, far, run_tables)
+    sketched.clear()
+    edges = store(verified(docs, pairs, step, least), shared_dir(spark, "links"))
+    step.clear()
     roots = store(components(edges), shared_dir(spark, "roots"))
-    mixed = mixed_runs(live, by_id(roots))
+    mixed = mixed_runs(live, by_id(roots), run_tables)
     pairs, hot = left_out(mixed, far)
-    hot = store(hot, shared_dir(spark, "hot"))  # so that Spark knows its size
+    hot = step.store(hot, "hot")  # so that Spark knows its size
     text = keyed(docs)
     most = int(SHORT / least) + 1  # words of the longest partner
     short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
     looked = short.unionByName(text.join(hot, "id", "left_semi")).groupBy("id", "key").agg(F.first("text").alias("text"))
-    looked = store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), shared_dir(spark, "looked-at"))
-    more = store(verified(docs, pairs.unionByName(filtered(looked, least)).distinct(), least), shared_dir(spark, "more"))
+    looked = step.store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), "looked-at")
+    more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), step, least), shared_dir(spark, "more"))
+    step.clear()
+    run_tables.clear()
     if not more.isEmpty():
         edges = edges.unionByName(more).distinct()
         roots = store(components(edges), shared_dir(spark, "roots"))
