@@ -231,26 +231,29 @@ def node(key: str) -> Column:
 
 
 def sketch_rows(texts: DataFrame) -> DataFrame:
-    """(s, q, id) for every sketch of every text, q the class of its length; a task sketches equal texts once, so their
-    copies add few rows."""
+    """(s, q, id) for every sketch of every text, q the class of its length; and, for every text, (n, bits, id), its words as a
+    number and as bits.  A task takes equal texts once, so their copies add few rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for pdf in batches:
-            ids, lengths, values = [], [], []
+            ids, lengths, values, bits = [], [], [], []
             for i, t in zip(pdf["id"].tolist(), pdf["text"], strict=True):
                 if i not in seen:
                     if len(seen) < KEPT_NODES:
                         seen.add(i)
                     words = t.split()
                     ids.append(i)
-                    lengths.append(length_class(len(words)))
+                    lengths.append(len(words))
                     values.append(sketches(words))
+                    bits.append(word_bits(words))
             sizes = [len(v) for v in values]
             every = np.concatenate(values or [np.empty(0, np.int64)])
-            yield pd.DataFrame({"s": every, "q": np.repeat(np.array(lengths, np.int32), sizes), "id": np.repeat(np.array(ids, np.int64), sizes)})
+            classes_ = np.array([length_class(n) for n in lengths], np.int32)
+            yield pd.DataFrame({"s": every, "q": np.repeat(classes_, sizes), "id": np.repeat(np.array(ids, np.int64), sizes), "n": 0, "bits": None})
+            yield pd.DataFrame({"s": 0, "q": classes_, "id": np.array(ids, np.int64), "n": lengths, "bits": pd.Series(bits, dtype=object)})
 
-    return texts.select("id", "text").mapInPandas(run, "s long, q int, id long")
+    return texts.select("id", "text").mapInPandas(run, "s long, q int, id long, n int, bits array<long>")
 
 
 def runs(rows: DataFrame, far: int) -> DataFrame:
@@ -324,33 +327,15 @@ def alike(least: float) -> Column:
     return (longer - F.least("n", "n2") <= edits) & (only("bits", "bits2") <= edits) & (only("bits2", "bits") <= edits)
 
 
-def word_table(texts: DataFrame) -> DataFrame:
-    """(id, n, bits) of texts (id, text), their words as a number and as bits."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["id"].tolist(), pdf["text"], strict=True):
-                if i not in seen:
-                    if len(seen) < KEPT_NODES:
-                        seen.add(i)
-                    words = t.split()
-                    rows.append((i, len(words), word_bits(words)))
-            yield pd.DataFrame(rows, columns=["id", "n", "bits"])
-
-    return texts.select("id", "text").mapInPandas(run, "id long, n int, bits array<long>").distinct()
-
-
-def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Pairs whose words' bits
-    say that they are not go first; then only texts that occur in a pair are shuffled, once, one copy of each, and used for
+    (words: id, n, bits) say that they are not go first; then only texts that occur in a pair are shuffled, once, one copy of each, and used for
     both ends.  What is needed is written before it is joined, so that Spark knows its size when it plans."""
     def ends(of: DataFrame, name: str) -> DataFrame:
         return scratch.store(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
     pairs = scratch.store(pairs, "candidates")
-    bits = scratch.store(word_table(keyed(docs).join(ends(pairs, "needed"), "id", "left_semi")), "bits")
+    bits = scratch.store(words.join(ends(pairs, "needed"), "id", "left_semi"), "bits")
     told = pairs.join(bits.withColumnRenamed("id", "a").hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")).hint("merge"), "b")
     pairs = scratch.store(told.where(alike(least)).select("a", "b").distinct(), "likely")
     texts = keyed(docs).join(ends(pairs, "needed"), "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
@@ -492,9 +477,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     sketched, run_tables, step = Scratch(spark), Scratch(spark), Scratch(spark)
     rows = sketched.store(sketch_rows(keyed(docs)), "sketches")
     far = far_classes(least)
-    pairs, live = neighbours(rows, far, run_tables)
+    words = run_tables.store(rows.where("bits is not null").select("id", "n", "bits").distinct(), "word-bits")
+    pairs, live = neighbours(rows.where("bits is null").select("s", "q", "id"), far, run_tables)
     sketched.clear()
-    edges = store(verified(docs, pairs, step, least), shared_dir(spark, "links"))
+    edges = store(verified(docs, pairs, words, step, least), shared_dir(spark, "links"))
     step.clear()
     roots = store(components(edges), shared_dir(spark, "roots"))
     mixed = mixed_runs(live, by_id(roots), run_tables)
@@ -505,7 +491,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
     looked = short.unionByName(text.join(hot, "id", "left_semi")).groupBy("id", "key").agg(F.first("text").alias("text"))
     looked = step.store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), "looked-at")
-    more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), step, least), shared_dir(spark, "more"))
+    more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), words, step, least), shared_dir(spark, "more"))
     step.clear()
     run_tables.clear()
     if not more.isEmpty():
