@@ -50,8 +50,10 @@ KEPT_WORDS, KEPT_NODES = 400_000, 200_000
 RUN, SHORT = 40, 100
 #: One sketch value in EARLY (a power of two) gives candidates before the classes are first made; all go through the rest.
 EARLY = 4
-#: Texts whose words and pairs are counted for the filter's order, slots of the counts, and nodes in a block.
-COUNTED, SLOTS, BLOCK = 16_000, 1 << 23, 1000
+#: Slots of the words' counts for the filter's order, and nodes in a block.
+SLOTS, BLOCK = 1 << 23, 1000
+#: Bits of a bitmap for each value in it, bits of one row of it, and rows at most: 32 MB.
+SPARSE, PART, PARTS = 16, 1 << 15, 1 << 13
 #: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
 BITS, BAG = 16, 1024
 LENGTHS = 100
@@ -329,16 +331,16 @@ def alike(least: float) -> Column:
 
 def verified(docs: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Pairs whose words' bits
-    (words: id, n, bits) say that they are not go first; then only texts that occur in a pair are shuffled, once, one copy of each, and used for
-    both ends.  What is needed is written before it is joined, so that Spark knows its size when it plans."""
+    (words: id, n, bits) say that they are not go first; then only texts that occur in a pair are shuffled, and the few others that
+    maybe_in lets pass, once, one copy of each, and used for both ends."""
     def ends(of: DataFrame, name: str) -> DataFrame:
         return scratch.store(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
 
     pairs = scratch.store(pairs, "candidates")
-    bits = scratch.store(words.join(ends(pairs, "needed"), "id", "left_semi"), "bits")
+    bits = scratch.store(maybe_in(words, "id", ends(pairs, "needed")), "bits")
     told = pairs.join(bits.withColumnRenamed("id", "a").hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")).hint("merge"), "b")
     pairs = scratch.store(told.where(alike(least)).select("a", "b").distinct(), "likely")
-    texts = keyed(docs).join(ends(pairs, "needed"), "id", "left_semi").groupBy("id", "key").agg(F.first("text").alias("text"))
+    texts = maybe_in(keyed(docs).select("id", "key", "text"), "id", ends(pairs, "needed")).groupBy("id", "key").agg(F.first("text").alias("text"))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -410,14 +412,34 @@ def prefix_length(n: int, least: float) -> int:
     return int((n - longer + edits + 1)[fits].max())
 
 
+def maybe_in(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
+    """The rows whose column, a long, is in the written table `values` of one column, and a few others (one in SPARSE, as long as the
+    bitmap grows with the values), by a bitmap of at most PARTS rows of PART bits.  It is what keeps texts out of an exchange, alike
+    at every size; an inner join or an aggregate's join must follow where others do harm."""
+    n_parts = 1
+    while n_parts < PARTS and n_parts * PART < SPARSE * values.count():
+        n_parts *= 2
+
+    def slot(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c), F.lit("slot")), F.lit(n_parts * PART))
+
+    part, at = (slot(values.columns[0]) / PART).cast("int"), F.pmod(slot(values.columns[0]), F.lit(PART))
+    maps = values.groupBy(part.alias("_part")).agg(F.bitmap_construct_agg(at).alias("_map"))
+    byte = F.conv(F.hex(F.substring("_map", (F.pmod(slot(column), F.lit(PART)) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), F.pmod(slot(column), F.lit(8))).cast("int"))
+    kept = rows.join(F.broadcast(maps), (slot(column) / PART).cast("int") == F.col("_part"))  # at most PARTS rows of 4 kB
+    return kept.where(bit != 0).select(*rows.columns)
+
+
 def prefix(words: list[str], least: float, counts: np.ndarray) -> np.ndarray:
     """The first words, labelled with their occurrence numbers, in the common order: by count, then by value."""
     x = labelled(word_hashes(words))
     return x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[: prefix_length(len(words), least)]]
 
 
-def common_counts(texts: DataFrame, n: int) -> np.ndarray:
-    """Counts, at most 255, by slot of the words of about COUNTED of n texts.  Any order is right."""
+def common_counts(texts: DataFrame) -> np.ndarray:
+    """How frequent the words of all texts are, by slot: 8 times the binary logarithm of one more than their number.  Any
+    order is right; this one has few texts meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -425,11 +447,10 @@ def common_counts(texts: DataFrame, n: int) -> np.ndarray:
             slot, many = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]) & np.uint64(SLOTS - 1), return_counts=True)
             yield pd.DataFrame({"slot": slot.astype(np.int32), "many": many})
 
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, COUNTED / max(1, n)))
-    rows = texts.where(share).mapInPandas(run, "slot int, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1")
+    rows = texts.select("text").mapInPandas(run, "slot int, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1")
+    got = rows.select("slot", F.least(F.floor(8 * F.log2(F.col("many") + 1)), F.lit(255)).cast("short").alias("code")).toArrow()  # at most SLOTS rows of 6 bytes
     out = np.zeros(SLOTS, np.uint8)
-    got = rows.toArrow()
-    out[got["slot"].to_numpy()] = np.minimum(got["many"].to_numpy(), 255)
+    out[got["slot"].to_numpy()] = got["code"].to_numpy()
     return out
 
 
@@ -437,7 +458,7 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
     left out."""
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(common_counts(texts, texts.count()))  # SLOTS bytes
+    counts = spark.sparkContext.broadcast(common_counts(texts))  # SLOTS bytes
 
     def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -451,7 +472,7 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     # Counted with its classes before any row moves.
     several = rows.select("root", F.explode("words").alias("word")).groupBy("word").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
     several = scratch.store(several.where("r1 <> r2").select("word", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "common")
-    live = places.join(several, "word")
+    live = maybe_in(places, "word", several.select("word")).join(several, "word")
     kept = ("id", "root", "n", "at", "bits")
     few = live.where("blocks = 1").select("word", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *kept)
     many = live.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -485,11 +506,17 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     roots = store(components(edges), shared_dir(spark, "roots"))
     mixed = mixed_runs(live, by_id(roots), run_tables)
     pairs, hot = left_out(mixed, far)
-    hot = step.store(hot, "hot")  # so that Spark knows its size
+    hot = step.store(hot, "hot")
     text = keyed(docs)
     most = int(SHORT / least) + 1  # words of the longest partner
-    short = text.where(F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most)
-    looked = short.unionByName(text.join(hot, "id", "left_semi")).groupBy("id", "key").agg(F.first("text").alias("text"))
+    is_short = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most
+
+    def once(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id", "key").agg(F.first("text").alias("text"))
+
+    text = text.select("doc_id", "id", "key", "text")
+    long_ones = once(maybe_in(text, "id", hot).where(~is_short)).join(hot, "id", "left_semi")
+    looked = once(text.where(is_short)).unionByName(long_ones)
     looked = step.store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), "looked-at")
     more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), words, step, least), shared_dir(spark, "more"))
     step.clear()
