@@ -1,34 +1,13 @@
-"""Declarative validation rules: one row per check, severity roll-up, status counts."""
+"""Roll-ups of check rows: severity and status counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkflow.functions import text as T
-
 SEVERITY = ["pass", "warning", "fail", "error"]
 
 
-def check(order: int, name: str, status: Column, message: Column) -> Column:
-    return F.struct(F.lit(order).alias("ord"), F.lit(name).alias("check_name"), status.alias("status"), message.alias("message"))
-
-
-def document_checks(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, ord, check_name, status, message: one facts row feeds every rule, so the text is read once."""
-    text = F.coalesce("text", F.lit(""))
-    facts = docs.join(labels, "doc_id", "left").select("doc_id", text.alias("text"), "n_chars", T.word_count(text).alias("n"), F.size(F.split(text, "\n", -1)).alias("n_lines"), "quality", "toxic")
-    c = F.col
-    rules = F.array(
-        check(1, "file_size", F.when(c("n_chars") > 20000, "fail").when(c("n_chars") > 5000, "warning").otherwise("pass"), F.concat(c("n_chars").cast("string"), F.lit(" characters"))),
-        check(2, "page_count", F.when(c("n_lines") < 2, "fail").when(c("n_lines") > 60, "warning").otherwise("pass"), F.concat(c("n_lines").cast("string"), F.lit(" lines"))),
-        check(3, "text_extraction", F.when(F.length(F.trim("text")) > 10, "pass").otherwise("fail"), F.concat(c("n").cast("string"), F.lit(" words"))),
-        check(4, "metadata", F.when(c("quality").isNull(), "warning").when(c("toxic") == 1, "error").when(c("quality") == 0, "fail").otherwise("pass"), F.when(c("quality").isNull(), "no label").otherwise(F.concat(F.lit("quality "), c("quality").cast("string")))),
-        check(5, "standards_reference", F.lit("info"), F.lit("rules of 2024")),
-    )
-    return facts.select("doc_id", F.explode(rules).alias("r")).select("doc_id", "r.*")
-
-
 def severity_rollup(checks: DataFrame) -> DataFrame:
     """error over fail over warning over pass; info counts as pass."""
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("status")), F.lit(0))

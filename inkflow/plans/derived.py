@@ -14,15 +14,15 @@ from inkflow.session import table
 RELATIONS: dict[str, tuple] = {
     "wrapped": ("documents", ("id", "doc_id"), ("t", "split(replace(replace(coalesce(text, ''), 'ti', concat('ti-', chr(10))), concat(chr(10), chr(10)), chr(10)), chr(10))")),
     "symbols": ("documents", ("id", "doc_id"), ("t", "replace(replace(replace(replace(coalesce(text, ''), '.', ' … • ● ✓☀.'), 'the', '‘the’'), 'an', 'a­&n '), 'or', '→<r>—\U0001f600''\"')")),
-    "slugs": ("documents", ("id", "doc_id"), ("t", "substring(coalesce(text, ''), 1, 60)")),
-    "lists": ("documents", ("id", "doc_id"), ("t", "concat(replace(substring(coalesce(text, ''), 1, 150), ' ', ', '), ',', source, ', ', substring(coalesce(text, ''), 1, 20))")),
-    "terms": ("documents", ("id", "doc_id"), ("name", "source"), ("kw", "split(replace(replace(substring(coalesce(text, ''), 1, 40), chr(10), ''), 'e', '\"'), ' ')")),
+    "slugs": ("documents", ("id", "doc_id"), ("t", "coalesce(text, '')")),
+    "lists": ("documents", ("id", "doc_id"), ("t", "concat(coalesce(text, ''), ',', source, ', ', coalesce(text, ''))")),
+    "terms": ("documents", ("id", "doc_id"), ("name", "source"), ("kw", "split(replace(replace(coalesce(text, ''), chr(10), ''), 'e', '\"'), ',')")),
     "numbers": ("pages", ("id", "page_id"), ("t", "replace(replace(replace(coalesce(url, ''), '/', ' '), '?', ' '), '=', ' ')")),
     "labelled": ("documents", ("id", "doc_id"), ("t", "CASE WHEN doc_id % 5 = 0 THEN 'discovery' WHEN doc_id % 7 = 0 THEN concat('cse:silo_', lang) ELSE concat('cse:silo_', CAST(doc_id % 13 AS STRING)) END")),
     "placeholders": ("documents", ("id", "doc_id"), ("t", "replace(replace(replace(coalesce(text, ''), ' the ', ' [[image: a]] '), ' of ', ' [[Cover:b]] '), ' to ', ' [[BACK_COVER: c d ]][[IMAGE:a]] ')")),
     "ideas": (
         "documents", ("id", "doc_id"), ("topic_id", "doc_id % 5"), ("status", "CASE doc_id % 3 WHEN 0 THEN 'backlog' WHEN 1 THEN 'assigned' ELSE 'done' END"),
-        ("silo", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END"), ("t", "substring(coalesce(text, ''), 1, 30)"),
+        ("silo", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END"), ("t", "coalesce(text, '')"),
     ),
     "briefs": ("orders", ("topic_id", "o_custkey"), ("silo", "CAST(o_orderkey % 11 AS INT)"), ("brief", "o_orderpriority")),
     "topics": ("customer", ("topic_id", "c_custkey"), ("name", "c_name"), ("created", "CAST(c_acctbal AS BIGINT)")),
@@ -92,7 +92,7 @@ RELATIONS: dict[str, tuple] = {
         ("isbn", "CASE WHEN doc_id % 2 = 0 THEN NULL ELSE CAST(n_chars AS STRING) END"),
     ),
     "small": (
-        "documents", ("id", "doc_id"), ("t", "concat(replace(substring(coalesce(text, ''), 1, 40), ' ', '_'), CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END)"), ("seconds", "CAST(n_chars AS DOUBLE) / 8"),
+        "documents", ("id", "doc_id"), ("t", "concat(replace(coalesce(text, ''), ' ', '_'), CASE WHEN doc_id % 3 = 0 THEN chr(10) ELSE '' END)"), ("seconds", "CAST(n_chars AS DOUBLE) / 8"),
         ("n", "CASE WHEN doc_id % 9 = 0 THEN NULL ELSE CAST(n_chars % 200 AS INT) END"), ("margin", "CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE concat(CAST(doc_id % 2 AS STRING), '.', CAST(n_chars % 10 AS STRING)) END"),
         ("flag", "CASE doc_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'ON' WHEN 2 THEN '1' ELSE 'no' END"), ("bytes", "n_chars * n_chars"),
     ),

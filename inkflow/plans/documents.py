@@ -8,8 +8,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkflow.functions import text as T
-from inkflow.operators import structure
-from inkflow.operators.rules import document_checks, severity_rollup as rollup, status_pivot as pivot
+from inkflow.operators import paging, structure
+from inkflow.operators.rules import severity_rollup as rollup, status_pivot as pivot
 from inkflow.plans import sqltext as S
 from inkflow.session import table
 
@@ -193,8 +193,26 @@ def draft_cap_gate(spark, sf_dir):
     return words_before(d, ["lang"]).select("doc_id", "before", F.when(F.col("before") < DRAFT_CAP, "admitted").otherwise("draft_total_cap").alias("reason"))
 
 
+#: Lines of a printed page, and documents set as books: a sentence a line, indented, and a page before each that begins with E.
+PAGE_LINES = 6
+_SET = "replace(replace(coalesce(text, ''), '. E', concat('.', chr(12), '  E')), '. ', concat('.', chr(10), '  '))"
+
+
+def _page_facts(spark, sf_dir):
+    return paging.page_facts(docs(spark, sf_dir).select("doc_id", F.expr(_SET).alias("text")), PAGE_LINES)
+
+
+def page_windows(spark, sf_dir):
+    """What the first 10, 20 and 50 pages of each document hold."""
+    return _page_facts(spark, sf_dir).withColumn("sparse", F.array_join(F.col("sparse").cast("array<string>"), ","))
+
+
 def rule_engine_docs(spark, sf_dir):
-    return document_checks(docs(spark, sf_dir), table(spark, sf_dir, "labels"))
+    """Rules of printed books; the source is the title, and a labelled document has its language as author."""
+    names = docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "lang")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    named = names.join(labelled, "doc_id", "left").select("doc_id", "title", F.when(F.col("labelled"), F.col("lang")).alias("author"))
+    return paging.page_checks(_page_facts(spark, sf_dir).join(named, "doc_id"))
 
 
 def severity_rollup(spark, sf_dir):
@@ -261,15 +279,42 @@ _BLOCKS = f"""WITH {S.PARAGRAPHS}, blocks AS (
   SELECT doc_id, section_no, paragraph_no AS block_no, CASE WHEN paragraph_no % 5 = 0 THEN 'quote' ELSE 'paragraph' END AS type, text FROM paragraphs WHERE section_no > 0
   UNION ALL SELECT doc_id, section_no, 0, 'heading', max(title) FROM paragraphs WHERE section_no > 0 GROUP BY doc_id, section_no),
 html AS (SELECT doc_id, section_no, block_no, CASE type WHEN 'heading' THEN '<h1>' || {_ESC} || '</h1>' WHEN 'quote' THEN '<blockquote>' || {_ESC} || '</blockquote>' ELSE '<p>' || {_ESC} || '</p>' END AS h FROM blocks)"""
-_CHECKS = f"""WITH facts AS (
-  SELECT d.doc_id, coalesce(text, '') AS text, n_chars, {S.count("coalesce(text, '')")} AS n, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, quality, toxic
-  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+_PAGES = f"""WITH set_ AS (SELECT doc_id, {_SET} AS t FROM documents),
+parts AS (SELECT doc_id, unnest(ps) AS part, generate_subscripts(ps, 1) AS part_no FROM (SELECT doc_id, string_split(t, chr(12)) AS ps FROM set_)),
+printed AS (SELECT doc_id, part_no, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS li FROM (SELECT doc_id, part_no, string_split(part, chr(10)) AS ls FROM parts)),
+numbered AS (
+  SELECT *, {S.strip('line')} AS s, dense_rank() OVER (PARTITION BY doc_id ORDER BY part_no, li // {PAGE_LINES}) AS page, row_number() OVER (PARTITION BY doc_id ORDER BY part_no, li) AS n FROM printed),
+per_page AS (SELECT doc_id, page, count(*) FILTER (s <> '') AS filled, string_agg(line, chr(10) ORDER BY n) AS t FROM numbered GROUP BY ALL),
+by_page AS (
+  SELECT doc_id, max(page) AS n_pages, CAST(max(length(t)) FILTER (page = 1) AS BIGINT) AS first_chars, bool_or(page = 1 AND length({S.strip('t')}) > 10) AS first_filled,
+         coalesce(string_agg(CAST(page AS VARCHAR), ',' ORDER BY page) FILTER (page BETWEEN 2 AND 50 AND filled BETWEEN 1 AND 4), '') AS sparse
+  FROM per_page GROUP BY doc_id),
+followed AS (SELECT *, lead(s) OVER w AS next_s, lead(line) OVER w AS next_line FROM numbered WHERE page <= 10 WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+hits AS (SELECT *, coalesce(length(s) > 0 AND length(s) < 50 AND length(next_s) > 2 * length(s), false) AS hit FROM followed),
+runs AS (SELECT *, sum(CAST(NOT hit AS INT)) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS run FROM hits),
+taken AS (SELECT *, hit AND row_number() OVER (PARTITION BY doc_id, run, hit ORDER BY n) % 2 = 1 AS pair FROM runs),
+by_pair AS (
+  SELECT doc_id, count(*) FILTER (pair) AS potential_first_paras, count(*) FILTER (pair AND regexp_matches(next_line, '^[ \\t]{{2}}')) AS indented_first_paras, count(*) FILTER (s <> '') AS paragraphs
+  FROM taken GROUP BY doc_id),
+marked AS (SELECT *, regexp_matches(line, '^[ \\t]{{2}}') AS inside, length(s) > 10 AND NOT regexp_matches(s, '^[\\p{{Lu}}\\p{{Nd}}\\x{{b2}}\\x{{b3}}\\x{{b9}}]') AS other FROM numbered WHERE page <= 20 AND s <> ''),
+by_line AS (SELECT doc_id, count(*) FILTER (inside) AS indented, count(*) FILTER (inside OR other) AS eligible FROM marked GROUP BY doc_id),
+facts AS (
+  SELECT doc_id, CAST(octet_length(encode(t)) AS BIGINT) AS n_bytes, n_pages, first_chars, first_filled, sparse, coalesce(indented, 0) AS indented, coalesce(eligible, 0) AS eligible,
+         potential_first_paras, indented_first_paras, paragraphs
+  FROM set_ JOIN by_page USING (doc_id) JOIN by_pair USING (doc_id) LEFT JOIN by_line USING (doc_id))"""
+_CHECKS = _PAGES + """, book AS (
+  SELECT f.*, coalesce(d.source, '') AS title, CASE WHEN l.doc_id IS NULL THEN '' ELSE coalesce(d.lang, '') END AS author
+  FROM facts f JOIN documents d ON f.doc_id = d.doc_id LEFT JOIN labels l ON f.doc_id = l.doc_id),
 checks AS (
-  SELECT doc_id, 1 AS ord, 'file_size' AS check_name, CASE WHEN n_chars > 20000 THEN 'fail' WHEN n_chars > 5000 THEN 'warning' ELSE 'pass' END AS status, CAST(n_chars AS VARCHAR) || ' characters' AS message FROM facts
-  UNION ALL SELECT doc_id, 2, 'page_count', CASE WHEN n_lines < 2 THEN 'fail' WHEN n_lines > 60 THEN 'warning' ELSE 'pass' END, CAST(n_lines AS VARCHAR) || ' lines' FROM facts
-  UNION ALL SELECT doc_id, 3, 'text_extraction', CASE WHEN length(trim(text)) > 10 THEN 'pass' ELSE 'fail' END, CAST(n AS VARCHAR) || ' words' FROM facts
-  UNION ALL SELECT doc_id, 4, 'metadata', CASE WHEN quality IS NULL THEN 'warning' WHEN toxic = 1 THEN 'error' WHEN quality = 0 THEN 'fail' ELSE 'pass' END, CASE WHEN quality IS NULL THEN 'no label' ELSE 'quality ' || CAST(quality AS VARCHAR) END FROM facts
-  UNION ALL SELECT doc_id, 5, 'standards_reference', 'info', 'rules of 2024' FROM facts)"""
+  SELECT doc_id, 1 AS ord, 'file_size' AS check_name, CASE WHEN n_bytes > 500 * 1048576 THEN 'fail' WHEN n_bytes > 100 * 1048576 THEN 'warning' ELSE 'pass' END AS status, printf('%.1f MB', n_bytes / 1048576.0::DOUBLE) AS message FROM book
+  UNION ALL SELECT doc_id, 2, 'page_count', CASE WHEN n_pages < 24 THEN 'fail' WHEN n_pages > 1000 THEN 'warning' ELSE 'pass' END, n_pages || ' pages' FROM book
+  UNION ALL SELECT doc_id, 3, 'metadata', CASE WHEN title <> '' AND author <> '' THEN 'pass' ELSE 'warning' END, 'title ' || title || ', author ' || author FROM book
+  UNION ALL SELECT doc_id, 4, 'text_extraction', CASE WHEN first_filled THEN 'pass' ELSE 'warning' END, first_chars || ' characters on the first page' FROM book
+  UNION ALL SELECT doc_id, 5, 'text_indentation_patterns', CASE WHEN eligible < 10 THEN 'warning' WHEN indented / eligible > 0.7 THEN 'pass' WHEN indented / eligible > 0.5 THEN 'warning' ELSE 'fail' END,
+    CASE WHEN eligible < 10 THEN 'too few lines' ELSE indented || '/' || eligible || ' lines indented' END FROM book
+  UNION ALL SELECT doc_id, 6, 'page_content_distribution', CASE WHEN sparse <> '' THEN 'warning' ELSE 'pass' END, CASE WHEN sparse <> '' THEN 'pages with few lines: ' || replace(sparse, ',', ', ') ELSE 'no page with few lines' END FROM book
+  UNION ALL SELECT doc_id, 7, 'kdp_page_breaks', 'warning', 'page breaks are to be looked at by hand' FROM book
+  UNION ALL SELECT doc_id, 8, 'kdp_standards_reference', 'pass', 'standards of print' FROM book)"""
 
 CATALOGUE = {
     "doc_word_counts": (doc_word_counts, f"SELECT doc_id, {S.count('text')} AS n_words FROM documents"),
@@ -309,6 +354,7 @@ SELECT doc_id, count(*) FILTER (inside) AS indented, count(*) FILTER (inside OR
 p AS (SELECT *, n // 4 AS o, CASE model WHEN 'small' THEN 0.0015::DOUBLE ELSE 0.01::DOUBLE END AS i_price, CASE model WHEN 'small' THEN 0.002::DOUBLE ELSE 0.03::DOUBLE END AS o_price FROM c)
 SELECT source, count(*) AS n_calls, CAST(sum(n + o) AS BIGINT) AS tokens, CAST(sum(n) AS BIGINT) AS tokens_in, CAST(sum(o) AS BIGINT) AS tokens_out, round(sum(n / 1000::DOUBLE * i_price + o / 1000::DOUBLE * o_price), 6) AS cost, arg_max(model, doc_id) AS model_used FROM p GROUP BY source"""),
     "draft_cap_gate": (draft_cap_gate, f"SELECT doc_id, b AS before, CASE WHEN b < {DRAFT_CAP} THEN 'admitted' ELSE 'draft_total_cap' END AS reason FROM (SELECT doc_id, CAST(coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM (SELECT doc_id, lang, {S.count('text')} AS n FROM documents))"),
+    "page_windows": (page_windows, _PAGES + " SELECT * FROM facts"),
     "rule_engine_docs": (rule_engine_docs, _CHECKS + " SELECT * FROM checks"),
     "severity_rollup": (severity_rollup, _CHECKS + " SELECT doc_id, CASE max(CASE status WHEN 'error' THEN 3 WHEN 'fail' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END) WHEN 3 THEN 'error' WHEN 2 THEN 'fail' WHEN 1 THEN 'warning' ELSE 'pass' END AS overall FROM checks GROUP BY doc_id"),
     "status_pivot": (status_pivot, _CHECKS + " SELECT check_name, " + ", ".join(f"count(*) FILTER (status = '{s}') AS n_{s}" for s in ("pass", "warning", "fail", "error", "info")) + " FROM checks GROUP BY check_name"),

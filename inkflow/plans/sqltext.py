@@ -77,7 +77,7 @@ paragraphs AS (
 kept AS (SELECT doc_id, section_no, max(title) AS title, count(*) AS n_paragraphs, CAST(sum({count('text')}) AS BIGINT) AS n_words FROM paragraphs WHERE section_no > 0 GROUP BY doc_id, section_no),
 sections AS (SELECT *, CASE WHEN lower(title) LIKE 'chapter%' THEN row_number() OVER (PARTITION BY doc_id ORDER BY section_no) END AS number FROM kept),
 whole AS (
-  SELECT doc_id, {_JOINED} AS text FROM (
+  SELECT doc_id, break_no, {_JOINED} AS text FROM (
     SELECT doc_id, line_no, line, s, sum(CAST(s = '' AS INT)) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS break_no FROM flagged
     WHERE doc_id NOT IN (SELECT doc_id FROM sections)) WHERE s <> '' GROUP BY doc_id, break_no),
 main AS (SELECT doc_id, 0 AS section_no, 'Main Content' AS title, NULL AS number, count(*) AS n_paragraphs, CAST(sum({count('text')}) AS BIGINT) AS n_words FROM whole GROUP BY doc_id),
