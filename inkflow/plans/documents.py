@@ -258,7 +258,7 @@ def method_compare(spark, sf_dir):
     return ai.join(rx, "source", "full_outer").withColumn("diff", F.coalesce("chars_ai", F.lit(0)) - F.coalesce("chars_regex", F.lit(0)))
 
 
-def _symbols(ranges) -> str:
+def symbols(ranges) -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]+"
 
 
@@ -266,11 +266,16 @@ def _digest(expr: str) -> str:
     return f"SELECT doc_id, md5(c) AS digest, CAST(length(c) AS BIGINT) AS n_chars FROM (SELECT doc_id, {expr} AS c FROM documents)"
 
 
-def _chunks(parts: str, most: int, gap: str, extra: int, trim: bool) -> str:
+def chunk_lists(parts: str, most: int, gap: str, extra: int, trim: bool, source: str = "documents") -> str:
+    """CTEs up to c: doc_id, cs."""
     done = f"CASE WHEN a.cur <> '' THEN list_append(a.out, {S.strip('a.cur') if trim else 'a.cur'}) ELSE a.out END"
     fold = f"list_reduce(ps, lambda a, p: CASE WHEN length(a.cur) + length(p.cur) + {extra} > {most} THEN {{'out': {done}, 'cur': p.cur}} ELSE {{'out': a.out, 'cur': CASE WHEN a.cur <> '' THEN a.cur || {gap} || p.cur ELSE p.cur END}} END, {{'out': CAST([] AS VARCHAR[]), 'cur': ''}})"
-    return f"""WITH f AS (SELECT doc_id, {fold} AS a FROM (SELECT doc_id, list_transform({parts}, lambda x: {{'out': CAST([] AS VARCHAR[]), 'cur': x}}) AS ps FROM documents)),
-c AS (SELECT doc_id, {done} AS cs FROM f)
+    return f"""f AS (SELECT doc_id, {fold} AS a FROM (SELECT doc_id, list_transform({parts}, lambda x: {{'out': CAST([] AS VARCHAR[]), 'cur': x}}) AS ps FROM {source})),
+c AS (SELECT doc_id, {done} AS cs FROM f)"""
+
+
+def _chunks(*how) -> str:
+    return f"""WITH {chunk_lists(*how)}
 SELECT doc_id, CAST(chunk_no - 1 AS BIGINT) AS chunk_no, md5(chunk) AS digest, CAST(length(chunk) AS BIGINT) AS n_chars FROM (SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS chunk_no FROM c)"""
 
 
@@ -321,9 +326,9 @@ CATALOGUE = {
     "silo_word_totals": (silo_word_totals, f"SELECT doc_id % 11 AS silo, CAST(sum({S.count('text')}) AS BIGINT) AS n_words, count(*) AS n_docs FROM documents GROUP BY 1"),
     "citation_counts": (citation_counts, "SELECT doc_id, CAST((length(t) - length(replace(t, '[^src-', ''))) / 6 AS BIGINT) AS n_hits FROM (SELECT doc_id, replace(text, ' of ', ' [^src-1] ') AS t FROM documents)"),
     "web_snippets": (web_snippets, f"SELECT doc_id, array_to_string(({S.words('text')})[1:40], ' ') AS snippet FROM documents"),
-    "normalize_pdf": (_normal(T.normalize_pdf), _digest(f"regexp_replace({S.replaced('text', T.SPACES)}, '{_symbols(T.SYMBOL_RANGES)}', '', 'g')")),
+    "normalize_pdf": (_normal(T.normalize_pdf), _digest(f"regexp_replace({S.replaced('text', T.SPACES)}, '{symbols(T.SYMBOL_RANGES)}', '', 'g')")),
     "normalize_latin1": (_normal(T.normalize_latin1), _digest(f"regexp_replace({S.replaced('text', T.LATIN1)}, '[^\\x{{0}}-\\x{{ff}}]', '', 'g')")),
-    "normalize_html": (_normal(T.normalize_html), _digest(f"regexp_replace({S.replaced('text', T.HTML)}, '{_symbols(T.SYMBOL_RANGES + T.DRAWING_RANGES)}', '', 'g')")),
+    "normalize_html": (_normal(T.normalize_html), _digest(f"regexp_replace({S.replaced('text', T.HTML)}, '{symbols(T.SYMBOL_RANGES + T.DRAWING_RANGES)}', '', 'g')")),
     "normalize_epub": (_normal(T.normalize_epub), _digest(S.replaced("text", T.SPACES))),
     "escape_xml": (_normal(T.escape_xml), _digest(S.replaced("text", [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")]))),
     "escape_markup": (_normal(T.escape_html), _digest(_ESC)),
