@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkflow.plans import books, control, detection, documents, drafts, events, manuscripts, pages, relational, storage, validation
+from inkflow.plans import books, contexts, control, detection, documents, drafts, events, manuscripts, pages, relational, storage, validation
 from inkflow.streaming import expiry, streams
 
 
 def _all() -> dict:
-    return {**pages.CATALOGUE, **documents.CATALOGUE, **relational.CATALOGUE, **events.CATALOGUE, **streams.CATALOGUE, **drafts.CATALOGUE, **expiry.CATALOGUE, **validation.CATALOGUE, **manuscripts.CATALOGUE, **storage.CATALOGUE, **control.CATALOGUE, **books.CATALOGUE, **detection.CATALOGUE}
+    return {**pages.CATALOGUE, **documents.CATALOGUE, **relational.CATALOGUE, **events.CATALOGUE, **streams.CATALOGUE, **drafts.CATALOGUE, **expiry.CATALOGUE, **validation.CATALOGUE, **manuscripts.CATALOGUE, **storage.CATALOGUE, **control.CATALOGUE, **books.CATALOGUE, **detection.CATALOGUE, **contexts.CATALOGUE}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
