@@ -24,7 +24,7 @@ def idea_filters(d):
 
 def latest_topics(d):
     """The three newest, of equally new ones those of the least id."""
-    return d.orderBy(F.desc("created"), "id").limit(3).select("id", "name")
+    return d.orderBy(F.desc_nulls_last("created"), F.asc_nulls_last("id")).limit(3).select("id", "name")
 
 
 def call_budget(d):

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from inkflow.session import table
 
-#: name: (table, (column, expression), ...); two expressions are Spark's and DuckDB's.
+#: name: (table, (column, expression), ...); two expressions are Spark's and DuckDB's.  DuckDB's cast of a double to a whole
+#: number rounds, halves to even, and Spark's cuts.
 RELATIONS: dict[str, tuple] = {
     "wrapped": ("documents", ("id", "doc_id"), ("t", "split(replace(replace(coalesce(text, ''), 'ti', concat('ti-', chr(10))), concat(chr(10), chr(10)), chr(10)), chr(10))")),
     "symbols": ("documents", ("id", "doc_id"), ("t", "replace(replace(replace(replace(coalesce(text, ''), '.', ' … • ● ✓☀.'), 'the', '‘the’'), 'an', 'a­&n '), 'or', '→<r>—\U0001f600''\"')")),
@@ -25,8 +26,8 @@ RELATIONS: dict[str, tuple] = {
         ("silo", "CASE WHEN doc_id % 4 = 0 THEN NULL ELSE CAST(doc_id % 11 AS INT) END"), ("t", "coalesce(text, '')"),
     ),
     "briefs": ("orders", ("topic_id", "o_custkey"), ("silo", "CAST(o_orderkey % 11 AS INT)"), ("brief", "o_orderpriority")),
-    "topics": ("customer", ("topic_id", "c_custkey"), ("name", "c_name"), ("created", "CAST(c_acctbal AS BIGINT)")),
-    "topic_rows": ("customer", ("id", "c_custkey"), ("name", "c_name"), ("created", "CAST(c_acctbal AS BIGINT)")),
+    "topics": ("customer", ("topic_id", "c_custkey"), ("name", "c_name"), ("created", ("CAST(rint(c_acctbal) AS BIGINT)", "CAST(c_acctbal AS BIGINT)"))),
+    "topic_rows": ("customer", ("id", "c_custkey"), ("name", "c_name"), ("created", ("CAST(rint(c_acctbal) AS BIGINT)", "CAST(c_acctbal AS BIGINT)"))),
     "silos": ("orders", ("silo_id", "o_orderkey"), ("topic_id", "o_custkey"), ("silo", "CAST(o_orderkey % 11 AS INT)")),
     "trends": ("events", ("id", "event_id"), ("source", "event_type"), ("name", "CAST(user_id AS STRING)")),
     "known_trends": ("customer", ("source", "CASE c_mktsegment WHEN 'BUILDING' THEN 'click' WHEN 'MACHINERY' THEN 'view' ELSE 'purchase' END"), ("name", "CAST(c_custkey AS STRING)")),
