@@ -13,11 +13,12 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
    written to the shared folder.
 4. What the second step left out is found exactly.  Runs of one class need no more.  In a run of several classes every two nodes
    of different classes and of about one length are candidates, while it has at most RUN nodes.  The nodes of longer runs,
-   and all texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes one word, so
-   linked texts share at least (longer length - edits) words, and in one fixed order of all words the first few of one text
-   hold one of the first few of the other.  The order puts frequent ones last.  Words of one class give no candidates; those
-   of many nodes are split into blocks, and every two blocks are a group of their own.  Bits of the texts' words, of which no
-   more than the edits can be set on one side only, drop most pairs before their texts are read.
+   and all texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes GRAM shingles of
+   GRAM words, so linked texts share at least so many of them (fewer words where texts are too short for that), and in one fixed
+   order of all shingles the first few of one text hold one of the first few of the other.  The order puts frequent ones last.
+   Shingles of one class give no candidates; those of many nodes are split into blocks, and every two blocks are a group of
+   their own.  Bits of the texts' words, of which no more than the edits can be set on one side only, drop most pairs before
+   their texts are read.
 5. These candidates are verified as well, and the classes are made again with their links.
 
 So a link between classes is lost only if its texts are longer than SHORT words and share none of the sketches; the
@@ -33,7 +34,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -50,8 +51,8 @@ KEPT_WORDS, KEPT_NODES = 400_000, 200_000
 RUN, SHORT = 40, 100
 #: One sketch value in EARLY (a power of two) gives candidates before the classes are first made; all go through the rest.
 EARLY = 4
-#: Slots of the words' counts for the filter's order, and nodes in a block.
-SLOTS, BLOCK = 1 << 23, 1000
+#: Words of a shingle in the prefix filter, slots of their counts for its order, and nodes in a block.
+GRAM, SLOTS, BLOCK = 3, 1 << 23, 1000
 #: Bits of a bitmap for each value in it, bits of one row of it, and rows at most: 32 MB.
 SPARSE, PART, PARTS = 16, 1 << 15, 1 << 13
 #: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
@@ -59,7 +60,6 @@ BITS, BAG = 16, 1024
 LENGTHS = 100
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) | 1 for i in range(256)], np.uint64)
-_kept: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,20 +68,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Kept(dict):
+    """Hashes of words; those of the first KEPT_WORDS words of up to 40 characters stay."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode())
+        if len(self) < KEPT_WORDS and len(word) <= 40:
+            self[word] = h
+        return h
+
+
+_hash_of = Kept().__getitem__
+
+
 def word_hashes(words: list[str]) -> np.ndarray:
-    got = list(map(_kept.get, words))
-    if None in got:
-        for i, x in enumerate(got):
-            if x is None:
-                w = words[i]
-                got[i] = xxhash.xxh3_64_intdigest(w.encode())
-                if len(_kept) < KEPT_WORDS and len(w) <= 40:
-                    _kept[w] = got[i]
-    return np.array(got, np.uint64)
-
-
-def shingle_hashes(words: list[str], k: int = SHINGLE) -> np.ndarray:
-    h = word_hashes(words)
+    return np.fromiter(map(_hash_of, words), np.uint64, len(words))
+
+
+def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles of a text of these word hashes."""
     n = min(k, len(h))
     m = len(h) - n + 1
     out = np.full(m, n, np.uint64)
@@ -126,9 +131,9 @@ def least_places(x: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
     return best
 
 
-def sketches(words: list[str], m: int = SKETCHES, ell: int = ELL, k: int = SHINGLE) -> np.ndarray:
-    """m order MinHash values; none for a text without words."""
-    if not words:
+def sketches(words: np.ndarray, m: int = SKETCHES, ell: int = ELL, k: int = SHINGLE) -> np.ndarray:
+    """m order MinHash values of a text of these word hashes; none for a text without words."""
+    if not len(words):
         return np.empty(0, np.int64)
     h = shingle_hashes(words, k)
     seeds = _SEEDS[:m]
@@ -206,10 +211,10 @@ def far_classes(least: float) -> int:
     return int(-LENGTHS * np.log(least)) + 1
 
 
-def word_bits(words: list[str]) -> np.ndarray:
-    """Bits of the words that a text has, in BITS numbers."""
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """Bits of the words, each with its occurrence number, that a text of these word hashes has, in BITS numbers."""
     bits = np.zeros(BITS * 64, np.uint8)
-    bits[word_hashes(words) % np.uint64(BITS * 64)] = 1
+    bits[mix(labelled(words)) % np.uint64(BITS * 64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -244,7 +249,7 @@ def sketch_rows(texts: DataFrame) -> DataFrame:
                 if i not in seen:
                     if len(seen) < KEPT_NODES:
                         seen.add(i)
-                    words = t.split()
+                    words = word_hashes(t.split())
                     ids.append(i)
                     lengths.append(len(words))
                     values.append(sketches(words))
@@ -322,6 +327,11 @@ def only(x: str, y: str) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
 
 
+def one_side(numbers: list[str], x: str, y: str) -> Column:
+    """How many of the bits of the columns with suffix x are not in those with suffix y."""
+    return reduce(lambda a, b: a + b, [F.bit_count(F.col(c + x).bitwiseAND(F.bitwise_not(F.col(c + y)))) for c in numbers])
+
+
 def alike(least: float) -> Column:
     """Whether texts of n and n2 words and the bits of these can be linked."""
     longer = F.greatest("n", "n2")
@@ -352,7 +362,7 @@ def verified(docs: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scrat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(key, root) for every end of an edge: alternating large-star and small-star steps until nothing moves.  A
+    """(key, root) for every end of an edge: alternating large-star and small-star steps until only stars are left.  A
     node's least neighbour is aggregated before the shuffle, so hubs are no single task.  Only the last round's tables stay."""
     spark = edges.sparkSession
     now = store(edges.select("a", "b"), shared_dir(spark, "edges"))
@@ -367,22 +377,22 @@ def components(edges: DataFrame) -> DataFrame:
             return joined.where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         return joined.select(F.col("m").alias("a"), F.col("v").alias("b")).unionByName(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
-    def sign(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+    def stars(e: DataFrame) -> bool:
+        """Whether every greater end has one less one, which is no greater end itself: then nothing moves any more."""
+        ends = e.select(F.col("b").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("a").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        ups = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ups.where("up > 1 or up = 1 and down = 1").isEmpty()
 
-    before = None
     while True:
         this = Scratch(spark)
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         now = this.store(star(both, True).where("a <> b").distinct(), "large")
         down = now.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         now = this.store(star(down, False).where("a <> b").distinct(), "small")
-        after = sign(now)
         last.clear()
         last = this
-        if after == before:
+        if stars(now):
             break
-        before = after
     return now.select(F.col("b").alias("key"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("key"), F.col("a").alias("root")).distinct())
 
 
@@ -404,12 +414,26 @@ def left_out(mixed: DataFrame, far: int) -> tuple[DataFrame, DataFrame]:
     return pairs, mixed.where(F.col("n") > RUN).select("id").distinct()
 
 
-def prefix_length(n: int, least: float) -> int:
-    """How many of the first words of a text of n words must be looked at, whatever the length of its partner."""
-    longer = np.arange(n, int(n / least) + 2)
-    edits = np.floor((1 - least) * longer + 1e-9).astype(int)
-    fits = longer - n <= edits
-    return int((n - longer + edits + 1)[fits].max())
+def edits(n: int, least: float) -> int:
+    return int((1 - least) * n + 1e-9)
+
+
+def shared_grams(longer: int, q: int, least: float) -> int:
+    """How many q-grams, each with its occurrence number, two linked texts have in common, if the longer one has so many words:
+    an edit changes q of them at most."""
+    return longer - q + 1 - q * edits(longer, least)
+
+
+@cache
+def prefix_lengths(n: int, least: float) -> dict[int, int]:
+    """By q, how many of the first q-grams of a text of n words must be looked at, whatever the length of its partner.  A pair
+    goes by the greatest q up to GRAM of which linked texts share one; which that is depends on the longer text alone."""
+    out: dict[int, int] = {}
+    for longer in range(n, int(n / least) + 2):
+        if longer - n <= edits(longer, least):
+            q = next((q for q in range(GRAM, 1, -1) if shared_grams(longer, q, least) > 0), 1)
+            out[q] = max(out.get(q, 0), n - q + 1 - shared_grams(longer, q, least) + 1)
+    return out
 
 
 def maybe_in(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
@@ -431,19 +455,24 @@ def maybe_in(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     return kept.where(bit != 0).select(*rows.columns)
 
 
-def prefix(words: list[str], least: float, counts: np.ndarray) -> np.ndarray:
-    """The first words, labelled with their occurrence numbers, in the common order: by count, then by value."""
-    x = labelled(word_hashes(words))
-    return x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[: prefix_length(len(words), least)]]
+def grams(words: np.ndarray, least: float) -> dict[int, np.ndarray]:
+    """By q, the q-grams of a text of these word hashes that may count, labelled with their occurrence numbers, in text order."""
+    return {q: labelled(shingle_hashes(words, q)) for q in prefix_lengths(len(words), least) if len(words) >= q}
 
 
-def common_counts(texts: DataFrame) -> np.ndarray:
-    """How frequent the words of all texts are, by slot: 8 times the binary logarithm of one more than their number.  Any
+def prefixes(words: np.ndarray, least: float, counts: np.ndarray) -> dict[int, np.ndarray]:
+    """By q, the first q-grams in the common order: by count, then by value."""
+    lengths = prefix_lengths(len(words), least)
+    return {q: x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[: lengths[q]]] for q, x in grams(words, least).items()}
+
+
+def common_counts(texts: DataFrame, least: float) -> np.ndarray:
+    """How frequent the q-grams of all texts are, by slot: 8 times the binary logarithm of one more than their number.  Any
     order is right; this one has few texts meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [labelled(word_hashes(w)) for w in map(str.split, pdf["text"]) if w]
+            parts = [x for w in map(str.split, pdf["text"]) if w for x in grams(word_hashes(w), least).values()]
             slot, many = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]) & np.uint64(SLOTS - 1), return_counts=True)
             yield pd.DataFrame({"slot": slot.astype(np.int32), "many": many})
 
@@ -458,32 +487,42 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
     left out."""
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(common_counts(texts))  # SLOTS bytes
+    counts = spark.sparkContext.broadcast(common_counts(texts, least))  # SLOTS bytes
 
-    def first_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [t.split() for t in pdf["text"]]
-            found = pd.Series([prefix(w, least, counts.value).view(np.int64) if w else [] for w in words], dtype=object, index=pdf.index)
-            bits = pd.Series([word_bits(w) for w in words], dtype=object, index=pdf.index)
-            yield pdf[["id", "root"]].assign(n=np.array([len(w) for w in words], np.int32), bits=bits, words=found)
+            ids, roots, lengths, qs, bits, found = [], [], [], [], [], []
+            for i, root, t in zip(pdf["id"].tolist(), pdf["root"].tolist(), pdf["text"], strict=True):
+                words = word_hashes(t.split())
+                for q, x in prefixes(words, least, counts.value).items() if len(words) else ():
+                    ids.append(i)
+                    roots.append(root)
+                    lengths.append(len(words))
+                    qs.append(q)
+                    bits.append(word_bits(words))
+                    found.append(x.view(np.int64))
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array(roots, np.int64), "n": np.array(lengths, np.int32), "q": np.array(qs, np.int32), "bits": pd.Series(bits, dtype=object), "grams": pd.Series(found, dtype=object)})
 
-    rows = scratch.store(texts.mapInPandas(first_words, "id long, root long, n int, bits array<long>, words array<long>"), "words")
-    places = rows.select("id", "root", "n", "bits", F.posexplode("words").alias("at", "word"))
+    rows = scratch.store(texts.mapInPandas(first_grams, "id long, root long, n int, q int, bits array<long>, grams array<long>"), "grams")
+    places = rows.select("id", "root", "n", "q", "bits", F.posexplode("grams").alias("at", "gram"))
     # Counted with its classes before any row moves.
-    several = rows.select("root", F.explode("words").alias("word")).groupBy("word").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
-    several = scratch.store(several.where("r1 <> r2").select("word", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "common")
-    live = maybe_in(places, "word", several.select("word")).join(several, "word")
-    kept = ("id", "root", "n", "at", "bits")
-    few = live.where("blocks = 1").select("word", F.lit(0).alias("lo"), F.lit(0).alias("hi"), *kept)
+    several = rows.select("root", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
+    several = scratch.store(several.where("r1 <> r2").select("gram", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "common")
+    live = maybe_in(places, "gram", several.select("gram")).join(several, "gram")
+    numbers = [f"w{i}_" for i in range(BITS)]  # not an array: a pair is told apart in a few steps
+    kept = ("id", "root", "n", "at", *numbers)
+    live = live.select("*", *(F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(numbers)))
+    few = live.where("blocks = 1").select("gram", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "q", *kept)
     many = live.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    many = many.select("word", *kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    live = scratch.store(few.unionByName(many.select("word", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *kept)), "live")
-    right = live.select("word", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
-    # Of the first word that two texts share, both sides have enough left.
+    many = many.select("gram", "q", *kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    live = scratch.store(few.unionByName(many.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "q", *kept)), "live")
+    right = live.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
+    # Of the first gram that two texts share, both sides have enough left.
     longer = F.greatest("n", "n2")
-    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - F.floor((1 - least) * longer + 1e-9)
-    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & enough & alike(least)
-    return live.join(right.hint("merge"), ["word", "lo", "hi"]).where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    most = F.floor((1 - least) * longer + 1e-9)
+    enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - F.col("q") * most
+    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= most) & enough & (one_side(numbers, "", "2") <= most) & (one_side(numbers, "2", "") <= most)
+    return live.join(right.hint("merge"), ["gram", "lo", "hi"]).where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def by_id(roots: DataFrame) -> DataFrame:
@@ -522,8 +561,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     step.clear()
     run_tables.clear()
     if not more.isEmpty():
-        edges = edges.unionByName(more).distinct()
-        roots = store(components(edges), shared_dir(spark, "roots"))
+        known = roots.where("key <> root").select(F.col("root").alias("a"), F.col("key").alias("b"))
+        roots = store(components(known.unionByName(more)), shared_dir(spark, "roots"))
     nodes = text.groupBy("key").agg(F.min("doc_id").alias("least"))
     linked = store(nodes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), shared_dir(spark, "linked"))
     # Written, so that Spark can split a large class in the join below.
