@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from inkflow.functions import text as T
 
 #: Fixed value: the characters of a chunk.
 CHUNK_CHARS = 3500
+#: Chunks whose responses a task holds at once.
+SLICE = 200
 RESPONSE = "blocks array<struct<type: string, level: int, text: string, style: string, metadata: struct<attribution: string, caption: string, number: string>>>"
 ANSWER = "doc_id long, chunk_no int, chunk string, response string, error string"
 #: (chunk, number from 1, number of chunks) to JSON; it may raise or answer anything.
@@ -27,9 +29,15 @@ def chunks(docs: DataFrame, text: Column, most: int = CHUNK_CHARS) -> DataFrame:
     return rows.select("doc_id", (F.col("p") + 1).alias("chunk_no"), "n_chunks", "chunk")
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 def answers(rows: DataFrame, port: Port) -> DataFrame:
-    """ANSWER: the port's response to each chunk, or the error that it raised.  A task holds one batch, and a chunk that fails
-    leaves the others of its batch alone; a task that is run again asks again."""
+    """ANSWER: the port's response to each chunk, or the error that it raised.  A task holds one batch as Arrow has it, and of
+    SLICE rows the chunks and responses as Python has them; a chunk that fails leaves the others alone; a task that is run again
+    asks again."""
 
     def ask(chunk: str, no: int, n: int) -> tuple[str | None, str | None]:
         try:
@@ -37,12 +45,14 @@ def answers(rows: DataFrame, port: Port) -> DataFrame:
         except Exception as e:  # whatever a port raises is the chunk's failure
             return None, f"{type(e).__name__}: {e}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [ask(*r) for r in zip(b["chunk"], b["chunk_no"], b["n_chunks"], strict=True)]
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "chunk_no": b["chunk_no"], "chunk": b["chunk"], "response": [r for r, _ in got], "error": [e for _, e in got]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole):
+                got = [ask(*r) for r in zip(*(b.column(c).to_pylist() for c in ("chunk", "chunk_no", "n_chunks")), strict=True)]
+                columns = [b.column("doc_id").cast(pa.int64()), b.column("chunk_no"), b.column("chunk"), pa.array([r for r, _ in got], pa.string()), pa.array([e for _, e in got], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "chunk_no", "chunk", "response", "error"])
 
-    return rows.select("doc_id", "chunk_no", "n_chunks", "chunk").mapInPandas(run, ANSWER)
+    return rows.select("doc_id", "chunk_no", "n_chunks", "chunk").mapInArrow(run, ANSWER)
 
 
 def blocks(answered: DataFrame) -> DataFrame:
