@@ -28,10 +28,21 @@ class Branch:
         return min(bounds)
 
 
+def _firsts(rows: DataFrame, group: list[str], branches: dict[str, Branch]) -> DataFrame:
+    """The rows of each group that can count there, with their rank."""
+    by_tag = lambda of: F.create_map(*(F.lit(x) for tag, b in branches.items() for x in (tag, of(b))))[F.col("tag")]
+    order = Window.partitionBy(*group).orderBy("ord", "text")
+    gap = by_tag(lambda b: len(b.gap))
+    step = F.length("text") + gap
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(b.most for b in branches.values())).where(F.col("rank") <= by_tag(lambda b: b.most))
+    before = F.sum(step).over(order.rowsBetween(Window.unboundedPreceding, 0)) - step - gap  # the gap before a row may count alone
+    return ranked.withColumn("before", before).where(F.col("before") < by_tag(lambda b: 1 << 62 if b.chars is None else b.chars)).drop("before")
+
+
 def wide_context(keys: DataFrame, branches: dict[str, Branch]) -> DataFrame:
-    """keys (key, ...) with a column of text per branch, empty where it has nothing.  What is shuffled, joined or gathered of a
-    key and branch is at most Branch.most items of Branch.chars characters, whatever the input: ranks are limited
-    in the tasks that read, if Branch.most is within spark.sql.optimizer.windowGroupLimitThreshold, which build_session() raises.  Null keys of `keys` get what is every key's."""
+    """keys (key, ...) with a column of text per branch, empty where it has nothing.  What a reading task gives of a
+    key and branch is at most Branch.most items of Branch.chars characters, and what goes on to the task of a key at most
+    Branch.chars characters and an item of each reading task: ranks are limited in the tasks that read, if Branch.most is within spark.sql.optimizer.windowGroupLimitThreshold, which build_session() raises.  Null keys of `keys` get what is every key's."""
     parts = []
     for tag, b in branches.items():
         text = F.col("text") if b.chars is None else F.left("text", F.lit(b.chars))
@@ -39,9 +50,11 @@ def wide_context(keys: DataFrame, branches: dict[str, Branch]) -> DataFrame:
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    most = F.create_map(*(F.lit(x) for tag, b in branches.items() for x in (tag, b.most)))
-    rank = F.row_number().over(Window.partitionBy("key", "tag").orderBy("ord", "text"))
-    firsts = union.withColumn("rank", rank).where(F.col("rank") <= max(b.most for b in branches.values())).where(F.col("rank") <= most[F.col("tag")])
+    # First of what each reading task has, by items and characters, then of what all tasks have left: so a key's rows do not
+    # meet in one task as they are.
+    firsts = union.withColumn("part", F.spark_partition_id())
+    for group in (["key", "tag", "part"], ["key", "tag"]):
+        firsts = _firsts(firsts, group, branches)
     gathered = firsts.groupBy("key", "tag").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("ts"))
     by_tag = gathered.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("tag", "ts"))).alias("own"))
     every = by_tag.where("key is null").select(F.col("own").alias("every"))
