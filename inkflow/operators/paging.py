@@ -22,20 +22,26 @@ def pages(text: Column, budget: int) -> Column:
     return F.flatten(F.transform(lines, cut))
 
 
+def lines_of(text: Column) -> Column:
+    """array<struct<line, s>>: lines with what is left of them stripped, so that no rule strips a line again."""
+    return F.transform(text, lambda x: F.struct(x.alias("line"), T.strip(x).alias("s")))
+
+
 def filled(lines: Column) -> Column:
-    """The lines that are not blank."""
-    return F.filter(lines, lambda x: T.strip(x) != "")
+    """The lines_of() that are not blank."""
+    return F.filter(lines, lambda x: x["s"] != "")
 
 
 def heading_pairs(lines: Column, most: int = 50) -> Column:
-    """struct(n, indented): pairs of a short line and one more than twice as long; what ends a pair does not begin another."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("indented"), F.lit(True).alias("taken"), F.lit("").alias("before"))
+    """struct(n, indented) of lines_of(): pairs of a short line and one more than twice as long; what ends a pair does not begin
+    another."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("indented"), F.lit(True).alias("taken"), F.lit(0).alias("before"))
 
-    def step(a, line):
-        short, s = F.length(T.strip(a["before"])), F.length(T.strip(line))
+    def step(a, x):
+        short, s = a["before"], F.length(x["s"])
         hit = ~a["taken"] & (short > 0) & (short < most) & (s > 2 * short)
-        inside = hit & line.rlike(INDENTED)
-        return F.struct((a["n"] + hit.cast("int")).alias("n"), (a["indented"] + inside.cast("int")).alias("indented"), hit.alias("taken"), line.alias("before"))
+        inside = hit & x["line"].rlike(INDENTED)
+        return F.struct((a["n"] + hit.cast("int")).alias("n"), (a["indented"] + inside.cast("int")).alias("indented"), hit.alias("taken"), s.alias("before"))
 
     return F.aggregate(lines, start, step, lambda a: F.struct(a["n"], a["indented"]))
 
@@ -45,18 +51,19 @@ def page_facts(books: DataFrame, budget: int) -> DataFrame:
     of pages 2 to 50 with one to four lines), indented and eligible lines of the first 20 pages, potential and indented first
     paragraphs and all paragraphs of the first 10.  The text is read once and no row meets another; repeated ids stay rows."""
     b = books.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), F.coalesce(pages(F.col("text"), budget), F.array().cast("array<array<string>>")).alias("p"))
-    head = lambda n: F.flatten(F.slice("p", 1, n))
-    short = F.transform(F.slice("p", 1, DISTRIBUTION_PAGES), lambda page, i: F.when((i > 0) & F.size(filled(page)).between(1, 4), i + 1))
-    body = filled(head(INDENT_PAGES))
-    other = lambda x: x.rlike(INDENTED) | ((F.length(T.strip(x)) > 10) & ~T.strip(x).rlike(UPPER_OR_DIGIT))
     first = F.array_join(F.try_element_at("p", F.lit(1)), "\n")
-    pair = heading_pairs(head(PARAGRAPH_PAGES))
+    b = b.select("doc_id", "n_bytes", F.size("p").cast("long").alias("n_pages"), first.alias("first"), F.transform(F.slice("p", 1, DISTRIBUTION_PAGES), lines_of).alias("p"))
+    head = lambda n: F.flatten(F.slice("p", 1, n))
+    short = F.transform("p", lambda page, i: F.when((i > 0) & F.size(filled(page)).between(1, 4), i + 1))
+    b = b.select("doc_id", "n_bytes", "n_pages", "first", F.array_compact(short).alias("sparse"), filled(head(INDENT_PAGES)).alias("body"), head(PARAGRAPH_PAGES).alias("head"))
+    other = lambda x: x["line"].rlike(INDENTED) | ((F.length(x["s"]) > 10) & ~x["s"].rlike(UPPER_OR_DIGIT))
+    first, pair = F.col("first"), heading_pairs(F.col("head"))
     return b.select(
-        "doc_id", "n_bytes", F.size("p").cast("long").alias("n_pages"), F.coalesce(F.length(first), F.lit(0)).cast("long").alias("first_chars"),
-        F.coalesce(F.length(T.strip(first)) > 10, F.lit(False)).alias("first_filled"), F.array_compact(short).alias("sparse"),
-        F.size(F.filter(body, lambda x: x.rlike(INDENTED))).cast("long").alias("indented"), F.size(F.filter(body, other)).cast("long").alias("eligible"),
+        "doc_id", "n_bytes", "n_pages", F.coalesce(F.length(first), F.lit(0)).cast("long").alias("first_chars"),
+        F.coalesce(F.length(T.strip(first)) > 10, F.lit(False)).alias("first_filled"), "sparse",
+        F.size(F.filter("body", lambda x: x["line"].rlike(INDENTED))).cast("long").alias("indented"), F.size(F.filter("body", other)).cast("long").alias("eligible"),
         pair["n"].cast("long").alias("potential_first_paras"), pair["indented"].cast("long").alias("indented_first_paras"),
-        F.size(filled(head(PARAGRAPH_PAGES))).cast("long").alias("paragraphs"),
+        F.size(filled(F.col("head"))).cast("long").alias("paragraphs"),
     )
 
 
