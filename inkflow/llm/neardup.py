@@ -16,9 +16,10 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
    and all texts too short for sketches to be sure (SHORT words), go through a prefix filter: an edit changes GRAM shingles of
    GRAM words, so linked texts share at least so many of them (fewer words where texts are too short for that), and in one fixed
    order of all shingles the first few of one text hold one of the first few of the other.  The order puts frequent ones last.
-   Shingles of one class give no candidates; those of many nodes are split into blocks, and every two blocks are a group of
-   their own.  Bits of the texts' words, of which no more than the edits can be set on one side only, drop most pairs before
-   their texts are read.
+   Shingles of one class give no candidates, nor do those whose texts all have one and the same earlier shingle, as all but
+   the first of a common passage: a pair's first common shingle is never among them.  Those of many nodes are split into
+   blocks, and every two blocks are a group of their own.  Bits of the texts' words, of which no more than the edits can be
+   set on one side only, drop most pairs before their texts are read.
 5. These candidates are verified as well, and the classes are made again with their links.
 
 So a link between classes is lost only if its texts are longer than SHORT words and share none of the sketches; the
@@ -34,19 +35,22 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkflow.llm.common import Scratch, shared_dir, store, text_or_empty
 
 SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
-KEPT_WORDS, KEPT_NODES = 400_000, 200_000
+KEPT_WORDS, KEPT_NODES = 1 << 17, 200_000
+#: Texts, or pairs of them, that go to Python at once.
+TEXTS = 256
 #: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
 RUN, SHORT = 40, 100
 #: One sketch value in EARLY (a power of two) gives candidates before the classes are first made; all go through the rest.
@@ -55,8 +59,9 @@ EARLY = 4
 GRAM, SLOTS, BLOCK = 3, 1 << 23, 1000
 #: Bits of a bitmap for each value in it, bits of one row of it, and rows at most: 32 MB.
 SPARSE, PART, PARTS = 16, 1 << 15, 1 << 13
-#: Numbers of 64 bits that say which words a text has, and slots of the word counts that bound a distance from below.
-BITS, BAG = 16, 1024
+#: Numbers of 64 bits that say which words a text has, the same in the prefix filter, and slots of the word counts that bound
+#: a distance from below.
+BITS, SHARP, BAG = 16, 128, 1024
 LENGTHS = 100
 _GOLD, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(b"sketch%d" % i) | 1 for i in range(256)], np.uint64)
@@ -211,10 +216,10 @@ def far_classes(least: float) -> int:
     return int(-LENGTHS * np.log(least)) + 1
 
 
-def word_bits(words: np.ndarray) -> np.ndarray:
-    """Bits of the words, each with its occurrence number, that a text of these word hashes has, in BITS numbers."""
-    bits = np.zeros(BITS * 64, np.uint8)
-    bits[mix(labelled(words)) % np.uint64(BITS * 64)] = 1
+def word_bits(words: np.ndarray, numbers: int = BITS) -> np.ndarray:
+    """Bits of the words, each with its occurrence number, that a text of these word hashes has, in so many numbers."""
+    bits = np.zeros(numbers * 64, np.uint8)
+    bits[mix(labelled(words)) % np.uint64(numbers * 64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -225,6 +230,19 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     return abs(len(x) - len(y)) <= most and bag_distance(x, y) <= most and edit_distance(x, y, most) <= most
 
 
+@contextmanager
+def few_at_once(spark: SparkSession) -> Iterator[None]:
+    """What is written in this context goes to Python by TEXTS rows: whole texts in Spark's usual 10,000 take hundreds of
+    megabytes a task on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key (digest of the text), id (a long of it), text."""
     text = text_or_empty()
@@ -327,9 +345,9 @@ def only(x: str, y: str) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(BITS)])
 
 
-def one_side(numbers: list[str], x: str, y: str) -> Column:
-    """How many of the bits of the columns with suffix x are not in those with suffix y."""
-    return reduce(lambda a, b: a + b, [F.bit_count(F.col(c + x).bitwiseAND(F.bitwise_not(F.col(c + y)))) for c in numbers])
+def one_side(x: str, y: str) -> Column:
+    """As `only`, for arrays of any length."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, n: s + n)
 
 
 def alike(least: float) -> Column:
@@ -483,6 +501,35 @@ def common_counts(texts: DataFrame, least: float) -> np.ndarray:
     return out
 
 
+def last_as_many(many: np.ndarray) -> list[int]:
+    """For each place the last one before it whose number is as large or larger, or -1."""
+    out, held = [], []
+    for i, n in enumerate(many.tolist()):
+        while held and many[held[-1]] < n:
+            held.pop()
+        out.append(held[-1] if held else -1)
+        held.append(i)
+    return out
+
+
+def uncovered(places: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of (id, root, n, q, at, gram, many), the rows of the shingles that are needed: a shingle is not, if all texts that have it
+    have the same `before`, the last shingle in the common order that is had by as many texts or more.  These texts have that
+    one too, and as it comes first in all of them, the first shingle that two texts share is never left out."""
+
+    @F.pandas_udf("array<int>")
+    def last(many: pd.Series) -> pd.Series:
+        return pd.Series([last_as_many(np.asarray(m)) for m in many], dtype=object)
+
+    # As long as a text's own prefix.
+    lists = places.groupBy("id", "root", "n", "q").agg(F.sort_array(F.collect_list(F.struct("at", "gram", "many"))).alias("row"))
+    lists = lists.withColumn("last", last(F.col("row.many")))
+    one = F.transform("row", lambda x, i: F.struct(x["at"].alias("at"), x["gram"].alias("gram"), x["many"].alias("many"), F.get("row", F.get("last", i))["gram"].alias("before")))
+    rows = scratch.store(lists.select("id", "root", "n", "q", F.inline(one)), "before")
+    needed = rows.groupBy("gram").agg(F.count("before").alias("some"), F.count("*").alias("every"), F.min("before").alias("b1"), F.max("before").alias("b2"))
+    return rows.join(needed.where("some < every or b1 <> b2").select("gram").hint("merge"), "gram", "left_semi").drop("before")
+
+
 def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
     left out."""
@@ -491,7 +538,7 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
 
     def first_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, roots, lengths, qs, bits, found = [], [], [], [], [], []
+            ids, roots, lengths, qs, found = [], [], [], [], []
             for i, root, t in zip(pdf["id"].tolist(), pdf["root"].tolist(), pdf["text"], strict=True):
                 words = word_hashes(t.split())
                 for q, x in prefixes(words, least, counts.value).items() if len(words) else ():
@@ -499,19 +546,23 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
                     roots.append(root)
                     lengths.append(len(words))
                     qs.append(q)
-                    bits.append(word_bits(words))
                     found.append(x.view(np.int64))
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array(roots, np.int64), "n": np.array(lengths, np.int32), "q": np.array(qs, np.int32), "bits": pd.Series(bits, dtype=object), "grams": pd.Series(found, dtype=object)})
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array(roots, np.int64), "n": np.array(lengths, np.int32), "q": np.array(qs, np.int32), "grams": pd.Series(found, dtype=object)})
 
-    rows = scratch.store(texts.mapInPandas(first_grams, "id long, root long, n int, q int, bits array<long>, grams array<long>"), "grams")
-    places = rows.select("id", "root", "n", "q", "bits", F.posexplode("grams").alias("at", "gram"))
+    def sharp_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bits = [word_bits(word_hashes(t.split()), SHARP) for t in pdf["text"]]
+            yield pd.DataFrame({"id": pdf["id"], "bits": pd.Series(bits, dtype=object)})
+
+    rows = scratch.store(texts.mapInPandas(first_grams, "id long, root long, n int, q int, grams array<long>"), "grams")
+    places = rows.select("id", "root", "n", "q", F.posexplode("grams").alias("at", "gram"))
     # Counted with its classes before any row moves.
     several = rows.select("root", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
-    several = scratch.store(several.where("r1 <> r2").select("gram", F.ceil(F.col("many") / BLOCK).cast("int").alias("blocks")), "common")
-    live = maybe_in(places, "gram", several.select("gram")).join(several, "gram")
-    numbers = [f"w{i}_" for i in range(BITS)]  # not an array: a pair is told apart in a few steps
-    kept = ("id", "root", "n", "at", *numbers)
-    live = live.select("*", *(F.get("bits", F.lit(i)).alias(w) for i, w in enumerate(numbers)))
+    several = scratch.store(several.where("r1 <> r2").select("gram", "many"), "common")
+    left = scratch.store(uncovered(maybe_in(places, "gram", several.select("gram")).join(several, "gram"), scratch), "left")
+    bits = maybe_in(texts.select("id", "text"), "id", scratch.store(left.select("id").distinct(), "left-nodes")).mapInPandas(sharp_bits, "id long, bits array<long>")
+    live = left.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).join(bits.hint("merge"), "id")
+    kept = ("id", "root", "n", "at", "bits")
     few = live.where("blocks = 1").select("gram", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "q", *kept)
     many = live.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     many = many.select("gram", "q", *kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -521,7 +572,7 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     longer = F.greatest("n", "n2")
     most = F.floor((1 - least) * longer + 1e-9)
     enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - F.col("q") * most
-    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= most) & enough & (one_side(numbers, "", "2") <= most) & (one_side(numbers, "2", "") <= most)
+    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= most) & enough & (one_side("bits", "bits2") <= most) & (one_side("bits2", "bits") <= most)
     return live.join(right.hint("merge"), ["gram", "lo", "hi"]).where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
@@ -535,29 +586,25 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     # What a step is made from goes when the step is written.
     sketched, run_tables, step = Scratch(spark), Scratch(spark), Scratch(spark)
-    rows = sketched.store(sketch_rows(keyed(docs)), "sketches")
+    with few_at_once(spark):
+        rows = sketched.store(sketch_rows(keyed(docs)), "sketches")
     far = far_classes(least)
     words = run_tables.store(rows.where("bits is not null").select("id", "n", "bits").distinct(), "word-bits")
     pairs, live = neighbours(rows.where("bits is null").select("s", "q", "id"), far, run_tables)
     sketched.clear()
-    edges = store(verified(docs, pairs, words, step, least), shared_dir(spark, "links"))
+    with few_at_once(spark):
+        edges = store(verified(docs, pairs, words, step, least), shared_dir(spark, "links"))
     step.clear()
     roots = store(components(edges), shared_dir(spark, "roots"))
     mixed = mixed_runs(live, by_id(roots), run_tables)
     pairs, hot = left_out(mixed, far)
-    hot = step.store(hot, "hot")
     text = keyed(docs)
     most = int(SHORT / least) + 1  # words of the longest partner
-    is_short = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ", most + 1)) <= most
-
-    def once(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("id", "key").agg(F.first("text").alias("text"))
-
-    text = text.select("doc_id", "id", "key", "text")
-    long_ones = once(maybe_in(text, "id", hot).where(~is_short)).join(hot, "id", "left_semi")
-    looked = once(text.where(is_short)).unionByName(long_ones)
-    looked = step.store(looked.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), "looked-at")
-    more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), words, step, least), shared_dir(spark, "more"))
+    looked = step.store(hot.unionByName(words.where(F.col("n") <= most).select("id")).distinct(), "looked-ids")
+    once = maybe_in(text, "id", looked).groupBy("id", "key").agg(F.first("text").alias("text")).join(looked, "id", "left_semi")
+    looked = step.store(once.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), "looked-at")
+    with few_at_once(spark):
+        more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), words, step, least), shared_dir(spark, "more"))
     step.clear()
     run_tables.clear()
     if not more.isEmpty():
