@@ -3,7 +3,9 @@
 A session is a key's activity without a pause longer than its time to live; when the watermark has passed its last touch by
 that time, it is expired: it comes out, and its state goes.  State is kept by key as intervals that are merged when a
 touch falls between them, so the result does not depend on how events are cut into micro-batches, nor on their order within
-the watermark's delay.  An interval lives until its timer, so a key holds at most as many as fit into the delay.
+the watermark's delay.  A key has one timer, of its first interval to end; when it fires, all intervals that the watermark has
+passed come out at once, and the next one gets the timer.  So a key's intervals are read and written once a micro-batch at
+most, however many they are, and an interval lives at most one micro-batch longer than the delay.
 """
 
 from __future__ import annotations
@@ -45,25 +47,26 @@ class Expiry(StatefulProcessor):
         self.open = handle.getListState("open", INTERVALS)
 
     def _keep(self, intervals: list[tuple[int, int, int]]) -> None:
+        """Intervals in order: the first one ends first."""
         if intervals:
             self.open.put(intervals)
+            self.handle.registerTimer((intervals[0][1] + self.life) // 1000 + 1)
         else:
             self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        touches = [(r.at, r.at, r.n) for r in rows]
-        now = merged([*(tuple(r) for r in self.open.get()), *merged(touches, self.life)], self.life)
-        self._keep(now)
-        for _, last, _ in now:
-            self.handle.registerTimer((last + self.life) // 1000 + 1)
+        held = [tuple(r) for r in self.open.get()]
+        if held:  # its timer may go to another time
+            self.handle.deleteTimer((held[0][1] + self.life) // 1000 + 1)
+        self._keep(merged([*held, *((r.at, r.at, r.n) for r in rows)], self.life))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
         intervals = [tuple(r) for r in self.open.get()]
-        self._keep([i for i in intervals if i[1] + self.life >= at])
+        self._keep([i for i in intervals if i[1] + self.life >= passed])
         for opened, last, n in intervals:
-            if last + self.life < at:
+            if last + self.life < passed:
                 yield Row(session=key[0], opened=opened, last=last, n=n)
 
     def close(self) -> None:

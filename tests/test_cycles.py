@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import tempfile
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,48 @@ def test_sessions_do_not_depend_on_batches(spark):
 def test_merging():
     assert merged([(50, 60, 1), (0, 5, 2), (15, 20, 1)], 10) == [(0, 20, 3), (50, 60, 1)]
     assert merged([], 10) == [] and Expiry(5).life == 5
+
+
+class Handle:
+    """State and timers of one key, which counts what is done with them."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = [], set(), 0
+
+    def getListState(self, *_):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.calls, self.rows = self.calls + 1, list(rows)
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_a_key_has_one_timer():
+    """500 intervals of a key that the watermark has passed come out at one timer, with a few calls of state."""
+    handle, p, none = Handle(), Expiry(1000), SimpleNamespace
+    p.init(handle)
+    times = none(getCurrentWatermarkInMs=lambda: 0)
+    p.handleInputRows(("a",), iter([]), times)
+    for part in (range(250, 500), range(250)):
+        assert list(p.handleInputRows(("a",), [none(at=i * 10_000, n=1) for i in part], times)) == []
+        assert len(handle.timers) == 1
+    assert handle.timers == {2} and handle.calls <= 8
+    passed = none(getCurrentWatermarkInMs=lambda: 4001)
+    due = none(getExpiryTimeInMs=handle.timers.pop)  # a fired timer is gone
+    got = list(p.handleExpiredTimer(("a",), passed, due))
+    assert [r.opened for r in got] == [i * 10_000 for i in range(400)] and len(handle.rows) == 100
+    assert handle.timers == {4002} and handle.calls <= 12
