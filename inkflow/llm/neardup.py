@@ -17,8 +17,9 @@ included.  SKETCHES sketches are drawn; texts that share one make up its run.
    GRAM words, so linked texts share at least so many of them (fewer words where texts are too short for that), and in one fixed
    order of all shingles the first few of one text hold one of the first few of the other.  The order puts frequent ones last.
    Shingles of one class give no candidates, nor do those whose texts all have one and the same earlier shingle, as all but
-   the first of a common passage: a pair's first common shingle is never among them.  Those of many nodes are split into
-   blocks, and every two blocks are a group of their own.  Bits of the texts' words, of which no more than the edits can be
+   the first of a common passage: a pair's first common shingle is never among them.  Most of these go
+   before they make rows.  Only nodes outside of a shingle's largest class look for others.  Shingles of many nodes are split
+   into blocks, and every two blocks are a group of their own.  Bits of the texts' words, of which no more than the edits can be
    set on one side only, drop most pairs before their texts are read.
 5. These candidates are verified as well, and the classes are made again with their links.
 
@@ -37,6 +38,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache, reduce
+from operator import ne
 
 import numpy as np
 import pandas as pd
@@ -48,9 +50,11 @@ from pyspark.sql import functions as F
 from inkflow.llm.common import Scratch, shared_dir, store, text_or_empty
 
 SHINGLE, SKETCHES, ELL, SIMILARITY = 5, 80, 2, 0.8
-KEPT_WORDS, KEPT_NODES = 1 << 17, 200_000
+KEPT_NODES = 200_000
+#: Bytes of a text whose words are hashed at once.
+PIECE = 1 << 16
 #: Texts, or pairs of them, that go to Python at once.
-TEXTS = 256
+TEXTS, ROWS_AT_ONCE = 256, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Nodes of a run that are compared with one another, and words of a text up to which the prefix filter looks as well.
 RUN, SHORT = 40, 100
 #: One sketch value in EARLY (a power of two) gives candidates before the classes are first made; all go through the rest.
@@ -73,21 +77,54 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Kept(dict):
-    """Hashes of words; those of the first KEPT_WORDS words of up to 40 characters stay."""
+#: A number for each byte, which bytes part words in an ASCII text, and an odd number whose powers tell a word's places.
+_BYTES, _BLANK, _BASE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD), np.isin(np.arange(256), [*range(9, 14), *range(28, 33)]), 0xD6E8FEB86659FD93
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode())
-        if len(self) < KEPT_WORDS and len(word) <= 40:
-            self[word] = h
-        return h
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of _BASE and of its inverse, modulo 2 ** 64, from 0 to n - 1."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, np.uint64)
+        x[:1] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
+
+
+_POWERS = powers(PIECE)
 
 
-_hash_of = Kept().__getitem__
+def piece_hashes(raw: np.ndarray) -> np.ndarray:
+    """A hash of each word of these bytes: the sum of its bytes' numbers times the power of their place in it."""
+    up, down = _POWERS if len(raw) <= PIECE else powers(len(raw))
+    word = np.zeros(len(raw) + 2, bool)
+    np.logical_not(_BLANK.take(raw), out=word[1:-1])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES.take(raw) * up[: len(raw)], out=total[1:])
+    return mix((total[edges[1::2]] - total[edges[::2]]) * down[edges[::2]])
+
+
+def text_hashes(text: str) -> np.ndarray:
+    """A hash of each word of text.split() for bounds and for the prefix filter, made from all bytes at once; long texts go by pieces that end between words.  Two
+    words of one hash only bring texts nearer, so they give more candidates and lose none."""
+    if not text.isascii():
+        text = " ".join(text.split())
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if len(raw) <= PIECE:
+        return piece_hashes(raw)
+    blank, found, a = np.append(np.flatnonzero(_BLANK[raw]), len(raw)), [], 0
+    while a < len(raw):
+        i = int(np.searchsorted(blank, a + PIECE, "right"))
+        b = int(blank[i - 1]) if i and blank[i - 1] > a else int(blank[i])
+        found.append(piece_hashes(raw[a:b]))
+        a = b
+    return np.concatenate(found)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    """Hashes for sketches, whose values decide what these find.  A dictionary of words seen before takes longer."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
@@ -101,18 +138,23 @@ def shingle_hashes(h: np.ndarray, k: int = SHINGLE) -> np.ndarray:
     return out
 
 
+def numbered(s: np.ndarray) -> np.ndarray:
+    """Sorted hashes mixed with their occurrence numbers."""
+    first = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=first[1:])
+    places = np.arange(len(s))
+    return s + (places - np.maximum.accumulate(np.where(first, places, 0))).astype(np.uint64) * _GOLD
+
+
 def labelled(h: np.ndarray) -> np.ndarray:
     """k-mer hashes mixed with their occurrence numbers."""
-    order = np.argsort(h, kind="stable")
-    s = h[order]
-    same = s[1:] == s[:-1]
-    if not same.any():
+    s = np.sort(h)
+    if not (s[1:] == s[:-1]).any():
         return h
-    first = np.concatenate([[True], ~same])
-    starts = np.flatnonzero(first)
-    occurrence = np.empty(len(h), np.uint64)
-    occurrence[order] = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
-    return h + occurrence * _GOLD
+    order = np.argsort(h, kind="stable")
+    out = np.empty(len(h), np.uint64)
+    out[order] = numbered(s)
+    return out
 
 
 def least_places(x: np.ndarray, seeds: np.ndarray, ell: int) -> np.ndarray:
@@ -203,7 +245,7 @@ def edit_distance(a: list, b: list, most: int) -> int:
 
 def bag_distance(x: list[str], y: list[str]) -> int:
     """At most the edit distance: how many words, counted by slot, one text has more than the other."""
-    d = np.bincount(word_hashes(x) % np.uint64(BAG), minlength=BAG) - np.bincount(word_hashes(y) % np.uint64(BAG), minlength=BAG)
+    d = np.subtract(*(np.bincount(text_hashes(" ".join(w)) % np.uint64(BAG), minlength=BAG) for w in (x, y)))
     return int(max(d[d > 0].sum(), -d[d < 0].sum()))
 
 
@@ -219,7 +261,7 @@ def far_classes(least: float) -> int:
 def word_bits(words: np.ndarray, numbers: int = BITS) -> np.ndarray:
     """Bits of the words, each with its occurrence number, that a text of these word hashes has, in so many numbers."""
     bits = np.zeros(numbers * 64, np.uint8)
-    bits[mix(labelled(words)) % np.uint64(numbers * 64)] = 1
+    bits[mix(numbered(np.sort(words))) % np.uint64(numbers * 64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
@@ -227,20 +269,23 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
     """Whether the word edit distance is at most (1 - least) of the longer text's words."""
     x, y = a.split(), b.split()
     most = int((1 - least) * max(len(x), len(y)) + 1e-9)
-    return abs(len(x) - len(y)) <= most and bag_distance(x, y) <= most and edit_distance(x, y, most) <= most
+    if abs(len(x) - len(y)) > most:
+        return False
+    if len(x) == len(y) and sum(map(ne, x, y)) <= most:  # words in the places of others
+        return True
+    return bag_distance(x, y) <= most and edit_distance(x, y, most) <= most
 
 
 @contextmanager
 def few_at_once(spark: SparkSession) -> Iterator[None]:
     """What is written in this context goes to Python by TEXTS rows: whole texts in Spark's usual 10,000 take hundreds of
     megabytes a task on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(TEXTS))
+    before = spark.conf.get(ROWS_AT_ONCE)
+    spark.conf.set(ROWS_AT_ONCE, str(TEXTS))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        spark.conf.set(ROWS_AT_ONCE, before)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -362,13 +407,15 @@ def verified(docs: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scrat
     (words: id, n, bits) say that they are not go first; then only texts that occur in a pair are shuffled, and the few others that
     maybe_in lets pass, once, one copy of each, and used for both ends."""
     def ends(of: DataFrame, name: str) -> DataFrame:
-        return scratch.store(of.select(F.explode(F.array("a", "b")).alias("id")).distinct(), name)
+        return scratch.store(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct(), name)
 
     pairs = scratch.store(pairs, "candidates")
     bits = scratch.store(maybe_in(words, "id", ends(pairs, "needed")), "bits")
     told = pairs.join(bits.withColumnRenamed("id", "a").hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")).hint("merge"), "b")
     pairs = scratch.store(told.where(alike(least)).select("a", "b").distinct(), "likely")
-    texts = maybe_in(keyed(docs).select("id", "key", "text"), "id", ends(pairs, "needed")).groupBy("id", "key").agg(F.first("text").alias("text"))
+    # By id alone, so that the joins need no other exchange; a set has two rows if two digests have one id.
+    texts = maybe_in(keyed(docs).select("id", "key", "text"), "id", ends(pairs, "needed")).groupBy("id").agg(F.collect_set(F.struct("key", "text")).alias("all"))
+    texts = texts.select("id", F.inline("all"))
 
     @F.pandas_udf("boolean")
     def close(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -484,19 +531,29 @@ def prefixes(words: np.ndarray, least: float, counts: np.ndarray) -> dict[int, n
     return {q: x[np.lexsort((x, counts[x & np.uint64(SLOTS - 1)]))[: lengths[q]]] for q, x in grams(words, least).items()}
 
 
+def befores(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each of a text's first q-grams x, in the common order, the one before it if that is as frequent by `counts`, else
+    itself.  If all texts that have a q-gram have the same other one before it, two of these texts share that as well, and
+    earlier: so the first q-gram that two texts share is never such a one."""
+    code = counts[x & np.uint64(SLOTS - 1)]
+    out = x.copy()
+    out[1:] = np.where(code[1:] == code[:-1], x[:-1], x[1:])
+    return out
+
+
 def common_counts(texts: DataFrame, least: float) -> np.ndarray:
-    """How frequent the q-grams of all texts are, by slot: 8 times the binary logarithm of one more than their number.  Any
-    order is right; this one has few texts meet."""
+    """How frequent the q-grams of all texts are, by slot: their number, of more than 20,000 a logarithm.  Any order is
+    right; this one has few texts meet, and q-grams of one passage follow one another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = [x for w in map(str.split, pdf["text"]) if w for x in grams(word_hashes(w), least).values()]
+            parts = [x for w in map(text_hashes, pdf["text"]) if len(w) for x in grams(w, least).values()]
             slot, many = np.unique(np.concatenate(parts or [np.empty(0, np.uint64)]) & np.uint64(SLOTS - 1), return_counts=True)
             yield pd.DataFrame({"slot": slot.astype(np.int32), "many": many})
 
     rows = texts.select("text").mapInPandas(run, "slot int, many long").groupBy("slot").agg(F.sum("many").alias("many")).where("many > 1")
-    got = rows.select("slot", F.least(F.floor(8 * F.log2(F.col("many") + 1)), F.lit(255)).cast("short").alias("code")).toArrow()  # at most SLOTS rows of 6 bytes
-    out = np.zeros(SLOTS, np.uint8)
+    got = rows.select("slot", F.when(F.col("many") <= 20_000, F.col("many")).otherwise(F.least(20_000 + F.floor(500 * F.log2(F.col("many") / 20_000)), F.lit(32_767))).cast("short").alias("code")).toArrow()  # at most SLOTS rows of 6 bytes
+    out = np.zeros(SLOTS, np.int16)
     out[got["slot"].to_numpy()] = got["code"].to_numpy()
     return out
 
@@ -530,50 +587,70 @@ def uncovered(places: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.join(needed.where("some < every or b1 <> b2").select("gram").hint("merge"), "gram", "left_semi").drop("before")
 
 
+def with_major(live: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (gram, root, ...) with minor, whether the row is outside of its gram's largest class, and others, how many are."""
+    live = scratch.store(live, "bare")
+    sizes = live.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "root")).alias("major"), F.sum("n").alias("every"))
+    sizes = sizes.select("gram", F.col("major.root").alias("major"), (F.col("every") - F.col("major.n")).alias("others"))
+    return live.join(sizes.hint("merge"), "gram").withColumn("minor", F.col("root") != F.col("major")).drop("major")
+
+
 def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
     left out."""
     spark = texts.sparkSession
-    counts = spark.sparkContext.broadcast(common_counts(texts, least))  # SLOTS bytes
+    counts = spark.sparkContext.broadcast(common_counts(texts, least))  # SLOTS numbers of 2 bytes
 
     def first_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, roots, lengths, qs, found = [], [], [], [], []
+            ids, roots, lengths, qs, found, earlier = [], [], [], [], [], []
             for i, root, t in zip(pdf["id"].tolist(), pdf["root"].tolist(), pdf["text"], strict=True):
-                words = word_hashes(t.split())
+                words = text_hashes(t)
                 for q, x in prefixes(words, least, counts.value).items() if len(words) else ():
+                    earlier.append(befores(x, counts.value).view(np.int64))
                     ids.append(i)
                     roots.append(root)
                     lengths.append(len(words))
                     qs.append(q)
                     found.append(x.view(np.int64))
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array(roots, np.int64), "n": np.array(lengths, np.int32), "q": np.array(qs, np.int32), "grams": pd.Series(found, dtype=object)})
+            yield pd.DataFrame({"id": np.array(ids, np.int64), "root": np.array(roots, np.int64), "n": np.array(lengths, np.int32), "q": np.array(qs, np.int32), "grams": pd.Series(found, dtype=object), "befores": pd.Series(earlier, dtype=object)})
 
     def sharp_bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits = [word_bits(word_hashes(t.split()), SHARP) for t in pdf["text"]]
+            bits = [word_bits(text_hashes(t), SHARP) for t in pdf["text"]]
             yield pd.DataFrame({"id": pdf["id"], "bits": pd.Series(bits, dtype=object)})
 
-    rows = scratch.store(texts.mapInPandas(first_grams, "id long, root long, n int, q int, grams array<long>"), "grams")
+    rows = scratch.store(texts.mapInPandas(first_grams, "id long, root long, n int, q int, grams array<long>, befores array<long>"), "grams")
     places = rows.select("id", "root", "n", "q", F.posexplode("grams").alias("at", "gram"))
-    # Counted with its classes before any row moves.
-    several = rows.select("root", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"))
-    several = scratch.store(several.where("r1 <> r2").select("gram", "many"), "common")
-    left = scratch.store(uncovered(maybe_in(places, "gram", several.select("gram")).join(several, "gram"), scratch), "left")
-    bits = maybe_in(texts.select("id", "text"), "id", scratch.store(left.select("id").distinct(), "left-nodes")).mapInPandas(sharp_bits, "id long, bits array<long>")
-    live = left.withColumn("blocks", F.ceil(F.col("many") / BLOCK).cast("int")).join(bits.hint("merge"), "id")
-    kept = ("id", "root", "n", "at", "bits")
-    few = live.where("blocks = 1").select("gram", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "q", *kept)
-    many = live.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    many = many.select("gram", "q", *kept, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    live = scratch.store(few.unionByName(many.select("gram", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "q", *kept)), "live")
-    right = live.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
+    # Counted with its classes before any row moves; what `befores` covers goes before it makes rows of a join.
+    each = rows.select("root", F.inline(F.arrays_zip("grams", "befores"))).groupBy("grams")
+    ends = (F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"), F.min("befores").alias("b1"), F.max("befores").alias("b2"))
+    several = scratch.store(each.agg(*ends).where("r1 <> r2 and (b1 <> b2 or b1 = grams)").select(F.col("grams").alias("gram"), "many"), "common")
+    left = scratch.store(maybe_in(places, "gram", several.select("gram")).join(several, "gram"), "common-places")
+    # Shingles of few texts give few pairs, whose bits are compared when they are verified; those of many texts carry them.
+    often = scratch.store(uncovered(left.where(F.col("many") > RUN), scratch), "left")
+    bits = maybe_in(texts.select("id", "text"), "id", scratch.store(often.select("id").distinct(), "left-nodes")).mapInPandas(sharp_bits, "id long, bits array<long>")
+    bare = left.where(F.col("many") <= RUN).withColumn("bits", F.lit(None).cast("array<long>"))
+    live = scratch.store(with_major(often.join(bits.hint("merge"), "id").unionByName(bare), scratch), "major")
+    kept = ("id", "root", "n", "at", "bits", "minor")
+    # Every text of a shingle, by blocks, and those outside of its largest class, by blocks of their own: only these look for others.
+    blocks, own = F.ceil(F.col("many") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    one = (blocks == 1) & (own == 1)
+    of = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    over = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    few = live.where(one).select("gram", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "q", *kept)
+    many = live.where(~one)
+    every = scratch.store(few.unionByName(many.select("gram", over(own).alias("lo"), of(blocks).alias("hi"), "q", *kept)), "live")
+    minor = few.where("minor").unionByName(many.where("minor").select("gram", of(own).alias("lo"), over(blocks).alias("hi"), "q", *kept))
+    right = every.select("gram", "lo", "hi", *(F.col(c).alias(c + "2") for c in kept))
     # Of the first gram that two texts share, both sides have enough left.
     longer = F.greatest("n", "n2")
     most = F.floor((1 - least) * longer + 1e-9)
     enough = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) >= longer - F.col("q") * most
-    close = (F.col("id") < F.col("id2")) & (F.col("root") != F.col("root2")) & (longer - F.least("n", "n2") <= most) & enough & (one_side("bits", "bits2") <= most) & (one_side("bits2", "bits") <= most)
-    return live.join(right.hint("merge"), ["gram", "lo", "hi"]).where(close).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    close = (F.col("root") != F.col("root2")) & (~F.col("minor2") | (F.col("id") < F.col("id2"))) & (longer - F.least("n", "n2") <= most) & enough
+    near = F.col("bits").isNull() | (one_side("bits", "bits2") <= most) & (one_side("bits2", "bits") <= most)
+    pairs = minor.join(right.hint("merge"), ["gram", "lo", "hi"]).where(close & near)
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def by_id(roots: DataFrame) -> DataFrame:
