@@ -402,19 +402,24 @@ def alike(least: float) -> Column:
     return (longer - F.least("n", "n2") <= edits) & (only("bits", "bits2") <= edits) & (only("bits2", "bits") <= edits)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Pairs whose words' bits
-    (words: id, n, bits) say that they are not go first; then only texts that occur in a pair are shuffled, and the few others that
-    maybe_in lets pass, once, one copy of each, and used for both ends."""
-    def ends(of: DataFrame, name: str) -> DataFrame:
-        return scratch.store(of.select(F.col("a").alias("id")).unionByName(of.select(F.col("b").alias("id"))).distinct(), name)
-
-    pairs = scratch.store(pairs, "candidates")
-    bits = scratch.store(maybe_in(words, "id", ends(pairs, "needed")), "bits")
+def ends(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The nodes (id) of pairs (a, b), written."""
+    return scratch.store(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "needed")
+
+
+def not_told(pairs: DataFrame, words: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose words' bits (words: id, n, bits) do not say that they are not linked."""
+    bits = scratch.store(maybe_in(words, "id", ends(pairs, scratch)), "bits")
     told = pairs.join(bits.withColumnRenamed("id", "a").hint("merge"), "a").join(bits.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("bits").alias("bits2")).hint("merge"), "b")
-    pairs = scratch.store(told.where(alike(least)).select("a", "b").distinct(), "likely")
+    return told.where(alike(least)).select("a", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b), keys in order, of the candidate pairs (a, b) of nodes whose texts are similar.  Only texts that occur in a
+    pair are shuffled, and the few others that maybe_in lets pass, once, one copy of each, and used for both ends."""
+    pairs = scratch.store(pairs.distinct(), "likely")
     # By id alone, so that the joins need no other exchange; a set has two rows if two digests have one id.
-    texts = maybe_in(keyed(docs).select("id", "key", "text"), "id", ends(pairs, "needed")).groupBy("id").agg(F.collect_set(F.struct("key", "text")).alias("all"))
+    texts = maybe_in(keyed(docs).select("id", "key", "text"), "id", ends(pairs, scratch)).groupBy("id").agg(F.collect_set(F.struct("key", "text")).alias("all"))
     texts = texts.select("id", F.inline("all"))
 
     @F.pandas_udf("boolean")
@@ -596,8 +601,8 @@ def with_major(live: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked; none that is linked is
-    left out."""
+    """From texts (id, root, text): pairs (a, b) of nodes of different classes that may be linked, and whether their words' bits
+    are compared already (told); none that is linked is left out."""
     spark = texts.sparkSession
     counts = spark.sparkContext.broadcast(common_counts(texts, least))  # SLOTS numbers of 2 bytes
 
@@ -627,11 +632,12 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     ends = (F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("many"), F.min("befores").alias("b1"), F.max("befores").alias("b2"))
     several = scratch.store(each.agg(*ends).where("r1 <> r2 and (b1 <> b2 or b1 = grams)").select(F.col("grams").alias("gram"), "many"), "common")
     left = scratch.store(maybe_in(places, "gram", several.select("gram")).join(several, "gram"), "common-places")
-    # Shingles of few texts give few pairs, whose bits are compared when they are verified; those of many texts carry them.
+    # Shingles of few texts give few pairs, whose bits are compared before they are verified; those of many texts carry them,
+    # and only of these it matters which class is the largest.
     often = scratch.store(uncovered(left.where(F.col("many") > RUN), scratch), "left")
     bits = maybe_in(texts.select("id", "text"), "id", scratch.store(often.select("id").distinct(), "left-nodes")).mapInPandas(sharp_bits, "id long, bits array<long>")
-    bare = left.where(F.col("many") <= RUN).withColumn("bits", F.lit(None).cast("array<long>"))
-    live = scratch.store(with_major(often.join(bits.hint("merge"), "id").unionByName(bare), scratch), "major")
+    bare = left.where(F.col("many") <= RUN).select("*", F.lit(None).cast("array<long>").alias("bits"), F.lit(True).alias("minor"), F.col("many").alias("others"))
+    live = scratch.store(with_major(often.join(bits.hint("merge"), "id"), scratch).unionByName(bare), "major")
     kept = ("id", "root", "n", "at", "bits", "minor")
     # Every text of a shingle, by blocks, and those outside of its largest class, by blocks of their own: only these look for others.
     blocks, own = F.ceil(F.col("many") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
@@ -650,7 +656,7 @@ def filtered(texts: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     close = (F.col("root") != F.col("root2")) & (~F.col("minor2") | (F.col("id") < F.col("id2"))) & (longer - F.least("n", "n2") <= most) & enough
     near = F.col("bits").isNull() | (one_side("bits", "bits2") <= most) & (one_side("bits2", "bits") <= most)
     pairs = minor.join(right.hint("merge"), ["gram", "lo", "hi"]).where(close & near)
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"), F.col("bits").isNotNull().alias("told")).distinct()
 
 
 def by_id(roots: DataFrame) -> DataFrame:
@@ -670,7 +676,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     pairs, live = neighbours(rows.where("bits is null").select("s", "q", "id"), far, run_tables)
     sketched.clear()
     with few_at_once(spark):
-        edges = store(verified(docs, pairs, words, step, least), shared_dir(spark, "links"))
+        edges = store(verified(docs, pairs, step, least), shared_dir(spark, "links"))
     step.clear()
     roots = store(components(edges), shared_dir(spark, "roots"))
     mixed = mixed_runs(live, by_id(roots), run_tables)
@@ -681,7 +687,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     once = maybe_in(text, "id", looked).groupBy("id", "key").agg(F.first("text").alias("text")).join(looked, "id", "left_semi")
     looked = step.store(once.join(by_id(roots), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "text"), "looked-at")
     with few_at_once(spark):
-        more = store(verified(docs, pairs.unionByName(filtered(looked, least, step)).distinct(), words, step, least), shared_dir(spark, "more"))
+        found = pairs.withColumn("told", F.lit(False)).unionByName(filtered(looked, least, step))
+        found = step.store(found.groupBy("a", "b").agg(F.max("told").alias("told")), "candidates")
+        likely = not_told(found.where("not told").select("a", "b"), words, step, least).unionByName(found.where("told").select("a", "b"))
+        more = store(verified(docs, likely, step, least), shared_dir(spark, "more"))
     step.clear()
     run_tables.clear()
     if not more.isEmpty():
