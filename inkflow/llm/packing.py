@@ -25,6 +25,8 @@ from inkflow.llm.common import chunks, text_or_empty
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 #: A sequence id has the bucket above bit 58, the partition above bit 34, and the row below.
 BUCKET_BIT, PARTITION_BIT = 58, 34
+#: Characters that are encoded at a time: their arrays stay in a core's cache.
+AT_ONCE = 1 << 18
 
 
 def piece_lengths(n: int, most: int) -> list[int]:
@@ -46,7 +48,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int, most: int = 20
         used = [0] * most.bit_length()
         for pdf in batches:
             texts, doc_ids, null = pdf["text"].tolist(), pdf["doc_id"].tolist(), pdf["doc_id"].isna().tolist()
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, AT_ONCE):
                 rows, arrays = [], []
                 for i, raw in enumerate(enc.encode(texts[a:b]), a):
                     raw += end
